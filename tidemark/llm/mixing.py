@@ -86,7 +86,8 @@ def landing(sizes: list[float], probs: list[float], taken: float, wanted: float)
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["draw", "row_id"], kind="stable")
+    # Large documents first: the units left open are small, and so is what landing them costs.
+    pdf = pdf.sort_values(["size", "draw", "row_id"], ascending=[False, True, True], kind="stable")
     pdf["prob"] = flight(pdf["size"].astype(float).tolist(), pdf["prob"].tolist(), pdf["draw"].tolist())
     return pdf
 
