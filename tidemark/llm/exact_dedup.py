@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     norm = docs.select("doc_id", normalised().alias("norm")).select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), "norm")
     rows = cut(norm.drop("norm").select("*", F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("block")))
-    suspect_prints = cut(duplicated_fingerprints(rows))
+    suspect_prints = duplicated_fingerprints(rows).persist(StorageLevel.DISK_ONLY)
     small = suspect_prints.count() <= BROADCAST_ROWS
     suspects = F.broadcast(suspect_prints) if small else suspect_prints
     # The bytes themselves are grouped; two texts of one SHA-256 would stop the run.

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Distinct pre-tokens that every task holds: about 20 MB.
-HEAD = 200_000
+#: Distinct pre-tokens that every task holds, at most: about 50 MB.
+HEAD = 400_000
 #: Distinct pre-tokens that a task gathers before it sends counts on.
 GATHER = 300_000
 
@@ -116,11 +116,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD
     words = docs.select("text").mapInArrow(_vocabulary(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     count = F.pandas_udf(lambda s: pd.Series(count_pieces(s.tolist(), path), dtype="int64"), "long")
     vocabulary = cut(words.withColumn("pieces", count("word")))
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").toPandas()  # at most head rows
+    # Frequencies by eighths of a power of two: how many of the most frequent words fit.
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    fitting, least = 0, None
+    for r in vocabulary.groupBy(grade.alias("grade")).agg(F.count("*").alias("words")).orderBy(F.desc("grade")).collect():
+        if fitting + r["words"] > head:
+            break
+        fitting, least = fitting + r["words"], r["grade"]
+    top = vocabulary.where(grade >= F.lit(least) if least is not None else F.lit(False)).select("word", "pieces").toPandas()  # at most head rows
     shared = spark.sparkContext.broadcast(dict(zip(top["word"], top["pieces"].tolist(), strict=True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_counted(path, shared), f"doc_id {kind}, n_bytes long, head_tokens long, rest map<string,long>")
-    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "n_bytes", "head_tokens", F.explode_outer("rest").alias("word", "times"))
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
+    rows = rows.select("row_id", "doc_id", "n_bytes", "head_tokens", F.explode_outer("rest").alias("word", "times"))
     # A text without rare words keeps one row; its word is made unlike all others, so that these rows spread.
     rows = rows.withColumn("word", F.coalesce("word", F.concat(F.lit("\n\n "), F.col("row_id").cast("string"))))
     return (
