@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, fingerprints, langid, mixing, packing, sharding, tokencount
+from tidemark.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, packing, sharding, tokencount
 from tidemark.llm.common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir)).drop("row_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op3_fingerprints, op4_token_counts, op5_packing, op6_mixing, op7_exact_dedup, op9_language_id)
+    found = (op1_near_dedup, op2_sharding, op3_fingerprints, op4_token_counts, op5_packing, op6_mixing, op7_exact_dedup, op9_language_id)
     return {f.__name__: f for f in found}
 
 
