@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, packing, sharding, tokencount
+from tidemark.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, packing, sharding, suffix_array, suffix_tree, tokencount
 from tidemark.llm.common import documents
 
 
@@ -39,10 +39,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("row_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.substring_dedup(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.byte_dedup(documents(spark, sf_dir))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -52,7 +60,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_sharding, op3_fingerprints, op4_token_counts, op5_packing, op6_mixing, op7_exact_dedup, op9_language_id)
+    found = (op1_near_dedup, op2_sharding, op3_fingerprints, op4_token_counts, op5_packing, op6_mixing, op7_exact_dedup, op8_substring_dedup, op9_language_id, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
