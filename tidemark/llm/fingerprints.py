@@ -69,7 +69,7 @@ def as_string(s: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """For distinct keys(doc_id, print, n_chars) by descending doc_id, then print, in a ring: next and previous key.
+    """For distinct keys(doc_id, id, print, n_chars) by descending doc_id, then print, in a ring: next and previous key.
 
     The keys are dealt by range and each range is numbered by itself; only the two ends of every
     range, as many rows as there are partitions, meet on the driver.
@@ -77,7 +77,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("print").asc()]
     ranged = cut(keys.repartitionByRange(shuffle_partitions(keys), *order).withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy(*order)
-    me = F.struct("doc_id", "print", "n_chars")
+    me = F.struct("id", "print", "n_chars")
     linked = ranged.withColumns({"next": F.lead(me).over(w), "prev": F.lag(me).over(w), "me": me})
     ends = sorted(linked.where("next is null or prev is null").select("part", "next", "prev", "me").collect(), key=lambda r: r["part"])
     firsts = [r for r in ends if r["prev"] is None]
@@ -86,7 +86,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     kind = linked.schema["me"].dataType.simpleString()
     joins = keys.sparkSession.createDataFrame(joins, f"part int, first_next {kind}, last_prev {kind}")
     return linked.join(F.broadcast(joins), "part").select(
-        "doc_id", "print", F.coalesce("next", "first_next").alias("next"), F.coalesce("prev", "last_prev").alias("prev")
+        "id", "print", F.coalesce("next", "first_next").alias("next"), F.coalesce("prev", "last_prev").alias("prev")
     )
 
 
@@ -99,25 +99,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows are one document there and give equal results. Empty table: empty result.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("print", F.xxhash64("text"))
-    links = neighbours(texts.select("doc_id", "print", F.length("text").alias("n_chars")).distinct())
-
-    def both(a: str, b: str) -> Column:
-        return F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_print") == F.col(f"{b}_print"))
-
-    left = texts.select(F.col("doc_id").alias("t_id"), F.col("print").alias("t_print"), "text")
-    right = links.select(F.col("doc_id").alias("k_id"), F.col("print").alias("k_print"), F.col("prev.doc_id").alias("p_id"), F.col("prev.print").alias("p_print"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
-    linked = left.join(right, both("t", "k"))
+    # Rows without doc_id have key 0 and another print, so that plain equality joins them.
+    some = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("print", F.xxhash64("text", F.col("doc_id").isNull())).withColumn("id", some)
+    links = neighbours(texts.select("doc_id", "id", "print", F.length("text").alias("n_chars")).distinct())
+    right = links.select("id", "print", F.col("prev.id").alias("prev_id"), F.col("prev.print").alias("prev_print"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
+    linked = texts.join(right, ["id", "print"])
     # What each document gives to the one before it. Repeated rows give it once.
-    given = linked.dropDuplicates(["t_id", "t_print"]).select("p_id", "p_print", F.left("text", F.col("need")).alias("head"), sketch(F.col("text")).alias("next_sketch"))
+    given = linked.dropDuplicates(["id", "print"]).select(F.col("prev_id").alias("id"), F.col("prev_print").alias("print"), F.left("text", F.col("need")).alias("head"), sketch(F.col("text")).alias("next_sketch"))
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 3).cast("int")), F.col("head"))
     return (
-        linked.select("t_id", "t_print", "text")
-        .join(given, both("t", "p"))
-        .select("t_id", "text", "next_sketch", edited.alias("edited"))
+        linked.select("id", "print", "doc_id", "text")
+        .join(given, ["id", "print"])
+        .select("doc_id", "text", "next_sketch", edited.alias("edited"))
         .select(
-            F.col("t_id").alias("doc_id"),
+            "doc_id",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
             sketch(F.col("text")).alias("own"),
