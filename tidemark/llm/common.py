@@ -47,3 +47,30 @@ def text_or_empty(name: str = "text") -> Column:
 def doc_order(*more: str) -> Column:
     """Sort key of documents: by doc_id, rows without one last."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *[F.col(c) for c in more])
+
+
+def row_print() -> Column:
+    """With ``row_key``, what names a row by its doc_id and text; without doc_id it differs from that of any doc_id."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull(), F.col("doc_id").isNull())
+
+
+def row_key() -> Column:
+    """The doc_id as a join key without nulls."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+def copies_of(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs, each as often as decided(doc_id, print, copies) says.
+
+    decided has a row for each row of docs. Rows alike in doc_id and text share their copies; which of
+    them comes out is then open, as they differ in other columns at most. All columns of docs stay.
+    """
+    asked = cut(decided.select(row_key().alias("__key"), F.col("print").alias("__print"), "copies").groupBy("__key", "__print").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"))
+    keyed = docs.select("*", row_key().alias("__key"), row_print().alias("__print"))
+    found = keyed.join(asked.where("__rows = 1"), ["__key", "__print"])
+    alike = asked.where("__rows > 1")
+    if not alike.isEmpty():
+        found = found.unionByName(keyed.join(alike, ["__key", "__print"]).dropDuplicates(["__key", "__print"]))
+    if asked.where("__copies > 1").isEmpty():
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, cut, doc_order, shuffle_partitions, text_or_empty
+from tidemark.llm.common import SPACES, cut, doc_order, row_print, shuffle_partitions, text_or_empty
 
 #: Up to this many duplicated fingerprints (8 bytes each) are broadcast to find the suspects' texts; beyond it they are joined.
 BROADCAST_ROWS = 200_000
@@ -151,9 +151,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Texts are equal when identical after ``normalised``; a null text counts as empty. Of equal
     texts the row with the smallest doc_id stays (rows without doc_id last); when that doc_id has
     several such rows exactly one of them stays. Other columns are ignored. An empty table gives an
-    empty result. The column row_id tells apart rows of one doc_id.
+    empty result. The column print, with doc_id, names a row by its text.
     """
-    norm = docs.select("doc_id", normalised().alias("norm")).select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), "norm")
+    norm = docs.select("doc_id", row_print().alias("print"), normalised().alias("norm")).select("doc_id", "print", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), "norm")
     rows = cut(norm.drop("norm").select("*", F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("block")))
     suspect_prints = duplicated_fingerprints(rows).persist(StorageLevel.DISK_ONLY)
     small = suspect_prints.count() <= BROADCAST_ROWS
@@ -178,5 +178,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row_id"))).alias("kept"),
         "text_sha256",
-        "row_id",
+        "print",
     )

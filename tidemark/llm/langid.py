@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -225,22 +226,31 @@ def _predicted(shared):
                 scores.append(float(1 / odds.sum()))
                 rejected.append(bool(h[best] > models.limits[best]))
             out = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-            cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            keep = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, *out], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *PREDICTED])
 
     return predict
 
 
+#: Columns that predictions add.
+PREDICTED = ("__lang_pred", "__score", "__rejected")
+
+
+def with_language(docs: DataFrame, models: Models) -> DataFrame:
+    """All columns of docs, and PREDICTED: the columns of ``predict`` under names that clash with none."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(PREDICTED, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
+    return docs.mapInArrow(_predicted(shared), schema)
+
+
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score, rejected, one row for each row.
 
     lang_pred is 'und' for a null text, one without letters, or when no language was learned; such
     texts have score 0 and are rejected. score: the winner's share of evidence, from 0 to 1.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predicted(shared), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    names, scores, rejected = PREDICTED
+    found = with_language(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", F.col(names).alias("lang_pred"), F.col(scores).alias("score"), F.col(rejected).alias("rejected"))
 
 
 def held_out():

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, cut, text_or_empty
+from tidemark.llm.common import WORD, cut, row_print, text_or_empty
 
 #: Documents in a cell of the flight, about; and the most sources (one row each goes to the driver).
 CELL_ROWS = 50_000
@@ -137,10 +137,10 @@ def cube_sample(units: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 def sized(docs: DataFrame) -> DataFrame:
     """docs with size (words of the text; null: 0) and row_id, written to the checkpoint folder without its other columns."""
     return cut(
-        docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+        docs.select("doc_id", "source", row_print().alias("print"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
         .withColumn("row_id", F.monotonically_increasing_id())
         # Of the rows' values alone, so that reruns agree; repeated rows are alike.
-        .withColumn("draw", F.pmod(F.xxhash64("doc_id", "size", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+        .withColumn("draw", F.pmod(F.xxhash64("doc_id", "print", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     )
 
 
@@ -165,14 +165,14 @@ def mix_rows(rows: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     planned = rows.join(F.broadcast(plan.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     sample = cube_sample(planned)
     return planned.join(sample, "row_id", "left").select(
-        "row_id", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("included", F.lit(False)).cast("int")).alias("copies")
+        "row_id", "doc_id", "print", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("included", F.lit(False)).cast("int")).alias("copies")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """How often the mix takes each row of docs(doc_id, text, source).
 
-    Columns: doc_id, size, source_size, target, taken (size times copies), copies. Rows that repeat
+    Columns: doc_id, size, source_size, target, taken (size times copies), copies, print. Rows that repeat
     are separate units. A null text has size 0; a null source is a source. Empty table: empty result.
     """
-    return mix_rows(sized(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return mix_rows(sized(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "print")

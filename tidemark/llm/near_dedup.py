@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order
+from tidemark.llm.common import cut, doc_order, row_print
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -103,7 +103,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(print_of(s) if len(s) else None)
             tokens.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "print", "tokens"]
+            [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())],
+            names=["doc_id", "print", "n_shingles", "set_print", "tokens"],
         )
 
 
@@ -199,10 +200,10 @@ def _block_pairs(batches):
 
 
 def _sets(batches):
-    """Rows (text, cls, print) -> (cls, items); a row of another text of that doc_id is passed over."""
+    """Rows (text, cls, set_print) -> (cls, items); a row of another text of that doc_id is passed over."""
     for batch in batches:
         ids, sets = [], []
-        for text, cls, mark in zip(*(batch.column(c).to_pylist() for c in ("text", "cls", "print")), strict=True):
+        for text, cls, mark in zip(*(batch.column(c).to_pylist() for c in ("text", "cls", "set_print")), strict=True):
             s = shingles(text)
             if print_of(s) == mark:
                 ids.append(cls)
@@ -229,10 +230,10 @@ def _confirmed(batches):
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "first_id", "print"))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "first_id", "set_print"))
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
-    texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "print")
+    texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "set_print")
     sets = cut(texts.mapInArrow(_sets, "cls long, items binary").dropDuplicates(["cls"]))
     ready = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     return ready.mapInArrow(_confirmed, "a long, b long")
@@ -268,7 +269,7 @@ def _in_blocks(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(member, root): components of classes under the similarity join. classes(cls, first_id, print), tokens(cls, tokens)."""
+    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, tokens)."""
     first = cut(tokens.mapInArrow(_roots(trees_needed()), "node long, cls long"))
     nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1").select("node", "center")
     shared = cut(first.join(nodes, "node"))
@@ -299,7 +300,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """Near-duplicate groups of docs(doc_id, text): doc_id, n_shingles, component_id, kept, row_id.
+    """Near-duplicate groups of docs(doc_id, text): doc_id, n_shingles, component_id, kept, print.
 
     Words are runs of other characters than blanks and controls 9 to 13, A to Z in lower case; a
     text's set is that of its 5-word shingles, or its whole word sequence when it is shorter. Sets link from
@@ -309,20 +310,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     come last in a group. Empty table: empty result. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_described, f"doc_id {kind}, n_shingles long, print binary, tokens binary")
+    rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
     classes = cut(
-        rows.where("n_shingles > 0").groupBy("print").agg(F.min(doc_order("row_id")).alias("first")).select("print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"))
+        rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first")).select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"))
     )
     tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "tokens"))
     roots = cut(links_between_classes(classes, tokens, docs))
-    grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("print", "cls", "first_id", F.coalesce("root", "cls").alias("root"))
+    grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("doc_id"), F.col("cls").alias("row_id"))).alias("least"))
-    named = grouped.join(least, "root").select("print", F.col("least.doc_id").alias("group_id"), F.col("least.row_id").alias("keep_row"))
-    return rows.select("row_id", "doc_id", "n_shingles", "print").join(named, "print", "left").select(
+    named = grouped.join(least, "root").select("set_print", F.col("least.doc_id").alias("group_id"), F.col("least.row_id").alias("keep_row"))
+    return rows.select("row_id", "doc_id", "print", "n_shingles", "set_print").join(named, "set_print", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id"),
         (F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row_id"))).alias("kept"),
-        "row_id",
+        "print",
     )

@@ -12,7 +12,7 @@ from tidemark.llm.common import documents
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir)).drop("row_id")
+    return near_dedup.near_dedup(documents(spark, sf_dir)).drop("print")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+    return mixing.mix(documents(spark, sf_dir)).drop("copies", "print")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("row_id")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("print")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
