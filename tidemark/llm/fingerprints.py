@@ -86,7 +86,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     kind = linked.schema["me"].dataType.simpleString()
     joins = keys.sparkSession.createDataFrame(joins, f"part int, first_next {kind}, last_prev {kind}")
     return linked.join(F.broadcast(joins), "part").select(
-        "id", "print", F.coalesce("next", "first_next").alias("next"), F.coalesce("prev", "last_prev").alias("prev")
+        "doc_id", "id", "print", F.coalesce("next", "first_next").alias("next"), F.coalesce("prev", "last_prev").alias("prev")
     )
 
 
@@ -103,8 +103,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     some = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("print", F.xxhash64("text", F.col("doc_id").isNull())).withColumn("id", some)
     links = neighbours(texts.select("doc_id", "id", "print", F.length("text").alias("n_chars")).distinct())
-    right = links.select("id", "print", F.col("prev.id").alias("prev_id"), F.col("prev.print").alias("prev_print"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
-    linked = texts.join(right, ["id", "print"])
+    right = links.select("doc_id", "id", "print", F.col("prev.id").alias("prev_id"), F.col("prev.print").alias("prev_print"), F.floor(F.col("prev.n_chars") / 3).cast("int").alias("need"))
+    # Both uses below read the same columns of the texts, so that their one shuffle serves both.
+    linked = texts.drop("doc_id").join(right, ["id", "print"])
     # What each document gives to the one before it. Repeated rows give it once.
     given = linked.dropDuplicates(["id", "print"]).select(F.col("prev_id").alias("id"), F.col("prev_print").alias("print"), F.left("text", F.col("need")).alias("head"), sketch(F.col("text")).alias("next_sketch"))
     n = F.length("text")

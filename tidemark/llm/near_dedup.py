@@ -3,14 +3,15 @@
 Texts with one shingle set are one class. Each class has a signature of minwise tokens. A tree
 starts from all classes; at a node every class goes on to the children named by BRANCH of its
 minwise tokens, which the node's own hash selects, so similar classes share children. A node that
-has become small is compared exhaustively. Independent trees are repeated until a pair at the
-threshold is missed with a probability below MISS (see ``trees_needed``).
+is small enough is compared exhaustively, in blocks; a larger one branches again. Independent trees are
+repeated until a pair at the threshold is missed with a probability below MISS (see ``trees_needed``).
 
 Two things keep dense groups from costing the square of their size. First every class is linked
-with the least class of each of its first nodes, and the links are confirmed: groups of copies
-become components at once. Then only nodes that hold several components grow, and only pairs
-across components are compared. Nodes that stay large at the last level are compared in blocks,
-the rows outside the node's largest component against all. Nothing is capped.
+with two centers of each of its first nodes: the least class, and the one most like what the node's
+members have in common, which is the origin of a group of edited copies. The links are confirmed, and
+most groups are components before any pairs are formed. Then only nodes that hold several components
+are compared, and only pairs across components, each under the first tree that brings it together.
+Nothing is capped.
 
 All links are confirmed on full shingle sets.
 """
@@ -20,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +35,22 @@ from tidemark.llm.components import components
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Minwise tokens of a signature; children of a class at a node; levels of a tree; rows of a node that is compared whole.
-TOKENS, BRANCH, LEVELS, LEAF = 64, 2, 4, 48
+#: Minwise tokens that trees branch by; children of a class at a node; levels of a tree.
+TOKENS, BRANCH, LEVELS = 32, 2, 4
+#: Rows up to which a node is compared at once, and up to which it is compared at all before it branches.
+LEAF, NODE = 48, 4096
 #: Chance, over all trees, that a pair at the threshold shares no compared node.
 MISS = 1e-6
-#: Equal tokens that a pair needs before its sets are fetched: fewer have a chance of 1e-6 at the threshold.
-LEAST_EQUAL = 28
+#: Bytes of the sketch, one of each of so many minwise hashes; and how many of them must agree before sets are
+#: fetched: fewer agree with a chance of 1e-5 at the threshold.
+SKETCH, LEAST_EQUAL = 256, 162
 #: Rows of a block of a large node.
 BLOCK = 256
 #: Classes whose texts are found by broadcasting their keys (about 60 bytes each); more are found by a shuffle.
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
-_MULTIPLIERS = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _rng.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,12 +88,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """TOKENS minwise tokens of a set that isn't empty."""
-    least = np.full(TOKENS, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 4096):
-        np.minimum(least, (s[at : at + 4096, None] * _MULTIPLIERS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TOKENS minwise tokens of a set that isn't empty, and its SKETCH bytes."""
+    least = np.full(SKETCH, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 1024):
+        np.minimum(least, (s[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=least)
+    mixed = _mixed(least)
+    return (mixed[:TOKENS] >> np.uint64(32)).astype(np.uint32), (mixed & np.uint64(255)).astype(np.uint8)
 
 
 def print_of(s: np.ndarray) -> bytes:
@@ -96,15 +103,17 @@ def print_of(s: np.ndarray) -> bytes:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, prints, tokens = [], [], []
+        sizes, prints, tokens, sketches = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
             sizes.append(len(s))
             prints.append(print_of(s) if len(s) else None)
-            tokens.append(signature(s).tobytes() if len(s) else None)
+            t, k = signature(s) if len(s) else (None, None)
+            tokens.append(t.tobytes() if len(s) else None)
+            sketches.append(k.tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())],
-            names=["doc_id", "print", "n_shingles", "set_print", "tokens"],
+            [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "print", "n_shingles", "set_print", "tokens", "sketch"],
         )
 
 
@@ -112,6 +121,10 @@ def _token_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
+def _sketch_matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
 def _children(nodes: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     """For each row, its children at its node: hash of the node, a token's place and its value."""
     rows, out, places = np.arange(len(nodes)), [], []
@@ -124,14 +137,20 @@ def _children(nodes: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _root_nodes(trees: int, tokens: np.ndarray) -> list[np.ndarray]:
+    """First nodes of each row, by their number: BRANCH for each tree."""
+    return [c for t in range(trees) for c in _children(np.full(len(tokens), t * 1_000_003 + 17, np.uint64), tokens)]
+
+
 def _roots(trees: int):
     def grow(batches):
         for batch in batches:
             tokens, ids = _token_matrix(batch.column("tokens")), batch.column("cls").to_numpy()
             if not len(ids):
                 continue
-            nodes = [c for t in range(trees) for c in _children(np.full(len(ids), t * 1_000_003 + 17, np.uint64), tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(ids, len(nodes)))], names=["node", "cls"])
+            nodes = _root_nodes(trees, tokens)
+            numbers = np.repeat(np.arange(len(nodes), dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(ids, len(nodes))), pa.array(numbers)], names=["node", "cls", "root"])
 
     return grow
 
@@ -146,57 +165,133 @@ def _grown(batches):
         )
 
 
+def _votes(batches):
+    """Rows (node, sketch) -> for each node of a batch, the commonest byte at each place and its count."""
+    for batch in batches:
+        nodes, back = np.unique(batch.column("node").to_numpy(), return_inverse=True)
+        sketches = _sketch_matrix(batch.column("sketch"))
+        order = np.argsort(back, kind="stable")
+        cuts = np.searchsorted(back[order], np.arange(len(nodes) + 1))
+        values, counts = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            m = sketches[order[lo:hi]]
+            tally = np.stack([np.bincount(m[:, k], minlength=256) for k in range(SKETCH)])
+            values.append(tally.argmax(axis=1).astype(np.uint8).tobytes())
+            counts.append(tally.max(axis=1).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], names=["node", "bytes", "counts"])
+
+
+def _elected(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One node's votes, one row for each batch -> its common sketch."""
+    tally = np.zeros((SKETCH, 256), np.int64)
+    for values, counts in zip(pdf["bytes"], pdf["counts"], strict=True):
+        tally[np.arange(SKETCH), np.frombuffer(values, np.uint8)] += np.frombuffer(counts, np.uint32)
+    return pd.DataFrame({"node": pdf["node"].iloc[:1], "common": [tally.argmax(axis=1).astype(np.uint8).tobytes()]})
+
+
+def _likened(batches):
+    """Rows (node, cls, sketch, common) -> how many bytes agree."""
+    for batch in batches:
+        equal = (_sketch_matrix(batch.column("sketch")) == _sketch_matrix(batch.column("common"))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array(equal.astype(np.int64))], names=["node", "cls", "equal"])
+
+
 def _pairs_batch(a: list, b: list) -> pa.RecordBatch:
     a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _leaf_pairs(batches):
-    """Rows (node, cls, comp, tokens) sorted by node -> likely pairs across components in each node."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        nodes = held.column("node").to_numpy()
-        # The last node may go on in the next batch.
-        done = int(np.flatnonzero(nodes != nodes[-1])[-1]) + 1 if len(nodes) and (nodes != nodes[-1]).any() else 0
-        if done:
-            yield _compare_nodes(held.slice(0, done))
-            held = held.slice(done)
-    if held is not None and held.num_rows:
-        yield _compare_nodes(held)
-
-
-def _compare_nodes(table: pa.Table) -> pa.RecordBatch:
-    nodes, ids, comps = (table.column(c).to_numpy() for c in ("node", "cls", "comp"))
-    tokens = _token_matrix(table.column("tokens"))
-    cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
-    a, b = [], []
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if hi - lo < 2:
-            continue
-        i, j = np.triu_indices(hi - lo, 1)
-        apart = comps[lo + i] != comps[lo + j]
-        i, j = lo + i[apart], lo + j[apart]
-        like = (tokens[i] == tokens[j]).sum(axis=1) >= LEAST_EQUAL
-        a.append(ids[i[like]])
-        b.append(ids[j[like]])
-    return _pairs_batch(a, b)
+def _first_root(trees: int, x: np.ndarray, y: np.ndarray, grown: np.ndarray) -> np.ndarray:
+    """For rows of tokens x and y: the number of the first node they share that didn't branch (bits of grown tell), else -1."""
+    first = np.full(len(x), -1)
+    for k, (a, b) in reversed(list(enumerate(zip(_root_nodes(trees, x), _root_nodes(trees, y), strict=True)))):
+        first[(a == b) & (grown >> np.int64(k) & 1 == 0)] = k
+    return first
 
 
-def _block_pairs(batches):
-    """Rows of two blocks of a node: likely pairs across components."""
-    for batch in batches:
+@dataclass
+class _Rows:
+    """Rows of a node or block as arrays."""
+
+    cls: np.ndarray
+    comp: np.ndarray
+    root: np.ndarray
+    grown: np.ndarray
+    tokens: np.ndarray
+    sketch: np.ndarray
+
+    @classmethod
+    def of(cls, column) -> _Rows:
+        """Of an Arrow struct array or table."""
+        get = column.field if isinstance(column, pa.StructArray) else column.column
+        numbers = (get(c).to_numpy(zero_copy_only=False) if isinstance(column, pa.StructArray) else get(c).to_numpy() for c in ("cls", "comp", "root", "grown"))
+        return cls(*numbers, _token_matrix(get("tokens")), _sketch_matrix(get("sketch")))
+
+
+ITEM = ("cls", "comp", "root", "grown", "tokens", "sketch")
+
+
+def _across(trees: int, x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first."""
+    apart = x.comp[i] != y.comp[j]
+    i, j = i[apart], j[apart]
+    like = (x.sketch[i] == y.sketch[j]).sum(axis=1) >= LEAST_EQUAL
+    i, j = i[like], j[like]
+    root = x.root[i]
+    due = (root < 0) | (_first_root(trees, x.tokens[i], y.tokens[j], x.grown[i]) == root)
+    return x.cls[i[due]], y.cls[j[due]]
+
+
+def _leaf_pairs(trees: int):
+    """Rows sorted by node -> likely pairs across components in each node."""
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        nodes, rows = table.column("node").to_numpy(), _Rows.of(table)
+        cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
         a, b = [], []
-        for r in batch.to_pylist():
-            x, y = (np.frombuffer(b"".join(t["tokens"] for t in r[k]), np.uint32).reshape(-1, TOKENS) for k in ("some", "many"))
-            xi, yi = (np.array([t["cls"] for t in r[k]], np.int64) for k in ("some", "many"))
-            xc, yc = (np.array([t["comp"] for t in r[k]], np.int64) for k in ("some", "many"))
-            for row in range(len(xi)):
-                like = ((y == x[row]).sum(axis=1) >= LEAST_EQUAL) & (yc != xc[row])
-                a.append(np.full(int(like.sum()), xi[row]))
-                b.append(yi[like])
-        yield _pairs_batch(a, b)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                i, j = np.triu_indices(hi - lo, 1)
+                x, y = _across(trees, rows, rows, lo + i, lo + j)
+                a.append(x)
+                b.append(y)
+        return _pairs_batch(a, b)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            nodes = held.column("node").to_numpy()
+            # The last node may go on in the next batch.
+            before = np.flatnonzero(nodes != nodes[-1]) if len(nodes) else nodes
+            if len(before):
+                yield compare(held.slice(0, int(before[-1]) + 1))
+                held = held.slice(int(before[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return run
+
+
+def _block_pairs(trees: int):
+    """Rows of two blocks of a node: likely pairs across components; main: the component that ``some`` leaves out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                x, y = (_Rows.of(batch.column(c)[k].values) for c in ("some", "many"))
+                main = batch.column("main")[k].as_py()
+                for row in range(len(x.cls)):
+                    # A pair of two rows outside the main component comes up twice.
+                    j = np.flatnonzero((y.comp == main) | (y.cls > x.cls[row]))
+                    u, v = _across(trees, x, y, np.full(len(j), row), j)
+                    a.append(u)
+                    b.append(v)
+            yield _pairs_batch(a, b)
+
+    return run
 
 
 def _sets(batches):
@@ -240,56 +335,69 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def _likely(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) with enough equal tokens."""
+    """Those of pairs(a, b) whose sketches agree enough."""
 
     def equal(batches):
         for batch in batches:
-            good = pa.array((_token_matrix(batch.column("tokens_a")) == _token_matrix(batch.column("tokens_b"))).sum(axis=1) >= LEAST_EQUAL)
+            good = pa.array((_sketch_matrix(batch.column("sketch_a")) == _sketch_matrix(batch.column("sketch_b"))).sum(axis=1) >= LEAST_EQUAL)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
-    with_both = pairs.join(tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    with_both = pairs.join(tokens.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(tokens.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     return with_both.mapInArrow(equal, "a long, b long")
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows (node, cls, comp) of nodes that hold several components, with the node's row count."""
+    """Rows of nodes that hold several components, with the node's row count n."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     return rows.join(sizes.select("node", "n"), "node")
 
 
-def _in_blocks(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Likely pairs in nodes that stayed large: rows outside a node's largest component against all its rows, block by block."""
+def _in_blocks(rows: DataFrame, tokens: DataFrame, trees: int) -> DataFrame:
+    """Likely pairs in larger nodes: rows outside a node's largest component against all its rows, block by block."""
     by = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
     most = by.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m")).select("node", "m.main")
     full = rows.join(most, "node").join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
-    item = F.struct("cls", "comp", "tokens")
-    many = full.groupBy("node", "block").agg(F.collect_list(item).alias("many"))
-    some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(item).alias("some"))
-    return some.drop("block").join(many.drop("block"), "node").select("some", "many").mapInArrow(_block_pairs, "a long, b long")
+    many = full.groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("many"))
+    some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("some"), F.first("main").alias("main"))
+    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs(trees), "a long, b long")
+
+
+def _stars(shared: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs of every class with the least class of its nodes and, in larger nodes, with the class most like the node's common sketch."""
+    least = shared.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
+    large = shared.where(F.col("n") > LEAF).join(tokens.select("cls", "sketch"), "cls").select("node", "cls", "sketch")
+    common = large.select("node", "sketch").mapInArrow(_votes, "node long, bytes binary, counts binary").groupBy("node").applyInPandas(_elected, "node long, common binary")
+    rated = large.join(common, "node").mapInArrow(_likened, "node long, cls long, equal long")
+    origin = rated.groupBy("node").agg(F.max(F.struct("equal", (-F.col("cls")).alias("less"))).alias("m")).select("node", (-F.col("m.less")).alias("origin"))
+    spread = shared.join(origin, "node").where("cls <> origin").select(F.least("origin", "cls").alias("a"), F.greatest("origin", "cls").alias("b"))
+    return least.unionByName(spread).distinct()
 
 
 def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, tokens)."""
-    first = cut(tokens.mapInArrow(_roots(trees_needed()), "node long, cls long"))
-    nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1").select("node", "center")
+    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, tokens, sketch)."""
+    trees = trees_needed()
+    first = cut(tokens.select("cls", "tokens").mapInArrow(_roots(trees), "node long, cls long, root int"))
+    nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1")
     shared = cut(first.join(nodes, "node"))
-    stars = shared.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
-    edges = cut(_confirm(cut(_likely(stars, tokens)), classes, docs))
+    edges = cut(_confirm(cut(_likely(_stars(shared, tokens), tokens)), classes, docs))
     roots = components(edges)
 
-    rows = shared.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("comp"))
+    # Nodes too large to be compared branch; pairs under them may be due at a later tree.
+    branching = shared.where(F.col("n") > NODE).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("grown"))
+    rows = shared.join(roots.withColumnRenamed("member", "cls").withColumnRenamed("root", "comp"), "cls", "left").select("node", "cls", "root", F.coalesce("comp", "cls").alias("comp"))
+    rows = rows.join(branching, "cls", "left").withColumn("grown", F.coalesce("grown", F.lit(0).cast("long")))
     found = []
     for level in range(1, LEVELS + 1):
         rows = cut(_several(rows))
-        leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", "cls", "comp", "tokens")
-        found.append(leaves.mapInArrow(_leaf_pairs, "a long, b long"))
-        large = rows.where(F.col("n") > LEAF)
-        if large.isEmpty():
+        leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
+        found.append(leaves.mapInArrow(_leaf_pairs(trees), "a long, b long"))
+        compared = rows.where(F.col("n") > LEAF) if level == LEVELS else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE))
+        found.append(_in_blocks(compared, tokens, trees))
+        large = rows.where(F.col("n") > NODE)
+        if level == LEVELS or large.isEmpty():
             break
-        if level == LEVELS:
-            found.append(_in_blocks(large, tokens))
-        else:
-            rows = large.join(tokens, "cls").select("node", "cls", "comp", "tokens").mapInArrow(_grown, "node long, cls long, comp long")
+        kids = large.join(tokens, "cls").select("node", "cls", "comp", "tokens").mapInArrow(_grown, "node long, cls long, comp long")
+        rows = kids.withColumns({"root": F.lit(-1), "grown": F.lit(0).cast("long")})
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -310,12 +418,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     come last in a group. Empty table: empty result. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary")
+    rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary, sketch binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
     classes = cut(
         rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first")).select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"))
     )
-    tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "tokens"))
+    tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "tokens", "sketch"))
     roots = cut(links_between_classes(classes, tokens, docs))
     grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("doc_id"), F.col("cls").alias("row_id"))).alias("least"))

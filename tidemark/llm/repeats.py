@@ -133,64 +133,75 @@ SEGMENT_SQL = "gram long, rank long, row_id long, start int, anchor int, windows
 MARK_SQL = "row_id long, start int, windows int"
 
 
-def _segments(kind: Kind):
-    """Rows (row_id, rank, text, key, grams array, hot array) -> segments of the named anchors."""
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
-    def cut_out(batches):
-        for batch in batches:
-            rows = {name: [] for name in SEGMENT.names}
-            columns = (batch.column(c) for c in ("row_id", "rank", "text", "grams", "hot"))
-            for row_id, rank, text, grams, hot in zip(*(c.to_pylist() for c in columns), strict=True):
-                hashes, values = kind.symbols(text.encode("utf-8", "surrogatepass"))
-                g, a, lo, hi = kind.anchors(hashes)
-                named, where = np.unique(np.array(grams, np.int64).view(np.uint64), return_index=True)
-                at = np.minimum(np.searchsorted(named, g), len(named) - 1)
-                flags = np.array(hot, bool)[where][at]
-                for k in np.flatnonzero(named[at] == g).tolist():
-                    rows["gram"].append(int(g[k].view(np.int64)))
-                    rows["rank"].append(rank)
-                    rows["row_id"].append(row_id)
-                    rows["start"].append(int(lo[k]))
-                    rows["anchor"].append(int(a[k] - lo[k]))
-                    rows["windows"].append(int(hi[k] - lo[k] + 1))
-                    rows["values"].append(values[lo[k] : hi[k] + kind.window].tobytes())
-                    rows["hot"].append(bool(flags[k]))
-            rows["repeats"] = [False] * len(rows["gram"])
-            yield pa.RecordBatch.from_pydict(rows, schema=SEGMENT)
-
-    return cut_out
-
-
-def _single(batches, mark_first: bool):
-    """Send equal segments of a batch once, the earliest; the others come out as marks (values null) at once."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = batch.to_pydict()
-        first: dict[tuple, int] = {}
-        for i in sorted(range(batch.num_rows), key=lambda i: (t["rank"][i], t["row_id"][i], t["start"][i])):
-            if t["hot"][i]:
-                continue
-            k = (t["gram"][i], t["anchor"][i], t["values"][i])
-            at = first.setdefault(k, i)
-            if at != i:
-                t["repeats"][at] = True
-                t["values"][i] = None
-                # Marks have nothing to meet; they are dealt evenly.
-                t["gram"][i] = t["row_id"][i] * 0x9E3779B9 + t["start"][i]
-        if mark_first:
-            for i in first.values():
-                if t["repeats"][i]:
-                    for name in t:
-                        t[name].append(t[name][i] if name not in ("values", "gram") else None if name == "values" else t["row_id"][i] * 0x9E3779B9 + t["start"][i])
-        yield pa.RecordBatch.from_pydict(t, schema=SEGMENT)
+
+def _binary(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Arrow binaries of runs of values; null where not valid."""
+    lengths = np.where(valid, lengths, 0)
+    data = values[_ragged(starts, lengths)]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * values.itemsize
+    bits = np.packbits(valid, bitorder="little")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [pa.py_buffer(bits), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _run_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of every run of symbols, from sums of powers."""
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), STEP)]))
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(pow(int(STEP), -1, 1 << 64)))]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes) * powers[:-1])])
+    return mixed((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64) * MIX)
 
 
 def segments_of(kind: Kind, mark_first: bool):
-    build = _segments(kind)
+    """Rows (row_id, rank, text, grams array, hot array) -> segments of the named anchors.
+
+    Equal segments of a batch are sent once, the earliest, with repeats set; the others come out as marks
+    (values null), and with mark_first the earliest too.
+    """
 
     def run(batches):
-        return _single(build(batches), mark_first)
+        for batch in batches:
+            offsets = batch.column("grams").offsets.to_numpy()
+            grams = batch.column("grams").values.to_numpy().view(np.uint64)
+            hot = batch.column("hot").values.to_numpy(zero_copy_only=False)
+            parts, texts, base = [], [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hashes, values = kind.symbols(text.encode("utf-8", "surrogatepass"))
+                g, a, lo, hi = kind.anchors(hashes)
+                named, where = np.unique(grams[offsets[i] : offsets[i + 1]], return_index=True)
+                at = np.minimum(np.searchsorted(named, g), len(named) - 1)
+                k = np.flatnonzero(named[at] == g)
+                windows = hi[k] - lo[k] + 1
+                same = _run_hashes(hashes, lo[k], windows + (kind.window - 1))
+                parts.append((np.full(len(k), i), g[k], lo[k], a[k] - lo[k], windows, hot[offsets[i] : offsets[i + 1]][where][at[k]], same, base + lo[k]))
+                texts.append(values)
+                base += len(values)
+            if not parts:
+                continue
+            doc, g, start, anchor, windows, is_hot, same, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rank, row = batch.column("rank").to_numpy()[doc], batch.column("row_id").to_numpy()[doc]
+            # Hot segments are not gathered: their windows are aggregated later.
+            key = mixed(same ^ mixed(g + anchor.astype(np.uint64)))
+            order = np.lexsort((start, row, rank, key, is_hot))
+            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | is_hot[order][1:]]) if len(order) else np.empty(0, bool)
+            later = np.empty(len(order), bool)
+            later[order] = ~new
+            size = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])) if len(order) else order
+            repeats = np.zeros(len(order), bool)
+            repeats[order[new]] = size > 1
+            take = np.concatenate([np.arange(len(order)), np.flatnonzero(repeats)]) if mark_first else np.arange(len(order))
+            plain = np.concatenate([~later, np.zeros(len(take) - len(order), bool)])
+            # Marks have nothing to meet; they are dealt evenly.
+            dealt = np.where(plain, g[take], mixed(row[take].astype(np.uint64) * STEP + start[take].astype(np.uint64)))
+            values = _binary(np.concatenate(texts), at[take], windows[take] + (kind.window - 1), plain)
+            ints = [pa.array(x[take].astype(np.int32)) for x in (start, anchor, windows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(dealt.view(np.int64)), pa.array(rank[take]), pa.array(row[take]), *ints, values, pa.array(repeats[take]), pa.array(is_hot[take] & plain)], schema=SEGMENT
+            )
 
     return run
 
