@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Hand rows to Python in batches of whole texts that stay small: tasks hold a batch, often twice.
+
+    Sets the session's batch size if that is larger; only memory depends on it, no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import narrow_batches
+
 ORDER = 4
 DISCOUNT = 0.75
 #: Labelled rows per language, and languages, that the fit reads at most; characters of the fit per language.
 SAMPLE_ROWS, MOST_LANGUAGES, SAMPLE_CHARS = 400, 256, 2_000_000
+#: Nats beyond the limit that a text must cost in all to be rejected: a key or a typing slip in a short text costs less.
+EVIDENCE = 100.0
 #: Hash multiplier. Any odd number will do.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 18
@@ -224,7 +228,7 @@ def _predicted(shared):
                 odds = np.exp(-(h - h[best]) * min(len(codes) - 1, 200))
                 names.append(models.languages[best])
                 scores.append(float(1 / odds.sum()))
-                rejected.append(bool(h[best] > models.limits[best]))
+                rejected.append(bool((h[best] - models.limits[best]) * (len(codes) - 1) > EVIDENCE))
             out = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *PREDICTED])
 
@@ -237,6 +241,7 @@ PREDICTED = ("__lang_pred", "__score", "__rejected")
 
 def with_language(docs: DataFrame, models: Models) -> DataFrame:
     """All columns of docs, and PREDICTED: the columns of ``predict`` under names that clash with none."""
+    narrow_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(PREDICTED, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
     return docs.mapInArrow(_predicted(shared), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order, row_print
+from tidemark.llm.common import cut, doc_order, narrow_batches, row_print
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -417,6 +417,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     group is kept: that of component_id, and just one if that doc_id repeats. Rows without doc_id
     come last in a group. Empty table: empty result. Other columns are ignored.
     """
+    narrow_batches(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary, sketch binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))

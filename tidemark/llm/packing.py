@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import narrow_batches
+
 #: Costs in tokens of padding: of a window, of a cut inside a document at a sentence end, of one elsewhere.
 PER_WINDOW, SENTENCE_CUT, HARD_CUT = 8, 2, 12
 #: Least distance of sentence ends that count as candidates, and the step where there are none.
@@ -186,6 +188,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, width: int = 204
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    narrow_batches(docs)
     kind = docs.schema["doc_id"].dataType
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = pa.schema([pa.field("doc_id", to_arrow_type(kind)), *[pa.field(x, pa.int64()) for x in names]])

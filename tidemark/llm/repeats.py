@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order
+from tidemark.llm.common import cut, doc_order, narrow_batches
 
 #: Occurrences of an anchor beyond which its windows are aggregated one by one.
 HOT = 20_000
@@ -227,6 +227,7 @@ def hot_windows(kind: Kind, width: int):
 
 def describe(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """All rows with row_id, and classes of equal content with their first row; rank orders rows by doc_id, those without one last."""
+    narrow_batches(docs)
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_described(kind), f"doc_id {key}, size long, key binary, whole_sha256 string, grams binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))

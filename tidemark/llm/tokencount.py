@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, narrow_batches
 
 #: Distinct pre-tokens that every task holds, at most: about 50 MB.
 HEAD = 400_000
@@ -112,6 +112,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD
     text counts as empty and has no tokens. Rows that repeat are counted each. path must exist on
     every executor.
     """
+    narrow_batches(docs)
     spark = docs.sparkSession
     words = docs.select("text").mapInArrow(_vocabulary(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     count = F.pandas_udf(lambda s: pd.Series(count_pieces(s.tolist(), path), dtype="int64"), "long")
