@@ -43,7 +43,9 @@ LEAF, NODE = 48, 4096
 MISS = 1e-6
 #: Bytes of the sketch, one of each of so many minwise hashes; and how many of them must agree before sets are
 #: fetched: fewer agree with a chance of 1e-5 at the threshold.
-SKETCH, LEAST_EQUAL = 256, 162
+SKETCH, LEAST_EQUAL = 512, 343
+#: Of the sketch's first bytes, looked at first: fewer than so many agree with a chance below 1e-6 at the threshold.
+HEAD, LEAST_HEAD = 64, 30
 #: Rows of a block of a large node.
 BLOCK = 256
 #: Classes whose texts are found by broadcasting their keys (about 60 bytes each); more are found by a shuffle.
@@ -235,8 +237,9 @@ def _across(trees: int, x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tup
     """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first."""
     apart = x.comp[i] != y.comp[j]
     i, j = i[apart], j[apart]
-    like = (x.sketch[i] == y.sketch[j]).sum(axis=1) >= LEAST_EQUAL
-    i, j = i[like], j[like]
+    for size, least in ((HEAD, LEAST_HEAD), (SKETCH, LEAST_EQUAL)):
+        like = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1) >= least
+        i, j = i[like], j[like]
     root = x.root[i]
     due = (root < 0) | (_first_root(trees, x.tokens[i], y.tokens[j], x.grown[i]) == root)
     return x.cls[i[due]], y.cls[j[due]]
@@ -283,12 +286,17 @@ def _block_pairs(trees: int):
             for k in range(batch.num_rows):
                 x, y = (_Rows.of(batch.column(c)[k].values) for c in ("some", "many"))
                 main = batch.column("main")[k].as_py()
+                heads = np.ascontiguousarray(y.sketch[:, :HEAD])
+                near, far = [], []
                 for row in range(len(x.cls)):
+                    j = np.flatnonzero(np.count_nonzero(heads == x.sketch[row, :HEAD], axis=1) >= LEAST_HEAD)
                     # A pair of two rows outside the main component comes up twice.
-                    j = np.flatnonzero((y.comp == main) | (y.cls > x.cls[row]))
-                    u, v = _across(trees, x, y, np.full(len(j), row), j)
-                    a.append(u)
-                    b.append(v)
+                    j = j[(y.comp[j] == main) | (y.cls[j] > x.cls[row])]
+                    near.append(np.full(len(j), row))
+                    far.append(j)
+                u, v = _across(trees, x, y, np.concatenate(near), np.concatenate(far))
+                a.append(u)
+                b.append(v)
             yield _pairs_batch(a, b)
 
     return run

@@ -28,6 +28,8 @@ from tidemark.llm.common import cut, doc_order, narrow_batches
 
 #: Occurrences of an anchor beyond which its windows are aggregated one by one.
 HOT = 20_000
+#: Rows whose doc_ids (8 bytes each) are broadcast to pick their texts before these are shuffled.
+BROADCAST_ROWS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -250,10 +252,24 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("row_id", "rank", "text", "grams", "hot")], names=["row_id", "rank", "text", "grams", "hot"])
 
-    joined = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("row_id", "rank", "text", "key", "grams", "hot")
+    named = cut(named)
+    texts = docs.select("doc_id", "text")
+    if named.count() <= BROADCAST_ROWS:
+        # Only texts that are wanted are shuffled. Beyond that many the join alone picks them.
+        wanted = named.select(F.col("d").alias("w")).distinct()
+        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
+    joined = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("row_id", "rank", "text", "key", "grams", "hot")
     return cut(joined.mapInArrow(own, "row_id long, rank long, text string, grams array<long>, hot array<boolean>"))
 
 
+def with_hot(found: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Segments for the kernels, and those of hot anchors if there are any; only then they are written first."""
+    if found.where(F.exists("hot", lambda x: x)).isEmpty():
+        return segments, None
+    segments = cut(segments)
+    return segments.where("not hot"), segments.where("hot")
+
+
 def removed(kind: Kind, found: DataFrame, marks: DataFrame) -> DataFrame:
     """For each row with repeated windows: row_id, n_removed, n_spans, kept_sha256."""
 

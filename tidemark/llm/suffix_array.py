@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import cut, shuffle_partitions
+from tidemark.llm.common import shuffle_partitions
 
 WINDOW, GRAM = 200, 32
 MASK = (1 << 32) - 1
@@ -250,14 +250,15 @@ def byte_dedup(docs: DataFrame) -> DataFrame:
     """
     rows, classes = repeats.describe(docs, KIND)
     found = repeats.suspects(docs, KIND, rows, classes)
-    segments = cut(found.mapInArrow(repeats.segments_of(KIND, mark_first=True), repeats.SEGMENT_SQL))
+    segments, hot = repeats.with_hot(found, found.mapInArrow(repeats.segments_of(KIND, mark_first=True), repeats.SEGMENT_SQL))
     owners = shuffle_partitions(docs)
-    runs = segments.where("not hot").mapInArrow(_sorted_runs(owners), RUN_SQL)
+    runs = segments.mapInArrow(_sorted_runs(owners), RUN_SQL)
     marks = runs.groupBy("owner").applyInPandas(_merged, repeats.MARK_SQL)
-    windows = segments.where("hot").mapInArrow(repeats.hot_windows(KIND, 1), "window binary, rank long, row_id long, start int")
-    often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = windows.join(often, "window").select("row_id", "start", F.lit(1).alias("windows"))
-    changed = repeats.removed(KIND, found, marks.unionByName(hot))
+    if hot is not None:
+        windows = hot.mapInArrow(repeats.hot_windows(KIND, 1), "window binary, rank long, row_id long, start int")
+        often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+        marks = marks.unionByName(windows.join(often, "window").select("row_id", "start", F.lit(1).alias("windows")))
+    changed = repeats.removed(KIND, found, marks)
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing. Fixed value.
     all_rows = rows.select("row_id", "doc_id", "size", "key", "whole_sha256").join(classes.where("copies > 1").select("key", "copies"), "key", "left")
     copied = F.col("copies").isNotNull()

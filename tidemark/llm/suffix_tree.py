@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import cut
 
 WINDOW = 20
 #: Segments whose subtrees are built together.
@@ -111,16 +110,18 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """
     rows, classes = repeats.describe(docs, KIND)
     found = repeats.suspects(docs, KIND, rows, classes)
-    segments = cut(found.mapInArrow(repeats.segments_of(KIND, mark_first=False), repeats.SEGMENT_SQL))
-    marks = segments.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_kernel, repeats.MARK_SQL)
-    windows = segments.where("hot").mapInArrow(repeats.hot_windows(KIND, 4), "window binary, rank long, row_id long, start int")
-    place = F.struct("rank", "row_id", "start")
-    earliest = windows.groupBy("window").agg(F.min(place).alias("earliest"))
-    hot = windows.join(earliest, "window").where(place > F.col("earliest")).select("row_id", "start", F.lit(1).alias("windows"))
-    changed = repeats.removed(KIND, found, marks.unionByName(hot))
+    segments, hot = repeats.with_hot(found, found.mapInArrow(repeats.segments_of(KIND, mark_first=False), repeats.SEGMENT_SQL))
+    marks = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(_kernel, repeats.MARK_SQL)
+    if hot is not None:
+        windows = hot.mapInArrow(repeats.hot_windows(KIND, 4), "window binary, rank long, row_id long, start int")
+        place = F.struct("rank", "row_id", "start")
+        earliest = windows.groupBy("window").agg(F.min(place).alias("earliest"))
+        later = windows.join(earliest, "window").where(place > F.col("earliest"))
+        marks = marks.unionByName(later.select("row_id", "start", F.lit(1).alias("windows")))
+    changed = repeats.removed(KIND, found, marks)
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing. Fixed value.
-    later = rows.select("row_id", "doc_id", "size", "key", "whole_sha256").join(classes, "key", "left").withColumn("copy", F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row_id")))
-    return later.join(changed, "row_id", "left").select(
+    whole = rows.select("row_id", "doc_id", "size", "key", "whole_sha256").join(classes, "key", "left").withColumn("copy", F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row_id")))
+    return whole.join(changed, "row_id", "left").select(
         "doc_id",
         F.col("size").alias("n_words"),
         F.when(F.col("copy"), F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
