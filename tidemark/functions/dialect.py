@@ -1,0 +1,116 @@
+"""SQL fragments that the two engines spell differently, so that one query text serves as plan and as oracle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.registry import Registry
+from tidemark.tables import load_tables
+
+
+class SparkSql:
+    """Spelling for Spark SQL."""
+
+    name = "spark"
+
+    def epoch(self, ts: str) -> str:
+        """Whole seconds since 1970."""
+        return f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
+
+    def micros(self, ts: str) -> str:
+        return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
+
+    def floor_div(self, a: str, b: str) -> str:
+        return f"CAST(floor({a} / {b}) AS BIGINT)"
+
+    def percentile(self, x: str, p: float) -> str:
+        return f"percentile({x}, {p})"
+
+    def json(self, x: str, key: str) -> str:
+        return f"get_json_object({x}, '$.{key}')"
+
+    def array(self, *xs: str) -> str:
+        return f"array({', '.join(xs)})"
+
+    def list_sorted(self, x: str) -> str:
+        """Distinct values in order, joined by commas."""
+        return f"array_join(array_sort(collect_set({x})), ',')"
+
+    def unnest(self, x: str, alias: str) -> str:
+        return f"LATERAL VIEW explode({x}) u AS {alias}"
+
+    def item(self, x: str, i: int) -> str:
+        """Array item, from 1."""
+        return f"element_at({x}, {i})"
+
+    def sha1(self, x: str) -> str:
+        return f"sha1({x})"
+
+    def day(self, ts: str) -> str:
+        return f"CAST(date_format({ts}, 'yyyyMMdd') AS INT)"
+
+    def weekday(self, ts: str) -> str:
+        """Monday is 0."""
+        return f"weekday({ts})"
+
+    def try_double(self, x: str) -> str:
+        return f"try_cast({x} AS DOUBLE)"
+
+    def numbers(self, n: int) -> str:
+        return f"(SELECT id AS i FROM range({n}))"
+
+
+class DuckSql(SparkSql):
+    """Spelling for DuckDB."""
+
+    name = "duck"
+
+    def epoch(self, ts: str) -> str:
+        return f"CAST(floor(epoch({ts})) AS BIGINT)"
+
+    def micros(self, ts: str) -> str:
+        return f"epoch_us({ts})"
+
+    def percentile(self, x: str, p: float) -> str:
+        return f"quantile_cont({x}, {p})"
+
+    def json(self, x: str, key: str) -> str:
+        return f"json_extract_string({x}, '$.{key}')"
+
+    def array(self, *xs: str) -> str:
+        return f"[{', '.join(xs)}]"
+
+    def list_sorted(self, x: str) -> str:
+        return f"array_to_string(list_sort(list(DISTINCT {x})), ',')"
+
+    def unnest(self, x: str, alias: str) -> str:
+        return f", unnest({x}) AS u({alias})"
+
+    def item(self, x: str, i: int) -> str:
+        return f"({x})[{i}]"
+
+    def day(self, ts: str) -> str:
+        return f"CAST(strftime({ts}, '%Y%m%d') AS INT)"
+
+    def weekday(self, ts: str) -> str:
+        return f"CAST(isodow({ts}) - 1 AS INT)"
+
+    def numbers(self, n: int) -> str:
+        return f"(SELECT range AS i FROM range({n}))"
+
+
+def sql_query(registry: Registry, name: str, *tables: str) -> Callable:
+    """Decorator: text(dialect) becomes the query, run by Spark over the tables, and its oracle."""
+
+    def add(text: Callable[[SparkSql], str]) -> Callable[[SparkSql], str]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            load_tables(spark, sf_dir, *tables)
+            return spark.sql(text(SparkSql()))
+
+        run.__doc__ = text.__doc__
+        registry.query(name, text(DuckSql()))(run)
+        return text
+
+    return add

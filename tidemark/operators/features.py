@@ -1,0 +1,234 @@
+"""Look-back features and boolean events ("atoms") of bars, and their packing into blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tidemark.operators.windows import ordered, position_in_range, rank_in_window, rolling, skew, unit, zscore
+
+#: Bars of an hourly grid: hour, day, week and month of four weeks.
+HOUR, DAY, WEEK, MONTH = 1, 24, 168, 672
+
+#: Atom -> family, in bit order; first the ones that name a block, then those of the background. Fixed values.
+SIGNATURE = {
+    "breakout_1d_high": "breakout_events",
+    "breakdown_1d_low": "breakout_events",
+    "breakout_1w_high": "breakout_events",
+    "breakdown_1w_low": "breakout_events",
+    "wide_range_bar": "breakout_events",
+    "inside_bar": "breakout_events",
+    "vol_expansion": "volatility_events",
+    "vol_contraction": "volatility_events",
+    "atr_spike": "volatility_events",
+    "volume_spike": "volume_events",
+    "volume_dry": "volume_events",
+    "ema_cross_up": "trend_events",
+    "ema_cross_down": "trend_events",
+    "rsi_overbought": "momentum_events",
+    "rsi_oversold": "momentum_events",
+    "momentum_reversal_up": "momentum_events",
+    "momentum_reversal_down": "momentum_events",
+    "at_range_high": "level_events",
+    "at_range_low": "level_events",
+    "round_level_touch": "level_events",
+}
+CONTEXT = {
+    "taker_buy_dominance": "volume_events",
+    "taker_sell_dominance": "volume_events",
+    "trend_up_align": "trend_events",
+    "trend_down_align": "trend_events",
+    "mid_range": "level_events",
+    "asia_session": "session_events",
+    "europe_session": "session_events",
+    "us_session": "session_events",
+    "weekend": "session_events",
+}
+
+
+def _prev(x: Column, k: int = 1) -> Column:
+    return F.lag(x, k).over(ordered())
+
+
+def _some(x: Column) -> Column:
+    """Null instead of zero, for divisors."""
+    return F.nullif(x, F.lit(0.0))
+
+
+def with_returns(bars: DataFrame) -> DataFrame:
+    """Adds ret (log return of a bar), rv_day and rv_week (sample deviation of it)."""
+    out = bars.withColumn("ret", F.ln("close") - _prev(F.ln("close")))
+    return out.withColumns({"rv_day": rolling(F.stddev_samp, F.col("ret"), DAY, DAY // 2), "rv_week": rolling(F.stddev_samp, F.col("ret"), WEEK, WEEK // 2)})
+
+
+def base_features(bars: DataFrame) -> DataFrame:
+    """The 23 base features of bars with indicators (see ``recursive.with_indicators``)."""
+    b = with_returns(bars)
+    close, rng, atr = F.col("close"), F.col("high") - F.col("low"), _some(F.col("atr"))
+    move = lambda k: (F.ln(close) - _prev(F.ln(close), k)) / (_some(F.col("rv_day")) * F.sqrt(F.lit(float(k))))
+    share = unit(F.col("taker_buy_base") / _some(F.col("volume").cast("double")))
+    # Ranks compare values that differ by more than the order of additions can.
+    b = b.withColumns({"rv_level": F.round("rv_day", 12), "atr_share": F.round(F.col("atr") / close, 12), "share": share, "log_volume": F.log1p("volume"), "vol": F.col("volume").cast("double")})
+    mean_range = _some(rolling(F.avg, rng, DAY, DAY // 2))
+    mean = lambda c, n: rolling(F.avg, F.col(c) if isinstance(c, str) else c, n, n // 2)
+    return b.select(
+        "symbol",
+        "t",
+        move(1).alias("ret_1h"),
+        move(4).alias("ret_4h"),
+        move(DAY).alias("ret_1d"),
+        move(WEEK).alias("ret_1w"),
+        F.ln(_some(F.col("rv_day")) / _some(F.col("rv_week"))).alias("rv_ratio"),
+        rank_in_window(F.col("rv_level"), MONTH, MONTH // 4).alias("rv_rank"),
+        rank_in_window(F.col("atr_share"), MONTH, MONTH // 4).alias("atr_rank"),
+        F.ln(F.when(mean_range.isNotNull(), F.greatest(F.lit(1e-3), rng / mean_range))).alias("range_exp"),
+        position_in_range(DAY).alias("pos_1d"),
+        position_in_range(WEEK).alias("pos_1w"),
+        position_in_range(MONTH).alias("pos_1m"),
+        ((close - rolling(F.max, F.col("high"), MONTH, MONTH // 2)) / atr).alias("dd_from_high"),
+        ((close - F.col("ema_day")) / atr).alias("dist_ema_1d"),
+        ((close - F.col("ema_week")) / atr).alias("dist_ema_1w"),
+        ((F.col("ema_day") - _prev(F.col("ema_day"), DAY)) / atr).alias("slope_ema_1d"),
+        ((F.col("ema_week") - _prev(F.col("ema_week"), WEEK)) / atr).alias("slope_ema_1w"),
+        ((F.col("ema_day") - F.col("ema_week")) / atr).alias("trend_align"),
+        zscore(F.col("log_volume"), DAY).alias("vol_z"),
+        F.ln(_some(mean("vol", DAY)) / _some(mean("vol", WEEK))).alias("vol_ratio"),
+        (mean("share", DAY) - 0.5).alias("taker_bias"),
+        (F.col("rsi") / 100).alias("rsi"),
+        mean((close > F.col("open")).cast("double"), DAY).alias("up_bar_share"),
+        skew(F.col("ret"), DAY, DAY // 2).alias("ret_skew"),
+    )
+
+
+def round_level_touch(price: Column) -> Column:
+    """Within 5 % of the step of two significant digits from a multiple of that step."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(price)) - 1)
+    off = price - F.floor(price / step) * step
+    return (price > 0) & (F.least(off, step - off) <= step * 0.05)
+
+
+def atoms(bars: DataFrame) -> DataFrame:
+    """All signature and context atoms of bars with indicators: one boolean column each, unknown is false."""
+    b = with_returns(bars)
+    close, high, low, vol = F.col("close"), F.col("high"), F.col("low"), F.col("volume").cast("double")
+    b = b.withColumns(
+        {
+            "top_day": rolling(F.max, high, DAY, HOUR),
+            "low_day": rolling(F.min, low, DAY, HOUR),
+            "top_week": rolling(F.max, high, WEEK, DAY),
+            "low_week": rolling(F.min, low, WEEK, DAY),
+            "mean_range": rolling(F.avg, high - low, DAY, HOUR),
+            "mean_volume": rolling(F.avg, vol, DAY, HOUR),
+            "pos": position_in_range(WEEK),
+            "dist": close - F.col("ema_day"),
+            "share": unit(F.col("taker_buy_base") / _some(vol)),
+        }
+    )
+    b = b.withColumn("smooth_share", rolling(F.avg, F.col("share"), HOUR, 1))
+    rng, c = high - low, F.col
+    hour, day = F.floor(c("t") / 3600) % 24, (F.floor(c("t") / 86400) + 3) % 7  # Monday is 0; 1970 began on a Thursday
+    rules = {
+        "breakout_1d_high": close > _prev(c("top_day")),
+        "breakdown_1d_low": close < _prev(c("low_day")),
+        "breakout_1w_high": close > _prev(c("top_week")),
+        "breakdown_1w_low": close < _prev(c("low_week")),
+        "wide_range_bar": rng > 2.0 * c("mean_range"),
+        "inside_bar": (high <= _prev(high)) & (low >= _prev(low)),
+        "vol_expansion": c("rv_day") > 1.5 * c("rv_week"),
+        "vol_contraction": c("rv_day") < 0.6 * c("rv_week"),
+        "atr_spike": rng > 3.0 * c("atr"),
+        "volume_spike": vol > 3.0 * c("mean_volume"),
+        "volume_dry": vol < 0.3 * c("mean_volume"),
+        "taker_buy_dominance": c("smooth_share") > 0.60,
+        "taker_sell_dominance": c("smooth_share") < 0.40,
+        "ema_cross_up": (c("dist") > 0) & (_prev(c("dist")) <= 0),
+        "ema_cross_down": (c("dist") < 0) & (_prev(c("dist")) >= 0),
+        "trend_up_align": (close > c("ema_day")) & (c("ema_day") > c("ema_week")),
+        "trend_down_align": (close < c("ema_day")) & (c("ema_day") < c("ema_week")),
+        "rsi_overbought": c("rsi") > 70,
+        "rsi_oversold": c("rsi") < 30,
+        "momentum_reversal_up": (c("rsi") > 30) & (_prev(c("rsi")) <= 30),
+        "momentum_reversal_down": (c("rsi") < 70) & (_prev(c("rsi")) >= 70),
+        "at_range_high": c("pos") > 0.85,
+        "at_range_low": c("pos") < 0.15,
+        "mid_range": c("pos").between(0.40, 0.60),
+        "round_level_touch": round_level_touch(close),
+        "asia_session": (hour >= 0) & (hour < 8),
+        "europe_session": (hour >= 8) & (hour < 14),
+        "us_session": (hour >= 14) & (hour < 22),
+        "weekend": day >= 5,
+    }
+    return b.select("symbol", "t", *[F.coalesce(rules[a], F.lit(False)).alias(a) for a in (*SIGNATURE, *CONTEXT)])
+
+
+def mask_of(names: list[str]) -> Column:
+    """Boolean columns as the bits of a long, the first name lowest."""
+    total = F.lit(0).cast("long")
+    for i, name in enumerate(names):
+        total = total + F.col(name).cast("long") * (1 << i)
+    return total
+
+
+def names_of(mask: Column, names: list[str]) -> Column:
+    """Names of the set bits, in bit order."""
+    return F.array_compact(F.array(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.lit(n)) for i, n in enumerate(names)]))
+
+
+def block_id(mask: Column) -> Column:
+    """event_block_NNNNNN from the SHA-1 of the mask's decimal digits."""
+    head = F.conv(F.substring(F.sha1(mask.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.concat(F.lit("event_block_"), F.lpad((head % 1_000_000).cast("string"), 6, "0"))
+
+
+def intensity(count: Column) -> Column:
+    return F.when(count <= 2, "sparse").when(count <= 5, "moderate").otherwise("dense")
+
+
+def rarity_by_share(share: Column) -> Column:
+    return F.when(share < 0.002, "rare").when(share < 0.01, "uncommon").otherwise("common")
+
+
+def event_blocks(found: DataFrame, window: int = HOUR) -> DataFrame:
+    """Atoms (symbol, t, booleans) to blocks: an atom is active if it was true within the last ``window`` bars.
+
+    Names are decoded once for each distinct mask and joined back.
+    """
+    w = ordered().rowsBetween(-(window - 1), 0)
+    sig, ctx = list(SIGNATURE), list(CONTEXT)
+    rolled = found.select("symbol", "t", *[F.max(a).over(w).alias(a) for a in (*sig, *ctx)])
+    masks = rolled.select("symbol", "t", mask_of(sig).alias("mask"), mask_of(ctx).alias("context_mask"))
+    families = F.create_map(*[F.lit(x) for pair in SIGNATURE.items() for x in pair])
+    kinds = masks.select("mask").distinct().withColumn("atoms", names_of(F.col("mask"), sig))
+    kinds = kinds.withColumn("in_order", F.transform("atoms", lambda a: families[a]))
+    most = F.aggregate(
+        F.array_distinct("in_order"),
+        F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("family")),
+        lambda best, f: F.when(F.size(F.filter("in_order", lambda g: g == f)) > best["n"], F.struct(F.size(F.filter("in_order", lambda g: g == f)).alias("n"), f.alias("family"))).otherwise(best),
+    )
+    kinds = kinds.select(
+        "mask",
+        block_id(F.col("mask")).alias("event_block_id"),
+        "atoms",
+        F.array_sort(F.array_distinct("in_order")).alias("families"),
+        F.size("atoms").alias("atom_count"),
+        F.size(F.array_distinct("in_order")).alias("family_count"),
+        most["family"].alias("primary_family"),
+        intensity(F.size("atoms")).alias("intensity"),
+    )
+    return masks.join(kinds, "mask").withColumn("context_atoms", names_of(F.col("context_mask"), ctx))
+
+
+def block_statistics(blocks: DataFrame) -> DataFrame:
+    """Frequency, medians, modes (least on ties), latest families and rarity of each block of a symbol."""
+    total = F.count(F.lit(1))
+    stats = blocks.groupBy("symbol", "event_block_id").agg(
+        total.alias("total_rows"),
+        F.percentile("atom_count", F.lit(0.5)).cast("int").alias("atom_count"),
+        F.percentile("family_count", F.lit(0.5)).cast("int").alias("family_count"),
+        F.mode("intensity", True).alias("intensity"),
+        F.mode("primary_family", True).alias("primary_family"),
+        F.max_by("families", "t").alias("families"),
+    )
+    share = F.col("total_rows") / F.sum("total_rows").over(Window.partitionBy("symbol"))
+    return stats.withColumn("row_share", share).withColumn("rarity", rarity_by_share(F.col("row_share")))
