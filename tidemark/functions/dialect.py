@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,16 +102,21 @@ class DuckSql(SparkSql):
         return f"(SELECT range AS i FROM range({n}))"
 
 
+def doubled(text: str, suffix: str) -> str:
+    """Numbers with a point as doubles; both engines would read decimals, each by its own rules."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", rf"\g<1>{suffix}", text)
+
+
 def sql_query(registry: Registry, name: str, *tables: str) -> Callable:
     """Decorator: text(dialect) becomes the query, run by Spark over the tables, and its oracle."""
 
     def add(text: Callable[[SparkSql], str]) -> Callable[[SparkSql], str]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             load_tables(spark, sf_dir, *tables)
-            return spark.sql(text(SparkSql()))
+            return spark.sql(doubled(text(SparkSql()), "D"))
 
         run.__doc__ = text.__doc__
-        registry.query(name, text(DuckSql()))(run)
+        registry.query(name, doubled(text(DuckSql()), "e0"))(run)
         return text
 
     return add
