@@ -333,7 +333,8 @@ def _confirmed(batches):
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "first_id", "set_print"))
+    ends = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
+    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"))
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
     texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "set_print")
