@@ -147,7 +147,7 @@ class StructureState:
         for side, name in ((1, "bull"), (-1, "bear")):
             if bar[f"{name}_lo"] is not None:
                 self.gaps.append(Zone(side, bar[f"{name}_lo"], bar[f"{name}_hi"], self.t))
-                large |= bar[f"{name}_atr"] is not None and bar[f"{name}_atr"] > LARGE_GAP
+                large |= bar[f"{name}_hi"] - bar[f"{name}_lo"] > LARGE_GAP * bar["atr"]
         return out | {"fvg_formed_large": large} | self._near_gaps(bar) | self._near_blocks(bar) | self._near_levels(bar)
 
     def _age_zones(self, bar: dict) -> None:
@@ -246,7 +246,7 @@ class StructureState:
 
 FLAGS = ("sweep_high", "sweep_low", "sweep_high_reclaim", "sweep_low_reclaim", "fvg_formed_large", "in_unfilled_fvg", "in_bullish_ob", "in_bearish_ob", "in_breaker", "eqh_above", "eql_below")
 NUMBERS = ("near_fvg_bull", "near_fvg_bear", "fvg_fill_pct", "near_ob", "ob_age_norm", "ob_touch_count_norm", "near_resistance", "near_support", "near_liquidity", "level_strength_norm")
-INPUT = ("open", "high", "low", "close", "atr", "swing_high", "swing_low", "bull_lo", "bull_hi", "bull_atr", "bear_lo", "bear_hi", "bear_atr")
+INPUT = ("open", "high", "low", "close", "atr", "swing_high", "swing_low", "bull_lo", "bull_hi", "bear_lo", "bear_hi")
 ZONES_SQL = "symbol string, t long, " + ", ".join(f"{x} boolean" for x in FLAGS) + ", " + ", ".join(f"{x} double" for x in NUMBERS)
 
 
