@@ -24,7 +24,7 @@ for part in (market.REGISTRY, sequence.REGISTRY, relational.REGISTRY, measures.R
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     t AS (SELECT prev || '->' || event_type AS transition_id, nxt, value FROM s WHERE prev <> event_type)
     SELECT transition_id, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM t), 9) AS share,
-      round(avg(nxt / value - 1), 6) AS avg_ret, round(avg(CASE WHEN nxt IS NULL THEN NULL WHEN nxt > value THEN 1.0 ELSE 0.0 END), 6) AS up_share
+      round(avg(nxt / nullif(value, 0) - 1), 6) AS avg_ret, round(avg(CASE WHEN nxt IS NULL THEN NULL WHEN nxt > value THEN 1.0 ELSE 0.0 END), 6) AS up_share
     FROM t GROUP BY transition_id
     """,
 )
@@ -38,7 +38,7 @@ def transition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stats = moved.groupBy("transition_id").agg(
         F.count("*").alias("n"),
-        F.round(F.avg(F.col("nxt") / F.col("value") - 1), 6).alias("avg_ret"),
+        F.round(F.avg(F.col("nxt") / F.nullif("value", F.lit(0.0)) - 1), 6).alias("avg_ret"),
         F.round(F.avg((F.col("nxt") > F.col("value")).cast("double")), 6).alias("up_share"),
     )
     return stats.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))

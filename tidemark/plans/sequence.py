@@ -62,10 +62,11 @@ def entropy(spark, sf_dir):
 def _with_outcome(spark, sf_dir):
     """States with the relative change to the user's next event as outcome."""
     nxt = F.lead("value").over(W.ordered())
-    return assigned(spark, sf_dir).withColumns({"ret_pct": (nxt / F.col("value") - 1) * 100, "valid": nxt.isNotNull()})
+    ret = (nxt / F.nullif("value", F.lit(0.0)) - 1) * 100
+    return assigned(spark, sf_dir).withColumns({"ret_pct": ret, "valid": ret.isNotNull()})
 
 
-OUTCOME = f"{SMOOTH}, outcome AS (SELECT *, (lead(value) OVER (PARTITION BY symbol ORDER BY t) / value - 1) * 100 AS ret FROM aged)"
+OUTCOME = f"{SMOOTH}, outcome AS (SELECT *, (lead(value) OVER (PARTITION BY symbol ORDER BY t) / nullif(value, 0) - 1) * 100 AS ret FROM aged)"
 
 
 @query("d07_d08_transition_graph", f"""WITH {OUTCOME}, e AS (SELECT transition_id, count(*) AS n, avg(ret) AS avg_ret, avg(CAST(ret > 0 AS DOUBLE)) AS up_share, count(*) / (SELECT count(*) FROM outcome WHERE transition_id IS NOT NULL) AS share
@@ -138,18 +139,18 @@ def snapshots(spark, sf_dir):
 def _candidate_rows(spark, sf_dir):
     """Snapshots of all users as one market: outcome is the change to the user's next event, the block its weekday."""
     nxt = F.lead("value").over(W.ordered())
-    states = assigned(spark, sf_dir).withColumns({"ret_pct": (nxt / F.col("value") - 1) * 100, "nxt": nxt})
+    states = assigned(spark, sf_dir).withColumn("ret_pct", (nxt / F.nullif("value", F.lit(0.0)) - 1) * 100)
     rows = C.snapshots(states, OFFSETS)
     return rows.select(
         F.lit("ALL").alias("symbol"), F.col("sec").alias("t"), "offset", "transition_id", F.concat(F.lit("day"), (F.floor(F.col("sec") / 86400) % 3).cast("string")).alias("event_block_id"),
         F.coalesce("ret_pct", F.lit(0.0)).alias("ret_pct"), F.greatest(F.coalesce("ret_pct", F.lit(0.0)), F.lit(0.5)).alias("mfe_pct"), F.least(F.coalesce("ret_pct", F.lit(0.0)), F.lit(-0.5)).alias("mae_pct"),
-        F.col("nxt").isNotNull().alias("valid"), (F.col("symbol") * 100_000 + F.col("state_seq")).alias("state_seq"), F.lit("common").alias("transition_rarity"), F.lit("rare").alias("event_rarity"),
+        F.col("ret_pct").isNotNull().alias("valid"), (F.col("symbol") * 100_000 + F.col("state_seq")).alias("state_seq"), F.lit("common").alias("transition_rarity"), F.lit("rare").alias("event_rarity"),
     )
 
 
 MATURED = f"""{SNAPSHOTS},
 next AS (SELECT symbol, t, lead(value) OVER (PARTITION BY symbol ORDER BY t) AS nxt, value AS v FROM states),
-rows AS (SELECT s.sec AS t, "offset", transition_id, 'day' || CAST((s.sec // 86400) % 3 AS VARCHAR) AS block, coalesce((nxt / v - 1) * 100, 0) AS ret, nxt IS NOT NULL AS valid, s.symbol * 100000 + state_seq AS seq
+rows AS (SELECT s.sec AS t, "offset", transition_id, 'day' || CAST((s.sec // 86400) % 3 AS VARCHAR) AS block, coalesce((nxt / nullif(v, 0) - 1) * 100, 0) AS ret, nxt / nullif(v, 0) IS NOT NULL AS valid, s.symbol * 100000 + state_seq AS seq
   FROM snaps s JOIN next n ON n.symbol = s.symbol AND n.t = s.t)"""
 
 
