@@ -140,8 +140,11 @@ def fit(samples: dict[str, list[str]]) -> Models:
     parsed = {x: [c for c in map(folded, samples[x]) if len(c) > 1] for x in languages}
     train = {x: [c for i, c in enumerate(t) if i % 10 != 9 or len(t) < 10] for x, t in parsed.items()}
     languages = [x for x in languages if sum(len(c) > ORDER for c in train[x])]
+    if not languages:
+        none = [np.empty(0, np.uint64)] * ORDER
+        return Models([], none, [np.empty((0, 0))] * ORDER, np.empty(0), none[1:], [np.empty((0, 0))] * (ORDER - 1), np.empty(0))
     counts = {x: _of_language(train[x]) for x in languages}
-    letters = len(np.unique(np.concatenate([counts[x][0][0] for x in languages]))) if languages else 1
+    letters = len(np.unique(np.concatenate([counts[x][0][0] for x in languages])))
     keys = [np.unique(np.concatenate([counts[x][n][0] for x in languages])) for n in range(ORDER)]
     backoff_keys = [np.unique(np.concatenate([np.unique(counts[x][n][1]) for x in languages])) for n in range(1, ORDER)]
     logs = [np.zeros((len(k), len(languages))) for k in keys]

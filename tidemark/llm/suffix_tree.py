@@ -38,6 +38,8 @@ KIND = repeats.Kind(WINDOW, 5, _symbols, lambda raw: b" ".join(raw.split()), _ke
 
 def nodes_at(values: np.ndarray, depth: int) -> np.ndarray:
     """Node of the suffix at each place of values at the depth: equal numbers for equal runs of ``depth`` values."""
+    if len(values) < depth:
+        return np.empty(0, np.int64)
     out, done, level, width = None, 0, np.unique(values, return_inverse=True)[1].astype(np.int64), 1
     while True:
         if depth & width:
