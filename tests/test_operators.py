@@ -171,3 +171,62 @@ def test_smoothing_against_a_plain_loop(spark, labels, least):
         current = x if n >= least or i == 0 else current
         want += [current] * n
     assert got == want
+
+
+def test_candidates_against_a_plain_history(spark):
+    """Point-in-time samples, sides and scores from a loop over all earlier matured rows."""
+    from math import log10
+
+    from tidemark.operators import candidates as C
+
+    rng = np.random.default_rng(9)
+    rows = [("S", t * 3600, 0, f"t{rng.integers(2)}", f"b{rng.integers(2)}", float(rng.normal(0.3, 1)), bool(rng.random() < 0.9), int(t)) for t in range(220)]
+    cols = "symbol string, t long, offset int, transition_id string, event_block_id string, ret_pct double, valid boolean, state_seq long"
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, cols).withColumns({"mfe_pct": F.abs("ret_pct") + 0.5, "mae_pct": -F.abs("ret_pct") - 0.25, "transition_rarity": F.lit("rare"), "event_rarity": F.lit("uncommon")})
+    got = {r.t: r for r in C.candidates(df, 24 * 3600, least=20, least_effective=20).collect()}
+    want = {}
+    for r in rows:
+        past = [p for p in rows if p[3] == r[3] and p[1] <= r[1] - 24 * 3600]
+        narrow = [p for p in past if p[4] == r[4]]
+        chosen, scope = (narrow, "transition+event_block") if len(narrow) >= 20 else (past, "transition")
+        valid = [p for p in chosen if p[6]]
+        if len(chosen) < 20 or not valid:
+            continue
+        up = [p for p in valid if p[5] > 0]
+        skew = 2 * len(up) / len(valid) - 1
+        if abs(skew) < 0.06:
+            continue
+        months = [p[1] // (30 * 86400) for p in chosen]
+        top = max(months.count(m) for m in set(months)) / len(chosen)
+        rare = (1.0 + (0.66 if scope != "transition" else 0.33)) / 2
+        score = 0.25 * min(1, abs(skew) / 0.5) + 0.20 * min(1, log10(len(chosen) + 1) / 3) + 0.15 * min(1, len(set(months)) / 18) + 0.15 * (1 - min(1, top / 0.5)) + 0.15 * len(valid) / len(chosen) + 0.10 * rare
+        want[r[1]] = (scope, len(chosen), "long" if skew > 0 else "short", np.percentile([abs(p[5]) + 0.5 for p in up], 70), score)
+    assert set(got) == set(want) and want
+    for t, (scope, n, side, favorable, score) in want.items():
+        r = got[t]
+        assert (r.scope, r.sample_size, r.research_side) == (scope, n, side)
+        assert r.p70_long_favorable_pct == pytest.approx(favorable) and r.research_score == pytest.approx(score)
+
+
+def test_features_of_a_prefix_equal_those_of_the_whole(spark):
+    from tidemark.operators import features
+
+    bars = walk(260)
+    whole = features.base_features(recursive.with_indicators(spark.createDataFrame(bars))).toPandas().sort_values("t").reset_index(drop=True)
+    part = features.base_features(recursive.with_indicators(spark.createDataFrame(bars.iloc[:200]))).toPandas().sort_values("t").reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole.iloc[:200], part)
+
+
+def test_feature_sources_switch_and_name_the_version(spark):
+    from tidemark.functions.feature_sources import FeatureSource, FeatureSources
+
+    sources = FeatureSources()
+    sources.add(FeatureSource("deriv", ("x",), lambda df: df.selectExpr("symbol", "t", "close * 2 AS x")))
+    sources.add(FeatureSource("smc", ("y",), lambda df: df.selectExpr("symbol", "t", "close + 1 AS y"), enabled=False))
+    bars = spark.createDataFrame(walk(5))
+    out = sources.apply(bars.select("symbol", "t", "close"))
+    assert sources.version("v1") == "v1+deriv" and out.columns == ["symbol", "t", "close", "x"]
+    with pytest.raises(ValueError):
+        sources.require("v1+deriv+smc", "v1")

@@ -342,3 +342,24 @@ def range_estimators(spark, sf_dir):
     w = W.trailing(24)
     log = lambda x: F.round(F.when((F.count(F.lit(1)).over(w) >= 12) & (F.avg(x).over(w) > 1e-12), 0.5 * F.ln(F.avg(x).over(w))), 6)
     return b.select("symbol", "t", log("pk").alias("parkinson"), log("gk").alias("garman_klass"), log("rs").alias("rogers_satchell"))
+
+
+@query("e26_har_columns", f"""WITH {bars_sql()}, s AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS ret FROM bars)
+SELECT symbol, t, {', '.join(f"round(ln(nullif({roll('stddev_samp', 'ret', n, n // 2)}, 0)), 6) AS har_{k}" for k, n in (('day', 24), ('week', 168), ('month', 720)))} FROM s {frames(24, 168, 720)}""")
+def har(spark, sf_dir):
+    """Log volatility over a day, a week and thirty days."""
+    b = bars(spark, sf_dir).withColumn("ret", F.ln("close") - F.ln(F.lag("close").over(W.ordered())))
+    log = lambda n: F.round(F.ln(F.nullif(W.rolling(F.stddev_samp, F.col("ret"), n, n // 2), F.lit(0.0))), 6)
+    return b.select("symbol", "t", log(24).alias("har_day"), log(168).alias("har_week"), log(720).alias("har_month"))
+
+
+@query("l11_range_fields", f"""WITH {bars_sql()}, view AS (SELECT symbol, t, (high - low) / close AS p50, 1.5 * (high - low) / close AS p90 FROM bars WHERE t % 7200 = 0)
+SELECT b.symbol, b.t, round(p50, 6) AS expected_range_ratio_p50, round(p90, 6) AS expected_range_ratio_p90, CASE WHEN p50 < 0.85 THEN 'compressed' WHEN p50 > 1.15 THEN 'expanded' WHEN p50 IS NOT NULL THEN 'normal' END AS range_regime
+FROM bars b LEFT JOIN view v ON v.symbol = b.symbol AND v.t = b.t""")
+def range_fields(spark, sf_dir):
+    """Forecast fields of a bar where a forecast is known, null elsewhere."""
+    b = bars(spark, sf_dir)
+    span = (F.col("high") - F.col("low")) / F.col("close")
+    view = b.where("t % 7200 = 0").select("symbol", "t", span.alias("p50"), (1.5 * span).alias("p90"))
+    regime = F.when(F.col("p50") < 0.85, "compressed").when(F.col("p50") > 1.15, "expanded").when(F.col("p50").isNotNull(), "normal")
+    return b.join(view, ["symbol", "t"], "left").select("symbol", "t", F.round("p50", 6).alias("expected_range_ratio_p50"), F.round("p90", 6).alias("expected_range_ratio_p90"), regime.alias("range_regime"))
