@@ -13,12 +13,12 @@ HOUR, DAY, WEEK, MONTH = 1, 24, 168, 672
 
 #: Atom -> family, in bit order; first the ones that name a block, then those of the background. Fixed values.
 SIGNATURE = {
-    "breakout_1d_high": "breakout_events",
-    "breakdown_1d_low": "breakout_events",
-    "breakout_1w_high": "breakout_events",
-    "breakdown_1w_low": "breakout_events",
-    "wide_range_bar": "breakout_events",
-    "inside_bar": "breakout_events",
+    "breakout_1d_high": "price_action_events",
+    "breakdown_1d_low": "price_action_events",
+    "breakout_1w_high": "price_action_events",
+    "breakdown_1w_low": "price_action_events",
+    "wide_range_bar": "price_action_events",
+    "inside_bar": "price_action_events",
     "vol_expansion": "volatility_events",
     "vol_contraction": "volatility_events",
     "atr_spike": "volatility_events",
@@ -30,16 +30,16 @@ SIGNATURE = {
     "rsi_oversold": "momentum_events",
     "momentum_reversal_up": "momentum_events",
     "momentum_reversal_down": "momentum_events",
-    "at_range_high": "level_events",
-    "at_range_low": "level_events",
-    "round_level_touch": "level_events",
+    "at_range_high": "zone_context_events",
+    "at_range_low": "zone_context_events",
+    "round_level_touch": "zone_context_events",
 }
 CONTEXT = {
     "taker_buy_dominance": "volume_events",
     "taker_sell_dominance": "volume_events",
     "trend_up_align": "trend_events",
     "trend_down_align": "trend_events",
-    "mid_range": "level_events",
+    "mid_range": "zone_context_events",
     "asia_session": "session_events",
     "europe_session": "session_events",
     "us_session": "session_events",
@@ -105,7 +105,7 @@ def round_level_touch(price: Column) -> Column:
     """Within 5 % of the step of two significant digits from a multiple of that step."""
     step = F.pow(F.lit(10.0), F.floor(F.log10(price)) - 1)
     off = price - F.floor(price / step) * step
-    return (price > 0) & (F.least(off, step - off) <= step * 0.05)
+    return (price > 0) & (F.least(off, step - off) < step * 0.05)
 
 
 def atoms(bars: DataFrame) -> DataFrame:

@@ -176,14 +176,39 @@ def texts(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"strengths": strengths, "risks": risks}).withColumn("summary", summary)
 
 
-def embedding(rows: DataFrame, width: int = 32) -> Column:
-    """Normalised slots of a candidate, padded with zeros to ``width`` floats."""
-    c, unit = F.col, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double")))
+#: Places of enum values in an embedding. Fixed values.
+EMBEDDED = {
+    "trajectory_entropy": {"low": 0.0, "medium": 0.5, "high": 1.0},
+    "transition_rarity": {"rare": 0.0, "uncommon": 0.5, "common": 1.0},
+    "event_rarity_bucket": {"rare": 0.0, "uncommon": 0.5, "common": 1.0},
+    "event_intensity_bucket": {"sparse": 0.0, "moderate": 0.5, "dense": 1.0},
+    "age_bucket": {"age_lt_30": 0.0, "age_30_60": 0.33, "age_60_120": 0.66, "age_gt_120": 1.0},
+    "historical_bias_context": {"long_skew": 1.0, "neutral": 0.5, "short_skew": 0.0},
+}
+
+
+def embedding(width: int = 32) -> Column:
+    """A candidate row as normalised slots in a fixed order, padded with zeros to ``width`` floats. Unknown enum values lie in the middle."""
+    c, capped = F.col, lambda x, top: F.least(c(x) / top, F.lit(1.0))
+    place = lambda name: F.coalesce(F.create_map(*[F.lit(v) for kv in EMBEDDED[name].items() for v in kv])[c(name)], F.lit(0.5))
     slots = [
-        unit(c("valid_label_pct")), unit(F.log10(c("sample_size") + 1) / 4), unit(c("repeatability_days") / 365), unit(c("repeatability_months") / 24), unit(c("monthly_concentration")),
-        unit(c("long_outcome_share")), (c("historical_outcome_skew") + 1) / 2, unit(c("p70_long_favorable_pct") / 10), unit(c("p80_long_adverse_pct") / 10),
-        unit(c("long_favorable_adverse_ratio_p70_p80") / 10), unit(F.coalesce(c("short_favorable_adverse_ratio_p70_p80"), F.lit(0.0)) / 10), unit(c("research_score")),
-        mapped(c("context_status"), {"fresh": 1.0}), mapped(c("age_bucket"), DEFAULT["maps"]["age_bucket"]), mapped(c("trajectory_entropy"), DEFAULT["maps"]["trajectory_entropy"]),
-        mapped(c("transition_rarity"), DEFAULT["maps"]["rarity"]), mapped(c("event_rarity_bucket"), DEFAULT["maps"]["rarity"]), mapped(c("research_side"), {"long": 1.0}),
-    ]
-    return F.concat(F.array(*[F.coalesce(s, F.lit(0.0)).cast("float") for s in slots]), F.array_repeat(F.lit(0.0).cast("float"), width - len(slots)))
+        c("research_score"),
+        c("valid_label_pct"),
+        c("long_outcome_share"),
+        (c("historical_outcome_skew") + 1) / 2,
+        capped("long_favorable_adverse_ratio_p70_p80", 10.0),
+        c("monthly_concentration"),
+        capped("repeatability_months", 24.0),
+        c("event_block_row_share"),
+        capped("p70_long_favorable_pct", 10.0),
+        capped("p80_long_adverse_pct", 10.0),
+        (c("context_status") == "fresh").cast("double"),
+        place("trajectory_entropy"),
+        place("transition_rarity"),
+        place("event_rarity_bucket"),
+        place("event_intensity_bucket"),
+        place("age_bucket"),
+        (c("research_side") == "long").cast("double"),
+        place("historical_bias_context"),
+    ]
+    return F.concat(F.array(*[F.coalesce(s.cast("float"), F.lit(0.0).cast("float")) for s in slots]), F.array_repeat(F.lit(0.0).cast("float"), width - len(slots)))

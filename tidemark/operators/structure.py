@@ -17,8 +17,9 @@ from pyspark.sql import Window
 from tidemark.operators.windows import last_known, ordered
 
 LEFT = RIGHT = 3
-#: Settings of the kernel. Ages and spans in bars, sizes in average true ranges.
-MAX_AGE, LOOKBACK, RECLAIM, LARGE_GAP, TOLERANCE, DISCOUNT, PREMIUM, COUNT_SCALE = 672, 20, 4, 0.7, 0.5, 0.382, 0.618, 20
+#: Settings of the kernel. Ages and spans in bars, sizes in average true ranges. Fixed values.
+ZONE_AGE, LEVEL_AGE, LOOKBACK, RECLAIM = 672, 2688, 20, 4
+LARGE_GAP, TOLERANCE, DISCOUNT, PREMIUM, COUNT_SCALE = 0.7, 0.25, 0.382, 0.618, 10
 
 
 def swings(bars: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def breaks(with_swings: DataFrame) -> DataFrame:
         }
     )
     last = F.last(F.when(F.col("up") | F.col("down"), F.col("place")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    age = F.when(last.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.log1p(F.col("place") - last) / F.lit(log1p(MAX_AGE))))
+    age = F.when(last.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.log1p(F.col("place") - last) / F.lit(log1p(LEVEL_AGE))))
     return out.withColumn("bars_since_structure_break", age).drop("high_run", "low_run", "over", "under", "up", "down", "before", "bias", "place")
 
 
@@ -154,14 +155,14 @@ class StructureState:
         for z in self.gaps:
             reached = z.hi - bar["low"] if z.side > 0 else bar["high"] - z.lo
             z.filled = min(1.0, max(z.filled, reached / (z.hi - z.lo)))
-        self.gaps = [z for z in self.gaps if z.filled < 1.0 and self.t - z.born <= MAX_AGE]
+        self.gaps = [z for z in self.gaps if z.filled < 1.0 and self.t - z.born <= ZONE_AGE]
         for z in self.blocks:
             touching = bar["low"] <= z.hi and bar["high"] >= z.lo
             z.touches += touching and not z.inside
             z.inside = touching
             if not z.breaker and (bar["close"] < z.lo if z.side > 0 else bar["close"] > z.hi):
                 z.side, z.breaker = -z.side, True
-        self.blocks = [z for z in self.blocks if self.t - z.born <= MAX_AGE]
+        self.blocks = [z for z in self.blocks if self.t - z.born <= ZONE_AGE]
 
     def _sweeps(self, bar: dict) -> dict:
         out = dict.fromkeys(("sweep_high", "sweep_low", "sweep_high_reclaim", "sweep_low_reclaim"), False)
@@ -193,7 +194,7 @@ class StructureState:
                 near.strength, near.seen, near.swept = near.strength + 1, self.t, False
         if self.t % 64 == 0:
             for side in self.levels:
-                self.levels[side] = [x for x in self.levels[side] if self.t - x.seen <= MAX_AGE]
+                self.levels[side] = [x for x in self.levels[side] if self.t - x.seen <= LEVEL_AGE]
 
     def _break_structure(self, bar: dict) -> None:
         for side, name in ((1, "swing_high"), (-1, "swing_low")):
@@ -224,7 +225,7 @@ class StructureState:
         if self.blocks:
             z = min(self.blocks, key=lambda z: abs(z.away(bar["close"])))
             out["near_ob"] = signed(z.away(bar["close"]) / bar["atr"])
-            out["ob_age_norm"] = min(1.0, log1p(self.t - z.born) / log1p(MAX_AGE))
+            out["ob_age_norm"] = min(1.0, log1p(self.t - z.born) / log1p(ZONE_AGE))
             out["ob_touch_count_norm"] = min(1.0, log1p(z.touches) / log1p(COUNT_SCALE))
         return out
 

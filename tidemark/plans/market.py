@@ -177,7 +177,7 @@ ATOMS = {
     "momentum_reversal_down": "rsi < 70 AND lag(rsi) OVER w >= 70",
     "at_range_high": "pos > 0.85",
     "at_range_low": "pos < 0.15",
-    "round_level_touch": f"close > 0 AND least(close - floor(close / {STEP}) * {STEP}, {STEP} - (close - floor(close / {STEP}) * {STEP})) <= {STEP} * 0.05",
+    "round_level_touch": f"close > 0 AND least(close - floor(close / {STEP}) * {STEP}, {STEP} - (close - floor(close / {STEP}) * {STEP})) < {STEP} * 0.05",
     "taker_buy_dominance": "share > 0.60",
     "taker_sell_dominance": "share < 0.40",
     "trend_up_align": "close > ema_day AND ema_day > ema_week",
@@ -270,7 +270,7 @@ sides AS (SELECT *, CASE WHEN down THEN -1 WHEN up THEN 1 END AS side, CASE WHEN
 known AS (SELECT *, coalesce(last_value(side IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   coalesce(last_value(side IGNORE NULLS) OVER u, 0) AS bias, last_value(broke IGNORE NULLS) OVER u AS last FROM sides WINDOW u AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT symbol, t, up AND before >= 0 AS bos_up, up AND before < 0 AS choch_up, down AND CASE WHEN up THEN 1 ELSE before END <= 0 AS bos_down, down AND CASE WHEN up THEN 1 ELSE before END > 0 AS choch_down,
-  bias > 0 AS structure_bullish, round(CASE WHEN last IS NULL THEN 1.0 ELSE least(1.0, ln(1 + n - last) / ln(673.0)) END, 6) AS bars_since_structure_break FROM known""")
+  bias > 0 AS structure_bullish, round(CASE WHEN last IS NULL THEN 1.0 ELSE least(1.0, ln(1 + n - last) / ln(2689.0)) END, 6) AS bars_since_structure_break FROM known""")
 def breaks(spark, sf_dir):
     found = S.breaks(S.swings(indicator_bars(spark, sf_dir)))
     return rounded(found.select("symbol", "t", "bos_up", "choch_up", "bos_down", "choch_down", "structure_bullish", "bars_since_structure_break"))

@@ -192,7 +192,8 @@ RECORDS = """records AS (
     CASE o_orderkey % 4 WHEN 0 THEN 'age_lt_30' WHEN 1 THEN 'age_30_60' WHEN 2 THEN 'age_60_120' ELSE 'age_gt_120' END AS age_bucket,
     CASE o_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS trajectory_entropy, CASE o_orderkey % 5 WHEN 0 THEN 'rare' WHEN 1 THEN 'uncommon' ELSE 'common' END AS transition_rarity,
     CASE o_orderkey % 7 WHEN 0 THEN 'rare' WHEN 1 THEN 'uncommon' ELSE 'common' END AS event_rarity_bucket, CASE o_orderkey % 6 WHEN 0 THEN 'transition' WHEN 1 THEN NULL ELSE 'transition+event_block' END AS sample_scope,
-    (o_orderkey % 101) / 100.0 AS research_score
+    (o_orderkey % 101) / 100.0 AS research_score, (o_orderkey % 31) / 100.0 AS event_block_row_share, CASE o_orderkey % 3 WHEN 0 THEN 'sparse' WHEN 1 THEN 'moderate' ELSE 'dense' END AS event_intensity_bucket,
+    CASE o_orderkey % 4 WHEN 0 THEN 'long_skew' WHEN 1 THEN 'short_skew' ELSE 'neutral' END AS historical_bias_context
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
@@ -272,11 +273,15 @@ def texts(spark, sf_dir):
     return R.texts(R.score(records(spark, sf_dir))).select("candidate_id", "summary")
 
 
-@query("b22_embedding", f"""WITH {RECORDS} SELECT candidate_id, 32 AS width, round(valid_label_pct, 5) AS first, round(CAST(least(1.0, log10(sample_size + 1) / 4) AS FLOAT), 5) AS second, CASE WHEN research_side = 'long' THEN 1.0 ELSE 0.0 END AS side FROM records""")
+_PLACES = {n: "CASE " + " ".join(f"WHEN {n} = '{k}' THEN {v}" for k, v in m.items()) + " ELSE 0.5 END" for n, m in R.EMBEDDED.items()}
+
+
+@query("b22_embedding", f"""WITH {RECORDS} SELECT candidate_id, 32 AS width, round(CAST(research_score AS FLOAT), 5) AS s1, round(CAST(least(long_favorable_adverse_ratio_p70_p80 / 10, 1.0) AS FLOAT), 5) AS s5,
+  round(CAST({_PLACES['trajectory_entropy']} AS FLOAT), 5) AS s12, round(CAST({_PLACES['age_bucket']} AS FLOAT), 5) AS s16, CAST(CASE WHEN research_side = 'long' THEN 1 ELSE 0 END AS DOUBLE) AS s17,
+  round(CAST({_PLACES['historical_bias_context']} AS FLOAT), 5) AS s18, CAST(0 AS DOUBLE) AS s19 FROM records""")
 def embedding(spark, sf_dir):
-    e = R.embedding(records(spark, sf_dir))
-    slot = lambda i: F.element_at("e", i).cast("double")
-    return records(spark, sf_dir).withColumn("e", e).select("candidate_id", F.size("e").alias("width"), F.round(slot(1), 5).alias("first"), F.round(slot(2), 5).alias("second"), slot(18).alias("side"))
+    slot = lambda i: F.round(F.element_at("e", i).cast("double"), 5).alias(f"s{i}")
+    return records(spark, sf_dir).withColumn("e", R.embedding()).select("candidate_id", F.size("e").alias("width"), *[slot(i) for i in (1, 5, 12, 16, 17, 18, 19)])
 
 
 @query("d32_score_report", f"""WITH {SCORED}, r AS (SELECT *, {RATED} AS rating FROM scored) SELECT rating, count(*) AS n, round(median(total), 6) AS middle, round(quantile_cont(total, 0.75) - quantile_cont(total, 0.25), 6) AS spread,
