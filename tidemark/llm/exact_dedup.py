@@ -133,7 +133,8 @@ def _marked(owners: int):
 
 def duplicated_fingerprints(prints: DataFrame, owners: int | None = None) -> DataFrame:
     """Distinct fp values of prints(block int, fp long) that more than one row has."""
-    owners = owners or shuffle_partitions(prints)
+    # An owner decodes what it gets: about a million fingerprints at most.
+    owners = owners or max(shuffle_partitions(prints), prints.count() // 1_000_000 + 1)
     sent = prints.select("block", "fp").mapInArrow(_sent(owners), "owner int, block int, payload binary, repeated binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "owner int, block int, bits binary")
     marked = prints.select("block", "fp").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_marked(owners), "fp long")

@@ -22,6 +22,8 @@ from tidemark.llm.common import shuffle_partitions
 
 WINDOW, GRAM = 200, 32
 MASK = (1 << 32) - 1
+#: Bytes of suspects' texts for each owner, about; its suffixes take up to half as much.
+OWNER_BYTES = 8 << 20
 
 
 def _symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +253,9 @@ def byte_dedup(docs: DataFrame) -> DataFrame:
     rows, classes = repeats.describe(docs, KIND)
     found = repeats.suspects(docs, KIND, rows, classes)
     segments, hot = repeats.with_hot(found, found.mapInArrow(repeats.segments_of(KIND, mark_first=True), repeats.SEGMENT_SQL))
-    owners = shuffle_partitions(docs)
+    # An owner holds its runs: there are as many owners as keep its share of the texts small.
+    volume = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = max(shuffle_partitions(docs), volume // OWNER_BYTES + 1)
     runs = segments.mapInArrow(_sorted_runs(owners), RUN_SQL)
     marks = runs.groupBy("owner").applyInPandas(_merged, repeats.MARK_SQL)
     if hot is not None:
