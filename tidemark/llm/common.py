@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,16 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a file of a compact table, at most about.
+FILE_ROWS = 200_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared checkpoint folder and continue from there.
+def cut(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and continue from there; compact: for tables of few short rows.
 
     The folder is the one the cluster names in spark.checkpoint.dir. Only a local session
     without that setting gets a folder of its own. Like checkpoints, the tables stay until the
@@ -32,7 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    held, files = df, 0
+    if compact:
+        # Made in full parallel, then written as few files: many tiny ones would slow every later read.
+        held = df.persist(StorageLevel.DISK_ONLY)
+        files = held.count() // FILE_ROWS + 1
+    (held.coalesce(files) if files else held).write.option("compression", "zstd").parquet(path)
+    if compact:
+        held.unpersist()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +87,7 @@ def copies_of(docs: DataFrame, decided: DataFrame) -> DataFrame:
     decided has a row for each row of docs. Rows alike in doc_id and text share their copies; which of
     them comes out is then open, as they differ in other columns at most. All columns of docs stay.
     """
-    asked = cut(decided.select(row_key().alias("__key"), F.col("print").alias("__print"), "copies").groupBy("__key", "__print").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"))
+    asked = cut(decided.select(row_key().alias("__key"), F.col("print").alias("__print"), "copies").groupBy("__key", "__print").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"), compact=True)
     keyed = docs.select("*", row_key().alias("__key"), row_print().alias("__print"))
     found = keyed.join(asked.where("__rows = 1"), ["__key", "__print"])
     alike = asked.where("__rows > 1")

@@ -23,10 +23,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (member, root): for each end of an edge that is not the least of its component, that least one."""
-    edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    edges = cut(edges.where("a <> b").select("a", "b").distinct(), compact=True)
     last = None
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), compact=True)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if now == last:
             return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))

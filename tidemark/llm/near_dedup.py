@@ -334,7 +334,7 @@ def _confirmed(batches):
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
-    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"))
+    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"), compact=True)
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
     texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "set_print")
@@ -388,7 +388,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     first = cut(tokens.select("cls", "tokens").mapInArrow(_roots(trees), "node long, cls long, root int"))
     nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1")
     shared = cut(first.join(nodes, "node"))
-    edges = cut(_confirm(cut(_likely(_stars(shared, tokens), tokens)), classes, docs))
+    edges = cut(_confirm(cut(_likely(_stars(shared, tokens), tokens), compact=True), classes, docs), compact=True)
     roots = components(edges)
 
     # Nodes too large to be compared branch; pairs under them may be due at a later tree.
@@ -397,7 +397,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     rows = rows.join(branching, "cls", "left").withColumn("grown", F.coalesce("grown", F.lit(0).cast("long")))
     found = []
     for level in range(1, LEVELS + 1):
-        rows = cut(_several(rows))
+        rows = cut(_several(rows), compact=True)
         leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
         found.append(leaves.mapInArrow(_leaf_pairs(trees), "a long, b long"))
         compared = rows.where(F.col("n") > LEAF) if level == LEVELS else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE))
@@ -410,7 +410,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    more = cut(_confirm(cut(pairs.distinct()), classes, docs))
+    more = cut(_confirm(cut(pairs.distinct(), compact=True), classes, docs), compact=True)
     if more.isEmpty():
         return roots
     return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))))
@@ -431,10 +431,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary, sketch binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
     classes = cut(
-        rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first")).select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"))
+        rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first")).select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id")),
+        compact=True,
     )
     tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "tokens", "sketch"))
-    roots = cut(links_between_classes(classes, tokens, docs))
+    roots = cut(links_between_classes(classes, tokens, docs), compact=True)
     grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("doc_id"), F.col("cls").alias("row_id"))).alias("least"))
     named = grouped.join(least, "root").select("set_print", F.col("least.doc_id").alias("group_id"), F.col("least.row_id").alias("keep_row"))
