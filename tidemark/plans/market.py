@@ -353,7 +353,7 @@ def har(spark, sf_dir):
     return b.select("symbol", "t", log(24).alias("har_day"), log(168).alias("har_week"), log(720).alias("har_month"))
 
 
-@query("l11_range_fields", f"""WITH {bars_sql()}, view AS (SELECT symbol, t, (high - low) / close AS p50, 1.5 * (high - low) / close AS p90 FROM bars WHERE t % 7200 = 0)
+@query("l11_range_fields", f"""WITH {bars_sql()}, view AS (SELECT symbol, t, (high - low) / close AS p50, 1.5 * ((high - low) / close) AS p90 FROM bars WHERE t % 7200 = 0)
 SELECT b.symbol, b.t, round(p50, 6) AS expected_range_ratio_p50, round(p90, 6) AS expected_range_ratio_p90, CASE WHEN p50 < 0.85 THEN 'compressed' WHEN p50 > 1.15 THEN 'expanded' WHEN p50 IS NOT NULL THEN 'normal' END AS range_regime
 FROM bars b LEFT JOIN view v ON v.symbol = b.symbol AND v.t = b.t""")
 def range_fields(spark, sf_dir):

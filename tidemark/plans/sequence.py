@@ -276,9 +276,9 @@ def texts(spark, sf_dir):
 _PLACES = {n: "CASE " + " ".join(f"WHEN {n} = '{k}' THEN {v}" for k, v in m.items()) + " ELSE 0.5 END" for n, m in R.EMBEDDED.items()}
 
 
-@query("b22_embedding", f"""WITH {RECORDS} SELECT candidate_id, 32 AS width, round(CAST(research_score AS FLOAT), 5) AS s1, round(CAST(least(long_favorable_adverse_ratio_p70_p80 / 10, 1.0) AS FLOAT), 5) AS s5,
-  round(CAST({_PLACES['trajectory_entropy']} AS FLOAT), 5) AS s12, round(CAST({_PLACES['age_bucket']} AS FLOAT), 5) AS s16, CAST(CASE WHEN research_side = 'long' THEN 1 ELSE 0 END AS DOUBLE) AS s17,
-  round(CAST({_PLACES['historical_bias_context']} AS FLOAT), 5) AS s18, CAST(0 AS DOUBLE) AS s19 FROM records""")
+@query("b22_embedding", f"""WITH {RECORDS} SELECT candidate_id, 32 AS width, round(CAST(CAST(research_score AS FLOAT) AS DOUBLE), 5) AS s1, round(CAST(CAST(least(long_favorable_adverse_ratio_p70_p80 / 10, 1.0) AS FLOAT) AS DOUBLE), 5) AS s5,
+  round(CAST(CAST({_PLACES['trajectory_entropy']} AS FLOAT) AS DOUBLE), 5) AS s12, round(CAST(CAST({_PLACES['age_bucket']} AS FLOAT) AS DOUBLE), 5) AS s16, CAST(CASE WHEN research_side = 'long' THEN 1 ELSE 0 END AS DOUBLE) AS s17,
+  round(CAST(CAST({_PLACES['historical_bias_context']} AS FLOAT) AS DOUBLE), 5) AS s18, CAST(0 AS DOUBLE) AS s19 FROM records""")
 def embedding(spark, sf_dir):
     slot = lambda i: F.round(F.element_at("e", i).cast("double"), 5).alias(f"s{i}")
     return records(spark, sf_dir).withColumn("e", R.embedding()).select("candidate_id", F.size("e").alias("width"), *[slot(i) for i in (1, 5, 12, 16, 17, 18, 19)])
