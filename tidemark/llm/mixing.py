@@ -11,6 +11,7 @@ closest to the target.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,14 +76,27 @@ def flight(sizes: list[float], probs: list[float], draws: list[float]) -> list[f
 
 
 def landing(sizes: list[float], probs: list[float], taken: float, wanted: float) -> list[float]:
-    """Round the few open units so that the words taken come closest to wanted."""
+    """Round the few open units so that the words taken come closest to wanted.
+
+    An open unit may be much larger than what is missing; then single units are changed, each the one
+    that brings the total closest, as long as that helps.
+    """
     p = list(probs)
     open_ = [i for i, x in enumerate(p) if 0 < x < 1][:12]
     base = taken + sum(s for s, x in zip(sizes, p, strict=True) if x == 1)
     best = min(range(1 << len(open_)), key=lambda bits: abs(base + sum(sizes[i] for k, i in enumerate(open_) if bits >> k & 1) - wanted))
     for k, i in enumerate(open_):
         p[i] = float(best >> k & 1)
-    return [float(x >= 0.5) for x in p]
+    size, chosen = np.array(sizes, float), np.array(p) >= 0.5
+    missing = wanted - taken - float(size[chosen].sum())
+    for _ in range(len(p)):
+        change = np.where(chosen, -size, size)
+        i = int(np.abs(missing - change).argmin())
+        if abs(missing - change[i]) >= abs(missing) - EPS:
+            break
+        missing -= float(change[i])
+        chosen[i] = not chosen[i]
+    return chosen.astype(float).tolist()
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
