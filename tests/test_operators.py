@@ -137,6 +137,29 @@ def test_states_separate_blobs_and_keep_a_cloud_whole():
     assert len(V.fit_states(cloud, seeds=1, least=50)) == 1
 
 
+def test_states_of_a_table_find_a_small_state(spark):
+    """0.6% of 60,000 rows, next to one of eight large states: more than the floor of 300 rows."""
+    rng = np.random.default_rng(8)
+    small = np.arange(60_000) < 360
+    group = np.arange(60_000) % 8
+    x = np.stack([group % 4, group // 4], axis=1) * 20.0 + rng.normal(0, 0.2, (60_000, 2))
+    x[small] = [0, 2] + rng.normal(0, 0.2, (360, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(60_000), "x": x[:, 0], "y": x[:, 1]}))
+    got = V.states_of(spark, df, ["x", "y"], "id").toPandas()
+    own = got[got["id"] < 360]["group"]
+    assert own.nunique() == 1 and (got["group"] == own.iloc[0]).sum() == 360
+    sizes = got["group"].value_counts()
+    assert list(sizes.sort_index()) == sorted(sizes, reverse=True) and len(sizes) >= 9
+
+
+def test_states_of_a_table_are_those_of_its_matrix(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.2, (400, 2)) for c in ((0, 0), (5, 5), (0, 6))])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(1200), "x": x[:, 0], "y": x[:, 1]}))
+    a, b = V.fit_states(x, seeds=3, least=50), V.fit_states_of(df, ["x", "y"], "id", seeds=3, least=50)
+    assert sorted(map(tuple, a.round(6).tolist())) == sorted(map(tuple, b.round(6).tolist()))
+
+
 def test_separation_and_silhouette():
     x = np.vstack([np.zeros((5, 2)), np.ones((5, 2)) * 10 + np.eye(5, 2)])
     assert V.separation(x, np.arange(10) < 5, np.arange(10) >= 5) > 5

@@ -36,7 +36,7 @@ def centroid(spark, sf_dir):
 
 @query("l01_l02_l04_states")
 def states(spark, sf_dir):
-    """States of vectors by their first four coordinates: sizes of the groups found on a sample, labels for all rows."""
+    """States of vectors by their first four coordinates: sizes of the groups, found and labelled over all rows."""
     e = table(spark, sf_dir, "embeddings")
     flat = e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(4)])
     return V.states_of(spark, flat, ["x0", "x1", "x2", "x3"], "vec_id").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("distance"))
