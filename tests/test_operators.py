@@ -128,6 +128,35 @@ def test_quantile_heads_cover():
     assert (np.diff(M.rearranged(np.array([[3.0, 1.0, 2.0]]))) >= 0).all()
 
 
+def test_quantile_histograms_hold_all_rows(spark):
+    """The histogram stands for every row; a fit on it is a fit on the rows within a step of the target."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 10, (6000, 2)).astype(float)
+    y = x[:, 0] * 3 + rng.normal(size=6000)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
+    hx, hy, n, edges = M.quantile_histogram(df, ["a", "b"], "y")
+    assert n.sum() == 6000 and (hy * n).sum() == pytest.approx(y.sum())
+    for level in (0.25, 0.9):
+        want = M.predict_quantile(M.boosted_quantile(x, y, level, edges=edges), x)
+        got = M.predict_quantile(M.boosted_quantile(hx, hy, level, n=n, edges=edges), x)
+        assert np.abs(got - want).max() < 0.01 * np.ptp(y)
+    v = rng.normal(size=50)
+    n = rng.integers(1, 5, 50)
+    assert M.weighted_quantile(v, n, 0.3) == pytest.approx(np.quantile(np.repeat(v, n), 0.3))
+
+
+def test_quantile_heads_are_fitted_on_all_keys(spark, tmp_path):
+    """Prices that drift with the key: heads of the lowest keys would cover almost none of the rest."""
+    from tidemark.plans.catalog import REGISTRY
+
+    rng = np.random.default_rng(1)
+    key = np.arange(30_000)
+    frame = pd.DataFrame({"l_orderkey": key, "l_quantity": rng.integers(1, 51, 30_000).astype(float), "l_tax": rng.integers(0, 9, 30_000) / 100, "l_extendedprice": key * 1.0 + rng.normal(size=30_000)})
+    frame.to_parquet(tmp_path / "lineitem.parquet")
+    r = REGISTRY.builders["m17_quantile_heads"](spark, str(tmp_path)).collect()[0]
+    assert [r.covered0, r.covered1, r.covered2, r.covered3] == pytest.approx([0.25, 0.5, 0.75, 0.9], abs=0.03) and r.rising
+
+
 def test_states_separate_blobs_and_keep_a_cloud_whole():
     rng = np.random.default_rng(6)
     blobs = np.vstack([rng.normal(c, 0.2, (400, 2)) for c in ((0, 0), (5, 5), (0, 6))])
