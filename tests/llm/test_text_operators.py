@@ -500,6 +500,22 @@ def test_language_models_sum_to_one():
     assert np.all(mass <= 1 + 1e-9) and np.all(mass > 0.9)
 
 
+def test_rare_languages_keep_their_clean_texts(spark):
+    """Two labelled texts of a language are no limit for the others, one is none either; junk still goes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r["text"])
+    gone = lambda m, text: (lambda c, h: (h.min() - m.limits[h.argmin()]) * (len(c) - 1) > langid.EVIDENCE)(c := langid.folded(text), m.entropy(c))
+    whole = langid.fit({x: t[:100] for x, t in by.items()})
+    clean = [t for t in by["en"][100:300] if len(langid.folded(t)) > 1 and not gone(whole, t)]
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 600)) for _ in range(10)]
+    for few in (2, 1):
+        m = langid.fit({x: t[: few if x == "en" else 100] for x, t in by.items()})
+        assert np.mean([gone(m, t) for t in clean]) < 0.1 and all(gone(m, t) for t in junk)
+
+
 def test_language_identification(docs, empty, real, small):
     got = rows_of(langid.identify(real))
     lang = {r.doc_id: r.lang for r in real.collect()}

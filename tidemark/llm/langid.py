@@ -74,6 +74,7 @@ class Models:
     backoff_keys: list[np.ndarray]  # contexts of each order from 1 on
     backoff: list[np.ndarray]  # log of the mass left to lower orders
     limits: np.ndarray  # cross-entropy beyond which a text is rejected
+    letters: int  # distinct characters of all texts
 
     def entropy(self, codes: np.ndarray) -> np.ndarray:
         """Cross-entropy per character under each language; codes: at least two characters."""
@@ -135,16 +136,39 @@ def _of_language(texts: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.nda
 
 
 def fit(samples: dict[str, list[str]]) -> Models:
-    """Models from texts by language. Every tenth text only calibrates the rejection."""
-    languages = sorted(samples)
-    parsed = {x: [c for c in map(folded, samples[x]) if len(c) > 1] for x in languages}
-    train = {x: [c for i, c in enumerate(t) if i % 10 != 9 or len(t) < 10] for x, t in parsed.items()}
-    languages = [x for x in languages if sum(len(c) > ORDER for c in train[x])]
+    """Models from texts by language. Every tenth text only calibrates the rejection; of fewer than ten each does in turn."""
+    parsed = {x: [c for c in map(folded, samples[x]) if len(c) > 1] for x in sorted(samples)}
+    models = _fit({x: [c for i, c in enumerate(t) if i % 10 != 9 or len(t) < 10] for x, t in parsed.items()})
+    for j, x in enumerate(models.languages):
+        held = [models.entropy(c)[j] for i, c in enumerate(parsed[x]) if i % 10 == 9] or _left_out(parsed[x], models.letters)
+        if held:
+            seen = np.array(held)
+            # Far beyond any text of the language: junk shares few of its n-grams.
+            models.limits[j] = max(seen.mean() + 6 * seen.std(), 1.5 * seen.max())
+    return models
+
+
+def _left_out(texts: list[np.ndarray], letters: int) -> list[float]:
+    """Cross-entropy of each text, or of each half of an only one, under a model of the others."""
+    if len(texts) == 1:
+        middle = len(texts[0]) // 2
+        texts = [t for t in (texts[0][:middle], texts[0][middle:]) if len(t) > 1]
+    out = []
+    for i, c in enumerate(texts):
+        others = _fit({"": texts[:i] + texts[i + 1 :]}, letters)
+        if others.languages:
+            out.append(float(others.entropy(c)[0]))
+    return out
+
+
+def _fit(train: dict[str, list[np.ndarray]], letters: int | None = None) -> Models:
+    """Models without limits. letters: how many there are in all, those of the texts if not given."""
+    languages = [x for x in train if sum(len(c) > ORDER for c in train[x])]
     if not languages:
         none = [np.empty(0, np.uint64)] * ORDER
-        return Models([], none, [np.empty((0, 0))] * ORDER, np.empty(0), none[1:], [np.empty((0, 0))] * (ORDER - 1), np.empty(0))
+        return Models([], none, [np.empty((0, 0))] * ORDER, np.empty(0), none[1:], [np.empty((0, 0))] * (ORDER - 1), np.empty(0), 0)
     counts = {x: _of_language(train[x]) for x in languages}
-    letters = len(np.unique(np.concatenate([counts[x][0][0] for x in languages])))
+    letters = letters or len(np.unique(np.concatenate([counts[x][0][0] for x in languages])))
     keys = [np.unique(np.concatenate([counts[x][n][0] for x in languages])) for n in range(ORDER)]
     backoff_keys = [np.unique(np.concatenate([np.unique(counts[x][n][1]) for x in languages])) for n in range(1, ORDER)]
     logs = [np.zeros((len(k), len(languages))) for k in keys]
@@ -188,13 +212,7 @@ def fit(samples: dict[str, list[str]]) -> Models:
                 p[np.searchsorted(keys[n], k)] += np.maximum(c - DISCOUNT, 0) / total[inverse]
             logs[n][:, j] = np.log(p)
             lower = p
-    models = Models(languages, keys, logs, unseen, backoff_keys, backoff, np.full(len(languages), np.inf))
-    for j, x in enumerate(languages):
-        held = [c for i, c in enumerate(parsed[x]) if i % 10 == 9] or train[x]
-        seen = np.array([models.entropy(c)[j] for c in held])
-        # Far beyond any text of the language: junk shares few of its n-grams.
-        models.limits[j] = max(seen.mean() + 6 * seen.std(), 1.5 * seen.max())
-    return models
+    return Models(languages, keys, logs, unseen, backoff_keys, backoff, np.full(len(languages), np.inf), letters)
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
