@@ -516,6 +516,13 @@ def test_rare_languages_keep_their_clean_texts(spark):
         assert np.mean([gone(m, t) for t in clean]) < 0.1 and all(gone(m, t) for t in junk)
 
 
+def test_more_languages_than_are_learned_are_an_error(spark):
+    docs = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    assert len(langid.labelled_sample(docs.where("doc_id > 0"))) == langid.MOST_LANGUAGES
+    with pytest.raises(ValueError):
+        langid.labelled_sample(docs)
+
+
 def test_language_identification(docs, empty, real, small):
     got = rows_of(langid.identify(real))
     lang = {r.doc_id: r.lang for r in real.collect()}

@@ -216,9 +216,13 @@ def _fit(train: dict[str, list[np.ndarray]], letters: int | None = None) -> Mode
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """At most ``rows`` whole texts of each lang value, chosen by a hash of doc_id; at most MOST_LANGUAGES values."""
+    """At most ``rows`` whole texts of each lang value, chosen by a hash of doc_id; more than MOST_LANGUAGES values are an error."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
+    found = counts.collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = docs.sparkSession.createDataFrame(found, counts.schema)
     rate = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     got = known.join(F.broadcast(counts), "lang").where(draw < rate).select("lang", "text", draw.alias("draw"), "doc_id").orderBy("lang", "draw", "doc_id").limit(2 * rows * MOST_LANGUAGES)
