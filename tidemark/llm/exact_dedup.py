@@ -1,13 +1,15 @@
 """Exact duplicates by a Golomb-coded exchange of fingerprints.
 
-Every block (one input partition) sorts its distinct 64-bit fingerprints, cuts them into one
-range for each owner and sends each range as a Golomb-Rice coded list of differences. An owner
-decodes what it gets, counts every fingerprint over all blocks and answers each block with a
-bitmap over the list that the block sent. Rows whose bit is set are suspects; only their texts
-are shuffled, and there the bytes themselves are grouped.
-
-A fingerprint travels once per block however often the block holds it, so a text that makes up a
-third of all rows costs one entry per block; the byte check groups with map-side combining.
+Every task sorts the distinct 64-bit fingerprints of the rows it reads, cuts them into one range for
+each owner and sends each range as a Golomb-Rice coded list of differences. An owner decodes what
+it gets, counts every fingerprint over all lists and answers each list with a bitmap over it. A
+list's sender and owner name it, and its answer is applied to that list itself, so it doesn't
+matter how rows are split into tasks. Fingerprints whose bit is set are suspects; only their
+texts are shuffled, and there the bytes themselves are grouped.
+
+A fingerprint travels once per task however often the task reads it, so a text that makes up a
+third of all rows costs one entry per task; the byte check groups with map-side combining, and what is
+known of such a text comes back to its rows by broadcast.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, cut, doc_order, row_print, shuffle_partitions, text_or_empty
+from tidemark.llm.common import SPACES, cut, doc_order, join_one, row_print, shuffle_partitions, text_or_empty
 
 #: Up to this many duplicated fingerprints (8 bytes each) are broadcast to find the suspects' texts; beyond it they are joined.
 BROADCAST_ROWS = 200_000
@@ -84,61 +86,48 @@ def bitmaps_of(payloads: list[bytes], repeated: list[bytes]) -> list[bytes]:
 
 
 def _sent(owners: int):
-    """For blocks of (block, fp): the coded list of each owner."""
+    """For rows of (fp): one coded list for each owner, named by the task and the owner."""
     edges = np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
 
     def send(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            blocks, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for b in np.unique(blocks):
-                held.setdefault(int(b), []).append(prints[blocks == b])
-        for block, parts in held.items():
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            cuts = np.searchsorted(values, edges, side="left")
-            rows = [(k, x, c) for k, (x, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts), strict=True)) if len(x)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _, _ in rows], pa.int32()),
-                    pa.array([block] * len(rows), pa.int32()),
-                    pa.array([golomb_encode(x) for _, x, _ in rows], pa.binary()),
-                    pa.array([np.packbits(c > 1).tobytes() for _, _, c in rows], pa.binary()),
-                ],
-                names=["owner", "block", "payload", "repeated"],
-            )
+        held = [batch.column(0).to_numpy().view(np.uint64) for batch in batches]
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+        cuts = np.searchsorted(values, edges, side="left")
+        rows = [(k, x, c) for k, (x, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts), strict=True)) if len(x)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, _, _ in rows], pa.int32()),
+                pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()),
+                pa.array([golomb_encode(x) for _, x, _ in rows], pa.binary()),
+                pa.array([np.packbits(c > 1).tobytes() for _, _, c in rows], pa.binary()),
+            ],
+            names=["owner", "sender", "payload", "repeated"],
+        )
 
     return send
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One owner: a bitmap for every list it got."""
-    return pd.DataFrame({"owner": pdf["owner"], "block": pdf["block"], "bits": bitmaps_of(list(pdf["payload"]), list(pdf["repeated"]))})
+    return pd.DataFrame({"owner": pdf["owner"], "sender": pdf["sender"], "bits": bitmaps_of(list(pdf["payload"]), list(pdf["repeated"]))})
 
 
-def _marked(owners: int):
-    edges = np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
-
-    def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """One block: the fingerprints whose bit is set."""
-        values = np.unique(rows["fp"].to_numpy().view(np.uint64))
-        parts = np.split(values, np.searchsorted(values, edges, side="left"))
-        found = [np.empty(0, np.uint64)]
-        for owner, bits in zip(answers["owner"], answers["bits"], strict=True):
-            part = parts[owner]
-            found.append(part[np.unpackbits(np.frombuffer(bits, np.uint8))[: len(part)].astype(bool)])
-        return pd.DataFrame({"fp": np.concatenate(found).view(np.int64)})
-
-    return mark
+def _marked(batches):
+    """Lists with their bitmaps: the fingerprints whose bit is set."""
+    for batch in batches:
+        for payload, bits in zip(batch.column("payload").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            values = golomb_decode(payload)
+            many = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(values)].astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64))], names=["fp"])
 
 
-def duplicated_fingerprints(prints: DataFrame, owners: int | None = None) -> DataFrame:
-    """Distinct fp values of prints(block int, fp long) that more than one row has."""
+def duplicated_fingerprints(prints: DataFrame, total: int, owners: int | None = None) -> DataFrame:
+    """Distinct fp values of prints(fp long), of ``total`` rows, that more than one row has."""
     # An owner decodes what it gets: about a million fingerprints at most.
-    owners = owners or max(shuffle_partitions(prints), prints.count() // 1_000_000 + 1)
-    sent = prints.select("block", "fp").mapInArrow(_sent(owners), "owner int, block int, payload binary, repeated binary")
-    answers = sent.groupBy("owner").applyInPandas(_answer, "owner int, block int, bits binary")
-    marked = prints.select("block", "fp").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_marked(owners), "fp long")
-    return marked.distinct()
+    owners = owners or max(shuffle_partitions(prints), total // 1_000_000 + 1)
+    sent = cut(prints.select("fp").mapInArrow(_sent(owners), "owner int, sender int, payload binary, repeated binary"))
+    answers = sent.groupBy("owner").applyInPandas(_answer, "owner int, sender int, bits binary")
+    return sent.select("owner", "sender", "payload").join(answers, ["owner", "sender"]).mapInArrow(_marked, "fp long").distinct()
 
 
 def normalised(name: str = "text") -> Column:
@@ -155,8 +144,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     empty result. The column print, with doc_id, names a row by its text.
     """
     norm = docs.select("doc_id", row_print().alias("print"), normalised().alias("norm")).select("doc_id", "print", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), "norm")
-    rows = cut(norm.drop("norm").select("*", F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("block")))
-    suspect_prints = duplicated_fingerprints(rows).persist(StorageLevel.DISK_ONLY)
+    rows = cut(norm.drop("norm").select("*", F.monotonically_increasing_id().alias("row_id")))
+    total = rows.count()
+    suspect_prints = cut(duplicated_fingerprints(rows, total), total)
     small = suspect_prints.count() <= BROADCAST_ROWS
     suspects = F.broadcast(suspect_prints) if small else suspect_prints
     # The bytes themselves are grouped; two texts of one SHA-256 would stop the run.
@@ -172,8 +162,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         .select("text_sha256", "group_size")
     )
     groups = rows.join(suspects, "fp", "left_semi").groupBy("text_sha256").agg(F.min(doc_order("row_id")).alias("first"))
-    keep = groups.join(verified, "text_sha256").select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), "group_size")
-    return rows.join(keep, "text_sha256", "left").select(
+    keep = cut(groups.join(verified, "text_sha256").select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), "group_size", F.col("group_size").alias("n")), total)
+    return join_one(rows, keep, "text_sha256", "n", total).select(
         "doc_id",
         F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
