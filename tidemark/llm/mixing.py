@@ -12,12 +12,12 @@ closest to the target.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, cut, row_print, text_or_empty
+from tidemark.llm.common import WORD, cut, repeated, row_print, text_or_empty
 
 #: Documents in a cell of the flight, about; and the most sources (one row each goes to the driver).
 CELL_ROWS = 50_000
@@ -99,73 +99,79 @@ def landing(sizes: list[float], probs: list[float], taken: float, wanted: float)
     return chosen.astype(float).tolist()
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+def _moved(table: pa.Table, land: bool) -> pa.Table:
+    """One cell: its probabilities after the flight, and after landing if no more units of its stratum fly."""
+    size, draw, prob = (table.column(c).to_numpy() for c in ("size", "draw", "prob"))
     # Large documents first: the units left open are small, and so is what landing them costs.
-    pdf = pdf.sort_values(["size", "draw", "row_id"], ascending=[False, True, True], kind="stable")
-    pdf["prob"] = flight(pdf["size"].astype(float).tolist(), pdf["prob"].tolist(), pdf["draw"].tolist())
-    return pdf
-
-
-def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What is open of one source when few units are left: fly, then land."""
-    pdf = _fly(pdf)
-    pdf["prob"] = landing(pdf["size"].astype(float).tolist(), pdf["prob"].tolist(), float(pdf["taken"].iloc[0]), float(pdf["extra"].iloc[0]))
-    return pdf
+    order = np.lexsort((table.column("nth").to_numpy(), table.column("print").to_numpy(), table.column("tie").to_numpy(), draw, -size))
+    sizes = size[order].astype(float).tolist()
+    p = flight(sizes, prob[order].tolist(), draw[order].tolist())
+    if land:
+        p = landing(sizes, p, float(table.column("taken")[0].as_py()), float(table.column("extra")[0].as_py()))
+    out = np.empty(len(p))
+    out[order] = p
+    return table.set_column(table.schema.get_field_index("prob"), "prob", pa.array(out))
 
 
 def cube_sample(units: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Balanced sample of units(row_id long, stratum, size long, prob double, draw double): row_id, included.
+    """Balanced sample of units(stratum, size long, prob double, doc_id, print long, nth long; more pass through): adds included.
 
     prob is one value for a stratum. In each stratum the sum of sizes and the number of units come
-    near their expectations. draw: a number from 0 to 1 for each unit that fixes the sample.
+    near their expectations. All draws are hashes of (doc_id, print, nth), which names a unit; so the
+    sample doesn't depend on how the rows are dealt to tasks. cell_rows: units that fly together, about.
     """
-    schema = T.StructType([units.schema[c] for c in ("row_id", "stratum", "size", "prob", "draw")])
-    open_ = cut(units.select(*schema.names).where(f"prob > {EPS} and prob < {1 - EPS}"))
-    wanted = open_.groupBy("stratum").agg(F.sum(F.col("size") * F.col("prob")).alias("extra"))
+    names = units.columns
+    tie = F.xxhash64("doc_id", "print", "nth")
+    draw = F.pmod(F.xxhash64(tie, F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    flying = f"prob > {EPS} and prob < {1 - EPS}"
+    still = units.where(f"not ({flying})").withColumn("included", F.col("prob") > 0.5)
+    open_ = cut(units.where(flying).withColumns({"tie": tie, "draw": draw}))
+    columns, schema = open_.columns, open_.schema
+    # Whole numbers, so that no order of adding changes them.
+    wanted = open_.groupBy("stratum").agg((F.sum("size") * F.max("prob")).alias("extra"))
     done, rounds = [], 0
     while True:
         largest = open_.groupBy("stratum").agg(F.count("*").alias("units"))
-        top = largest.agg(F.max("units")).first()[0] or 0
-        if top <= cell_rows:
+        if (largest.agg(F.max("units")).first()[0] or 0) <= cell_rows:
             break
         cells = largest.select("stratum", F.ceil(F.col("units") / cell_rows).alias("cells"))
-        # The draw orders a cell; the cell is dealt by another hash of the unit.
-        dealt = open_.join(cells, "stratum").withColumn("cell", F.pmod(F.xxhash64("row_id", F.lit(rounds)), "cells"))
-        flown = cut(dealt.groupBy("stratum", "cell").applyInPandas(lambda pdf: _fly(pdf)[schema.names], schema))
+        # The draw decides in a cell; the cell is dealt by another hash of the unit.
+        dealt = open_.join(F.broadcast(cells), "stratum").withColumn("cell", F.pmod(F.xxhash64("tie", F.lit(rounds)), "cells"))
+        flown = cut(dealt.groupBy("stratum", "cell").applyInArrow(lambda t: _moved(t, False).select(columns), schema))
         done.append(flown.where("prob = 0 or prob = 1"))
         open_ = flown.where("prob > 0 and prob < 1")
         rounds += 1
-    taken = wanted.withColumn("taken", F.lit(0.0))
+    taken = wanted.withColumn("taken", F.lit(0).cast("long"))
     if done:
         gone = done[0]
         for more in done[1:]:
             gone = gone.unionByName(more)
-        sums = gone.groupBy("stratum").agg(F.sum(F.col("size") * F.col("prob")).alias("got"))
-        taken = wanted.join(sums, "stratum", "left").select("stratum", "extra", F.coalesce("got", F.lit(0.0)).alias("taken"))
-    landed = open_.join(taken, "stratum").groupBy("stratum").applyInPandas(lambda pdf: _land(pdf)[schema.names], schema)
+        sums = gone.where("prob = 1").groupBy("stratum").agg(F.sum("size").alias("got"))
+        taken = wanted.join(sums, "stratum", "left").select("stratum", "extra", F.coalesce("got", F.lit(0)).alias("taken"))
+    landed = open_.join(F.broadcast(taken), "stratum").groupBy("stratum").applyInArrow(lambda t: _moved(t, True).select(columns), schema)
     for more in done:
         landed = landed.unionByName(more)
-    return landed.select("row_id", (F.col("prob") > 0.5).alias("included"))
+    return still.unionByName(landed.select(*names, (F.col("prob") > 0.5).alias("included")))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with size (words of the text; null: 0) and row_id, written to the checkpoint folder without its other columns."""
-    return cut(
-        docs.select("doc_id", "source", row_print().alias("print"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-        .withColumn("row_id", F.monotonically_increasing_id())
-        # Of the rows' values alone, so that reruns agree; repeated rows are alike.
-        .withColumn("draw", F.pmod(F.xxhash64("doc_id", "print", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    )
+def units_of(docs: DataFrame) -> DataFrame:
+    """The units of the mix, one for each row of docs: doc_id, source, print, nth and size (words of the text; null: 0).
+
+    Rows alike in doc_id, text and source are told apart by nth, from 0: counted where they are read, then told out.
+    """
+    words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+    alike = docs.select("doc_id", "source", row_print().alias("print"), words.alias("size")).groupBy("doc_id", "source", "print").agg(F.max("size").alias("size"), F.count("*").alias("n"))
+    return cut(repeated(cut(alike), "n").withColumnRenamed("__nth", "nth").drop("n"))
 
 
-def mix_rows(rows: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Copies of each of ``sized`` rows: adds source_size, target and copies.
+def mix_units(units: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Copies of each of ``units_of`` the documents: adds source_size, target and copies.
 
     Sources are ordered by code point, null last, and weigh ``cycle``, repeating. A source of no
     words has target 0 and no copies. copies is 0, 1 or 2 and never above ``most``.
     """
-    spark = rows.sparkSession
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
+    spark = units.sparkSession
+    sources = units.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = [r["source_size"] for r in sources]
@@ -175,18 +181,17 @@ def mix_rows(rows: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share:
         rate = wanted[i] / sizes[i] if sizes[i] else 0.0
         whole = int(rate + EPS)
         plan.append((i, r["source"], r["source_size"], wanted[i], whole, max(0.0, rate - whole)))
-    plan = spark.createDataFrame(plan, T.StructType([T.StructField("stratum", T.LongType())] + [T.StructField("source", rows.schema["source"].dataType)] + [T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.IntegerType()), T.StructField("prob", T.DoubleType())]))
-    planned = rows.join(F.broadcast(plan.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    sample = cube_sample(planned)
-    return planned.join(sample, "row_id", "left").select(
-        "row_id", "doc_id", "print", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("included", F.lit(False)).cast("int")).alias("copies")
-    )
+    plan = spark.createDataFrame(plan, T.StructType([T.StructField("stratum", T.LongType())] + [T.StructField("source", units.schema["source"].dataType)] + [T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.IntegerType()), T.StructField("prob", T.DoubleType())]))
+    planned = units.join(F.broadcast(plan.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    return cube_sample(planned, cell_rows).select("doc_id", "print", "source", "size", "source_size", "target", (F.col("whole") + F.col("included").cast("int")).alias("copies"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """How often the mix takes each row of docs(doc_id, text, source).
 
     Columns: doc_id, size, source_size, target, taken (size times copies), copies, print. Rows that repeat
-    are separate units. A null text has size 0; a null source is a source. Empty table: empty result.
+    are separate units. A null text has size 0; a null source is a source; a null doc_id is a value as any
+    other. Empty table: empty result. Other columns are ignored, whatever their names. The result depends on the
+    rows alone, not on their order or partitions.
     """
-    return mix_rows(sized(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "print")
+    return mix_units(units_of(docs), cell_rows=cell_rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "print")
