@@ -1,17 +1,19 @@
 """Near duplicates by a chosen-path set similarity join.
 
-Texts with one shingle set are one class. Each class has a signature of minwise tokens. A tree
-starts from all classes; at a node every class goes on to the children named by BRANCH of its
-minwise tokens, which the node's own hash selects, so similar classes share children. A node that
-is small enough is compared exhaustively, in blocks; a larger one branches again. Independent trees are
-repeated until a pair at the threshold is missed with a probability below MISS (see ``trees_needed``).
+Texts with one shingle set are one class. Each class has a signature of minwise tokens, some of them of
+each tree's own. A tree starts from all classes; at a node every class goes on to the children named by
+BRANCH of its minwise tokens, which the node's own hash selects, so similar classes share children; no
+token is selected twice on a path. A node that is small enough is compared exhaustively, in blocks; a
+larger one branches again. Independent trees are repeated: a pair at the threshold whose paths all go
+to the last level is missed by one tree with a chance of 0.16 and by all with 4e-7, by simulation.
 
 Two things keep dense groups from costing the square of their size. First every class is linked
 with two centers of each of its first nodes: the least class, and the one most like what the node's
 members have in common, which is the origin of a group of edited copies. The links are confirmed, and
 most groups are components before any pairs are formed. Then only nodes that hold several components
 are compared, and only pairs across components, each under the first tree that brings it together.
-Nothing is capped.
+Nothing is capped. What stays quadratic is a node of the last level: rows that agree in LEVELS minwise tokens but
+lie in several components; its blocks are compared in as many tasks as there are pairs of blocks.
 
 All links are confirmed on full shingle sets.
 """
@@ -19,7 +21,6 @@ All links are confirmed on full shingle sets.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order, narrow_batches, row_print
+from tidemark.llm.common import cut, doc_order, join_one, narrow_batches, row_print
 from tidemark.llm.components import components
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Minwise tokens that trees branch by; children of a class at a node; levels of a tree.
-TOKENS, BRANCH, LEVELS = 32, 2, 4
+#: Trees; children of a class at a node; levels of a tree.
+TREES, BRANCH, LEVELS = 8, 2, 6
+#: Minwise tokens of all roots, one for each child of a root; and those each tree has for its deeper levels.
+ROOTS, DEEP = TREES * BRANCH, 16
 #: Rows up to which a node is compared at once, and up to which it is compared at all before it branches.
 LEAF, NODE = 48, 4096
-#: Chance, over all trees, that a pair at the threshold shares no compared node.
-MISS = 1e-6
 #: Bytes of the sketch, one of each of so many minwise hashes; and how many of them must agree before sets are
 #: fetched: fewer agree with a chance of 1e-5 at the threshold.
 SKETCH, LEAST_EQUAL = 512, 343
@@ -57,18 +58,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def trees_needed(similarity: float = PERCENT / 100, branch: int = BRANCH, levels: int = LEVELS, miss: float = MISS) -> int:
-    """Trees after which a pair is missed with a chance of at most ``miss``.
-
-    At each node a pair loses a child with chance 1 - similarity, so the chance to lose all paths
-    to a level is that of a branching process that dies out.
-    """
-    lost = 0.0
-    for _ in range(levels):
-        lost = (1 - similarity + similarity * lost) ** branch
-    return math.ceil(math.log(miss) / math.log(lost))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * _STEP
@@ -90,81 +79,86 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TOKENS minwise tokens of a set that isn't empty, and its SKETCH bytes."""
+def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set that isn't empty: its ROOTS tokens, DEEP tokens for each tree, and SKETCH bytes."""
     least = np.full(SKETCH, 2**64 - 1, np.uint64)
     for at in range(0, len(s), 1024):
         np.minimum(least, (s[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=least)
     mixed = _mixed(least)
-    return (mixed[:TOKENS] >> np.uint64(32)).astype(np.uint32), (mixed & np.uint64(255)).astype(np.uint8)
+    tokens = mixed >> np.uint64(32)
+    return tokens[:ROOTS].astype(np.uint32), tokens[ROOTS : ROOTS + TREES * DEEP].astype(np.uint16), (mixed & np.uint64(255)).astype(np.uint8)
 
 
 def print_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+DESCRIBED = "print long, n_shingles long, set_print binary, roots binary, deep binary, sketch binary"
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, prints, tokens, sketches = [], [], [], []
+        out: dict[str, list] = {c: [] for c in ("n_shingles", "set_print", "roots", "deep", "sketch")}
         for text in batch.column("text"):
             s = shingles(text.as_py())
-            sizes.append(len(s))
-            prints.append(print_of(s) if len(s) else None)
-            t, k = signature(s) if len(s) else (None, None)
-            tokens.append(t.tobytes() if len(s) else None)
-            sketches.append(k.tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "print", "n_shingles", "set_print", "tokens", "sketch"],
-        )
+            out["n_shingles"].append(len(s))
+            out["set_print"].append(print_of(s) if len(s) else None)
+            for name, values in zip(("roots", "deep", "sketch"), signature(s) if len(s) else (None,) * 3, strict=True):
+                out[name].append(None if values is None else values.tobytes())
+        arrays = [pa.array(v, pa.int64() if c == "n_shingles" else pa.binary()) for c, v in out.items()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), *arrays], names=["doc_id", "print", *out])
+
 
+def _matrix(column, kind, width: int) -> np.ndarray:
+    """Rows of ``width`` values, from a column of binaries of that size."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-def _token_matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+
+def _root_matrix(column) -> np.ndarray:
+    return _matrix(column, np.uint32, ROOTS)
 
 
 def _sketch_matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+    return _matrix(column, np.uint8, SKETCH)
+
 
+def root_nodes(roots: np.ndarray) -> np.ndarray:
+    """First nodes of each row, a column for each child of a root."""
+    return _mixed(_mixed((np.arange(ROOTS, dtype=np.uint64) + np.uint64(17)) * _STEP) + roots)
 
-def _children(nodes: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
-    """For each row, its children at its node: hash of the node, a token's place and its value."""
-    rows, out, places = np.arange(len(nodes)), [], []
+
+def children(nodes: np.ndarray, tree: np.ndarray, used: np.ndarray, deep: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row, its children and the places used on their paths; a node's hash selects places that its path hasn't used."""
+    rows, out, taken = np.arange(len(nodes)), [], used.copy()
     for k in range(BRANCH):
-        place = (_mixed(nodes + np.uint64(k)) % np.uint64(TOKENS)).astype(np.int64)
-        for other in places:
-            place = np.where(place == other, (place + 1) % TOKENS, place)
-        places.append(place)
-        out.append(_mixed(_mixed(nodes ^ (place.astype(np.uint64) + np.uint64(1)) * _STEP) + tokens[rows, place]))
+        place = (_mixed(nodes + np.uint64(k)) % np.uint64(DEEP)).astype(np.int64)
+        for _ in range(DEEP):
+            place = np.where(taken >> place & 1 == 1, (place + 1) % DEEP, place)
+        taken |= 1 << place
+        token = deep[rows, tree * DEEP + place].astype(np.uint64)
+        out.append((_mixed(_mixed(nodes ^ (place.astype(np.uint64) + np.uint64(1)) * _STEP) + token), used | (1 << place)))
     return out
 
 
-def _root_nodes(trees: int, tokens: np.ndarray) -> list[np.ndarray]:
-    """First nodes of each row, by their number: BRANCH for each tree."""
-    return [c for t in range(trees) for c in _children(np.full(len(tokens), t * 1_000_003 + 17, np.uint64), tokens)]
-
+def _rooted(batches):
+    for batch in batches:
+        ids = batch.column("cls").to_numpy()
+        if len(ids):
+            nodes = root_nodes(_root_matrix(batch.column("roots")))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), pa.array(np.repeat(ids, ROOTS)), pa.array(np.tile(np.arange(ROOTS, dtype=np.int32), len(ids)))], names=["node", "cls", "root"])
 
-def _roots(trees: int):
-    def grow(batches):
-        for batch in batches:
-            tokens, ids = _token_matrix(batch.column("tokens")), batch.column("cls").to_numpy()
-            if not len(ids):
-                continue
-            nodes = _root_nodes(trees, tokens)
-            numbers = np.repeat(np.arange(len(nodes), dtype=np.int32), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(ids, len(nodes))), pa.array(numbers)], names=["node", "cls", "root"])
 
-    return grow
+GROWN = "node long, cls long, comp long, tree int, used int"
 
 
 def _grown(batches):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        kids = _children(batch.column("node").to_numpy().view(np.uint64), _token_matrix(batch.column("tokens")))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(batch.column("cls").to_numpy(), len(kids))), pa.array(np.tile(batch.column("comp").to_numpy(), len(kids)))], names=["node", "cls", "comp"]
-        )
+        if batch.num_rows:
+            node, cls, comp, tree, used = (batch.column(c).to_numpy() for c in ("node", "cls", "comp", "tree", "used"))
+            kids = children(node.view(np.uint64), tree.astype(np.int64), used.astype(np.int64), _matrix(batch.column("deep"), np.uint16, TREES * DEEP))
+            n = len(kids)
+            nodes, masks = (np.concatenate([k[i] for k in kids]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(pa.array(np.tile(x, n)) for x in (cls, comp, tree)), pa.array(masks.astype(np.int32))], names=["node", "cls", "comp", "tree", "used"])
 
 
 def _votes(batches):
@@ -203,12 +197,10 @@ def _pairs_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _first_root(trees: int, x: np.ndarray, y: np.ndarray, grown: np.ndarray) -> np.ndarray:
-    """For rows of tokens x and y: the number of the first node they share that didn't branch (bits of grown tell), else -1."""
-    first = np.full(len(x), -1)
-    for k, (a, b) in reversed(list(enumerate(zip(_root_nodes(trees, x), _root_nodes(trees, y), strict=True)))):
-        first[(a == b) & (grown >> np.int64(k) & 1 == 0)] = k
-    return first
+def _first_root(x: np.ndarray, y: np.ndarray, grown: np.ndarray) -> np.ndarray:
+    """For rows of root tokens x and y: the first root node they share that didn't branch (bits of grown tell), else -1."""
+    shared = (x == y) & (grown[:, None] >> np.arange(ROOTS) & 1 == 0)
+    return np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
 
 
 @dataclass
@@ -219,7 +211,7 @@ class _Rows:
     comp: np.ndarray
     root: np.ndarray
     grown: np.ndarray
-    tokens: np.ndarray
+    roots: np.ndarray
     sketch: np.ndarray
 
     @classmethod
@@ -227,13 +219,13 @@ class _Rows:
         """Of an Arrow struct array or table."""
         get = column.field if isinstance(column, pa.StructArray) else column.column
         numbers = (get(c).to_numpy(zero_copy_only=False) if isinstance(column, pa.StructArray) else get(c).to_numpy() for c in ("cls", "comp", "root", "grown"))
-        return cls(*numbers, _token_matrix(get("tokens")), _sketch_matrix(get("sketch")))
+        return cls(*numbers, _root_matrix(get("roots")), _sketch_matrix(get("sketch")))
 
 
-ITEM = ("cls", "comp", "root", "grown", "tokens", "sketch")
+ITEM = ("cls", "comp", "root", "grown", "roots", "sketch")
 
 
-def _across(trees: int, x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _across(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first."""
     apart = x.comp[i] != y.comp[j]
     i, j = i[apart], j[apart]
@@ -241,65 +233,58 @@ def _across(trees: int, x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tup
         like = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1) >= least
         i, j = i[like], j[like]
     root = x.root[i]
-    due = (root < 0) | (_first_root(trees, x.tokens[i], y.tokens[j], x.grown[i]) == root)
+    due = (root < 0) | (_first_root(x.roots[i], y.roots[j], x.grown[i]) == root)
     return x.cls[i[due]], y.cls[j[due]]
 
 
-def _leaf_pairs(trees: int):
-    """Rows sorted by node -> likely pairs across components in each node."""
+def _compared(table: pa.Table) -> pa.RecordBatch:
+    nodes, rows = table.column("node").to_numpy(), _Rows.of(table)
+    cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            i, j = np.triu_indices(hi - lo, 1)
+            x, y = _across(rows, rows, lo + i, lo + j)
+            a.append(x)
+            b.append(y)
+    return _pairs_batch(a, b)
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        nodes, rows = table.column("node").to_numpy(), _Rows.of(table)
-        cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                i, j = np.triu_indices(hi - lo, 1)
-                x, y = _across(trees, rows, rows, lo + i, lo + j)
-                a.append(x)
-                b.append(y)
-        return _pairs_batch(a, b)
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            nodes = held.column("node").to_numpy()
-            # The last node may go on in the next batch.
-            before = np.flatnonzero(nodes != nodes[-1]) if len(nodes) else nodes
-            if len(before):
-                yield compare(held.slice(0, int(before[-1]) + 1))
-                held = held.slice(int(before[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield compare(held)
-
-    return run
-
-
-def _block_pairs(trees: int):
-    """Rows of two blocks of a node: likely pairs across components; main: the component that ``some`` leaves out."""
 
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for k in range(batch.num_rows):
-                x, y = (_Rows.of(batch.column(c)[k].values) for c in ("some", "many"))
-                main = batch.column("main")[k].as_py()
-                heads = np.ascontiguousarray(y.sketch[:, :HEAD])
-                near, far = [], []
-                for row in range(len(x.cls)):
-                    j = np.flatnonzero(np.count_nonzero(heads == x.sketch[row, :HEAD], axis=1) >= LEAST_HEAD)
-                    # A pair of two rows outside the main component comes up twice.
-                    j = j[(y.comp[j] == main) | (y.cls[j] > x.cls[row])]
-                    near.append(np.full(len(j), row))
-                    far.append(j)
-                u, v = _across(trees, x, y, np.concatenate(near), np.concatenate(far))
-                a.append(u)
-                b.append(v)
-            yield _pairs_batch(a, b)
-
-    return run
+def _leaf_pairs(batches):
+    """Rows sorted by node -> likely pairs across components in each node."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        nodes = held.column("node").to_numpy()
+        # The last node may go on in the next batch.
+        before = np.flatnonzero(nodes != nodes[-1]) if len(nodes) else nodes
+        if len(before):
+            yield _compared(held.slice(0, int(before[-1]) + 1))
+            held = held.slice(int(before[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield _compared(held)
+
+
+def _block_pairs(batches):
+    """Rows of two blocks of a node: likely pairs across components; main: the component that ``some`` leaves out."""
+    for batch in batches:
+        a, b = [], []
+        for k in range(batch.num_rows):
+            x, y = (_Rows.of(batch.column(c)[k].values) for c in ("some", "many"))
+            main = batch.column("main")[k].as_py()
+            heads = np.ascontiguousarray(y.sketch[:, :HEAD])
+            near, far = [], []
+            for row in range(len(x.cls)):
+                j = np.flatnonzero(np.count_nonzero(heads == x.sketch[row, :HEAD], axis=1) >= LEAST_HEAD)
+                # A pair of two rows outside the main component comes up twice.
+                j = j[(y.comp[j] == main) | (y.cls[j] > x.cls[row])]
+                near.append(np.full(len(j), row))
+                far.append(j)
+            u, v = _across(x, y, np.concatenate(near), np.concatenate(far))
+            a.append(u)
+            b.append(v)
+        yield _pairs_batch(a, b)
 
 
 def _sets(batches):
@@ -331,10 +316,10 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
-    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"), compact=True)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"), total)
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
     texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "set_print")
@@ -343,16 +328,17 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return ready.mapInArrow(_confirmed, "a long, b long")
 
 
-def _likely(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sketches agree enough."""
+def _agreeing(batches):
+    """Rows (a, b, sketch_a, sketch_b) -> the pairs whose sketches agree enough."""
+    for batch in batches:
+        good = pa.array((_sketch_matrix(batch.column("sketch_a")) == _sketch_matrix(batch.column("sketch_b"))).sum(axis=1) >= LEAST_EQUAL)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
-    def equal(batches):
-        for batch in batches:
-            good = pa.array((_sketch_matrix(batch.column("sketch_a")) == _sketch_matrix(batch.column("sketch_b"))).sum(axis=1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
+def _likely(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose sketches agree enough."""
     with_both = pairs.join(tokens.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(tokens.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return with_both.mapInArrow(equal, "a long, b long")
+    return with_both.mapInArrow(_agreeing, "a long, b long")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -361,14 +347,14 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("node", "n"), "node")
 
 
-def _in_blocks(rows: DataFrame, tokens: DataFrame, trees: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """Likely pairs in larger nodes: rows outside a node's largest component against all its rows, block by block."""
     by = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
     most = by.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m")).select("node", "m.main")
     full = rows.join(most, "node").join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
     many = full.groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("many"))
     some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("some"), F.first("main").alias("main"))
-    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs(trees), "a long, b long")
+    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, "a long, b long")
 
 
 def _stars(shared: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -378,68 +364,63 @@ def _stars(shared: DataFrame, tokens: DataFrame) -> DataFrame:
     common = large.select("node", "sketch").mapInArrow(_votes, "node long, bytes binary, counts binary").groupBy("node").applyInPandas(_elected, "node long, common binary")
     rated = large.join(common, "node").mapInArrow(_likened, "node long, cls long, equal long")
     origin = rated.groupBy("node").agg(F.max(F.struct("equal", (-F.col("cls")).alias("less"))).alias("m")).select("node", (-F.col("m.less")).alias("origin"))
-    spread = shared.join(origin, "node").where("cls <> origin").select(F.least("origin", "cls").alias("a"), F.greatest("origin", "cls").alias("b"))
+    spread = shared.where(F.col("n") > LEAF).join(origin, "node").where("cls <> origin").select(F.least("origin", "cls").alias("a"), F.greatest("origin", "cls").alias("b"))
     return least.unionByName(spread).distinct()
 
 
 def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, tokens, sketch)."""
-    trees = trees_needed()
-    first = cut(tokens.select("cls", "tokens").mapInArrow(_roots(trees), "node long, cls long, root int"))
-    nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1")
-    shared = cut(first.join(nodes, "node"))
-    edges = cut(_confirm(cut(_likely(_stars(shared, tokens), tokens), compact=True), classes, docs), compact=True)
-    roots = components(edges)
+    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, roots, deep, sketch)."""
+    total = classes.count()
+    first = cut(tokens.select("cls", "roots").mapInArrow(_rooted, "node long, cls long, root int"))
+    nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1").withColumn("size", F.col("n"))
+    shared = cut(join_one(first, cut(nodes, total), "node", "size", ROOTS * total).where("n is not null"), total)
+    likely = cut(_likely(_stars(shared, tokens), tokens), total)
+    roots = components(_confirm(likely, classes, docs, total), total)
 
     # Nodes too large to be compared branch; pairs under them may be due at a later tree.
     branching = shared.where(F.col("n") > NODE).groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("grown"))
-    rows = shared.join(roots.withColumnRenamed("member", "cls").withColumnRenamed("root", "comp"), "cls", "left").select("node", "cls", "root", F.coalesce("comp", "cls").alias("comp"))
-    rows = rows.join(branching, "cls", "left").withColumn("grown", F.coalesce("grown", F.lit(0).cast("long")))
-    found = []
+    rows = shared.join(roots.withColumnRenamed("member", "cls").withColumnRenamed("root", "comp"), "cls", "left").join(branching, "cls", "left")
+    rows = rows.select("node", "cls", "root", F.coalesce("comp", "cls").alias("comp"), F.coalesce("grown", F.lit(0).cast("long")).alias("grown"), F.floor(F.col("root") / BRANCH).cast("int").alias("tree"), F.lit(0).alias("used"))
+    pairs = None
     for level in range(1, LEVELS + 1):
-        rows = cut(_several(rows), compact=True)
+        rows = cut(_several(rows), total)
         leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
-        found.append(leaves.mapInArrow(_leaf_pairs(trees), "a long, b long"))
-        compared = rows.where(F.col("n") > LEAF) if level == LEVELS else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE))
-        found.append(_in_blocks(compared, tokens, trees))
-        large = rows.where(F.col("n") > NODE)
-        if level == LEVELS or large.isEmpty():
+        found = leaves.mapInArrow(_leaf_pairs, "a long, b long")
+        last = level == LEVELS
+        found = found.unionByName(_in_blocks(rows.where(F.col("n") > LEAF) if last else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE)), tokens))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if last or (rows.agg(F.max("n")).first()[0] or 0) <= NODE:
             break
-        kids = large.join(tokens, "cls").select("node", "cls", "comp", "tokens").mapInArrow(_grown, "node long, cls long, comp long")
+        kids = rows.where(F.col("n") > NODE).join(tokens, "cls").select("node", "cls", "comp", "tree", "used", "deep").mapInArrow(_grown, GROWN)
         rows = kids.withColumns({"root": F.lit(-1), "grown": F.lit(0).cast("long")})
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    more = cut(_confirm(cut(pairs.distinct(), compact=True), classes, docs), compact=True)
-    if more.isEmpty():
-        return roots
-    return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))))
+    more = _confirm(cut(pairs.distinct(), total), classes, docs, total)
+    return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))), total)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Near-duplicate groups of docs(doc_id, text): doc_id, n_shingles, component_id, kept, print.
 
     Words are runs of other characters than blanks and controls 9 to 13, A to Z in lower case; a
-    text's set is that of its 5-word shingles, or its whole word sequence when it is shorter. Sets link from
-    75 of 100 on. component_id is the least doc_id reachable over links, the row's own included. A
-    text without words, or null, has an empty set, is linked with nothing and kept. One row of each
+    text's set is that of its 5-word shingles, or its whole word sequence when it is shorter; texts are read whole,
+    however long. Sets link from 75 of 100 on. component_id is the least doc_id reachable over links, the row's own
+    included. A text without words, or null, has an empty set, is linked with nothing and kept. One row of each
     group is kept: that of component_id, and just one if that doc_id repeats. Rows without doc_id
-    come last in a group. Empty table: empty result. Other columns are ignored.
+    come last in a group. Empty table: empty result. Other columns are ignored, whatever their names.
     """
     narrow_batches(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, print long, n_shingles long, set_print binary, tokens binary, sketch binary")
+    rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, {DESCRIBED}")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
-    classes = cut(
-        rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first")).select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id")),
-        compact=True,
-    )
-    tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "tokens", "sketch"))
-    roots = cut(links_between_classes(classes, tokens, docs), compact=True)
-    grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", F.coalesce("root", "cls").alias("root"))
-    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("doc_id"), F.col("cls").alias("row_id"))).alias("least"))
-    named = grouped.join(least, "root").select("set_print", F.col("least.doc_id").alias("group_id"), F.col("least.row_id").alias("keep_row"))
-    return rows.select("row_id", "doc_id", "print", "n_shingles", "set_print").join(named, "set_print", "left").select(
+    total = rows.count()
+    sets = rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first"), F.count("*").alias("rows"))
+    classes = cut(sets.select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"), "rows"), total)
+    tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "roots", "deep", "sketch"))
+    roots = links_between_classes(classes, tokens, docs)
+    grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", "rows", F.coalesce("root", "cls").alias("root"))
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("doc_id"), F.col("cls").alias("row_id"))).alias("least"), F.count("*").alias("classes"))
+    # Classes of a hot component meet its least row by broadcast, and so do rows of a hot class.
+    named = cut(join_one(grouped, least, "root", "classes", total).select("set_print", F.col("least.doc_id").alias("group_id"), F.col("least.row_id").alias("keep_row"), "rows"), total)
+    return join_one(rows.select("row_id", "doc_id", "print", "n_shingles", "set_print"), named, "set_print", "rows", total).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id"),
