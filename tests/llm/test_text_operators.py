@@ -129,18 +129,53 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows_of(near_dedup.near_dedup(df))} == plain_components(texts)
 
 
-def test_trees_for_recall():
-    assert near_dedup.trees_needed(miss=1e-6) > near_dedup.trees_needed(miss=1e-2) >= 1
+def test_last_level_compares_any_size(spark, monkeypatch):
+    """Nodes that stay too large to the last level are compared there, in blocks."""
+    for name, value in (("NODE", 4), ("LEAF", 2), ("LEVELS", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(near_dedup, name, value)
+    boiler = " ".join(f"b{i}" for i in range(60))
+    texts = {k: boiler + " " + " ".join(f"t{k // 2}_{i}" for i in range(25)) + f" end{k}" for k in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(near_dedup.near_dedup(df))} == plain_components(texts)
+
+
+def test_sets_are_fetched_alike_by_broadcast_and_by_shuffle(spark, real, monkeypatch):
+    want = sorted((r["doc_id"], r["component_id"]) for r in rows_of(near_dedup.near_dedup(real)))
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows_of(near_dedup.near_dedup(real))) == want
+
+
+def test_pairs_at_the_threshold_are_rarely_missed():
+    """Pairs of Jaccard 0.75 whose paths must all go to the last level: the share that one tree misses, to the power of the trees."""
+    rng, n = np.random.default_rng(3), 100_000
+    x = rng.integers(0, 2**16, (n, near_dedup.TREES * near_dedup.DEEP)).astype(np.uint16)
+    y = np.where(rng.random(x.shape) < 0.75, x, x + np.uint16(1))
+    node = rng.integers(0, 2**63, n).astype(np.uint64)
+    met = np.zeros(n, bool)
+    for _ in range(near_dedup.BRANCH):
+        alive = [(np.flatnonzero(rng.random(n) < 0.75), None, None)]
+        alive = [(alive[0][0], rng.permutation(node)[alive[0][0]], np.zeros(len(alive[0][0]), np.int64))]
+        for _ in range(near_dedup.LEVELS - 1):
+            after = []
+            for rows, nodes, used in alive:
+                both = [near_dedup.children(nodes, np.zeros(len(rows), np.int64), used, m[rows]) for m in (x, y)]
+                for (a, mask), (b, _) in zip(*both, strict=True):
+                    same = a == b
+                    after.append((rows[same], a[same], mask[same]))
+            alive = after
+        for rows, _, _ in alive:
+            met[rows] = True
+    assert (1 - met.mean()) ** near_dedup.TREES < 1e-6
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=25))
-def test_components_against_a_plain_loop(spark, pairs):
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=25), st.sampled_from([1_000, 4]))
+def test_components_against_a_plain_loop(spark, pairs, task_links):
     parent = {x: x for p in pairs for x in p}
     for _ in parent:
         for a, b in pairs:
             parent[a] = parent[b] = min(parent[a], parent[b])
-    got = {r.member: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.member: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long"), 25, task_links).collect()}
     assert got == {k: v for k, v in parent.items() if k != v}
 
 
@@ -328,20 +363,60 @@ def test_flight_keeps_inclusion_probabilities():
     assert np.abs(hits / 800 - 0.4).max() < 0.06
 
 
-def test_mix(docs, empty, real, monkeypatch):
+def test_mix(docs, empty):
     got = rows_of(mixing.mix(docs))
     assert len(got) == docs.count() and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
     assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r.doc_id, len(words(r.text))) for r in docs.collect())
     assert mixing.mix(empty).count() == 0
-    monkeypatch.setattr(mixing, "CELL_ROWS", 6)
-    a, b = (sorted((r["doc_id"], r["taken"]) for r in rows_of(mixing.mix(real))) for _ in range(2))
-    assert a == b
+
+
+def plain_targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
+    """Fill sources up together, by weight, in small steps of the whole: each stops at twice its size."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    want, left = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values())
+    while left > 1e-6:
+        free = [s for s in names if want[s] < 2 * sizes[s] - 1e-9]
+        unit = min(min((2 * sizes[s] - want[s]) / weight[s] for s in free), left / sum(weight[s] for s in free))
+        for s in free:
+            want[s] += unit * weight[s]
+            left -= unit * weight[s]
+    return want
+
+
+@pytest.mark.parametrize("cell_rows", [50_000, 30])
+def test_mix_meets_every_target_whatever_the_partitions(spark, cell_rows):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     source = {r.doc_id: r.source for r in real.collect()}
-    taken, target = collections.Counter(), {}
-    for r in rows_of(mixing.mix(real)):
+    size = {r.doc_id: len(words(r.text)) for r in real.collect()}
+    sizes = collections.Counter()
+    for k, s in source.items():
+        sizes[s] += size[k]
+    want, first = plain_targets(sizes), None
+    for parts in (2, 7, 211) if cell_rows == 30 else (3,):
+        got = rows_of(mixing.mix(real.repartition(parts), cell_rows=cell_rows))
+        plan = sorted((r["doc_id"], r["copies"]) for r in got)
+        assert first in (None, plan)
+        first = plan
+    taken, docs_taken, prob = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        assert r["taken"] == r["copies"] * size[r["doc_id"]] and r["source_size"] == sizes[source[r["doc_id"]]]
+        assert r["target"] == pytest.approx(want[source[r["doc_id"]]])
         taken[source[r["doc_id"]]] += r["taken"]
-        target[source[r["doc_id"]]] = r["target"]
-    assert sum(taken.values()) == pytest.approx(sum(target.values()), rel=0.05)
+        docs_taken[source[r["doc_id"]]] += r["copies"]
+        prob[source[r["doc_id"]]] = r["target"] / r["source_size"]
+    rows = collections.Counter(source.values())
+    for s, w in want.items():
+        # Both totals are balanced. Tiny cells leave few units to land with: then within one document.
+        assert abs(taken[s] - w) <= (0.002 * w if cell_rows > 30 else max(size[k] for k, x in source.items() if x == s))
+        assert abs(docs_taken[s] - prob[s] * rows[s]) <= 25
+
+
+def test_repeated_rows_are_units_of_their_own(spark):
+    rows = [(1, "a b c", "s")] * 2500 + [(2, None, "s"), (None, "d e", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [collections.Counter((r["doc_id"], r["copies"]) for r in rows_of(mixing.mix(df.repartition(n), cell_rows=100))) for n in (2, 7)]
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
 
 
 # Exact duplicates
@@ -371,23 +446,49 @@ def norm(text: str | None) -> str:
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-def test_exact_dedup(docs, empty, real):
+def check_exact(df) -> None:
+    got, source = rows_of(exact_dedup.exact_dedup(df)), df.collect()
+    groups = collections.defaultdict(list)
+    for r in source:
+        groups[hashlib.sha256(norm(r.text).encode()).hexdigest()].append(r.doc_id)
+    assert len(got) == len(source)
+    kept = collections.Counter()
+    for r in got:
+        ids = groups[r["text_sha256"]]
+        known = [i for i in ids if i is not None]
+        assert r["group_size"] == len(ids) and r["keep_id"] == (min(known) if known else None)
+        kept[r["text_sha256"]] += r["kept"]
+    assert set(kept.values()) == {1} and set(kept) == set(groups)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_exact_dedup(docs, empty, real, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", broadcast)
     for df in (docs, real):
-        got, source = rows_of(exact_dedup.exact_dedup(df)), df.collect()
-        groups = collections.defaultdict(list)
-        for r in source:
-            groups[hashlib.sha256(norm(r.text).encode()).hexdigest()].append(r.doc_id)
-        assert len(got) == len(source)
-        kept = collections.Counter()
-        for r in got:
-            ids = groups[r["text_sha256"]]
-            known = [i for i in ids if i is not None]
-            assert r["group_size"] == len(ids) and r["keep_id"] == (min(known) if known else None)
-            kept[r["text_sha256"]] += r["kept"]
-        assert set(kept.values()) == {1} and set(kept) == set(groups)
+        check_exact(df)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("split", ["16k", "64m"])
+def test_exact_dedup_reads_tables_in_any_splits(spark, split):
+    """Tables in between have files of several row groups; tasks read parts of them, or several of them."""
+    names = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in names}
+    block = spark.sparkContext._jsc.hadoopConfiguration()
+    size = block.get("parquet.block.size")
+    df = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', CONCAT('text ', id % 9000)) AS text").repartition(5).cache()
+    try:
+        block.set("parquet.block.size", str(8 << 10))
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        check_exact(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        block.unset("parquet.block.size") if size is None else block.set("parquet.block.size", size)
+        df.unpersist()
+
+
 # Repeats
 
 
