@@ -1,15 +1,17 @@
-"""What the two substring operators share: anchors of windows, and the tables around their kernels.
+"""What the two substring operators share: anchors of windows, prefixes of any length, and the tables around their kernels.
 
 Every window of WINDOW symbols (words or bytes) has an anchor: the run of GRAM symbols inside it with
 the least hash, the leftmost on ties. Equal windows have equal anchors at equal places, so a window
-can only repeat if its anchor does. Consecutive windows with one anchor form a segment. The steps:
+can only repeat if its anchor does. Consecutive windows with one anchor form a segment, and what stands from
+the anchor on is the suffix that represents them. The steps:
 
 1. Each row gives its anchors' hashes; equal texts are one class, of which only the first goes on.
 2. Hashes that occur more than once are found by counting, and the rows that have them.
-3. The segments of those anchors go, by hash, to the kernels, which say which windows repeat.
-   Equal segments of one batch are sent once.
-4. Anchors with more than HOT rows, as of a passage that every third document quotes, go window by
-   window to a plain aggregation, so that no task holds them together.
+3. The segments of those anchors are grouped by a prefix of their suffixes, at first the anchor itself.
+   Equal segments of one batch are sent once. A prefix that gathers more than GROUP_ROWS segments is lengthened: its
+   segments split by their windows' distance from the anchor, so that the windows of a part have more
+   symbols in common, up to the whole window, where a group is one repeat and needs no kernel.
+4. The kernels say which windows of a group repeat.
 5. The repeated windows of a row come together and its text is cut.
 """
 
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order, narrow_batches
+from tidemark.llm.common import cut, doc_order, join_one, narrow_batches
 
-#: Occurrences of an anchor beyond which its windows are aggregated one by one.
-HOT = 20_000
+#: Segments of one prefix that a kernel gets together; a prefix with more of them is lengthened.
+GROUP_ROWS = 20_000
+#: By how much the windows of one part become fewer when a prefix is lengthened.
+FEWER = 4
 #: Rows whose doc_ids (8 bytes each) are broadcast to pick their texts before these are shuffled.
 BROADCAST_ROWS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
@@ -89,6 +93,7 @@ class Kind:
     symbols: Callable[[bytes], tuple[np.ndarray, np.ndarray]]  # text -> hashes of its symbols, compact values of them
     whole: Callable[[bytes], bytes]  # text -> what is kept when nothing is removed
     kept: Callable[[bytes, np.ndarray], bytes]  # text, mask of kept symbols -> what is kept
+    value_bytes: int  # bytes of a symbol's value
 
     def anchors(self, hashes: np.ndarray):
         g = rolling(hashes, self.gram)
@@ -124,14 +129,9 @@ def _unrolled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["row_id", "gram"])
 
 
-#: Rows that go to the kernels. repeats: the segment occurs more than once in its batch.
-SEGMENT = pa.schema(
-    [
-        ("gram", pa.int64()), ("rank", pa.int64()), ("row_id", pa.int64()), ("start", pa.int32()), ("anchor", pa.int32()), ("windows", pa.int32()),
-        ("values", pa.binary()), ("repeats", pa.bool_()), ("hot", pa.bool_()),
-    ]
-)
-SEGMENT_SQL = "gram long, rank long, row_id long, start int, anchor int, windows int, values binary, repeats boolean, hot boolean"
+#: Rows that go to the kernels; without values: windows that are known to repeat.
+SEGMENT = pa.schema([("gram", pa.int64()), ("rank", pa.int64()), ("row_id", pa.int64()), ("start", pa.int32()), ("anchor", pa.int32()), ("windows", pa.int32()), ("values", pa.binary())])
+SEGMENT_SQL = "gram long, rank long, row_id long, start int, anchor int, windows int, values binary"
 MARK_SQL = "row_id long, start int, windows int"
 
 
@@ -158,73 +158,114 @@ def _run_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return mixed((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64) * MIX)
 
 
-def segments_of(kind: Kind, mark_first: bool):
-    """Rows (row_id, rank, text, grams array, hot array) -> segments of the named anchors.
+def _sent_once(gram, rank, row, start, anchor, windows, same, values: np.ndarray, at: np.ndarray, sizes: np.ndarray, mark_first: bool) -> pa.RecordBatch:
+    """Segments of a batch, with runs of values from ``at`` on; equal ones (by the hash ``same``) once, the earliest.
 
-    Equal segments of a batch are sent once, the earliest, with repeats set; the others come out as marks
-    (values null), and with mark_first the earliest too.
+    The others come out as marks (values null), and with mark_first the earliest of several too.
     """
+    key = mixed(same ^ mixed(gram + anchor.astype(np.uint64)))
+    order = np.lexsort((start, row, rank, key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.empty(0, bool)
+    later = np.empty(len(order), bool)
+    later[order] = ~new
+    take, plain = np.arange(len(order)), ~later
+    if mark_first and len(order):
+        several = order[new][np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])) > 1]
+        take, plain = np.concatenate([take, several]), np.concatenate([plain, np.zeros(len(several), bool)])
+    ints = [pa.array(x[take].astype(np.int32)) for x in (start, anchor, windows)]
+    return pa.RecordBatch.from_arrays([pa.array(gram[take].view(np.int64)), pa.array(rank[take]), pa.array(row[take]), *ints, _binary(values, at[take], sizes[take], plain)], schema=SEGMENT)
+
+
+def segments_of(kind: Kind, mark_first: bool):
+    """Rows (row_id, rank, text, grams array) -> segments of the named anchors, equal ones of a batch once."""
 
     def run(batches):
         for batch in batches:
             offsets = batch.column("grams").offsets.to_numpy()
             grams = batch.column("grams").values.to_numpy().view(np.uint64)
-            hot = batch.column("hot").values.to_numpy(zero_copy_only=False)
             parts, texts, base = [], [], 0
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes, values = kind.symbols(text.encode("utf-8", "surrogatepass"))
                 g, a, lo, hi = kind.anchors(hashes)
-                named, where = np.unique(grams[offsets[i] : offsets[i + 1]], return_index=True)
-                at = np.minimum(np.searchsorted(named, g), len(named) - 1)
-                k = np.flatnonzero(named[at] == g)
+                named = np.unique(grams[offsets[i] : offsets[i + 1]])
+                k = np.flatnonzero(named[np.minimum(np.searchsorted(named, g), len(named) - 1)] == g)
                 windows = hi[k] - lo[k] + 1
-                same = _run_hashes(hashes, lo[k], windows + (kind.window - 1))
-                parts.append((np.full(len(k), i), g[k], lo[k], a[k] - lo[k], windows, hot[offsets[i] : offsets[i + 1]][where][at[k]], same, base + lo[k]))
+                parts.append((np.full(len(k), i), g[k], lo[k], a[k] - lo[k], windows, _run_hashes(hashes, lo[k], windows + (kind.window - 1)), base + lo[k]))
                 texts.append(values)
                 base += len(values)
-            if not parts:
-                continue
-            doc, g, start, anchor, windows, is_hot, same, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rank, row = batch.column("rank").to_numpy()[doc], batch.column("row_id").to_numpy()[doc]
-            # Hot segments are not gathered: their windows are aggregated later.
-            key = mixed(same ^ mixed(g + anchor.astype(np.uint64)))
-            order = np.lexsort((start, row, rank, key, is_hot))
-            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | is_hot[order][1:]]) if len(order) else np.empty(0, bool)
-            later = np.empty(len(order), bool)
-            later[order] = ~new
-            size = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])) if len(order) else order
-            repeats = np.zeros(len(order), bool)
-            repeats[order[new]] = size > 1
-            take = np.concatenate([np.arange(len(order)), np.flatnonzero(repeats)]) if mark_first else np.arange(len(order))
-            plain = np.concatenate([~later, np.zeros(len(take) - len(order), bool)])
-            # Marks have nothing to meet; they are dealt evenly.
-            dealt = np.where(plain, g[take], mixed(row[take].astype(np.uint64) * STEP + start[take].astype(np.uint64)))
-            values = _binary(np.concatenate(texts), at[take], windows[take] + (kind.window - 1), plain)
-            ints = [pa.array(x[take].astype(np.int32)) for x in (start, anchor, windows)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(dealt.view(np.int64)), pa.array(rank[take]), pa.array(row[take]), *ints, values, pa.array(repeats[take]), pa.array(is_hot[take] & plain)], schema=SEGMENT
-            )
+            if parts:
+                doc, g, start, anchor, windows, same, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                rank, row = batch.column("rank").to_numpy()[doc], batch.column("row_id").to_numpy()[doc]
+                yield _sent_once(g, rank, row, start, anchor, windows, same, np.concatenate(texts), at, windows + (kind.window - 1), mark_first)
 
     return run
 
 
-def hot_windows(kind: Kind, width: int):
-    """Segments of hot anchors -> a row for each window, with a 128-bit hash of it."""
-    from xxhash import xxh3_128_digest
+def spans(kind: Kind) -> list[int]:
+    """Most windows of a segment under each length of prefixes, from the anchor to the whole window."""
+    out = [kind.window - kind.gram + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // FEWER))
+    return out
+
+
+def lengthened(kind: Kind, span: int, mark_first: bool):
+    """Segments -> their parts of at most ``span`` windows, by distance from the anchor, with an anchor that all windows of the part hold.
+
+    The part's prefix begins at that anchor and has window - span + 1 symbols.
+    """
+    from xxhash import xxh64_intdigest
+
+    width = kind.value_bytes
+    common = (kind.window - span + 1) * width
 
-    def unroll(batches):
+    def run(batches):
         for batch in batches:
-            t = batch.to_pydict()
-            out = {"window": [], "rank": [], "row_id": [], "start": []}
-            for values, start, n, rank, row_id in zip(t["values"], t["start"], t["windows"], t["rank"], t["row_id"], strict=True):
-                for k in range(n):
-                    out["window"].append(xxh3_128_digest(values[k * width : (k + kind.window) * width]))
-                    out["rank"].append(rank)
-                    out["row_id"].append(row_id)
-                    out["start"].append(start + k)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("window", pa.binary()), ("rank", pa.int64()), ("row_id", pa.int64()), ("start", pa.int32())]))
+            rows, texts, base = [], [], 0
+            for i, (start, anchor, windows, values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "anchor", "windows", "values")), strict=True)):
+                texts.append(values)
+                # Window w begins anchor - w symbols before the anchor.
+                for j in range((anchor - windows + 1) // span, anchor // span + 1):
+                    first, last = max(0, anchor - (j + 1) * span + 1), min(windows - 1, anchor - j * span)
+                    moved = anchor - j * span - first
+                    part = values[first * width : (last + kind.window) * width]
+                    key = xxh64_intdigest(part[moved * width : moved * width + common], j)
+                    rows.append((i, start + first, moved, last - first + 1, xxh64_intdigest(part), base // width + first, key))
+                base += len(values)
+            if rows:
+                i, start, anchor, windows, same, at = (np.array(x, np.uint64 if k == 4 else np.int64) for k, x in enumerate(list(zip(*rows, strict=True))[:6]))
+                gram = mixed(batch.column("gram").to_numpy()[i].view(np.uint64) ^ np.array([r[6] for r in rows], np.uint64))
+                values = np.frombuffer(b"".join(texts), f"u{width}")
+                yield _sent_once(gram, batch.column("rank").to_numpy()[i], batch.column("row_id").to_numpy()[i], start, anchor, windows, same, values, at, windows + (kind.window - 1), mark_first)
+
+    return run
 
-    return unroll
+
+def grouped(kind: Kind, found: DataFrame, mark_first: bool, group_rows: int | None = None) -> tuple[list[tuple[int, DataFrame]], DataFrame | None, DataFrame]:
+    """Segments of found rows in groups (column gram) of at most group_rows.
+
+    Result: for each length of prefixes in use, that length and its groups; windows whose prefix is the window itself
+    and which are too many for a kernel, if there are any; marks of windows that are known to repeat.
+    """
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    segments = cut(found.mapInArrow(segments_of(kind, mark_first), SEGMENT_SQL))
+    marks, out, levels = segments.where("values IS NULL"), [], spans(kind)
+    for level, span in enumerate(levels):
+        rows = segments.where("values IS NOT NULL")
+        sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
+        # As many rows as all segments through the limit, at most.
+        large = cut(sizes.where(F.col("n") > limit).withColumn("in_group", F.col("n")))
+        total = rows.count()
+        if large.isEmpty():
+            return [*out, (kind.window - span + 1, rows)], None, marks.select("row_id", "start", "windows")
+        met = join_one(rows, large, "gram", "n", total)
+        out.append((kind.window - span + 1, met.where("in_group IS NULL").drop("in_group")))
+        hot = met.where("in_group IS NOT NULL").drop("in_group")
+        if span == 1:
+            return out, hot, marks.select("row_id", "start", "windows")
+        segments = cut(hot.mapInArrow(lengthened(kind, levels[level + 1], mark_first), SEGMENT_SQL))
+        marks = marks.unionByName(segments.where("values IS NULL"))
+    raise AssertionError("the last prefix is the window")
 
 
 def describe(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
@@ -241,8 +282,9 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
     """First rows of classes that have an anchor that occurs again: row_id, rank, text, and those anchors' hashes."""
     first = rows.join(classes.select(F.col("first_row").alias("row_id")), "row_id", "left_semi")
     grams = first.select("row_id", "grams").mapInArrow(_unrolled, "row_id long, gram long")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("is_hot"))
-    hits = grams.join(counts, "gram").groupBy("row_id").agg(F.collect_list("gram").alias("grams"), F.collect_list("is_hot").alias("hot"))
+    counts = cut(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.lit(True)))
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
+    hits = join_one(grams, counts, "gram", "n", total).where("often").groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
     named = hits.join(rows.select("row_id", F.col("doc_id").alias("d"), "key"), "row_id").withColumn("rank", F.coalesce(F.col("d").cast("long"), F.lit((1 << 63) - 1)))
 
     def own(batches):
@@ -250,7 +292,7 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
         for batch in batches:
             good = [hashlib.blake2b(kind.whole((t or "").encode("utf-8", "surrogatepass")), digest_size=16).digest() == k for t, k in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)]
             kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("row_id", "rank", "text", "grams", "hot")], names=["row_id", "rank", "text", "grams", "hot"])
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("row_id", "rank", "text", "grams")], names=["row_id", "rank", "text", "grams"])
 
     named = cut(named)
     texts = docs.select("doc_id", "text")
@@ -258,16 +300,8 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
         # Only texts that are wanted are shuffled. Beyond that many the join alone picks them.
         wanted = named.select(F.col("d").alias("w")).distinct()
         texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    joined = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("row_id", "rank", "text", "key", "grams", "hot")
-    return cut(joined.mapInArrow(own, "row_id long, rank long, text string, grams array<long>, hot array<boolean>"))
-
-
-def with_hot(found: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Segments for the kernels, and those of hot anchors if there are any; only then they are written first."""
-    if found.where(F.exists("hot", lambda x: x)).isEmpty():
-        return segments, None
-    segments = cut(segments)
-    return segments.where("not hot"), segments.where("hot")
+    joined = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("row_id", "rank", "text", "key", "grams")
+    return cut(joined.mapInArrow(own, "row_id long, rank long, text string, grams array<long>"))
 
 
 def removed(kind: Kind, found: DataFrame, marks: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Substring dedup over bytes by a common-prefix-aware distributed merge sort of suffixes.
 
 The suffixes that are sorted start at anchors of windows that may repeat (see ``repeats``), so one
-stands for all windows around it. Each task sorts its suffixes into runs, one for each owner, and
-front-codes them: the length shared with the suffix before, then the rest. An owner merges its runs with a
-loser tree that carries, for the head of each run, the prefix length shared with the last suffix put out;
-a comparison starts behind the known prefix, and most need none. The merged order comes with its
-common prefixes, from which windows around equal anchors are compared: to the right by the
-common prefixes, to the left by hashes of the bytes before the anchor.
+stands for all windows around it. Owners are ranges of the suffixes' order, cut by splitters from a sample. Each
+task sorts its suffixes, cuts them at the splitters into one run for each owner, and front-codes the runs: the
+length shared with the suffix before, then the rest. An owner merges its runs with a loser tree that carries, for
+the head of each run, the prefix length shared with the last suffix put out; a comparison starts behind the
+known prefix, and most need none. Splitters are as long as the suffixes' common prefixes, so no group of suffixes that
+share one is cut. The merged order comes with its common prefixes, from which windows around equal anchors are compared:
+to the right by the common prefixes, to the left by 64-bit hashes of the bytes before the anchor.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import shuffle_partitions
+from tidemark.llm.common import join_one, shuffle_partitions
 
 WINDOW, GRAM = 200, 32
-MASK = (1 << 32) - 1
-#: Bytes of suspects' texts for each owner, about; its suffixes take up to half as much.
-OWNER_BYTES = 8 << 20
+#: Bytes of segments for each owner, about, and the most owners; with more bytes each gets more.
+OWNER_BYTES, MOST_OWNERS = 12 << 20, 65_536
+#: Sampled suffixes for each owner, about, from which its splitter is taken: two million in all, at most.
+SAMPLES = 32
+#: Bytes of segments that a task sorts together, about: a task of more sends several runs to an owner.
+RUN_BYTES = 48 << 20
 
 
 def _symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +37,7 @@ def _symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.uint64) + np.uint64(1), values
 
 
-KIND = repeats.Kind(WINDOW, GRAM, _symbols, lambda raw: raw, lambda raw, mask: np.frombuffer(raw, np.uint8)[mask].tobytes())
+KIND = repeats.Kind(WINDOW, GRAM, _symbols, lambda raw: raw, lambda raw, mask: np.frombuffer(raw, np.uint8)[mask].tobytes(), 1)
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -168,29 +174,44 @@ RUN_SQL = "owner int, coded binary, lefts binary, entries binary"
 ENTRY = np.dtype([("row_id", "<i8"), ("start", "<i4"), ("anchor", "<i4"), ("windows", "<i4")])
 
 
-def _sorted_runs(owners: int):
-    """Segments -> one sorted front-coded run for each owner and batch; marks come out as entries without strings."""
+def splitters(segments: DataFrame, prefix: int, owners: int) -> list[bytes]:
+    """Up to owners - 1 prefixes that cut the suffixes of segments into ranges of about equal numbers."""
+    rows = segments.count()
+    drawn = F.pmod(F.xxhash64("row_id", "start", "anchor"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, owners * SAMPLES / max(1, rows)))
+    sample = sorted(bytes(r[0]) for r in segments.where(drawn).select(F.expr(f"substring(values, anchor + 1, {prefix})")).collect())
+    return sorted({sample[k * len(sample) // owners] for k in range(1, owners)}) if sample else []
+
+
+def _sorted_runs(cuts: list[bytes]):
+    """Segments -> for each task its sorted suffixes, as one front-coded run for each owner."""
+
+    def coded(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda x: x[0])
+        suffixes = [x[0] for x in held]
+        rows = {"owner": [], "coded": [], "lefts": [], "entries": []}
+        at, owner = 0, 0
+        while at < len(held):
+            owner = bisect.bisect_right(cuts, suffixes[at], lo=owner)
+            end = bisect.bisect_left(suffixes, cuts[owner], lo=at) if owner < len(cuts) else len(held)
+            rows["owner"].append(owner)
+            rows["coded"].append(front_code(suffixes[at:end]))
+            rows["lefts"].append(b"".join(x[1] for x in held[at:end]))
+            rows["entries"].append(np.array([x[2:] for x in held[at:end]], ENTRY).tobytes())
+            at = end
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("owner", pa.int32()), ("coded", pa.binary()), ("lefts", pa.binary()), ("entries", pa.binary())]))
 
     def run(batches):
+        held, volume = [], 0
         for batch in batches:
-            t = batch.to_pydict()
-            by: dict[int, list] = {}
-            for i in range(batch.num_rows):
-                owner = (t["gram"][i] & MASK) * owners >> 32
-                by.setdefault(owner, []).append(i)
-            rows = {"owner": [], "coded": [], "lefts": [], "entries": []}
-            for owner, at in by.items():
-                for strings in (True, False):
-                    some = [i for i in at if (t["values"][i] is not None) == strings]
-                    if not some:
-                        continue
-                    if strings:
-                        some.sort(key=lambda i: t["values"][i][t["anchor"][i] :])
-                    rows["owner"].append(owner)
-                    rows["coded"].append(front_code([t["values"][i][t["anchor"][i] :] for i in some]) if strings else None)
-                    rows["lefts"].append(b"".join(t["values"][i][: t["anchor"][i]] for i in some) if strings else None)
-                    rows["entries"].append(np.array([(t["row_id"][i], t["start"][i], t["anchor"][i], t["windows"][i]) for i in some], ENTRY).tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("owner", pa.int32()), ("coded", pa.binary()), ("lefts", pa.binary()), ("entries", pa.binary())]))
+            for values, *entry in zip(*(batch.column(c).to_pylist() for c in ("values", "row_id", "start", "anchor", "windows")), strict=True):
+                anchor = entry[2]
+                held.append((values[anchor:], values[:anchor], *entry))
+                volume += len(values)
+            if volume > RUN_BYTES:
+                yield coded(held)
+                held, volume = [], 0
+        if held:
+            yield coded(held)
 
     return run
 
@@ -201,11 +222,7 @@ def _marks(row, start, windows) -> pd.DataFrame:
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     """One owner: merge its runs and mark the repeated windows."""
-    plain = np.concatenate([np.empty(0, ENTRY), *[np.frombuffer(e, ENTRY) for e, c in zip(pdf["entries"], pdf["coded"], strict=True) if c is None]])
-    out = [_marks(plain["row_id"], plain["start"], plain["windows"])]
-    coded = pdf[pdf["coded"].notna()]
-    if not len(coded):
-        return out[0]
+    out, coded = [_marks([], [], [])], pdf
     runs = [front_decode(c) for c in coded["coded"]]
     entries = [np.frombuffer(e, ENTRY) for e in coded["entries"]]
     lefts = []
@@ -243,29 +260,37 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def byte_dedup(docs: DataFrame) -> DataFrame:
+def _repeats(segments: DataFrame, prefix: int, least_owners: int) -> DataFrame:
+    """Marks of the repeated windows of segments whose suffixes share ``prefix`` bytes if they belong together."""
+    volume = segments.agg(F.sum(F.octet_length("values"))).first()[0] or 0
+    owners = min(MOST_OWNERS, max(least_owners, volume // OWNER_BYTES + 1))
+    runs = segments.mapInArrow(_sorted_runs(splitters(segments, prefix, owners)), RUN_SQL)
+    return runs.groupBy("owner").applyInPandas(_merged, repeats.MARK_SQL)
+
+
+def byte_dedup(docs: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Bytes of docs(doc_id, text) inside a run of WINDOW bytes that occurs elsewhere too: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes, a null text is empty. A byte goes when a run of WINDOW bytes of its
     text covers it that starts anywhere else as well, in any text or its own; all occurrences go.
     Runs are judged on the input and don't cross texts. n_spans: maximal removed stretches. Rows that repeat are texts of their own.
+    Empty table: empty result. Other columns are ignored, whatever their names. group_rows: segments of one prefix
+    beyond which it is lengthened.
     """
     rows, classes = repeats.describe(docs, KIND)
     found = repeats.suspects(docs, KIND, rows, classes)
-    segments, hot = repeats.with_hot(found, found.mapInArrow(repeats.segments_of(KIND, mark_first=True), repeats.SEGMENT_SQL))
-    # An owner holds its runs: there are as many owners as keep its share of the texts small.
-    volume = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    owners = max(shuffle_partitions(docs), volume // OWNER_BYTES + 1)
-    runs = segments.mapInArrow(_sorted_runs(owners), RUN_SQL)
-    marks = runs.groupBy("owner").applyInPandas(_merged, repeats.MARK_SQL)
-    if hot is not None:
-        windows = hot.mapInArrow(repeats.hot_windows(KIND, 1), "window binary, rank long, row_id long, start int")
-        often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        marks = marks.unionByName(windows.join(often, "window").select("row_id", "start", F.lit(1).alias("windows")))
+    groups, windows, marks = repeats.grouped(KIND, found, mark_first=True, group_rows=group_rows)
+    for prefix, segments in groups:
+        marks = marks.unionByName(_repeats(segments, prefix, shuffle_partitions(docs)))
+    if windows is not None:
+        # Prefixes that are whole windows: equal suffixes, of which only the number is looked for.
+        often = windows.groupBy("values").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.lit(True))
+        marks = marks.unionByName(join_one(windows, often, "values", "n", windows.count()).where("often").select("row_id", "start", "windows"))
     changed = repeats.removed(KIND, found, marks)
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing. Fixed value.
-    all_rows = rows.select("row_id", "doc_id", "size", "key", "whole_sha256").join(classes.where("copies > 1").select("key", "copies"), "key", "left")
-    copied = F.col("copies").isNotNull()
+    described = rows.select("row_id", "doc_id", "size", "key", "whole_sha256")
+    all_rows = join_one(described, classes.where("copies > 1").select("key", "copies", F.lit(True).alias("copied")), "key", "copies", rows.count())
+    copied = F.col("copied").isNotNull()
     return all_rows.join(changed, "row_id", "left").select(
         "doc_id",
         F.col("size").alias("n_bytes"),
