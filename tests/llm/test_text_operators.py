@@ -530,22 +530,20 @@ def tricky(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_substring_dedup(spark, real, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("group_rows", [None, 2])
+def test_substring_dedup(spark, real, group_rows):
     rows, df = tricky(spark)
     for data, given_rows in ((df, rows), (real, [(r.doc_id, r.text) for r in real.collect()])):
         want = plain_words(given_rows)
-        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(suffix_tree.substring_dedup(data))} == want
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(suffix_tree.substring_dedup(data, group_rows))} == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_byte_dedup(spark, real, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("group_rows", [None, 2])
+def test_byte_dedup(spark, real, group_rows):
     rows, df = tricky(spark)
     for data, given_rows in ((df, rows), (real, [(r.doc_id, r.text) for r in real.collect()])):
         want = plain_bytes(given_rows)
-        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(suffix_array.byte_dedup(data))} == want
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(suffix_array.byte_dedup(data, group_rows))} == want
 
 
 def test_repeats_of_hostile_rows(docs, empty):
@@ -567,13 +565,31 @@ def test_merge_of_front_coded_runs(runs):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.integers(1, 20))
-def test_nodes_at_depth(values, depth):
-    node = suffix_tree.nodes_at(np.array(values, np.uint32), depth)
-    n = len(values) - depth + 1
-    for i in range(max(0, n)):
-        for j in range(i):
-            assert (node[i] == node[j]) == (values[i : i + depth] == values[j : j + depth])
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=40), st.integers(1, 20))
+def test_subtree_is_the_sorted_suffixes_with_what_they_share(values, depth):
+    starts = np.arange(len(values) - depth + 1) if len(values) >= depth else np.empty(0, np.int64)
+    order, shared = suffix_tree.subtree(np.array(values, np.uint32), starts, depth)
+    cut = [tuple(values[i : i + depth]) for i in starts]
+    assert [cut[i] for i in order] == sorted(cut)
+    same = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+    assert shared.tolist() == [0, *(same(cut[a], cut[b]) for a, b in zip(order, order[1:], strict=False))][: len(order)]
+    node = suffix_tree.deep_nodes(shared, depth)
+    assert all((node[i] == node[j]) == (cut[order[i]] == cut[order[j]]) for i in range(len(order)) for j in range(i))
+
+
+def test_prefixes_lengthen_to_the_window():
+    for kind in (suffix_tree.KIND, suffix_array.KIND):
+        widths = repeats.spans(kind)
+        assert widths[0] == kind.window - kind.gram + 1 and widths[-1] == 1 and all(a > b for a, b in zip(widths, widths[1:], strict=False))
+
+
+def test_splitters_cut_the_order_evenly(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, 3, bytes(rng.integers(0, 255, 40).astype(np.uint8))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, start int, anchor int, values binary")
+    cuts = suffix_array.splitters(df, 32, 10)
+    counts = np.bincount(np.searchsorted(np.array(cuts, object), np.array([r[3][3:] for r in rows], object), side="right"), minlength=10)
+    assert cuts == sorted(cuts) and all(len(c) == 32 for c in cuts) and counts.max() < 3 * counts.mean()
 
 
 @settings(max_examples=60, deadline=None)
