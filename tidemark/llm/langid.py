@@ -11,21 +11,28 @@ The models are fitted on a bounded sample of labelled rows (see ``fit``); every
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from tidemark.llm.common import narrow_batches
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Labelled rows per language, and languages, that the fit reads at most; characters of the fit per language.
-SAMPLE_ROWS, MOST_LANGUAGES, SAMPLE_CHARS = 400, 256, 2_000_000
+#: What the fit reads: of each language about so many labelled rows (twice as many at most), and no further row after so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 2_000_000
+#: Characters of all languages together: with more than 32 languages each gets less than SAMPLE_CHARS.
+ALL_CHARS = 64_000_000
+#: Bytes of the models, which go to every task. More are an error.
+MODEL_BYTES = 1 << 30
 #: Nats beyond the limit that a text must cost in all to be rejected: a key or a typing slip in a short text costs less.
 EVIDENCE = 100.0
 #: Hash multiplier. Any odd number will do.
@@ -74,7 +81,6 @@ class Models:
     backoff_keys: list[np.ndarray]  # contexts of each order from 1 on
     backoff: list[np.ndarray]  # log of the mass left to lower orders
     limits: np.ndarray  # cross-entropy beyond which a text is rejected
-    letters: int  # distinct characters of all texts
 
     def entropy(self, codes: np.ndarray) -> np.ndarray:
         """Cross-entropy per character under each language; codes: at least two characters."""
@@ -114,127 +120,139 @@ class Models:
         return np.bincount(at, minlength=len(table)).astype(np.float64) @ table if len(at) * 4 > len(table) else table[at].sum(axis=0, dtype=np.float64)
 
 
-def _of_language(texts: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[dict]]:
-    """For each order: its n-grams with (raw or continuation) counts and their contexts."""
-    out = []
+def counted(texts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Of each order n: n-grams (keys), their first and last n - 1 characters (contexts, lows), and counts: raw at the highest order, else of distinct characters before."""
+    out = {}
     for n in range(1, ORDER + 1):
-        whole = [(grams(t, n), grams(t, n - 1)[: len(t) - n + 1] if n > 1 else None, grams(t, n + 1)) for t in texts if len(t) >= n]
-        if n == ORDER:
-            # Raw counts at the highest order.
-            pairs = np.stack([np.concatenate([w[0] for w in whole]), np.concatenate([w[1] for w in whole])], axis=1)
-            keys, first, counts = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-            out.append((keys, pairs[first, 1], counts))
-        else:
-            # Continuation counts below it: distinct characters seen before the n-gram.
-            longer = np.concatenate([w[2] for w in whole])
-            inner = np.concatenate([w[0][1:] for w in whole])
-            contexts = np.concatenate([w[1][1:] for w in whole]) if n > 1 else np.zeros(len(inner), np.uint64)
-            _, first = np.unique(longer, return_index=True)
-            keys, at, counts = np.unique(inner[first], return_index=True, return_counts=True)
-            out.append((keys, contexts[first][at], counts))
-    return out
-
-
-def fit(samples: dict[str, list[str]]) -> Models:
-    """Models from texts by language. Every tenth text only calibrates the rejection; of fewer than ten each does in turn."""
-    parsed = {x: [c for c in map(folded, samples[x]) if len(c) > 1] for x in sorted(samples)}
-    models = _fit({x: [c for i, c in enumerate(t) if i % 10 != 9 or len(t) < 10] for x, t in parsed.items()})
-    for j, x in enumerate(models.languages):
-        held = [models.entropy(c)[j] for i, c in enumerate(parsed[x]) if i % 10 == 9] or _left_out(parsed[x], models.letters)
-        if held:
-            seen = np.array(held)
-            # Far beyond any text of the language: junk shares few of its n-grams.
-            models.limits[j] = max(seen.mean() + 6 * seen.std(), 1.5 * seen.max())
-    return models
-
-
-def _left_out(texts: list[np.ndarray], letters: int) -> list[float]:
-    """Cross-entropy of each text, or of each half of an only one, under a model of the others."""
-    if len(texts) == 1:
-        middle = len(texts[0]) // 2
-        texts = [t for t in (texts[0][:middle], texts[0][middle:]) if len(t) > 1]
-    out = []
-    for i, c in enumerate(texts):
-        others = _fit({"": texts[:i] + texts[i + 1 :]}, letters)
-        if others.languages:
-            out.append(float(others.entropy(c)[0]))
+        rows = []
+        for t in texts:
+            if len(t) < n:
+                continue
+            h = grams(t, n)
+            ends = grams(t, n - 1) if n > 1 else np.zeros(len(h) + 1, np.uint64)
+            longer = h if n == ORDER else grams(t, n + 1)
+            # Below the highest order, an n-gram at the beginning has nothing before it.
+            at = 0 if n == ORDER else 1
+            rows.append(np.stack([longer, h[at:], ends[at:-1], ends[at + 1 :]]))
+        longer, h, context, low = np.concatenate(rows, axis=1) if rows else np.empty((4, 0), np.uint64)
+        first = np.arange(len(h)) if n == ORDER else np.unique(longer, return_index=True)[1]
+        keys, at, counts = np.unique(h[first], return_index=True, return_counts=True)
+        out |= {f"keys{n}": keys, f"contexts{n}": context[first][at], f"lows{n}": low[first][at], f"counts{n}": counts}
     return out
 
 
-def _fit(train: dict[str, list[np.ndarray]], letters: int | None = None) -> Models:
-    """Models without limits. letters: how many there are in all, those of the texts if not given."""
-    languages = [x for x in train if sum(len(c) > ORDER for c in train[x])]
+def _merged(models: dict[str, dict[str, np.ndarray]], limits: dict[str, float]) -> Models:
+    """One table of n-grams for the languages counted; an n-gram that one language lacks has there what backing off gives."""
+    languages = sorted(x for x in models if len(models[x]["keys1"]))
     if not languages:
         none = [np.empty(0, np.uint64)] * ORDER
-        return Models([], none, [np.empty((0, 0))] * ORDER, np.empty(0), none[1:], [np.empty((0, 0))] * (ORDER - 1), np.empty(0), 0)
-    counts = {x: _of_language(train[x]) for x in languages}
-    letters = letters or len(np.unique(np.concatenate([counts[x][0][0] for x in languages])))
-    keys = [np.unique(np.concatenate([counts[x][n][0] for x in languages])) for n in range(ORDER)]
-    backoff_keys = [np.unique(np.concatenate([np.unique(counts[x][n][1]) for x in languages])) for n in range(1, ORDER)]
-    logs = [np.zeros((len(k), len(languages))) for k in keys]
+        return Models([], none, [np.empty((0, 0))] * ORDER, np.empty(0), none[1:], [np.empty((0, 0))] * (ORDER - 1), np.empty(0))
+    table, logs, backoff_keys, backoff = [], [], [], []
+    for n in range(1, ORDER + 1):
+        keys, first = np.unique(np.concatenate([models[x][f"keys{n}"] for x in languages]), return_index=True)
+        table.append((keys, *(np.concatenate([models[x][f"{c}{n}"] for x in languages])[first] for c in ("contexts", "lows"))))
+        if n > 1:
+            backoff_keys.append(np.unique(np.concatenate([models[x][f"contexts{n}"] for x in languages])))
+        logs.append(np.zeros((len(keys), len(languages))))
+    size = sum(x.nbytes for x in logs)
+    if size > MODEL_BYTES:
+        raise ValueError(f"models of {len(languages)} languages take {size} bytes, more than {MODEL_BYTES}")
     backoff = [np.zeros((len(k), len(languages))) for k in backoff_keys]
     unseen = np.zeros(len(languages))
-    # The order below of each n-gram: the n-gram without its first character, found through any language's texts.
-    suffix = [dict() for _ in range(ORDER)]
-    prefix = [dict() for _ in range(ORDER)]
-    for x in languages:
-        for t in train[x]:
-            for n in range(2, ORDER + 1):
-                if len(t) >= n:
-                    h, first = np.unique(grams(t, n), return_index=True)
-                    low, ctx = grams(t, n - 1)[first + 1], grams(t, n - 1)[first]
-                    suffix[n - 1].update(zip(h.tolist(), low.tolist(), strict=True))
-                    prefix[n - 1].update(zip(h.tolist(), ctx.tolist(), strict=True))
     for j, x in enumerate(languages):
         lower = np.zeros(0)
-        for n in range(ORDER):
-            k, ctx, c = counts[x][n]
+        for n, (keys, contexts, lows) in enumerate(table):
+            own, ctx, c = (models[x][f"{k}{n + 1}"] for k in ("keys", "contexts", "counts"))
             if n == 0:
-                total, kinds = c.sum(), len(k)
-                left = DISCOUNT * kinds / total / (letters + 1)
-                p = np.full(len(keys[0]), left)
-                p[np.searchsorted(keys[0], k)] += np.maximum(c - DISCOUNT, 0) / total
+                # A language's letters and one that stands for all others share what the discount leaves.
+                left = DISCOUNT * len(own) / c.sum() / (len(own) + 1)
+                p = np.full(len(keys), left)
+                p[np.searchsorted(keys, own)] += np.maximum(c - DISCOUNT, 0) / c.sum()
                 unseen[j] = np.log(left)
             else:
                 rows, inverse = np.unique(ctx, return_inverse=True)
                 total = np.bincount(inverse, weights=c)
-                mass = DISCOUNT * np.bincount(inverse) / total
-                gamma = np.ones(len(backoff_keys[n - 1]))
-                gamma[np.searchsorted(backoff_keys[n - 1], rows)] = mass
+                known = backoff_keys[n - 1]
+                gamma = np.ones(len(known))
+                gamma[np.searchsorted(known, rows)] = DISCOUNT * np.bincount(inverse) / total
                 backoff[n - 1][:, j] = np.log(gamma)
-                all_ctx = np.array([prefix[n][h] for h in keys[n].tolist()], np.uint64)
-                all_low = np.array([suffix[n][h] for h in keys[n].tolist()], np.uint64)
-                # A context that ends all its texts has no continuation; it leaves all mass below.
-                at = np.minimum(np.searchsorted(backoff_keys[n - 1], all_ctx), len(gamma) - 1)
-                weight = np.where(backoff_keys[n - 1][at] == all_ctx, gamma[at], 1.0)
-                at = np.minimum(np.searchsorted(keys[n - 1], all_low), len(lower) - 1)
-                p = weight * np.where(keys[n - 1][at] == all_low, lower[at], np.exp(unseen[j]))
-                p[np.searchsorted(keys[n], k)] += np.maximum(c - DISCOUNT, 0) / total[inverse]
+                before = table[n - 1][0]
+                at = np.minimum(np.searchsorted(before, lows), len(before) - 1)
+                p = gamma[np.searchsorted(known, contexts)] * np.where(before[at] == lows, lower[at], np.exp(unseen[j]))
+                p[np.searchsorted(keys, own)] += np.maximum(c - DISCOUNT, 0) / total[inverse]
             logs[n][:, j] = np.log(p)
             lower = p
-    return Models(languages, keys, logs, unseen, backoff_keys, backoff, np.full(len(languages), np.inf), letters)
+    return Models(languages, [t[0] for t in table], logs, unseen, backoff_keys, backoff, np.array([limits[x] for x in languages]))
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """At most ``rows`` whole texts of each lang value, chosen by a hash of doc_id; more than MOST_LANGUAGES values are an error."""
-    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
-    found = counts.collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = docs.sparkSession.createDataFrame(found, counts.schema)
-    rate = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    got = known.join(F.broadcast(counts), "lang").where(draw < rate).select("lang", "text", draw.alias("draw"), "doc_id").orderBy("lang", "draw", "doc_id").limit(2 * rows * MOST_LANGUAGES)
-    out: dict[str, list[str]] = {}
-    chars: dict[str, int] = {}
-    for r in got.toLocalIterator():
-        if len(out.setdefault(r["lang"], [])) < 2 * rows and chars.get(r["lang"], 0) < SAMPLE_CHARS:
-            out[r["lang"]].append(r["text"])
-            chars[r["lang"]] = chars.get(r["lang"], 0) + len(r["text"])
+def _single(texts: list[np.ndarray]) -> Models:
+    return _merged({"": counted([t for t in texts if len(t) > ORDER])}, {"": np.inf})
+
+
+def learned(texts: list[str]) -> tuple[dict[str, np.ndarray], float]:
+    """Counts of one language, and its rejection limit. Every tenth text only calibrates the limit; of fewer than ten each does in turn."""
+    parsed = [c for c in map(folded, texts) if len(c) > ORDER]
+    train = [c for i, c in enumerate(parsed) if i % 10 != 9 or len(parsed) < 10]
+    if len(parsed) >= 10:
+        model = _single(train)
+        held = [float(model.entropy(c)[0]) for i, c in enumerate(parsed) if i % 10 == 9]
+    else:
+        held = _left_out(parsed)
+    seen = np.array(held)
+    # Far beyond any text of the language: junk shares few of its n-grams.
+    return counted(train), max(seen.mean() + 6 * seen.std(), 1.5 * seen.max()) if held else np.inf
+
+
+def _left_out(texts: list[np.ndarray]) -> list[float]:
+    """Cross-entropy of each text, or of each half of an only one, under a model of the others."""
+    if len(texts) == 1:
+        middle = len(texts[0]) // 2
+        texts = [t for t in (texts[0][:middle], texts[0][middle:]) if len(t) > 1]
+    out = []
+    for i, c in enumerate(texts):
+        others = _single(texts[:i] + texts[i + 1 :])
+        if others.languages:
+            out.append(float(others.entropy(c)[0]))
     return out
 
 
+def fit(samples: dict[str, list[str]]) -> Models:
+    """Models from texts by language."""
+    found = {x: learned(t) for x, t in samples.items()}
+    return _merged({x: f[0] for x, f in found.items()}, {x: f[1] for x, f in found.items()})
+
+
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, place, text): about ``rows`` whole texts of each lang value, drawn by a hash of doc_id and text.
+
+    At most twice as many of a language, and none after ``chars`` characters of it (fewer if there are many languages). Equal rows count once.
+    """
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("languages"))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = known.join(counts, "lang").where(draw < F.lit(float(rows)) / F.col("n")).select("lang", draw.alias("draw"), "text").distinct()
+    in_order = Window.partitionBy("lang").orderBy("draw", "text")
+    placed = drawn.withColumns({"place": F.row_number().over(in_order), "before": F.coalesce(F.sum(F.length("text")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    most = F.least(F.lit(chars), F.lit(ALL_CHARS) / F.col("languages"))
+    return placed.crossJoin(F.broadcast(share)).where((F.col("place") <= 2 * rows) & (F.col("before") < most)).select("lang", "place", "text")
+
+
+def _learned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One language: its counts as arrays in one binary."""
+    counts, limit = learned(pdf.sort_values("place")["text"].tolist())
+    held = io.BytesIO()
+    np.savez(held, **counts)
+    return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "limit": [limit], "counts": [held.getvalue()]})
+
+
+def fit_documents(docs: DataFrame) -> Models:
+    """Models from ``labelled_sample``: each language is counted in a task; only its arrays come to the driver, some MB each."""
+    found = labelled_sample(docs).groupBy("lang").applyInPandas(_learned, "lang string, limit double, counts binary").collect()
+    arrays = {r["lang"]: dict(np.load(io.BytesIO(r["counts"]))) for r in found}
+    return _merged(arrays, {r["lang"]: r["limit"] for r in found})
+
+
 def _predicted(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: Models = shared.value
@@ -290,7 +308,8 @@ def held_out():
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on rows that are not held out (crc32 of doc_id as text, mod 3, is not 1) and predict every row.
 
-    Columns: doc_id, held_out, lang_pred, score, rejected. A null doc_id counts as empty text there.
+    Columns: doc_id, held_out, lang_pred, score, rejected. A null doc_id counts as empty text there. Repeated rows
+    get equal results. Texts are scored whole, however long. Empty table: empty result. Other columns are ignored.
     """
-    models = fit(labelled_sample(docs.where(~held_out())))
+    models = fit_documents(docs.where(~held_out()))
     return predict(docs, models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
