@@ -610,11 +610,12 @@ def test_rolling_hash_and_minimizers(values, n):
 def test_language_models_sum_to_one():
     samples = {"a": ["the cat sat on the mat and then ran"] * 12, "b": ["der hund lief durch den wald"] * 12}
     m = langid.fit(samples)
-    letters = np.unique(np.concatenate([langid.folded(t) for s in samples.values() for t in s]))
     context = langid.folded("the ca")[:-1]
     base = m.entropy(context) * (len(context) - 1)
-    mass = sum(np.exp(base - m.entropy(np.append(context, c)) * len(context)) for c in letters)
-    assert np.all(mass <= 1 + 1e-9) and np.all(mass > 0.9)
+    for j, x in enumerate(m.languages):
+        letters = np.unique(np.concatenate([langid.folded(t) for t in samples[x]]))
+        mass = sum(np.exp(base - m.entropy(np.append(context, c)) * len(context))[j] for c in letters)
+        assert 0.9 < mass <= 1 + 1e-9
 
 
 def test_rare_languages_keep_their_clean_texts(spark):
@@ -633,11 +634,57 @@ def test_rare_languages_keep_their_clean_texts(spark):
         assert np.mean([gone(m, t) for t in clean]) < 0.1 and all(gone(m, t) for t in junk)
 
 
-def test_more_languages_than_are_learned_are_an_error(spark):
-    docs = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
-    assert len(langid.labelled_sample(docs.where("doc_id > 0"))) == langid.MOST_LANGUAGES
+def test_sample_is_bounded_by_rows_and_characters(spark, monkeypatch):
+    rows = [(i, ("x" * 10) + str(i), ("a", "b", "c")[i % 3]) for i in range(3000)] + [(None, "same", "a")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r.lang for r in langid.labelled_sample(df, rows=50).collect())
+    assert set(got) == {"a", "b", "c"} and all(5 < n <= 100 for n in got.values())
+    short = collections.Counter(r.lang for r in langid.labelled_sample(df, rows=50, chars=40).collect())
+    assert all(n <= 10 for n in short.values())
+    monkeypatch.setattr(langid, "ALL_CHARS", 30)
+    assert all(n == 1 for n in collections.Counter(r.lang for r in langid.labelled_sample(df, rows=50).collect()).values())
+
+
+def test_many_languages_are_all_learned(spark):
+    df = spark.range(900).selectExpr("id AS doc_id", "concat('some text of kind ', id % 300) AS text", "concat('l', id % 300) AS lang")
+    assert len(langid.fit_documents(df).languages) == 300
+
+
+def test_models_that_are_too_large_are_an_error(monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 100)
     with pytest.raises(ValueError):
-        langid.labelled_sample(docs)
+        langid.fit({"a": ["some text"], "b": ["einiges an Text"]})
+
+
+def plain_log_probability(texts: list[str], history: str, c: str) -> float:
+    """Interpolated Kneser-Ney by its textbook recursion over strings."""
+    fold = ["".join(map(chr, langid.folded(t))) for t in texts]
+    top = collections.Counter(t[i : i + 4] for t in fold for i in range(len(t) - 3))
+    before = {n: {t[i : i + n + 1] for t in fold for i in range(len(t) - n)} for n in (1, 2, 3)}
+
+    def p(h: str) -> float:
+        n = len(h) + 1
+        counts = top if n == 4 else collections.Counter(x[1:] for x in before[n])
+        total = sum(v for k, v in counts.items() if k[:-1] == h)
+        kinds = sum(k[:-1] == h for k in counts)
+        if n == 1:
+            letters = len(counts)
+            return max(counts[c] - 0.75, 0) / total + 0.75 * kinds / total / (letters + 1)
+        lower = p(h[1:])
+        return lower if not total else max(counts[h + c] - 0.75, 0) / total + 0.75 * kinds / total * lower
+
+    return float(np.log(p(history)))
+
+
+def test_models_against_the_recursion():
+    texts = {"a": ["the cat sat on the mat", "a man ran to the hat"], "b": ["der hund lief im wald", "den mann fand er"]}
+    m = langid._merged({x: langid.counted([langid.folded(t) for t in v]) for x, v in texts.items()}, dict.fromkeys(texts, np.inf))
+    for text in ("the hund", "an ratte", "wald hat", "quiz"):
+        codes = langid.folded(text)
+        whole = "".join(map(chr, codes))
+        for j, x in enumerate(m.languages):
+            want = sum(plain_log_probability(texts[x], whole[max(0, i - 3) : i], whole[i]) for i in range(1, len(whole)))
+            assert -m.entropy(codes)[j] * (len(codes) - 1) == pytest.approx(want)
 
 
 def test_language_identification(docs, empty, real, small):
@@ -654,7 +701,7 @@ def test_language_identification(docs, empty, real, small):
 
 def test_long_junk_is_rejected_and_short_slips_are_not(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    m = langid.fit(langid.labelled_sample(docs))
+    m = langid.fit_documents(docs)
     rng = np.random.default_rng(0)
     junk = " ".join("".join(rng.choice(list("qxzjkvwy"), 9)) for _ in range(80))
     rows = [(1, junk), (2, "Onsh anor xq it re."), (3, docs.first().text)]
