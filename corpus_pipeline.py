@@ -16,7 +16,7 @@ from tidemark.llm.common import copies_of, cut, documents
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that language identification rejects: null, without letters, or far from every learned language."""
-    models = langid.fit(langid.labelled_sample(docs.where(~langid.held_out())))
+    models = langid.fit_documents(docs.where(~langid.held_out()))
     kept = langid.with_language(docs, models)
     return kept.where(~F.col("__rejected")).drop(*langid.PREDICTED)
 
