@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
 
+from tidemark.operators.accumulate import Accumulator
 from tidemark.operators.states import bias
 from tidemark.operators.windows import ahead, ordered
 
 #: Weights of the research score. Fixed values.
 SCORE_WEIGHTS = {"skew": 0.25, "sample": 0.20, "repeat": 0.15, "spread": 0.15, "valid": 0.15, "rare": 0.10}
 RARITY = {"rare": 1.0, "uncommon": 0.66, "common": 0.33}
-MONTH_BITS = 32
 
 
 def outcomes(bars: DataFrame, horizon: int, seconds: int) -> DataFrame:
@@ -53,35 +57,47 @@ def snapshots(states: DataFrame, offsets: list[int]) -> DataFrame:
     return spot.join(numbered, ["symbol", "place"]).where("seq = state_seq").drop("transition_id", "place", "origin", "seq").withColumnRenamed("tr", "transition_id")
 
 
-def matured(rows: DataFrame, key: list[str], horizon: int) -> DataFrame:
+def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None) -> DataFrame:
     """Adds past: statistics of the rows with the same key whose horizon (in units of t) was over at each row.
 
-    A range frame over t per key; its rows all lie at or before t - horizon, so nothing of the future is
-    seen. Rows: t, ret_pct, mfe_pct, mae_pct, valid, state_seq. Cost grows with a key's history.
+    With finer, also narrow: the same of the rows that agree in those columns as well. All these rows lie at or before
+    t - horizon, so nothing of the future is seen. Rows: t, ret_pct, mfe_pct, mae_pct, valid, state_seq.
+    One shuffle brings a key's rows together in order of t; a task folds over them with an accumulator for the
+    key and one for each finer key, so the cost is linear in the rows and memory holds accumulators and what hasn't matured.
     """
-    w = Window.partitionBy(*key).orderBy("t").rangeBetween(Window.unboundedPreceding, -horizon)
-    ok = F.col("valid")
-    up, down = ok & (F.col("ret_pct") > 0), ok & (F.col("ret_pct") < 0)
-    pct = lambda x, p: F.coalesce(F.percentile(x, F.lit(p)).over(w), F.lit(0.0))
-    drop, rise = F.greatest(F.lit(0.0), -F.col("mae_pct")), F.greatest(F.lit(0.0), F.col("mfe_pct"))
-    months = F.collect_list(F.floor(F.col("t") / (30 * 86400))).over(w)
-    most = F.array_max(F.transform(F.array_distinct(months), lambda m: F.size(F.filter(months, lambda x: x == m))))
-    past = F.struct(
-        F.count(F.lit(1)).over(w).alias("sample_size"),
-        F.size(F.collect_set("state_seq").over(w)).alias("effective_sample_size"),
-        F.count(F.when(ok, 1)).over(w).alias("valid_label_count"),
-        F.count(F.when(up, 1)).over(w).alias("long_outcome_count"),
-        F.coalesce(F.sum(F.when(ok, F.col("ret_pct"))).over(w), F.lit(0.0)).alias("ret_sum"),
-        F.size(F.collect_set(F.floor(F.col("t") / 86400)).over(w)).alias("repeatability_days"),
-        F.size(F.array_distinct(months)).alias("repeatability_months"),
-        F.coalesce(most, F.lit(0)).alias("top_month"),
-        pct(F.when(up, F.col("mfe_pct")), 0.70).alias("favorable"),
-        pct(F.when(up, drop), 0.80).alias("adverse"),
-        F.count(F.when(down, 1)).over(w).alias("falls"),
-        pct(F.when(down, drop), 0.70).alias("favorable_short"),
-        pct(F.when(down, rise), 0.80).alias("adverse_short"),
-    )
-    return rows.withColumn("past", past)
+    finer = finer or []
+    names = ["past", "narrow"] if finer else ["past"]
+    # Keys as one number each: a task only tells them apart.
+    keyed = rows.withColumns({"__key": F.xxhash64(*key), "__fine": F.xxhash64(*key, *finer), "__t": F.col("t").cast("long")})
+    ordered_rows = keyed.repartition(*key).sortWithinPartitions(*key, "__t")
+    fields = [T.StructField(n, T.StructType.fromDDL(Accumulator.SCHEMA)) for n in names]
+    schema = T.StructType([*keyed.schema.fields, *fields])
+    arrow = [pa.field(f.name, pa.struct([pa.field(x.name, pa.float64() if x.dataType == T.DoubleType() else pa.int64()) for x in f.dataType.fields])) for f in fields]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, wide, narrow, waiting = None, Accumulator(), {}, deque()
+        for batch in batches:
+            out: list[list[tuple]] = [[] for _ in names]
+            columns = (batch.column(c).to_pylist() for c in ("__key", "__fine", "__t", "ret_pct", "mfe_pct", "mae_pct", "valid", "state_seq"))
+            for k, fine, t, *outcome in zip(*columns, strict=True):
+                if k != current:
+                    current, wide, narrow, waiting = k, Accumulator(), {}, deque()
+                while waiting and waiting[0][1] <= t - horizon:
+                    f, at, values = waiting.popleft()
+                    wide.add(at, *values)
+                    if finer:
+                        narrow.setdefault(f, Accumulator()).add(at, *values)
+                waiting.append((fine, t, outcome))
+                out[0].append(wide.stats())
+                if finer:
+                    out[1].append(narrow[fine].stats() if fine in narrow else NOTHING)
+            structs = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*o, strict=True) if o else [[]] * len(a.type), a.type, strict=True)], fields=list(a.type)) for o, a in zip(out, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *structs], names=[*batch.schema.names, *names])
+
+    return ordered_rows.mapInArrow(fold, schema).drop("__key", "__fine", "__t")
+
+
+NOTHING = Accumulator().stats()
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -94,8 +110,7 @@ def candidates(rows: DataFrame, horizon: int, least: int = 30, least_effective:
     The past of (symbol, transition_id, event_block_id), else of (symbol, transition_id). rows: snapshots with outcomes,
     transition_rarity and event_rarity.
     """
-    both = matured(rows, ["symbol", "transition_id", "event_block_id"], horizon).withColumnRenamed("past", "narrow")
-    both = matured(both, ["symbol", "transition_id"], horizon).withColumnRenamed("past", "wide")
+    both = matured(rows, ["symbol", "transition_id"], horizon, ["event_block_id"]).withColumnRenamed("past", "wide")
     enough = lambda p: (F.col(f"{p}.sample_size") >= least) & (F.col(f"{p}.effective_sample_size") >= least_effective)
     chosen = both.withColumn("scope", F.when(enough("narrow"), "transition+event_block").when(enough("wide"), "transition")).where("scope is not null")
     p = chosen.withColumn("p", F.when(F.col("scope") == "transition", F.col("wide")).otherwise(F.col("narrow"))).where("p.valid_label_count > 0")

@@ -155,9 +155,11 @@ rows AS (SELECT s.sec AS t, "offset", transition_id, 'day' || CAST((s.sec // 864
 
 
 def _past(key: str) -> str:
-    return f"""SELECT c.*, p.n, p.eff, p.valid AS nv, p.ups, p.fav, p.adv, p.days FROM (SELECT *, row_number() OVER () AS id FROM rows) c LEFT JOIN LATERAL (
+    return f"""SELECT c.*, p.n, p.eff, p.valid AS nv, p.ups, p.fav, p.adv, p.days, p.months, p.top, p.falls, p.fav_short, p.adv_short FROM (SELECT *, row_number() OVER () AS id FROM rows) c LEFT JOIN LATERAL (
   SELECT count(*) AS n, count(DISTINCT seq) AS eff, count(*) FILTER (WHERE r.valid) AS valid, count(*) FILTER (WHERE r.valid AND ret > 0) AS ups, count(DISTINCT r.t // 86400) AS days,
-    quantile_cont(greatest(ret, 0.5), 0.7) FILTER (WHERE r.valid AND ret > 0) AS fav, quantile_cont(greatest(0, -least(ret, -0.5)), 0.8) FILTER (WHERE r.valid AND ret > 0) AS adv
+    count(DISTINCT r.t // 2592000) AS months, coalesce(list_max(map_values(histogram(r.t // 2592000))), 0) AS top, count(*) FILTER (WHERE r.valid AND ret < 0) AS falls,
+    quantile_cont(greatest(ret, 0.5), 0.7) FILTER (WHERE r.valid AND ret > 0) AS fav, quantile_cont(greatest(0, -least(ret, -0.5)), 0.8) FILTER (WHERE r.valid AND ret > 0) AS adv,
+    quantile_cont(greatest(0, -least(ret, -0.5)), 0.7) FILTER (WHERE r.valid AND ret < 0) AS fav_short, quantile_cont(greatest(0, greatest(ret, 0.5)), 0.8) FILTER (WHERE r.valid AND ret < 0) AS adv_short
   FROM rows r WHERE {key} AND r.t <= c.t - 86400) p ON true"""
 
 
@@ -174,9 +176,31 @@ def matured(spark, sf_dir):
     )
 
 
-@query("l08_l10_candidates")
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 1e-9 THEN {a} / {b} ELSE {a} END"
+
+
+#: Of the finer sample if it has enough rows of enough states, else of the wider one.
+_CHOSEN = "n eff nv ups days months top fav adv falls fav_short adv_short".split()
+
+
+@query("l08_l10_candidates", f"""WITH {MATURED}, ids AS (SELECT *, row_number() OVER (ORDER BY t, "offset", seq, transition_id) AS rid FROM rows),
+wide AS ({_past('r.transition_id = c.transition_id').replace('row_number() OVER () AS id FROM rows', 'rid AS id FROM ids')}),
+narrow AS ({_past('r.transition_id = c.transition_id AND r.block = c.block').replace('row_number() OVER () AS id FROM rows', 'rid AS id FROM ids')}),
+chosen AS (SELECT w.t, w."offset", w.transition_id, w.block, CASE WHEN a.n >= 30 AND a.eff >= 30 THEN 'transition+event_block' WHEN w.n >= 30 AND w.eff >= 30 THEN 'transition' END AS scope,
+  {', '.join(f"CASE WHEN a.n >= 30 AND a.eff >= 30 THEN a.{c} ELSE w.{c} END AS {c}" for c in _CHOSEN)} FROM wide w JOIN narrow a USING (id)),
+shares AS (SELECT *, ups * 1.0 / nv AS share, 2.0 * ups / nv - 1 AS skew, nv * 1.0 / n AS valid, top * 1.0 / n AS concentration FROM chosen WHERE scope IS NOT NULL AND nv > 0)
+SELECT 'ALL' AS symbol, t, "offset", transition_id, block AS event_block_id, scope, substr(sha1(concat_ws('|', 'ALL', CAST(t AS VARCHAR), transition_id, block, CAST("offset" AS VARCHAR))), 1, 20) AS candidate_id,
+  n AS sample_size, eff AS effective_sample_size, nv AS valid_label_count, round(valid, 6) AS valid_label_pct, days AS repeatability_days, months AS repeatability_months, round(concentration, 6) AS monthly_concentration,
+  round(share, 6) AS long_outcome_share, round(skew, 6) AS historical_outcome_skew, CASE WHEN skew > 0 THEN 'long' ELSE 'short' END AS research_side,
+  CASE WHEN share > 0.55 THEN 'long_skew' WHEN share < 0.45 THEN 'short_skew' ELSE 'neutral' END AS historical_bias_context,
+  round(coalesce(fav, 0), 6) AS p70_long_favorable_pct, round(coalesce(adv, 0), 6) AS p80_long_adverse_pct, round({_ratio_sql('coalesce(fav, 0)', 'coalesce(adv, 0)')}, 6) AS long_favorable_adverse_ratio_p70_p80,
+  CASE WHEN falls > 0 THEN round({_ratio_sql('fav_short', 'adv_short')}, 6) END AS short_favorable_adverse_ratio_p70_p80,
+  round(least(1.0, greatest(0.0, 0.25 * least(1.0, abs(skew) / 0.5) + 0.20 * least(1.0, log10(eff + 1) / 3) + 0.15 * least(1.0, months / 18.0) + 0.15 * (1 - least(1.0, concentration / 0.5)) + 0.15 * valid
+    + 0.10 * (0.33 + CASE WHEN scope = 'transition' THEN 0.33 ELSE 1.0 END) / 2)), 6) AS research_score
+FROM shares WHERE abs(skew) >= 0.06""")
 def candidates(spark, sf_dir):
-    """Candidates with research scores; their parts are compared in l08_c15_matured_past, the rest in tests."""
+    """Candidates with research scores."""
     return rounded(C.candidates(_candidate_rows(spark, sf_dir), 86400, least=30, least_effective=30))
 
 
