@@ -168,13 +168,13 @@ def _votes(batches):
         sketches = _sketch_matrix(batch.column("sketch"))
         order = np.argsort(back, kind="stable")
         cuts = np.searchsorted(back[order], np.arange(len(nodes) + 1))
-        values, counts = [], []
+        values, counts, rows = [], [], np.diff(cuts)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             m = sketches[order[lo:hi]]
             tally = np.stack([np.bincount(m[:, k], minlength=256) for k in range(SKETCH)])
             values.append(tally.argmax(axis=1).astype(np.uint8).tobytes())
             counts.append(tally.max(axis=1).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], names=["node", "bytes", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary()), pa.array(counts, pa.binary()), pa.array(rows, pa.int64())], names=["node", "bytes", "counts", "rows"])
 
 
 def _elected(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def _elected(pdf: pd.DataFrame) -> pd.DataFrame:
     tally = np.zeros((SKETCH, 256), np.int64)
     for values, counts in zip(pdf["bytes"], pdf["counts"], strict=True):
         tally[np.arange(SKETCH), np.frombuffer(values, np.uint8)] += np.frombuffer(counts, np.uint32)
-    return pd.DataFrame({"node": pdf["node"].iloc[:1], "common": [tally.argmax(axis=1).astype(np.uint8).tobytes()]})
+    return pd.DataFrame({"node": pdf["node"].iloc[:1], "common": [tally.argmax(axis=1).astype(np.uint8).tobytes()], "size": [int(pdf["rows"].sum())]})
 
 
 def _likened(batches):
@@ -318,7 +318,7 @@ def _confirmed(batches):
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    ends = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
     wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"), total)
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
@@ -341,30 +341,30 @@ def _likely(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return with_both.mapInArrow(_agreeing, "a long, b long")
 
 
-def _several(rows: DataFrame) -> DataFrame:
+def _several(rows: DataFrame, total: int) -> DataFrame:
     """Rows of nodes that hold several components, with the node's row count n."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return rows.join(sizes.select("node", "n"), "node")
+    return join_one(rows, sizes.select("node", "n", F.col("n").alias("size")), "node", "size", total).where("n IS NOT NULL")
 
 
-def _in_blocks(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     """Likely pairs in larger nodes: rows outside a node's largest component against all its rows, block by block."""
     by = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    most = by.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m")).select("node", "m.main")
-    full = rows.join(most, "node").join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
+    most = by.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m"), F.sum("k").alias("size")).select("node", "m.main", "size")
+    full = join_one(rows, most, "node", "size", total).join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
     many = full.groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("many"))
     some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("some"), F.first("main").alias("main"))
     return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, "a long, b long")
 
 
-def _stars(shared: DataFrame, tokens: DataFrame) -> DataFrame:
+def _stars(shared: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     """Pairs of every class with the least class of its nodes and, in larger nodes, with the class most like the node's common sketch."""
     least = shared.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
     large = shared.where(F.col("n") > LEAF).join(tokens.select("cls", "sketch"), "cls").select("node", "cls", "sketch")
-    common = large.select("node", "sketch").mapInArrow(_votes, "node long, bytes binary, counts binary").groupBy("node").applyInPandas(_elected, "node long, common binary")
-    rated = large.join(common, "node").mapInArrow(_likened, "node long, cls long, equal long")
-    origin = rated.groupBy("node").agg(F.max(F.struct("equal", (-F.col("cls")).alias("less"))).alias("m")).select("node", (-F.col("m.less")).alias("origin"))
-    spread = shared.where(F.col("n") > LEAF).join(origin, "node").where("cls <> origin").select(F.least("origin", "cls").alias("a"), F.greatest("origin", "cls").alias("b"))
+    common = large.select("node", "sketch").mapInArrow(_votes, "node long, bytes binary, counts binary, rows long").groupBy("node").applyInPandas(_elected, "node long, common binary, size long")
+    rated = join_one(large, common, "node", "size", total).mapInArrow(_likened, "node long, cls long, equal long")
+    origin = rated.groupBy("node").agg(F.max(F.struct("equal", (-F.col("cls")).alias("less"))).alias("m"), F.count("*").alias("size")).select("node", (-F.col("m.less")).alias("origin"), "size")
+    spread = join_one(shared.where(F.col("n") > LEAF), origin, "node", "size", total).where("cls <> origin").select(F.least("origin", "cls").alias("a"), F.greatest("origin", "cls").alias("b"))
     return least.unionByName(spread).distinct()
 
 
@@ -374,7 +374,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     first = cut(tokens.select("cls", "roots").mapInArrow(_rooted, "node long, cls long, root int"))
     nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1").withColumn("size", F.col("n"))
     shared = cut(join_one(first, cut(nodes, total), "node", "size", ROOTS * total).where("n is not null"), total)
-    likely = cut(_likely(_stars(shared, tokens), tokens), total)
+    likely = cut(_likely(_stars(shared, tokens, ROOTS * total), tokens), total)
     roots = components(_confirm(likely, classes, docs, total), total)
 
     # Nodes too large to be compared branch; pairs under them may be due at a later tree.
@@ -383,11 +383,11 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     rows = rows.select("node", "cls", "root", F.coalesce("comp", "cls").alias("comp"), F.coalesce("grown", F.lit(0).cast("long")).alias("grown"), F.floor(F.col("root") / BRANCH).cast("int").alias("tree"), F.lit(0).alias("used"))
     pairs = None
     for level in range(1, LEVELS + 1):
-        rows = cut(_several(rows), total)
+        rows = cut(_several(rows, ROOTS * total), total)
         leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
         found = leaves.mapInArrow(_leaf_pairs, "a long, b long")
         last = level == LEVELS
-        found = found.unionByName(_in_blocks(rows.where(F.col("n") > LEAF) if last else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE)), tokens))
+        found = found.unionByName(_in_blocks(rows.where(F.col("n") > LEAF) if last else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE)), tokens, ROOTS * total))
         pairs = found if pairs is None else pairs.unionByName(found)
         if last or (rows.agg(F.max("n")).first()[0] or 0) <= NODE:
             break
