@@ -282,3 +282,31 @@ def test_feature_sources_switch_and_name_the_version(spark):
     assert sources.version("v1") == "v1+deriv" and out.columns == ["symbol", "t", "close", "x"]
     with pytest.raises(ValueError):
         sources.require("v1+deriv+smc", "v1")
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_exact_percentiles_against_numpy(spark, n):
+    from tidemark.operators import ranking
+
+    rng = np.random.default_rng(n)
+    rows = [("ab"[i % 2], float(rng.integers(0, max(2, n // 3)))) for i in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    got = {r["g"]: [r[f"p{i}"] for i in range(6)] for r in ranking.exact_percentiles(df, "x", shares, ["g"]).collect()}
+    for g in got:
+        assert got[g] == pytest.approx(np.percentile([x for k, x in rows if k == g and x is not None], [100 * p for p in shares]))
+    whole = ranking.exact_percentiles(df, "x", shares).first()
+    assert list(whole) == pytest.approx(np.percentile([x for _, x in rows if x is not None], [100 * p for p in shares]))
+
+
+def test_places_against_sorting(spark):
+    from tidemark.operators import ranking
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], int(rng.integers(0, 60))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, x long")
+    for r in ranking.placed(df, "x", ["g"]).collect():
+        same = [x for _, g, x in rows if g == r.g]
+        assert r.ties == same.count(r.x) and r.before == sum(x < r.x for x in same)
+    want = {i: k for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+    assert {r.id: r.place for r in ranking.with_place(df, "x", ["id"]).collect()} == want

@@ -1,590 +1,652 @@
-"""Queries that one SQL text says for both engines: filters, joins, aggregates, sorts, sets, upserts and measures."""
+"""Queries of filters, joins, keyed merges, aggregates, sorts, sets and measures; their DuckDB texts are in ``oracles``."""
 
 from __future__ import annotations
 
-from tidemark.functions.dialect import SparkSql, sql_query
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tidemark.operators import measures as M
+from tidemark.operators import records as R
+from tidemark.operators.ranking import exact_percentiles
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.shared import rounded
 from tidemark.registry import Registry
+from tidemark.sources import stores
+from tidemark.tables import table
 
 REGISTRY = Registry()
+DAY = 86_400
+#: 2024-01-15, where a first part of history ends in some queries.
+PART_END = 1_705_276_800
+
+
+def q(name: str) -> Callable:
+    """Decorator: the query gets its tables by name."""
+
+    def add(fn: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(lambda t: table(spark, sf_dir, t))
+
+        del run.__wrapped__
+        REGISTRY.query(name, ORACLES[name])(run)
+        return fn
+
+    return add
 
 
-def q(name: str, *tables: str):
-    return sql_query(REGISTRY, name, *tables)
+def key_of(df: DataFrame) -> DataFrame:
+    """events with k, the number in their JSON."""
+    return df.withColumn("k", F.get_json_object("props", "$.k"))
 
 
 # Projections and predicates
 
 
-@q("a02_klines_normalised", "events")
-def klines(d: SparkSql) -> str:
+@q("a02_klines_normalised")
+def klines(t):
     """Opening times in milli- or microseconds by size; rows whose numbers don't parse are dropped."""
-    return f"""WITH raw AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {d.micros('ts')} ELSE CAST(floor({d.micros('ts')} / 1000) AS BIGINT) END AS stamp,
-      CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR(20)) END AS price FROM events)
-    SELECT event_id, CASE WHEN stamp > 100000000000000 THEN CAST(floor(stamp / 1000000) AS BIGINT) ELSE CAST(floor(stamp / 1000) AS BIGINT) END AS t, {d.try_double('price')} AS price FROM raw WHERE {d.try_double('price')} IS NOT NULL"""
+    e = t("events").withColumn("us", R.micros())
+    raw = e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("us")).otherwise(F.floor(F.col("us") / 1000)).alias("stamp"), F.when(F.col("event_id") % 17 == 0, "n/a").otherwise(F.col("user_id").cast("string")).alias("price"))
+    return raw.select("event_id", R.epoch_seconds(F.col("stamp")).alias("t"), F.expr("try_cast(price AS DOUBLE)").alias("price")).where("price IS NOT NULL")
 
 
-@q("a09_range_scan", "events")
-def range_scan(d: SparkSql) -> str:
-    return "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00'".replace("TIMESTAMP '", "TIMESTAMP_NTZ '" if d.name == "spark" else "TIMESTAMP '")
+@q("a09_range_scan")
+def range_scan(t):
+    at = F.col("ts").between(F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-12 00:00:00'"))
+    return R.filtered(t("events"), equal={"event_type": "click"}).where(at).select("event_id", "event_type", "value")
 
 
-@q("a10_array_columns", "embeddings")
-def array_columns(d: SparkSql) -> str:
-    e = lambda i: d.item("embedding", i)
-    return f"SELECT vec_id, round(CAST({e(1)} AS DOUBLE), 5) AS f1, round(CAST({e(2)} AS DOUBLE), 5) AS f2, round(CAST({e(64)} AS DOUBLE), 5) AS f64 FROM embeddings"
+@q("a10_array_columns")
+def array_columns(t):
+    return rounded(t("embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"f{i}") for i in (1, 2, 64)]), 5)
 
 
-@q("a28_coverage", "events")
-def coverage(d: SparkSql) -> str:
-    e = d.epoch("ts")
-    return f"""WITH r AS (SELECT event_type AS symbol, {e} AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events)
-    SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t, max(CASE WHEN place = 1 THEN value END) AS last_value FROM r GROUP BY symbol"""
+@q("a28_coverage")
+def coverage(t):
+    return R.coverage(t("events"), "event_type", R.seconds(), "value", "event_id").withColumnRenamed("event_type", "symbol")
 
 
-@q("b01_filtered_page", "orders")
-def page(d: SparkSql) -> str:
-    return "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100"
+@q("b01_filtered_page")
+def page(t):
+    found = R.filtered(t("orders"), equal={"o_orderstatus": "O", "o_custkey": None}, least={"o_totalprice": 1000}, among={"o_orderpriority": ["1-URGENT", "2-HIGH"]})
+    return found.select("o_orderkey", "o_totalprice").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").offset(100).limit(50)
 
 
-@q("b02_membership", "orders")
-def membership(d: SparkSql) -> str:
-    listed = "array_contains(array('1-URGENT', '5-LOW'), o_orderpriority)" if d.name == "spark" else "list_contains(['1-URGENT', '5-LOW'], o_orderpriority)"
-    return f"SELECT o_orderpriority, count(*) AS n FROM orders WHERE {listed} GROUP BY o_orderpriority"
+@q("b02_membership")
+def membership(t):
+    return R.filtered(t("orders"), among={"o_orderpriority": ["1-URGENT", "5-LOW"]}).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@q("b03_half_open_range", "orders")
-def half_open(d: SparkSql) -> str:
-    return f"SELECT {d.day('o_orderdate')} AS day, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) BETWEEN 2 AND 4 GROUP BY {d.day('o_orderdate')}"
+@q("b03_half_open_range")
+def half_open(t):
+    """Three months: from their first day on, up to the next month's first day, which is left out."""
+    at = (F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1996-02-01 00:00:00'")) & (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1996-05-01 00:00:00'"))
+    return t("orders").where(at).groupBy(R.day_number("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
 
 
-@q("b04_json_predicate", "events")
-def json_predicate(d: SparkSql) -> str:
-    return f"SELECT event_id, CAST({d.json('props', 'k')} AS INT) AS k FROM events WHERE coalesce(CAST({d.json('props', 'k')} AS INT), -1) = 7 OR event_id % 500 = 0"
+@q("b04_json_predicate")
+def json_predicate(t):
+    k = F.col("k").cast("int")
+    return key_of(t("events")).where((F.coalesce(k, F.lit(-1)) == 7) | (F.col("event_id") % 500 == 0)).select("event_id", k.alias("k"))
 
 
-@q("b06_b07_b08_buckets", "lineitem")
-def buckets(d: SparkSql) -> str:
-    return """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 2 THEN 'sparse' WHEN l_quantity <= 5 THEN 'moderate' ELSE 'dense' END AS intensity,
-      CASE WHEN l_discount < 0.002 THEN 'rare' WHEN l_discount < 0.01 THEN 'uncommon' ELSE 'common' END AS rarity,
-      CASE WHEN l_quantity < 30 THEN 'age_lt_30' WHEN l_quantity < 60 THEN 'age_30_60' WHEN l_quantity < 120 THEN 'age_60_120' ELSE 'age_gt_120' END AS age,
-      CASE WHEN l_tax > 0.5 + 0.05 THEN 'long_skew' WHEN l_tax < 0.5 - 0.05 THEN 'short_skew' ELSE 'neutral' END AS bias FROM lineitem"""
+@q("b06_b07_b08_buckets")
+def buckets(t):
+    quantity = F.col("l_quantity")
+    return t("lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        R.stepped(quantity, [(R.up_to(2), "sparse"), (R.up_to(5), "moderate")], "dense").alias("intensity"),
+        R.stepped(F.col("l_discount"), [(R.below(0.002), "rare"), (R.below(0.01), "uncommon")], "common").alias("rarity"),
+        R.stepped(quantity, [(R.below(30), "age_lt_30"), (R.below(60), "age_30_60"), (R.below(120), "age_60_120")], "age_gt_120").alias("age"),
+        R.stepped(F.col("l_tax"), [(R.above(0.5 + 0.05), "long_skew"), (R.below(0.5 - 0.05), "short_skew")], "neutral").alias("bias"),
+    )
 
 
-@q("b09_b10_ladder_and_map", "orders")
-def ladder(d: SparkSql) -> str:
-    return """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 1.0 WHEN o_totalprice > 200000 THEN 0.7 WHEN o_totalprice > 100000 THEN 0.4 ELSE 0.1 END AS score,
-      CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.5 ELSE 0.0 END AS mapped FROM orders"""
+@q("b09_b10_ladder_and_map")
+def ladder(t):
+    status = {"F": 1.0, "O": 0.5}
+    mapped = [(lambda x, k=k: x == k, v) for k, v in status.items()]
+    steps = [(R.above(300000), 1.0), (R.above(200000), 0.7), (R.above(100000), 0.4)]
+    return t("orders").select("o_orderkey", R.stepped(F.col("o_totalprice"), steps, 0.1).alias("score"), R.stepped(F.col("o_orderstatus"), mapped, 0.0).alias("mapped"))
 
 
-@q("b14_c13_rule_matches", "orders")
-def rules(d: SparkSql) -> str:
+@q("b14_c13_rule_matches")
+def rules(t):
     """Rules with nullable fields, null meaning any, against every order: a nested-loop join with the small side."""
-    text, number = "CAST(NULL AS VARCHAR(20))", "CAST(NULL AS DOUBLE)"
-    rows = [(1, "'O'", number, text), (2, text, "250000.0", text), (3, "'F'", "150000.0", "'1-URGENT'"), (4, text, number, "'5-LOW'")]
-    values = " UNION ALL ".join(f"SELECT {i} AS rule_id, {s} AS status, {least} AS least, {p} AS priority" for i, s, least, p in rows)
-    return f"""WITH rules AS ({values}) SELECT rule_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM rules JOIN orders ON (status IS NULL OR status = o_orderstatus) AND (least IS NULL OR o_totalprice >= least) AND (priority IS NULL OR priority = o_orderpriority) GROUP BY rule_id"""
+    orders = t("orders")
+    rows = [(1, "O", None, None), (2, None, 250000.0, None), (3, "F", 150000.0, "1-URGENT"), (4, None, None, "5-LOW")]
+    given = orders.sparkSession.createDataFrame(rows, "rule_id int, status string, least double, priority string")
+    tests = {"status": lambda x: x == F.col("o_orderstatus"), "least": lambda x: F.col("o_totalprice") >= x, "priority": lambda x: x == F.col("o_orderpriority")}
+    return R.rule_matches(given, orders, tests).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@q("b15_b16_payload", "orders", "customer")
-def payload(d: SparkSql) -> str:
-    return """SELECT o_orderkey, concat('{"id":', CAST(o_orderkey AS VARCHAR(20)), ',"segment":"', c_mktsegment, '","status":"', o_orderstatus, '"}') AS payload FROM orders JOIN customer ON o_custkey = c_custkey"""
+@q("b15_b16_payload")
+def payload(t):
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("o_orderstatus").alias("status"))).alias("payload"))
 
 
-@q("b17_row_loss_guard", "events")
-def guard(d: SparkSql) -> str:
-    return f"SELECT count(*) AS n, count(CASE WHEN CAST({d.json('props', 'k')} AS INT) > 1 THEN 1 END) AS kept, round(1 - count(CASE WHEN CAST({d.json('props', 'k')} AS INT) > 1 THEN 1 END) * 1.0 / count(*), 9) AS lost FROM events"
+@q("b17_row_loss_guard")
+def guard(t):
+    good = F.count(F.when(F.col("k").cast("int") > 1, 1))
+    return rounded(key_of(t("events")).agg(F.count("*").alias("n"), good.alias("kept"), (1 - good / F.count("*")).alias("lost")), 9)
 
 
-@q("b18_finite_rows", "lineitem")
-def finite(d: SparkSql) -> str:
+@q("b18_finite_rows")
+def finite(t):
     """Infinite quotients become null and their rows go."""
-    return "SELECT count(*) AS n, round(sum(x), 4) AS total FROM (SELECT l_extendedprice / nullif(l_discount, 0) AS x FROM lineitem) AS r WHERE x IS NOT NULL"
+    x = F.col("l_extendedprice") / F.nullif("l_discount", F.lit(0.0))
+    return rounded(t("lineitem").select(x.alias("x")).where("x IS NOT NULL").agg(F.count("*").alias("n"), F.sum("x").alias("total")), 4)
 
 
-@q("b19_robust_scale", "lineitem")
-def robust(d: SparkSql) -> str:
-    p = lambda v: d.percentile("l_extendedprice", v)
-    return f"""WITH s AS (SELECT {p(0.5)} AS mid, {p(0.75)} - {p(0.25)} AS iqr FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round(least(5.0, greatest(-5.0, (l_extendedprice - mid) / CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END)), 6) AS x FROM lineitem CROSS JOIN s"""
+@q("b19_robust_scale")
+def robust(t):
+    return rounded(R.robust_scaled(t("lineitem"), "l_extendedprice", 5.0).select("l_orderkey", "l_linenumber", "x"))
 
 
-@q("b20_closed_bars", "events")
-def closed(d: SparkSql) -> str:
-    return f"SELECT event_id FROM events WHERE {d.epoch('ts')} + 3600 <= (SELECT max({d.epoch('ts')}) FROM events)"
+@q("b20_closed_bars")
+def closed(t):
+    return R.with_greatest(t("events"), R.seconds(), "now").where(R.seconds() + 3600 <= F.col("now")).select("event_id")
 
 
-@q("b21_hash_ids", "customer")
-def hashes(d: SparkSql) -> str:
-    return "SELECT c_custkey, substr(sha1(concat_ws('|', c_mktsegment, CAST(c_custkey AS VARCHAR(20)), c_name)), 1, 20) AS id FROM customer"
+@q("b21_hash_ids")
+def hashes(t):
+    return t("customer").select("c_custkey", R.hashed_id(F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.col("c_name")).alias("id"))
 
 
 # Joins
 
 
-@q("c01_left_join", "customer", "orders")
-def left_join(d: SparkSql) -> str:
-    return "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
+@q("c01_left_join")
+def left_join(t):
+    """Orders are summed by customer before they meet the customers."""
+    spent = t("orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("spent"))
+    return rounded(t("customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("spent", F.lit(0.0)).alias("spent")), 2)
 
 
-@q("c02_inner_join", "orders", "lineitem")
-def inner_join(d: SparkSql) -> str:
-    return "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
+@q("c02_inner_join")
+def inner_join(t):
+    joined = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rounded(joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")), 2)
 
 
-@q("c04_k08_day_lag_join", "events", "orders")
-def day_lag(d: SparkSql) -> str:
+@q("c04_k08_day_lag_join")
+def day_lag(t):
     """A daily series known one day late: the value of day D serves day D + 1; the seven-day change needs the full calendar."""
-    day = f"CAST(floor({d.epoch('ts')} / 86400) AS BIGINT)"
-    return f"""WITH daily AS (SELECT {day} AS day, avg(value) AS v FROM events GROUP BY {day}),
-    known AS (SELECT a.day + 1 AS day, a.v, a.v - b.v AS change FROM daily a LEFT JOIN daily b ON b.day = a.day - 7)
-    SELECT e.event_id, round((k.v - 50) / 50, 6) AS level, round(k.change / 50, 6) AS change_7d, coalesce(k.v < 25, false) AS fear, coalesce(k.v > 75, false) AS greed FROM events e LEFT JOIN known k ON k.day = CAST(floor({d.epoch('e.ts')} / 86400) AS BIGINT)"""
+    events = t("events").withColumn("day", R.bucket(R.seconds(), DAY))
+    daily = events.groupBy("day").agg(F.avg("value").alias("v"))
+    before = daily.select((F.col("day") + 7).alias("day"), F.col("v").alias("old"))
+    known = daily.join(before, "day", "left").select((F.col("day") + 1).alias("day"), "v", (F.col("v") - F.col("old")).alias("change"))
+    v = F.col("v")
+    return rounded(events.join(F.broadcast(known), "day", "left").select("event_id", ((v - 50) / 50).alias("level"), (F.col("change") / 50).alias("change_7d"), F.coalesce(v < 25, F.lit(False)).alias("fear"), F.coalesce(v > 75, F.lit(False)).alias("greed")))
 
 
-@q("c05_last_before", "events")
-def last_before(d: SparkSql) -> str:
-    return f"SELECT event_type, max_by(value, {d.epoch('ts')} * 100000 + event_id) AS last FROM events WHERE {d.epoch('ts')} < 1705276800 GROUP BY event_type"
+@q("c05_last_before")
+def last_before(t):
+    return t("events").where(R.seconds() < PART_END).groupBy("event_type").agg(F.max_by("value", F.struct(R.seconds(), "event_id")).alias("last"))
 
 
-@q("c06_latest_per_key", "customer", "orders")
-def latest(d: SparkSql) -> str:
-    return """SELECT c.c_custkey, l.o_orderkey, l.o_totalprice FROM customer c LEFT JOIN (
-      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders) l ON l.o_custkey = c.c_custkey AND l.place = 1"""
+@q("c06_latest_per_key")
+def latest(t):
+    return R.latest_joined(t("customer"), t("orders"), ("c_custkey", "o_custkey"), [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_totalprice"]).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-@q("c07_c08_labelled_set", "lineitem", "part", "supplier", "nation")
-def labelled(d: SparkSql) -> str:
-    return "SELECT n_name, p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, p_brand"
+@q("c07_c08_labelled_set")
+def labelled(t):
+    """The small tables meet first, so that lineitem is shuffled once at most."""
+    places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    joined = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rounded(joined.groupBy("n_name", "p_brand").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), 2)
 
 
-@q("c09_share_of_total", "lineitem")
-def share(d: SparkSql) -> str:
-    return "SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) * 1.0 / max(total), 9) AS share FROM lineitem CROSS JOIN (SELECT count(*) AS total FROM lineitem) AS t GROUP BY l_returnflag, l_linestatus"
+@q("c09_share_of_total")
+def share(t):
+    return rounded(R.share_of_total(t("lineitem"), ["l_returnflag", "l_linestatus"]), 9)
 
 
-@q("c10_deliveries_and_rules", "supplier", "nation", "region")
-def deliveries(d: SparkSql) -> str:
-    return "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'"
+@q("c10_deliveries_and_rules")
+def deliveries(t):
+    regions = t("region").where("r_name <> 'ASIA'")
+    joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return joined.select("s_suppkey", "n_name", "r_name")
 
 
-@q("c11_anti_join", "customer", "orders")
-def anti(d: SparkSql) -> str:
-    return "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+@q("c11_anti_join")
+def anti(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@q("c12_semi_join", "part", "lineitem")
-def semi(d: SparkSql) -> str:
-    return "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
+@q("c12_semi_join")
+def semi(t):
+    return t("part").join(t("lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
 
 
-@q("c16_one_hop", "events")
-def one_hop(d: SparkSql) -> str:
+def moves_of(t):
+    return R.transitions(t("events"), "user_id", ["ts", "event_id"], "event_type", F.col("event_id"), F.col("value"), R.seconds().alias("sec"))
+
+
+@q("c16_one_hop")
+def one_hop(t):
     """Edges of the transition graph with both nodes' sizes, rare ones only."""
-    return f"""WITH s AS (SELECT event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events),
-    e AS (SELECT a, b, count(*) AS n FROM s WHERE a <> b GROUP BY a, b), k AS (SELECT {d.percentile('n', 0.33)} AS low FROM e), n AS (SELECT event_type AS g, count(*) AS size FROM events GROUP BY event_type)
-    SELECT a, b, e.n, x.size AS size_a, y.size AS size_b FROM e JOIN k ON e.n <= k.low JOIN n x ON x.g = a JOIN n y ON y.g = b"""
+    sizes = t("events").groupBy("event_type").agg(F.count("*").alias("size"))
+    ends = [sizes.select(F.col("event_type").alias(end), F.col("size").alias(f"size_{end}")) for end in ("a", "b")]
+    return R.rare_edges(moves_of(t), 0.33).join(F.broadcast(ends[0]), "a").join(F.broadcast(ends[1]), "b")
 
 
-@q("c17_neighbourhood", "events")
-def neighbours(d: SparkSql) -> str:
-    return """WITH s AS (SELECT event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events), e AS (SELECT a, b, count(*) AS n FROM s WHERE a <> b GROUP BY a, b),
-    r AS (SELECT 'in' AS way, a AS other, n, row_number() OVER (ORDER BY n DESC, a) AS place FROM e WHERE b = 'click' UNION ALL SELECT 'out', b, n, row_number() OVER (ORDER BY n DESC, b) FROM e WHERE a = 'click')
-    SELECT way, other, n, place FROM r WHERE place <= 20"""
+@q("c17_neighbourhood")
+def neighbours(t):
+    return R.neighbourhood(R.edges(moves_of(t)), "click", 20)
 
 
-@q("c18_dense_panel", "events")
-def panel(d: SparkSql) -> str:
+@q("c18_dense_panel")
+def panel(t):
     """Every hour of every symbol; hours without events are null."""
-    hour = f"CAST(floor({d.epoch('ts')} / 3600) AS BIGINT)"
-    return f"""WITH v AS (SELECT {hour} AS h, event_type AS s, avg(value) AS x FROM events GROUP BY {hour}, event_type)
-    SELECT a.h, b.s, round(v.x, 6) AS x FROM (SELECT DISTINCT h FROM v) a CROSS JOIN (SELECT DISTINCT s FROM v) b LEFT JOIN v ON v.h = a.h AND v.s = b.s"""
+    return rounded(R.panel(t("events").select(R.bucket(R.seconds(), 3600).alias("h"), F.col("event_type").alias("s"), "value"), "h", "s", "value"))
 
 
-@q("c20_merge_with_suffixes", "labels", "documents")
-def suffixes(d: SparkSql) -> str:
-    return "SELECT a.doc_id, a.n_chars AS n_chars_left, b.quality AS quality_right FROM documents a JOIN labels b ON a.doc_id = b.doc_id"
+@q("c20_merge_with_suffixes")
+def suffixes(t):
+    a, b = t("documents").alias("a"), t("labels").alias("b")
+    return a.join(b, F.col("a.doc_id") == F.col("b.doc_id")).select("a.doc_id", F.col("a.n_chars").alias("n_chars_left"), F.col("b.quality").alias("quality_right"))
 
 
 # Upserts and sinks, as the rows they leave
 
 
-@q("a12_upsert", "orders")
-def upsert(d: SparkSql) -> str:
-    """Newest row of each key after three batches: a union and row_number."""
-    return """WITH batches AS (SELECT o_custkey AS k, o_totalprice AS v, 0 AS batch, o_orderkey AS id FROM orders UNION ALL SELECT o_custkey, o_totalprice * 2, 1, o_orderkey FROM orders WHERE o_orderkey % 5 = 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY batch DESC, id DESC) AS place FROM batches) SELECT k, round(v, 2) AS v, batch FROM r WHERE place = 1"""
+@q("a12_upsert")
+def upsert(t):
+    """Newest row of each key after two batches."""
+    orders = t("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("id"))
+    batches = orders.withColumn("batch", F.lit(0)).unionByName(orders.where("id % 5 = 0").withColumns({"v": F.col("v") * 2, "batch": F.lit(1)}))
+    return rounded(R.last_by(batches, ["k"], [F.col("batch"), F.col("id")], ["v", "batch"]), 2)
 
 
-@q("a13_subset_upsert", "orders")
-def subset_upsert(d: SparkSql) -> str:
+@q("a13_subset_upsert")
+def subset_upsert(t):
     """A new payload keeps the evaluation that the old row has."""
-    return """WITH old AS (SELECT o_orderkey AS k, o_totalprice AS payload, o_orderpriority AS rating FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS k, o_totalprice + 1 AS payload, CAST(NULL AS VARCHAR(20)) AS rating FROM orders WHERE o_orderkey % 2 = 0)
-    SELECT coalesce(n.k, o.k) AS k, round(coalesce(n.payload, o.payload), 2) AS payload, coalesce(n.rating, o.rating) AS rating FROM old o FULL OUTER JOIN new n ON o.k = n.k"""
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("payload"), F.col("o_orderpriority").alias("rating"))
+    new = o.where("k % 2 = 0").withColumns({"payload": F.col("payload") + 1, "rating": F.lit(None).cast("string")})
+    return rounded(stores.upserted(o.where("k % 3 <> 0"), new, ["k"], update=["payload"]), 2)
 
 
-@q("a14_revisions", "orders")
-def revisions(d: SparkSql) -> str:
-    return f"""WITH old AS (SELECT {d.day('o_orderdate')} AS day, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY {d.day('o_orderdate')}), new AS (SELECT {d.day('o_orderdate')} AS day, max(o_totalprice) AS v FROM orders GROUP BY {d.day('o_orderdate')})
-    SELECT o.day, o.v AS old_v, n.v AS new_v FROM old o JOIN new n ON o.day = n.day WHERE o.v IS DISTINCT FROM n.v"""
+@q("a14_revisions")
+def revisions(t):
+    best = lambda df: df.groupBy(R.day_number("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("v"))
+    found = stores.revisions(best(t("orders").where("o_orderkey % 2 = 0")), best(t("orders")), ["day"], "v")
+    return found.select("day", F.col("old_value").alias("old_v"), F.col("new_value").alias("new_v"))
 
 
-@q("a15_bulk_update", "orders")
-def bulk_update(d: SparkSql) -> str:
-    return """WITH given AS (SELECT o_orderkey AS k, 'seen' AS status FROM orders WHERE o_orderkey % 7 = 0) SELECT o_orderkey, coalesce(g.status, o_orderstatus) AS status FROM orders LEFT JOIN given g ON g.k = o_orderkey"""
+@q("a15_bulk_update")
+def bulk_update(t):
+    old = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    given = old.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("seen").alias("status"))
+    return stores.upserted(old, given, ["o_orderkey"], update=["status"])
 
 
-@q("a16_claim", "events")
-def claim(d: SparkSql) -> str:
+@q("a16_claim")
+def claim(t):
     """Keys of a batch that nobody claimed before, one row each."""
-    return """WITH claimed AS (SELECT DISTINCT user_id FROM events WHERE event_id < 300), batch AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_id >= 300 GROUP BY user_id)
-    SELECT b.user_id, b.event_id FROM batch b WHERE NOT EXISTS (SELECT 1 FROM claimed c WHERE c.user_id = b.user_id)"""
+    batch = R.first_by(t("events").where("event_id >= 300"), ["user_id"], [F.col("event_id")], ["event_id"])
+    return stores.claimed(batch, t("events").where("event_id < 300"), ["user_id"]).select("user_id", "event_id")
 
 
-@q("a20_d21_d22_graph_merge", "events")
-def graph_merge(d: SparkSql) -> str:
+@q("a20_d21_d22_graph_merge")
+def graph_merge(t):
     """Edges merged from two batches: counts and sums add up, means follow, the latest label wins."""
-    return f"""WITH s AS (SELECT event_id, event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, value FROM events), e AS (SELECT * FROM s WHERE a <> b),
-    parts AS (SELECT a, b, event_id % 2 AS batch, count(*) AS n, sum(value) AS total, max_by(CAST(value > 50 AS INT), event_id) AS label, max(event_id) AS at_id FROM e GROUP BY a, b, event_id % 2)
-    SELECT a, b, sum(n) AS n, round(sum(total) / sum(n), 6) AS avg_value, max_by(label, at_id) AS label FROM parts GROUP BY a, b""".replace("sum(n) AS n", "CAST(sum(n) AS BIGINT) AS n")
+    moves = moves_of(t).withColumn("label", (F.col("value") > 50).cast("int"))
+    parts = R.graph_parts(moves, F.col("event_id") % 2)
+    merged = stores.merged_graph(parts.where("batch = 0").drop("batch"), parts.where("batch = 1").drop("batch"))
+    return rounded(merged.select("a", "b", "n", (F.col("total") / F.col("n")).alias("avg_value"), "label"))
 
 
-@q("a21_delete_symbol", "events")
-def delete_symbol(d: SparkSql) -> str:
-    return "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY event_type"
+@q("a21_delete_symbol")
+def delete_symbol(t):
+    return t("events").where("event_type <> 'click'").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@q("a27_retention", "events")
-def retention(d: SparkSql) -> str:
-    return f"SELECT event_id FROM events WHERE {d.epoch('ts')} >= (SELECT max({d.epoch('ts')}) FROM events) - 10 * 86400"
+@q("a27_retention")
+def retention(t):
+    return R.with_greatest(t("events"), R.seconds(), "now").where(R.seconds() >= F.col("now") - 10 * DAY).select("event_id")
 
 
 # Aggregates
 
 
-@q("d06_first_of_duplicates", "events")
-def firsts(d: SparkSql) -> str:
-    return "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS place FROM events) AS r WHERE place = 1"
+@q("d06_first_of_duplicates")
+def firsts(t):
+    return R.first_by(t("events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], ["event_id"])
 
 
-@q("d13_d14_filtered_counts", "lineitem")
-def filtered(d: SparkSql) -> str:
-    return "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS large, round(avg(l_tax) FILTER (WHERE l_discount = 0), 6) AS tax, count(DISTINCT l_suppkey) FILTER (WHERE l_quantity > 40) AS suppliers FROM lineitem GROUP BY l_returnflag"
+@q("d13_d14_filtered_counts")
+def filtered(t):
+    when = lambda test, x: F.when(F.expr(test), x)
+    agg = t("lineitem").groupBy("l_returnflag").agg(
+        F.count(when("l_quantity > 25", F.lit(1))).alias("large"), F.avg(when("l_discount = 0", F.col("l_tax"))).alias("tax"), F.count_distinct(when("l_quantity > 40", F.col("l_suppkey"))).alias("suppliers")
+    )
+    return rounded(agg)
 
 
-@q("d15_counts_by_two", "orders")
-def counts(d: SparkSql) -> str:
-    return "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_orderstatus, o_orderpriority"
+@q("d15_counts_by_two")
+def counts(t):
+    return t("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
 
 
-@q("d16_i07_hourly_and_daily", "events")
-def continuous(d: SparkSql) -> str:
-    e = d.epoch("ts")
-    part = lambda s: f"SELECT {s} AS width, CAST(floor({e} / {s}) AS BIGINT) * {s} AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, count(CASE WHEN value > 100 THEN 1 END) AS strong FROM events GROUP BY CAST(floor({e} / {s}) AS BIGINT) * {s}, event_type"
-    return f"{part(3600)} UNION ALL {part(86400)}"
+@q("d16_i07_hourly_and_daily")
+def continuous(t):
+    """Days are rolled up from hours."""
+    e = t("events").select("event_type", "value", (R.bucket(R.seconds(), 3600) * 3600).alias("bucket"))
+    part = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("strong").alias("strong")]
+    hours = e.groupBy("bucket", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.when(F.col("value") > 100, 1)).alias("strong"))
+    days = hours.withColumn("bucket", R.bucket(F.col("bucket"), DAY) * DAY).groupBy("bucket", "event_type").agg(*part)
+    both = hours.withColumn("width", F.lit(3600)).unionByName(days.withColumn("width", F.lit(DAY)))
+    return rounded(both.select("width", "bucket", "event_type", "n", (F.col("total") / F.col("n")).alias("mean"), "low", "high", "strong"))
 
 
-@q("d17_percent_of_total", "orders")
-def percent(d: SparkSql) -> str:
-    return "SELECT o_orderpriority, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM orders GROUP BY o_orderpriority"
+@q("d17_percent_of_total")
+def percent(t):
+    return rounded(R.share_of_total(t("orders"), ["o_orderpriority"]).select("o_orderpriority", "n", (100 * F.col("share")).alias("percent")))
 
 
-@q("d19_percentiles", "lineitem")
-def percentiles(d: SparkSql) -> str:
-    return "SELECT l_returnflag, " + ", ".join(f"round({d.percentile('l_extendedprice', p)}, 6) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.7, 0.8, 0.9)) + " FROM lineitem GROUP BY l_returnflag"
+@q("d19_percentiles")
+def percentiles(t):
+    shares = (0.1, 0.25, 0.5, 0.7, 0.8, 0.9)
+    found = exact_percentiles(t("lineitem"), "l_extendedprice", shares, ["l_returnflag"])
+    return rounded(found.select("l_returnflag", *[F.col(f"p{i}").alias(f"p{int(s * 100)}") for i, s in enumerate(shares)]))
 
 
-@q("d20_monthly_concentration", "orders")
-def concentration(d: SparkSql) -> str:
-    return "SELECT o_custkey, sum(n) AS n, round(max(n) * 1.0 / sum(n), 9) AS concentration FROM (SELECT o_custkey, year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY o_custkey, year(o_orderdate), month(o_orderdate)) AS r GROUP BY o_custkey".replace("sum(n) AS n", "CAST(sum(n) AS BIGINT) AS n")
+@q("d20_monthly_concentration")
+def concentration(t):
+    months = t("orders").groupBy("o_custkey", F.year("o_orderdate"), F.month("o_orderdate")).agg(F.count("*").alias("m"))
+    return rounded(months.groupBy("o_custkey").agg(F.sum("m").alias("n"), (F.max("m") / F.sum("m")).alias("concentration")), 9)
 
 
-@q("d23_downsample", "events")
-def downsample(d: SparkSql) -> str:
+@q("d23_downsample")
+def downsample(t):
     """At most 720 buckets over the series; mean and peak of each."""
-    e = d.epoch("ts")
-    return f"""WITH s AS (SELECT min({e}) AS a, greatest(60, CAST(ceil((max({e}) - min({e})) / 720.0 / 60) AS BIGINT) * 60) AS width FROM events)
-    SELECT CAST(floor({e} / width) AS BIGINT) * width AS bucket, round(avg(value), 6) AS mean, max(value) AS peak FROM events CROSS JOIN s GROUP BY CAST(floor({e} / width) AS BIGINT) * width"""
+    return rounded(R.downsampled(t("events"), R.seconds(), "value"))
 
 
-@q("d24_quantile_bins", "lineitem")
-def bins(d: SparkSql) -> str:
+@q("d24_quantile_bins")
+def bins(t):
     """Right-closed bins at exact quintiles."""
-    p = lambda v: d.percentile("l_extendedprice", v)
-    return f"""WITH e AS (SELECT {p(0.2)} AS a, {p(0.4)} AS b, {p(0.6)} AS c, {p(0.8)} AS dd FROM lineitem),
-    x AS (SELECT CASE WHEN l_extendedprice <= a THEN 0 WHEN l_extendedprice <= b THEN 1 WHEN l_extendedprice <= c THEN 2 WHEN l_extendedprice <= dd THEN 3 ELSE 4 END AS bin, l_quantity FROM lineitem CROSS JOIN e)
-    SELECT bin, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM x GROUP BY bin"""
+    return rounded(R.binned(t("lineitem"), "l_extendedprice", (0.2, 0.4, 0.6, 0.8)).groupBy("bin").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean")))
 
 
-@q("d25_target_encoding", "lineitem")
-def target_encoding(d: SparkSql) -> str:
+@q("d25_target_encoding")
+def target_encoding(t):
     """Means by part on the training half, drawn to the prior; unknown parts get the prior."""
-    return """WITH train AS (SELECT l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0), prior AS (SELECT avg(l_quantity) AS p FROM train), code AS (SELECT l_partkey, (sum(l_quantity) + 20 * max(p)) / (count(*) + 20) AS v FROM train CROSS JOIN prior GROUP BY l_partkey)
-    SELECT l_orderkey, l_linenumber, round(coalesce(v, p), 6) AS encoded FROM lineitem CROSS JOIN prior LEFT JOIN code USING (l_partkey) WHERE l_orderkey % 2 = 1"""
+    rows = t("lineitem")
+    return rounded(R.target_encoded(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_partkey", "l_quantity", 20).select("l_orderkey", "l_linenumber", "encoded"))
 
 
-@q("d26_configuration_percentiles", "lineitem")
-def configuration(d: SparkSql) -> str:
+@q("d26_configuration_percentiles")
+def configuration(t):
     """Percentiles by the fine key where it has enough rows, else by the coarse one."""
-    p = lambda v: d.percentile("l_extendedprice", v)
-    return f"""WITH fine AS (SELECT l_suppkey, l_returnflag, {p(0.7)} AS v FROM lineitem GROUP BY l_suppkey, l_returnflag HAVING count(*) >= 150), coarse AS (SELECT l_returnflag, {p(0.7)} AS v FROM lineitem GROUP BY l_returnflag)
-    SELECT k.l_suppkey, k.l_returnflag, round(coalesce(f.v, c.v), 6) AS v FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem) k LEFT JOIN fine f ON f.l_suppkey = k.l_suppkey AND f.l_returnflag = k.l_returnflag LEFT JOIN coarse c ON c.l_returnflag = k.l_returnflag"""
+    return rounded(R.backed_off_percentile(t("lineitem"), "l_suppkey", "l_returnflag", "l_extendedprice", 0.7, 150))
 
 
-@q("d27_d28_frequencies", "orders")
-def frequencies(d: SparkSql) -> str:
-    return "SELECT year(o_orderdate) AS y, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END END), 6) AS given FROM orders GROUP BY year(o_orderdate)"
+@q("d27_d28_frequencies")
+def frequencies(t):
+    done, large = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0), F.when(F.col("o_totalprice") > 100000, 1.0).otherwise(0.0)
+    return rounded(t("orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.avg(done).alias("share"), F.avg(F.when(F.col("o_orderstatus") == "F", large)).alias("given")))
 
 
-@q("d29_correlations", "lineitem")
-def correlations(d: SparkSql) -> str:
-    cols = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(cols) for b in cols[i + 1 :])
+@q("d29_correlations")
+def correlations(t):
+    return rounded(R.correlations(t("lineitem"), ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 
 
-@q("d31_run_list", "orders")
-def runs(d: SparkSql) -> str:
-    return "SELECT o_orderpriority, count(DISTINCT o_custkey) AS symbols, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS latest_done FROM orders GROUP BY o_orderpriority"
+@q("d31_run_list")
+def runs(t):
+    return t("orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("symbols"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("latest_done"))
 
 
 # Windows
 
+def in_time():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
-@q("e12_i15_rates", "events")
-def rates(d: SparkSql) -> str:
-    e = d.epoch("ts")
-    return f"SELECT event_id, round(greatest(0, value - lag(value) OVER w) / nullif({e} - lag({e}) OVER w, 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)".replace("greatest(0, value - lag(value) OVER w)", "CASE WHEN value > lag(value) OVER w THEN value - lag(value) OVER w ELSE CASE WHEN lag(value) OVER w IS NOT NULL THEN 0 END END")
 
+@q("e12_i15_rates")
+def rates(t):
+    """Change of a counter each second; a fall counts as a restart, without change."""
+    change, passed = F.col("value") - F.lag("value").over(in_time()), R.seconds() - F.lag(R.seconds()).over(in_time())
+    return rounded(t("events").select("event_id", (F.when(change > 0, change).when(change.isNotNull(), 0.0) / F.nullif(passed, F.lit(0))).alias("rate")))
 
-@q("e16_e17_e18_islands", "events")
-def island(d: SparkSql) -> str:
-    return """WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq FROM m)
-    SELECT event_id, CAST(seq AS BIGINT) AS seq, row_number() OVER (PARTITION BY user_id, seq ORDER BY ts, event_id) - 1 AS age FROM s"""
 
+@q("e16_e17_e18_islands")
+def island(t):
+    return R.islands(t("events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "seq", "age")
 
-@q("e21_calendar", "events")
-def calendar(d: SparkSql) -> str:
-    return f"SELECT event_id, hour(ts) AS h, {d.weekday('ts')} AS wd, {d.weekday('ts')} >= 5 AS weekend FROM events"
 
+@q("e21_calendar")
+def calendar(t):
+    return t("events").select("event_id", F.hour("ts").alias("h"), F.weekday("ts").alias("wd"), (F.weekday("ts") >= 5).alias("weekend"))
 
-@q("e23_e24_demeaned", "events")
-def demeaned(d: SparkSql) -> str:
-    h = f"CAST(floor({d.epoch('ts')} / 86400) AS BIGINT)"
-    return f"""WITH v AS (SELECT {h} AS day, event_type AS s, sum(value) AS x FROM events GROUP BY {h}, event_type), p AS (SELECT day, s, x - avg(x) OVER (PARTITION BY day) AS away, x / sum(x) OVER (PARTITION BY day) AS share, stddev_samp(x) OVER (PARTITION BY day) AS spread FROM v)
-    SELECT day, s, round(away, 6) AS away, round(share, 9) AS share, round(spread, 6) AS spread, round(share - lag(share) OVER (PARTITION BY s ORDER BY day), 9) AS change FROM p"""
 
+@q("e23_e24_demeaned")
+def demeaned(t):
+    v = t("events").groupBy(R.bucket(R.seconds(), DAY).alias("day"), F.col("event_type").alias("s")).agg(F.sum("value").alias("x"))
+    p = M.demeaned(v, "day", "x")
+    change = F.col("share") - F.lag("share").over(Window.partitionBy("s").orderBy("day"))
+    return p.select("day", "s", F.round("away", 6).alias("away"), F.round("share", 9).alias("share"), F.round("spread", 6).alias("spread"), F.round(change, 9).alias("change"))
 
-@q("e25_ranked_dedup", "orders")
-def ranked(d: SparkSql) -> str:
-    return "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END DESC, o_orderkey DESC) AS place FROM orders) AS r WHERE place = 1"
 
+@q("e25_ranked_dedup")
+def ranked(t):
+    return R.last_by(t("orders"), ["o_custkey", "o_orderpriority"], [(F.col("o_orderstatus") == "F").cast("int"), F.col("o_orderkey")], ["o_orderkey"]).select("o_orderkey")
 
-@q("e28_autocorrelation", "events")
-def autocorrelation(d: SparkSql) -> str:
-    lagged = " UNION ALL ".join(f"SELECT {k} AS k, value AS x, lag(value, {k}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y FROM events" for k in (1, 2, 3, 5, 8))
-    return f"SELECT k, round(corr(x, y), 6) AS r FROM ({lagged}) AS r WHERE y IS NOT NULL GROUP BY k"
 
+@q("e28_autocorrelation")
+def autocorrelation(t):
+    return rounded(R.lagged_correlations(t("events").withColumn("us", R.micros()), "event_type", "us", "event_id", "value", (1, 2, 3, 5, 8)))
 
-@q("e29_block_length", "events")
-def block_length(d: SparkSql) -> str:
+
+@q("e29_block_length")
+def block_length(t):
     """Mean number of rows in a day ahead, over complete windows."""
-    e = d.epoch("ts")
-    return f"""WITH r AS (SELECT event_type, {e} AS t FROM events), w AS (SELECT event_type, t, count(*) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN CURRENT ROW AND 86399 FOLLOWING) AS n, max(t) OVER (PARTITION BY event_type) AS last FROM r)
-    SELECT event_type, round(avg(n), 6) AS rows_per_day FROM w WHERE t + 86399 <= last GROUP BY event_type"""
+    return rounded(R.rows_ahead(t("events"), "event_type", R.seconds(), DAY).groupBy("event_type").agg(F.avg("n").alias("rows_per_day")))
 
 
-@q("e30_thinned_phases", "events")
-def thinned(d: SparkSql) -> str:
+@q("e30_thinned_phases")
+def thinned(t):
     """One row of each day for each of 24 phases: windows that don't overlap."""
-    e = d.epoch("ts")
-    return f"""WITH p AS (SELECT i, event_id, value, row_number() OVER (PARTITION BY i, CAST(floor(({e} - i * 3600) / 86400) AS BIGINT) ORDER BY ts, event_id) AS place FROM events CROSS JOIN {d.numbers(24)} n)
-    SELECT i, count(*) AS n, round(avg(value), 6) AS mean FROM p WHERE place = 1 GROUP BY i"""
+    return rounded(R.thinned(t("events"), R.seconds(), "value", ["ts", "event_id"], DAY, 24).groupBy("i").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 
 
 # Sorts, sets
 
 
-@q("f02_f03_window_end", "events")
-def window_end(d: SparkSql) -> str:
-    return "SELECT event_id, value FROM (SELECT event_id, value, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) AS r"
+@q("f02_f03_window_end")
+def window_end(t):
+    return t("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "value")
+
 
+@q("f05_top_transitions")
+def top_transitions(t):
+    return R.edges(moves_of(t)).orderBy(F.desc("n"), "a", "b").limit(10)
 
-@q("f05_top_transitions", "events")
-def top_transitions(d: SparkSql) -> str:
-    return "SELECT a, b, n FROM (SELECT a, b, count(*) AS n FROM (SELECT event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events) AS s WHERE a <> b GROUP BY a, b) AS e ORDER BY n DESC, a, b LIMIT 10"
 
+@q("f07_strong_newest")
+def newest(t):
+    return t("orders").where("o_totalprice > 200000").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", R.day_number("o_orderdate").alias("day"))
 
-@q("f07_strong_newest", "orders")
-def newest(d: SparkSql) -> str:
-    return f"SELECT o_orderkey, {d.day('o_orderdate')} AS day FROM orders WHERE o_totalprice > 200000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"
 
+@q("f09_lookup")
+def lookup(t):
+    return R.filtered(t("orders"), equal={"o_custkey": 77}).orderBy("o_orderkey").limit(1).select("o_orderkey", "o_custkey")
 
-@q("f09_lookup", "orders")
-def lookup(d: SparkSql) -> str:
-    return "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77 ORDER BY o_orderkey LIMIT 1"
 
+def _customers(t, status):
+    return t("orders").where(F.col("o_orderstatus") == status).select("o_custkey")
 
-@q("g01_g02_g07_unions", "orders")
-def unions(d: SparkSql) -> str:
-    return "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"
 
+@q("g01_g02_g07_unions")
+def unions(t):
+    return _customers(t, "F").union(_customers(t, "O")).distinct()
 
-@q("g03_intersection", "orders")
-def intersection(d: SparkSql) -> str:
-    return "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"
 
+@q("g03_intersection")
+def intersection(t):
+    return _customers(t, "F").intersect(_customers(t, "O"))
 
-@q("g04_difference", "customer", "orders")
-def difference(d: SparkSql) -> str:
-    return "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000"
 
+@q("g04_difference")
+def difference(t):
+    return t("customer").select("c_custkey").subtract(t("orders").where("o_totalprice > 100000").select("o_custkey"))
 
-@q("g05_g06_array_sets", "events")
-def array_sets(d: SparkSql) -> str:
-    return f"SELECT user_id, {d.list_sorted('event_type')} AS kinds FROM events GROUP BY user_id"
 
+@q("g05_g06_array_sets")
+def array_sets(t):
+    return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
-@q("h_naming_phrases", "embeddings")
-def naming(d: SparkSql) -> str:
+
+@q("h_naming_phrases")
+def naming(t):
     """The strongest axis of each vector, named when it is strong enough."""
-    phrases = " UNION ALL ".join(f"SELECT {i} AS axis, 'axis{i} ' || CASE WHEN x >= 0 THEN 'high' ELSE 'low' END AS phrase, vec_id, x FROM (SELECT vec_id, CAST({d.item('embedding', i)} AS DOUBLE) AS x FROM embeddings) AS e{i}" for i in range(1, 5))
-    return f"WITH p AS ({phrases}), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, axis) AS place FROM p WHERE abs(x) >= 0.05) SELECT vec_id, phrase FROM r WHERE place = 1"
+    axes = F.array(*[F.struct(F.abs(F.element_at("embedding", i).cast("double")).alias("size"), F.lit(-i).alias("less"), F.concat(F.lit(f"axis{i} "), F.when(F.element_at("embedding", i) >= 0, "high").otherwise("low")).alias("phrase")) for i in range(1, 5)])
+    best = t("embeddings").select("vec_id", F.array_max(axes).alias("best"))
+    return best.where("best.size >= 0.05").select("vec_id", "best.phrase")
 
 
-@q("k09_derivative_quadrants", "events")
-def quadrants(d: SparkSql) -> str:
+@q("k09_derivative_quadrants")
+def quadrants(t):
     """Signs of the change of an open-interest stand-in and of price, hour on hour; zeros count as missing."""
-    h = f"CAST(floor({d.epoch('ts')} / 3600) AS BIGINT)"
-    return f"""WITH v AS (SELECT event_type AS s, {h} AS h, sum(CAST({d.json('props', 'k')} AS DOUBLE)) AS oi, avg(value) AS p FROM events GROUP BY event_type, {h}), c AS (SELECT s, h, ln(nullif(oi, 0) / lag(nullif(oi, 0)) OVER w) AS doi, ln(p / lag(p) OVER w) AS dp FROM v WINDOW w AS (PARTITION BY s ORDER BY h))
-    SELECT s, h, round(doi, 6) AS oi_change, coalesce(doi > 0 AND dp > 0, false) AS up_up, coalesce(doi > 0 AND dp < 0, false) AS up_down, coalesce(doi < 0 AND dp > 0, false) AS down_up, coalesce(doi < 0 AND dp < 0, false) AS down_down FROM c"""
+    v = key_of(t("events")).groupBy(F.col("event_type").alias("s"), R.bucket(R.seconds(), 3600).alias("h")).agg(F.nullif(F.sum(F.col("k").cast("double")), F.lit(0.0)).alias("oi"), F.avg("value").alias("p"))
+    w = Window.partitionBy("s").orderBy("h")
+    c = v.select("s", "h", F.ln(F.col("oi") / F.lag("oi").over(w)).alias("oi_change"), F.ln(F.col("p") / F.lag("p").over(w)).alias("dp"))
+    sides = {"up": lambda c: F.col(c) > 0, "down": lambda c: F.col(c) < 0}
+    return rounded(c.select("s", "h", "oi_change", *[F.coalesce(a("oi_change") & b("dp"), F.lit(False)).alias(f"{x}_{y}") for x, a in sides.items() for y, b in sides.items()]))
 
 
-@q("l18_prefix_rarity", "events")
-def prefix_rarity(d: SparkSql) -> str:
+@q("l18_prefix_rarity")
+def prefix_rarity(t):
     """Rarity of transitions from the first part of history only."""
-    e = d.epoch("ts")
-    return f"""WITH s AS (SELECT {e} AS t, event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events), e AS (SELECT a, b, count(*) AS n FROM s WHERE a <> b AND t < 1705276800 GROUP BY a, b), k AS (SELECT {d.percentile('n', 0.33)} AS x, {d.percentile('n', 0.66)} AS y FROM e)
-    SELECT a, b, n, CASE WHEN n <= x THEN 'rare' WHEN n <= y THEN 'uncommon' ELSE 'common' END AS rarity FROM e CROSS JOIN k"""
+    e = R.edges(moves_of(t).where(F.col("sec") < PART_END))
+    cuts = exact_percentiles(e, "n", (0.33, 0.66))
+    return e.crossJoin(F.broadcast(cuts)).select("a", "b", "n", F.when(F.col("n") <= F.col("p0"), "rare").when(F.col("n") <= F.col("p1"), "uncommon").otherwise("common").alias("rarity"))
 
 
 # Measures
 
 
-@q("m01_two_proportions", "lineitem")
-def proportions(d: SparkSql) -> str:
-    return """WITH g AS (SELECT l_returnflag AS f, count(*) * 1.0 AS n, sum(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS k FROM lineitem GROUP BY l_returnflag), t AS (SELECT sum(n) AS n, sum(k) AS k FROM g),
-    x AS (SELECT f, g.n AS a, g.k AS ka, t.n - g.n AS b, t.k - g.k AS kb, t.k / t.n AS p FROM g CROSS JOIN t)
-    SELECT f, round((ka / a - kb / b) / sqrt(p * (1 - p) * (1 / a + 1 / b)), 5) AS z FROM x"""
+@q("m01_two_proportions")
+def proportions(t):
+    return rounded(M.two_proportions(t("lineitem").withColumnRenamed("l_returnflag", "f"), "f", F.expr("l_discount > 0.05D")), 5)
 
 
-@q("m02_benjamini_hochberg", "part")
-def hochberg(d: SparkSql) -> str:
+@q("m02_benjamini_hochberg")
+def hochberg(t):
     """Stand-in p-values; those at or below the largest that passes its step are kept."""
-    return """WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1009) / 1009.0 * ((p_partkey * 13 % 101) / 101.0) AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k * 0.05 / m THEN k END) AS top FROM r)
-    SELECT id, k <= coalesce(top, 0) AS kept, p <= 0.05 / m AS bonferroni FROM r CROSS JOIN c"""
+    p = t("part").select(F.col("p_partkey").alias("id"), F.expr("(p_partkey * 37 % 1009) / 1009.0D * ((p_partkey * 13 % 101) / 101.0D)").alias("p"))
+    return M.discoveries(p, "id", "p", 0.05).select("id", "kept", "bonferroni")
 
 
-@q("m03_m11_splits", "events")
-def splits(d: SparkSql) -> str:
+@q("m03_m11_splits")
+def splits(t):
     """Five walk-forward folds in time order, each trained on what ends a gap of 50 rows before it."""
-    return """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events), f AS (SELECT event_id, i, n, CAST(floor(i * 6.0 / n) AS INT) AS part FROM r)
-    SELECT part AS fold, count(*) AS test_rows, min(i) AS first_row, greatest(0, min(i) - 50) AS train_rows FROM f WHERE part > 0 GROUP BY part"""
+    f = M.walk_forward(t("events").select("event_id", R.micros().alias("us")), "us", "event_id", 5).where("fold > 0")
+    return f.groupBy("fold").agg(F.count("*").alias("test_rows"), F.min("place").alias("first_row"), F.greatest(F.lit(0), F.min("place") - 50).alias("train_rows"))
 
 
-@q("m07_m08_trend", "lineitem")
-def trend(d: SparkSql) -> str:
+@q("m07_m08_trend")
+def trend(t):
     """Cochran-Armitage trend of a share over ordered groups, in closed form."""
-    return """WITH g AS (SELECT CAST(floor((l_quantity - 1) / 10) AS INT) AS x, count(*) * 1.0 AS n, sum(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS k FROM lineitem GROUP BY CAST(floor((l_quantity - 1) / 10) AS INT)),
-    t AS (SELECT sum(n) AS n, sum(k) AS k, sum(n * x) AS nx, sum(n * x * x) AS nxx, sum(k * x) AS kx FROM g)
-    SELECT round((kx - k / n * nx) / sqrt(k / n * (1 - k / n) * (nxx - nx * nx / n)), 5) AS z FROM t"""
+    return rounded(M.trend(t("lineitem"), F.floor((F.col("l_quantity") - 1) / 10).cast("int"), F.expr("l_discount > 0.05D")), 5)
 
 
-@q("m10_calibration", "lineitem")
-def calibration(d: SparkSql) -> str:
+@q("m10_calibration")
+def calibration(t):
     """Brier score, skill over the base rate, and expected calibration error over ten bins of a stand-in forecast."""
-    return """WITH f AS (SELECT l_quantity / 51.0 AS p, CASE WHEN l_extendedprice > 30000 THEN 1.0 ELSE 0.0 END AS y FROM lineitem), b AS (SELECT avg(y) AS base FROM f), s AS (SELECT avg((p - y) * (p - y)) AS brier, avg((base - y) * (base - y)) AS naive FROM f CROSS JOIN b),
-    c AS (SELECT CAST(floor(p * 10) AS INT) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM f GROUP BY CAST(floor(p * 10) AS INT)), e AS (SELECT sum(n * gap) / sum(n) AS ece FROM c)
-    SELECT round(brier, 6) AS brier, round(1 - brier / naive, 6) AS skill, round(ece, 6) AS ece FROM s CROSS JOIN e"""
+    f = t("lineitem").select((F.col("l_quantity") / 51.0).alias("p"), F.when(F.col("l_extendedprice") > 30000, 1.0).otherwise(0.0).alias("y"))
+    return rounded(M.calibration(f, "p", "y"))
 
 
-@q("m13_auc", "lineitem")
-def auc(d: SparkSql) -> str:
+@q("m13_auc")
+def auc(t):
     """Area under the curve from mean ranks."""
-    return """WITH f AS (SELECT l_quantity AS s, CASE WHEN l_extendedprice > 30000 THEN 1 ELSE 0 END AS y FROM lineitem), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM f),
-    t AS (SELECT sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS ranks, sum(y) * 1.0 AS pos, count(*) - sum(y) * 1.0 AS neg FROM r) SELECT round((ranks - pos * (pos + 1) / 2) / (pos * neg), 6) AS auc FROM t"""
+    return rounded(M.auc(t("lineitem"), "l_quantity", F.col("l_extendedprice") > 30000))
 
 
-@q("m14_m15_least_squares", "lineitem")
-def least_squares(d: SparkSql) -> str:
+@q("m14_m15_least_squares")
+def least_squares(t):
     """A line fitted on the even orders; R2 out of sample against the mean of the training rows."""
-    return """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_extendedprice) AS base FROM lineitem WHERE l_orderkey % 2 = 0)
-    SELECT round(max(b), 4) AS slope, round(1 - sum((l_extendedprice - a - b * l_quantity) * (l_extendedprice - a - b * l_quantity)) / sum((l_extendedprice - base) * (l_extendedprice - base)), 6) AS r2 FROM lineitem CROSS JOIN m WHERE l_orderkey % 2 = 1"""
+    rows = t("lineitem")
+    found = M.line_fit(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_extendedprice", "l_quantity")
+    return found.select(F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"))
+
+
+@q("m16_spearman")
+def spearman(t):
+    return rounded(M.spearman(t("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"))
 
 
-@q("m16_spearman", "lineitem")
-def spearman(d: SparkSql) -> str:
-    rank = lambda x: f"rank() OVER (PARTITION BY l_returnflag ORDER BY {x}) + (count(*) OVER (PARTITION BY l_returnflag, {x}) - 1) / 2.0"
-    return f"WITH r AS (SELECT l_returnflag, {rank('l_quantity')} AS x, {rank('l_extendedprice')} AS y FROM lineitem) SELECT l_returnflag, round(corr(x, y), 6) AS rho FROM r GROUP BY l_returnflag"
+@q("m18_pinball_and_coverage")
+def pinball(t):
+    rows = t("lineitem")
+    found = M.constant_heads(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_extendedprice", (0.25, 0.9))
+    return found.select(F.round("loss0", 4).alias("loss25"), F.round("loss1", 4).alias("loss90"), F.round("covered1", 6).alias("covered90"))
 
 
-@q("m18_pinball_and_coverage", "lineitem")
-def pinball(d: SparkSql) -> str:
-    p = lambda v: d.percentile("l_extendedprice", v)
-    loss = lambda c, t: f"round(avg(CASE WHEN l_extendedprice >= {c} THEN {t} * (l_extendedprice - {c}) ELSE (1 - {t}) * ({c} - l_extendedprice) END), 4)"
-    return f"WITH h AS (SELECT {p(0.25)} AS a, {p(0.9)} AS b FROM lineitem WHERE l_orderkey % 2 = 0) SELECT {loss('a', 0.25)} AS loss25, {loss('b', 0.9)} AS loss90, round(avg(CASE WHEN l_extendedprice <= b THEN 1.0 ELSE 0.0 END), 6) AS covered90 FROM lineitem CROSS JOIN h WHERE l_orderkey % 2 = 1"
+@q("m19_seasonality")
+def seasonality(t):
+    return rounded(t("events").select("event_id", *[c.alias(n) for n, c in M.seasonal("ts").items()]))
 
 
-@q("m19_seasonality", "events")
-def seasonality(d: SparkSql) -> str:
-    a = "(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440.0)"
-    return f"SELECT event_id, round(sin({a}), 6) AS s1, round(cos({a}), 6) AS c1, round(sin(2 * {a}), 6) AS s2, round(cos(2 * {a}), 6) AS c2, {d.weekday('ts')} >= 5 AS weekend FROM events"
+def daily(t):
+    return t("events").groupBy(R.bucket(R.seconds(), DAY).alias("day"), F.col("event_type").alias("s")).agg(F.avg("value").alias("x"), F.count("*").alias("n"))
 
 
-@q("m20_dispersion", "events")
-def dispersion(d: SparkSql) -> str:
-    h = f"CAST(floor({d.epoch('ts')} / 86400) AS BIGINT)"
-    return f"""WITH v AS (SELECT {h} AS day, event_type AS s, avg(value) AS x FROM events GROUP BY {h}, event_type), r AS (SELECT day, s, ln(x / lag(x) OVER (PARTITION BY s ORDER BY day)) AS ret FROM v), k AS (SELECT * FROM r WHERE ret IS NOT NULL)
-    SELECT day, s, round(ret - avg(ret) OVER (PARTITION BY day), 6) AS own, round(stddev_samp(ret) OVER (PARTITION BY day), 6) AS dispersion FROM k"""
+@q("m20_dispersion")
+def dispersion(t):
+    r = daily(t).withColumn("ret", F.ln(F.col("x") / F.lag("x").over(Window.partitionBy("s").orderBy("day")))).where("ret IS NOT NULL")
+    return rounded(M.demeaned(r, "day", "ret").select("day", "s", F.col("away").alias("own"), F.col("spread").alias("dispersion")))
 
 
-@q("m21_information_coefficient", "events")
-def information(d: SparkSql) -> str:
+@q("m21_information_coefficient")
+def information(t):
     """Rank correlation, day by day across symbols, of a signal and of what follows."""
-    h = f"CAST(floor({d.epoch('ts')} / 86400) AS BIGINT)"
-    return f"""WITH v AS (SELECT {h} AS day, event_type AS s, avg(value) AS x, count(*) AS n FROM events GROUP BY {h}, event_type), f AS (SELECT day, s, n, lead(x) OVER (PARTITION BY s ORDER BY day) / x - 1 AS y FROM v), k AS (SELECT * FROM f WHERE y IS NOT NULL),
-    r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY n) + (count(*) OVER (PARTITION BY day, n) - 1) / 2.0 AS a, rank() OVER (PARTITION BY day ORDER BY y) + (count(*) OVER (PARTITION BY day, y) - 1) / 2.0 AS b, count(*) OVER (PARTITION BY day) AS k FROM k)
-    SELECT day, round(corr(a, b), 6) AS ic FROM r WHERE k >= 4 GROUP BY day HAVING stddev_samp(a) > 0 AND stddev_samp(b) > 0"""
+    v = daily(t).withColumn("y", F.lead("x").over(Window.partitionBy("s").orderBy("day")) / F.col("x") - 1).where("y IS NOT NULL")
+    return rounded(M.information(v, "day", "n", "y", 4))
 
 
-@q("m23_demeaned_correlation", "events")
-def demeaned_correlation(d: SparkSql) -> str:
-    return "WITH r AS (SELECT value - avg(value) OVER (PARTITION BY event_type) AS x, user_id - avg(user_id) OVER (PARTITION BY event_type) AS y FROM events) SELECT round(corr(x, y), 6) AS r, round(1.96 / sqrt(count(*)), 6) AS detectable FROM r"
+@q("m23_demeaned_correlation")
+def demeaned_correlation(t):
+    return rounded(M.demeaned_correlation(t("events"), "value", "user_id", "event_type"))
 
 
-@q("m24_adjusted_rand", "lineitem")
-def rand(d: SparkSql) -> str:
-    return """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) * 1.0 AS n FROM lineitem GROUP BY l_returnflag, l_linestatus), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS n FROM c),
-    x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM ra) AS p, (SELECT sum(n * (n - 1) / 2) FROM rb) AS q, n * (n - 1) / 2 AS m FROM t)
-    SELECT round((i - p * q / m) / ((p + q) / 2 - p * q / m), 6) AS ari FROM x"""
+@q("m24_adjusted_rand")
+def rand(t):
+    return rounded(M.adjusted_rand(t("lineitem"), "l_returnflag", "l_linestatus"))
 
 
-@q("m25_lag_convention", "events")
-def lag_convention(d: SparkSql) -> str:
-    h = f"CAST(floor({d.epoch('ts')} / 3600) AS BIGINT)"
-    return f"""WITH v AS (SELECT {h} AS h, avg(value) AS x, count(*) AS y FROM events GROUP BY {h}), l AS (SELECT x, y, lag(y) OVER (ORDER BY h) AS before FROM v) SELECT round(corr(x, y), 6) AS same, round(corr(x, before), 6) AS lagged FROM l WHERE before IS NOT NULL"""
+@q("m25_lag_convention")
+def lag_convention(t):
+    """Correlation of a series with another at the same hour and the hour before; hours are few, so one task orders them."""
+    v = t("events").groupBy(R.bucket(R.seconds(), 3600).alias("h")).agg(F.avg("value").alias("x"), F.count("*").alias("y"))
+    before = v.withColumn("before", F.lag("y").over(Window.orderBy("h"))).where("before IS NOT NULL")
+    return rounded(before.agg(F.corr("x", "y").alias("same"), F.corr("x", "before").alias("lagged")))
 
 
-@q("l03_group_floor", "embeddings")
-def group_floor(d: SparkSql) -> str:
-    return "SELECT label, count(*) AS n, count(*) >= greatest(30, 0.0025 * (SELECT count(*) FROM embeddings)) AS large_enough FROM embeddings GROUP BY label"
+@q("l03_group_floor")
+def group_floor(t):
+    groups = R.share_of_total(t("embeddings"), ["label"])
+    return groups.select("label", "n", (F.col("n") >= F.greatest(F.lit(30.0), 0.0025 * F.round(F.col("n") / F.col("share")))).alias("large_enough"))
 
 
-@q("i11_first_in_ttl", "events")
-def ttl(d: SparkSql) -> str:
+@q("i11_first_in_ttl")
+def ttl(t):
     """A key is taken again when its last sighting is half an hour old."""
-    e = d.epoch("ts")
-    return f"SELECT event_id FROM (SELECT event_id, {e} AS t, lag({e}) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) AS r WHERE before IS NULL OR t - before > 1800"
+    before = F.lag(R.seconds()).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return t("events").select("event_id", (R.seconds() - before).alias("passed")).where("passed IS NULL OR passed > 1800").select("event_id")
 
 
-@q("i17_age_cut", "events")
-def age_cut(d: SparkSql) -> str:
-    return f"SELECT event_id FROM events WHERE {d.epoch('ts')} >= (SELECT max({d.epoch('ts')}) FROM events) - 180 * 60 AND value > 20"
+@q("i17_age_cut")
+def age_cut(t):
+    return R.with_greatest(t("events"), R.seconds(), "now").where((R.seconds() >= F.col("now") - 180 * 60) & (F.col("value") > 20)).select("event_id")
