@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import with_place
+
 
 def two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -62,29 +64,70 @@ def difference_p(x: np.ndarray, flag: np.ndarray, length: float, samples: int =
     return float(min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean()) + 1 / len(d))), len(d)
 
 
-def lift_by_atom(rows: DataFrame, atoms: str, metric: str, order: str, train: float = 0.7, length: float = 24.0, samples: int = 300) -> DataFrame:
-    """Mean of the metric with an atom against without it, in training and hold-out rows, with a bootstrap p.
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
+
+def drawn_weight(*names: Column) -> Column:
+    """How often a bootstrap sample takes a block: a Poisson number of mean 1, from a hash of what names block and sample."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[n.cast("string") for n in names])), 1, 8), 16, 10).cast("double") / 2.0**32
+    return sum((F.when(u >= c, 1.0).otherwise(0.0) for c in POISSON), F.lit(0.0))
+
 
-    One task for an atom, over the rows that carry order, metric and flag. confirmed: both differences have one sign and
-    the second is between half and twice the first.
+def block_intervals(df: DataFrame, by: str, value: str, order: str, length: int = 24, samples: int = 300, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """mean of value in each group, and low and high of its block bootstrap: by, mean, low, high.
+
+    Rows are numbered in order without one sort of a group, summed by blocks of ``length``, and only blocks are drawn: each
+    sample weighs every block by a Poisson number, so samples are sums that any task can add to.
     """
-    names = rows.select(F.explode(atoms).alias("atom")).distinct()
-    flagged = rows.select(order, metric, atoms).crossJoin(F.broadcast(names)).select("atom", order, metric, F.array_contains(F.col(atoms), F.col("atom")).alias("flag"))
+    ranked = with_place(df.select(by, value, order), order, [order], [by])
+    blocks = ranked.groupBy(by, F.floor(F.col("place") / length).alias("_b")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    each = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    w = drawn_weight(F.lit(seed), F.col(by), F.col("_b"), F.col("_k"))
+    drawn = each.withColumn("_w", w).groupBy(by, "_k").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_c")), F.lit(0.0))).alias("_m"))
+    ends = drawn.groupBy(by).agg(F.percentile("_m", F.lit((1 - level) / 2)).alias("low"), F.percentile("_m", F.lit((1 + level) / 2)).alias("high"))
+    means = blocks.groupBy(by).agg((F.sum("_s") / F.sum("_c")).alias("mean"))
+    return means.join(ends, by)
+
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        cut, atom = int(len(pdf) * train), pdf["atom"].iloc[0]
-        x, f = pdf[metric].to_numpy(float), pdf["flag"].to_numpy(bool)
-        gaps = [x[s][f[s]].mean() - x[s][~f[s]].mean() if f[s].any() and not f[s].all() else np.nan for s in (slice(None, cut), slice(cut, None))]
-        p, used = difference_p(x[:cut], f[:cut], length, samples, seed_of("lift", atom)) if f[:cut].any() else (1.0, 0)
-        ratio = gaps[1] / gaps[0] if gaps[0] and not np.isnan(gaps).any() else np.nan
-        return pd.DataFrame({"atom": [atom], "n": [int(f.sum())], "train_gap": [gaps[0]], "test_gap": [gaps[1]], "p": [p], "usable": [used], "confirmed": [bool(0.5 <= ratio <= 2)]})
+def lift_by_atom(rows: DataFrame, atoms: str, metric: str, order: str, train: float = 0.7, length: int = 24, samples: int = 300, seed: int = 0) -> DataFrame:
+    """Mean of the metric with an atom against without it, in training and hold-out rows, with a block bootstrap p.
 
-    return flagged.groupBy("atom").applyInPandas(measure, "atom string, n long, train_gap double, test_gap double, p double, usable long, confirmed boolean")
+    Sums of each (block, atom) are all that is drawn from; rows meet atoms only where they carry them. usable: samples with rows on
+    both sides. confirmed: both differences have one sign and the second is between half and twice the first. Atoms of a row are distinct.
+    """
+    ranked = with_place(rows.select(order, metric, atoms), order, [order])
+    cut = rows.agg(F.floor(F.count(F.lit(1)) * train).alias("_cut"))
+    part = ranked.crossJoin(F.broadcast(cut)).select(F.when(F.col("place") < F.col("_cut"), F.floor(F.col("place") / length)).otherwise(F.lit(-1)).alias("_b"), F.col(metric).alias("_x"), atoms)
+    sums = [F.sum("_x").alias("_s"), F.count("_x").alias("_c")]
+    whole = part.groupBy("_b").agg(*sums)
+    marked = part.select("_b", "_x", F.explode(atoms).alias("atom")).groupBy("atom", "_b").agg(*sums)
+    held = F.col("_b") < 0
+    both = lambda df, by: df.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(side, F.col(f"_{c}"))), F.lit(0)).alias(f"{name}_{c}") for name, side in (("train", ~held), ("test", held)) for c in "sc"])
+    total = both(whole, []).select(*[F.col(f"{n}_{c}").alias(f"all_{n}_{c}") for n in ("train", "test") for c in "sc"])
+    gap = lambda s, c, all_s, all_c: F.expr(f"{s} / nullif({c}, 0) - ({all_s} - {s}) / nullif({all_c} - {c}, 0)")
+    gaps = both(marked, ["atom"]).crossJoin(F.broadcast(total)).select(
+        "atom", (F.col("train_c") + F.col("test_c")).alias("n"), *[gap(f"{n}_s", f"{n}_c", f"all_{n}_s", f"all_{n}_c").alias(f"{n}_gap") for n in ("train", "test")]
+    )
+    each = lambda df: df.where(~held).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_w", drawn_weight(F.lit(seed), F.col("_b"), F.col("_k")))
+    weighed = [F.sum(F.col("_w") * F.col(f"_{c}")).alias(f"_{c}") for c in "sc"]
+    all_drawn = each(whole).groupBy("_k").agg(*weighed).select("_k", F.col("_s").alias("_as"), F.col("_c").alias("_ac"))
+    drawn = each(marked).groupBy("atom", "_k").agg(*weighed).join(F.broadcast(all_drawn), "_k").select("atom", gap("_s", "_c", "_as", "_ac").alias("d")).where("d IS NOT NULL")
+    counts = drawn.groupBy("atom").agg(F.count("d").alias("usable"), F.count(F.when(F.col("d") <= 0, 1)).alias("_low"), F.count(F.when(F.col("d") >= 0, 1)).alias("_high"))
+    p = F.least(F.lit(1.0), 2 * F.least("_low", "_high") / F.col("usable") + 1 / F.col("usable"))
+    ratio = F.col("test_gap") / F.nullif("train_gap", F.lit(0.0))
+    met = gaps.join(counts, "atom", "left")
+    return met.select("atom", "n", "train_gap", "test_gap", F.coalesce(p, F.lit(1.0)).alias("p"), F.coalesce("usable", F.lit(0)).alias("usable"), F.coalesce(ratio.between(0.5, 2), F.lit(False)).alias("confirmed"))
+
+
+def partial_gains(df: DataFrame, y: str, base: str, extra: str, by: str) -> DataFrame:
+    """r2 of y on the base column in each group, and the gain of the extra column, from correlations."""
+    r = df.groupBy(by).agg(F.corr(y, base).alias("a"), F.corr(y, extra).alias("b"), F.corr(base, extra).alias("c"))
+    return r.select(by, F.expr("a * a").alias("r2"), F.expr("(a * a + b * b - 2 * a * b * c) / (1 - c * c) - a * a").alias("gain"))
 
 
 def partial_gain(y: np.ndarray, base: np.ndarray, extra: np.ndarray) -> tuple[float, float]:
-    """R2 of y on the base columns, and what the extra column adds."""
+    """The same of arrays, with any number of base columns."""
 
     def r2(x: np.ndarray) -> float:
         q, _ = np.linalg.qr(np.column_stack([np.ones(len(y)), x]))
@@ -98,7 +141,7 @@ def partial_gain(y: np.ndarray, base: np.ndarray, extra: np.ndarray) -> tuple[fl
 def surrogate_order(rows: DataFrame, by: str, key: str, block: int, seed: int) -> DataFrame:
     """Adds surrogate: a permutation of keys within each block of times, the same for all its times."""
     group = F.floor(F.col(by) / block)
-    return rows.withColumn("surrogate", F.rank().over(_window(group, seed, key)))
+    return rows.withColumn("surrogate", F.row_number().over(_window(group, seed, key)))
 
 
 def _window(group, seed: int, key: str):

@@ -48,22 +48,38 @@ def _tagged(spark, sf_dir):
     return e.select("event_id", "value", tags.alias("atoms"))
 
 
-@query("m04_m05_m06_lift")
+#: Weight of block b in sample k, and blocks of 24 rows, as DuckDB says them.
+def _weight_sql(*names: str) -> str:
+    u = f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({n} AS VARCHAR)' for n in names)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in M.POISSON) + ")"
+
+
+_GAP = "{0}s / nullif({0}c, 0) - ({1}s - {0}s) / nullif({1}c - {0}c, 0)"
+
+
+@query("m04_m05_m06_lift", f"""WITH e AS (SELECT event_id, value, [x FOR x IN [event_type, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN hour(ts) < 8 THEN 'night' END] IF x IS NOT NULL] AS atoms FROM events),
+r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place, floor((SELECT count(*) FROM e) * 0.7) AS cut FROM e), p AS (SELECT CASE WHEN place < cut THEN place // 24 ELSE -1 END AS b, value AS x, atoms FROM r),
+w AS (SELECT b, sum(x) AS s, count(x) AS c FROM p GROUP BY b), m AS (SELECT atom, b, sum(x) AS s, count(x) AS c FROM (SELECT b, x, unnest(atoms) AS atom FROM p) GROUP BY atom, b),
+t AS (SELECT coalesce(sum(s) FILTER (WHERE b >= 0), 0) AS rs, coalesce(sum(c) FILTER (WHERE b >= 0), 0) AS rc, coalesce(sum(s) FILTER (WHERE b < 0), 0) AS hs, coalesce(sum(c) FILTER (WHERE b < 0), 0) AS hc FROM w),
+g AS (SELECT atom, coalesce(sum(s) FILTER (WHERE b >= 0), 0) AS ts, coalesce(sum(c) FILTER (WHERE b >= 0), 0) AS tc, coalesce(sum(s) FILTER (WHERE b < 0), 0) AS us, coalesce(sum(c) FILTER (WHERE b < 0), 0) AS uc FROM m GROUP BY atom),
+gaps AS (SELECT atom, CAST(tc + uc AS BIGINT) AS n, {_GAP.format('t', 'r')} AS train_gap, {_GAP.format('u', 'h')} AS test_gap FROM g, t),
+aw AS (SELECT k, sum(z * s) AS gs, sum(z * c) AS gc FROM (SELECT w.*, k.range AS k, {_weight_sql('0', 'b', 'k.range')} AS z FROM w, range(200) k WHERE b >= 0) GROUP BY k),
+mw AS (SELECT atom, k, sum(z * s) AS ds, sum(z * c) AS dc FROM (SELECT m.*, k.range AS k, {_weight_sql('0', 'b', 'k.range')} AS z FROM m, range(200) k WHERE b >= 0) GROUP BY atom, k),
+d AS (SELECT atom, {_GAP.format('d', 'g')} AS d FROM mw JOIN aw USING (k)), c AS (SELECT atom, count(d) AS usable, count(*) FILTER (WHERE d <= 0) AS low, count(*) FILTER (WHERE d >= 0) AS high FROM d GROUP BY atom)
+SELECT atom, n, round(train_gap, 6) AS train_gap, round(test_gap, 6) AS test_gap, round(coalesce(least(1, 2.0 * least(low, high) / usable + 1.0 / usable), 1), 6) AS p, coalesce(usable, 0) AS usable, coalesce(test_gap / nullif(train_gap, 0) BETWEEN 0.5 AND 2, false) AS confirmed
+FROM gaps LEFT JOIN c USING (atom)""")
 def lift(spark, sf_dir):
-    """Lift of each atom with bootstrap p and confirmation; drawn numbers, so tested by properties."""
+    """Lift of each atom with bootstrap p and confirmation."""
     return rounded(M.lift_by_atom(_tagged(spark, sf_dir), "atoms", "value", "event_id", samples=200))
 
 
-@query("m09_bootstrap_interval")
+@query("m09_bootstrap_interval", f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place FROM events), b AS (SELECT event_type, place // 24 AS b, sum(value) AS s, count(value) AS c FROM r GROUP BY event_type, place // 24),
+d AS (SELECT event_type, k, sum(z * s) / nullif(sum(z * c), 0) AS m FROM (SELECT b.*, k.range AS k, {_weight_sql('0', 'event_type', 'b', 'k.range')} AS z FROM b, range(300) k) GROUP BY event_type, k),
+e AS (SELECT event_type, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM d GROUP BY event_type), a AS (SELECT event_type, sum(s) / sum(c) AS mean FROM b GROUP BY event_type)
+SELECT event_type, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM a JOIN e USING (event_type)""")
 def interval(spark, sf_dir):
-    """Mean value and its block bootstrap interval, a task for each event type."""
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("event_id")["value"].to_numpy(float)
-        mean, low, high = M.bootstrap_interval(x, 24, 300, M.seed_of("mean", pdf["event_type"].iloc[0]))
-        return pd.DataFrame({"event_type": pdf["event_type"].iloc[:1], "mean": [mean], "low": [low], "high": [high]})
-
-    return rounded(table(spark, sf_dir, "events").select("event_type", "event_id", "value").groupBy("event_type").applyInPandas(measure, "event_type string, mean double, low double, high double"))
+    """Mean value of each event type and its block bootstrap interval."""
+    return rounded(M.block_intervals(table(spark, sf_dir, "events"), "event_type", "value", "event_id"))
 
 
 @query("m12_classifier")
@@ -84,16 +100,11 @@ def classifier(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") - F.col("label")) ** 2), 4).alias("brier"))
 
 
-@query("m16_partial_gain")
+@query("m16_partial_gain", """WITH r AS (SELECT l_returnflag, corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_tax) AS b, corr(l_quantity, l_tax) AS c FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, round(a * a, 6) AS r2, round((a * a + b * b - 2 * a * b * c) / (1 - c * c) - a * a, 6) AS gain FROM r""")
 def gain(spark, sf_dir):
-    """R2 of price on quantity, and what tax adds; a task for each flag."""
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, more = M.partial_gain(pdf["l_extendedprice"].to_numpy(float), pdf[["l_quantity"]].to_numpy(float), pdf["l_tax"].to_numpy(float))
-        return pd.DataFrame({"l_returnflag": pdf["l_returnflag"].iloc[:1], "r2": [a], "gain": [more]})
-
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity", "l_tax")
-    return rounded(rows.groupBy("l_returnflag").applyInPandas(measure, "l_returnflag string, r2 double, gain double"))
+    """R2 of price on quantity, and what tax adds."""
+    return rounded(M.partial_gains(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", "l_tax", "l_returnflag"))
 
 
 @query("m17_quantile_heads")
@@ -113,10 +124,11 @@ def heads(spark, sf_dir):
     return scored.agg(*[F.round(F.avg((F.col("y") <= F.col(f"q{i}")).cast("double")), 3).alias(f"covered{i}") for i in range(4)], F.bool_and((F.col("q0") <= F.col("q1")) & (F.col("q2") <= F.col("q3"))).alias("rising"))
 
 
-@query("m22_surrogates", """WITH v AS (SELECT DISTINCT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type FROM events) SELECT day, event_type, true AS permuted FROM v""")
+@query("m22_surrogates", """WITH w AS (SELECT DISTINCT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, event_type FROM events), n AS (SELECT week, count(*) AS n FROM w GROUP BY week)
+SELECT week, n AS symbols, list_sum(range(1, n + 1))::BIGINT AS places, n AS distinct_places FROM n""")
 def surrogates(spark, sf_dir):
-    """A permutation of symbols within blocks of seven days: each block's places are a permutation of its own ones."""
-    day = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86400)
-    panel = table(spark, sf_dir, "events").select(day.alias("day"), "event_type").distinct()
-    placed = M.surrogate_order(panel.select(F.floor(F.col("day") / 7).alias("week"), "event_type").distinct(), "week", "event_type", 1, 11)
-    return panel.withColumn("week", F.floor(F.col("day") / 7)).join(placed, ["week", "event_type"]).select("day", "event_type", (F.col("surrogate") >= 1).alias("permuted"))
+    """A permutation of symbols within blocks of seven days: the places of each block are 1 to n, each once; drawn anew by block."""
+    week = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 604_800)
+    panel = table(spark, sf_dir, "events").select(week.alias("week"), "event_type").distinct()
+    placed = M.surrogate_order(panel, "week", "event_type", 1, 11)
+    return placed.groupBy("week").agg(F.count("*").alias("symbols"), F.sum("surrogate").alias("places"), F.count_distinct("surrogate").alias("distinct_places"))
