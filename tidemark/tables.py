@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAMES = (
@@ -31,3 +34,13 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register tables as temporary views under their own names."""
     for name in names or TABLE_NAMES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in between: under spark.checkpoint.dir, on a local session without that setting a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
