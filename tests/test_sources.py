@@ -10,6 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import types as T
 
+from tests import pages
 from tidemark.sources import files
 from tidemark.sources.paged import PagedBars
 from tidemark.sources.stores import Store, claimed, merged_graph, revisions, upserted
@@ -71,20 +72,23 @@ def test_text_records(spark):
     assert got == [("j", 3, None), ("x1", 12, None)]
 
 
-def test_paged_source(spark):
+def test_paged_source(spark, tmp_path):
+    """Pages come from files, in parallel; the open bar doesn't."""
+    pages.write(tmp_path, 10_100, 900)
     spark.dataSource.register(PagedBars)
-    df = spark.read.format("paged_bars").options(start="0", now="9000550", step="900").load()
-    assert df.count() == 10000 and df.agg({"t": "max"}).first()[0] == 8999100  # the open bar is left out
-    assert df.rdd.getNumPartitions() == 10
+    df = spark.read.format("paged_bars").options(start="0", now="9000550", step="900", fetch="tests.pages:fetch", folder=str(tmp_path)).load()
+    rows = df.collect()
+    assert len(rows) == 10_000 and df.rdd.getNumPartitions() == 10 and {r.close for r in rows} == {100.0 + k for k in range(7)}
+    assert max(r.t for r in rows) == 9000000 - 900
 
 
 def test_paged_stream(spark, tmp_path):
+    pages.write(tmp_path, 1100, 900)
     spark.dataSource.register(PagedBars)
-    q = spark.readStream.format("paged_bars").options(start="0", now="900500", step="900").load().writeStream.format("memory").queryName("paged").option("checkpointLocation", str(tmp_path)).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    stream = spark.readStream.format("paged_bars").options(start="0", now="900500", step="900", fetch="tests.pages:fetch", folder=str(tmp_path)).load()
+    q = stream.writeStream.format("memory").queryName("paged").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
     assert spark.table("paged").count() == 1000
 
 

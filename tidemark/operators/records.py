@@ -246,3 +246,37 @@ def thinned(df: DataFrame, t: Column, value: str, order: Sequence[str], width: i
     at = df.select(t.alias("_t"), value, *[c for c in order if c != value], F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("i"))
     window = bucket(F.col("_t") - F.col("i") * (width // phases), width).alias("_w")
     return at.groupBy("i", window).agg(F.min_by(value, F.struct(*order)).alias("x")).drop("_w")
+
+
+# Frames
+
+
+def limited(df: DataFrame, order: Sequence[Column], limit: int) -> tuple[DataFrame, bool]:
+    """The first rows in order, and whether there are more; one row too many is asked for, nothing is counted."""
+    asked = df.orderBy(*order).limit(limit + 1)
+    return asked.orderBy(*order).limit(limit), asked.count() > limit
+
+
+def side_by_side(frames: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
+    """Frames of one index next to each other: the key, then name_column for each; keys that a frame lacks give nulls."""
+    out = None
+    for name, df in frames.items():
+        named = df.select(*key, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in key])
+        out = named if out is None else out.join(named, list(key), "full_outer")
+    return out
+
+
+def refreshed(old: DataFrame | None, rows: DataFrame, t: str, width: int, by: Sequence[str], aggregates: Sequence[Column], since: int) -> DataFrame:
+    """Tumbling aggregates (bucket, by, ...) with the windows from the one that holds ``since`` on made anew from rows."""
+    first = since // width * width
+    fresh = rows.where(F.col(t) >= first).groupBy((bucket(F.col(t), width) * width).alias("bucket"), *by).agg(*aggregates)
+    return fresh if old is None else old.where(F.col("bucket") < first).unionByName(fresh)
+
+
+def fold_predictions(df: DataFrame, fold: str, predict: Callable[[DataFrame, DataFrame], DataFrame], folds: Sequence[int]) -> DataFrame:
+    """predict(train, test) for each fold, train being all folds before it; what it returns, with the fold's number."""
+    out = None
+    for k in folds:
+        found = predict(df.where(F.col(fold) < k), df.where(F.col(fold) == k)).withColumn("fold", F.lit(k))
+        out = found if out is None else out.unionByName(found)
+    return out

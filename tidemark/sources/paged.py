@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import importlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 PAGE = 1000
 
@@ -15,13 +17,17 @@ class Page(InputPartition):
         self.start, self.end = start, end
 
 
-def bar(t: int) -> tuple[int, float]:
-    """The offline stand-in for a venue's answer: a bar of a fixed wave at each step."""
-    return t, 100.0 + (t * 7919 % 1000) / 100
+def fetcher(options: dict) -> Callable[[int, int], Iterator[tuple]]:
+    """The function that answers a page: fetch(start, end, options) gives rows (t, close) of [start, end).
+
+    Named by the option ``fetch`` as module:function, so that executors import it themselves; it gets all options as strings.
+    """
+    module, _, name = options["fetch"].partition(":")
+    return functools.partial(getattr(importlib.import_module(module), name), options=dict(options))
 
 
 class PagedBars(DataSource):
-    """Bars from ``start`` up to, without, the one that is open at ``now``, in steps of ``step`` seconds."""
+    """Bars from ``start`` up to, without, the one that is open at ``now``, in steps of ``step`` seconds; pages from ``fetch``."""
 
     @classmethod
     def name(cls) -> str:
@@ -40,14 +46,14 @@ class PagedBars(DataSource):
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.start, self.now, self.step = (int(options[k]) for k in ("start", "now", "step"))
+        self.fetch = fetcher(options)
 
     def partitions(self) -> list[Page]:
         last = self.now // self.step * self.step  # the bar that is open
         return [Page(a, min(a + PAGE * self.step, last)) for a in range(self.start, last, PAGE * self.step)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for t in range(partition.start, partition.end, self.step):
-            yield bar(t)
+        yield from self.fetch(partition.start, partition.end)
 
 
 class PagedStream(SimpleDataSourceStreamReader):
@@ -55,19 +61,17 @@ class PagedStream(SimpleDataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.start, self.now, self.step = (int(options[k]) for k in ("start", "now", "step"))
+        self.fetch = fetcher(options)
 
     def initialOffset(self) -> dict:
         return {"t": self.start}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(start["t"] + PAGE * self.step, self.now // self.step * self.step)
-        return iter([bar(t) for t in range(start["t"], end, self.step)]), {"t": end}
+        return self.readBetweenOffsets(start, {"t": end}), {"t": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([bar(t) for t in range(start["t"], end["t"], self.step)])
+        return iter(self.fetch(start["t"], end["t"])) if start["t"] < end["t"] else iter(())
 
     def commit(self, end: dict) -> None:
         """Nothing to release: bars can be asked for again."""
-
-
-__all__ = ["DataSourceStreamReader", "Page", "PagedBars", "PagedReader", "PagedStream"]
