@@ -71,7 +71,8 @@ class PagedStream(SimpleDataSourceStreamReader):
         return self.readBetweenOffsets(start, {"t": end}), {"t": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self.fetch(start["t"], end["t"])) if start["t"] < end["t"] else iter(())
+        # A page as a list: Spark sends it on.
+        return iter(list(self.fetch(start["t"], end["t"])) if start["t"] < end["t"] else [])
 
     def commit(self, end: dict) -> None:
         """Nothing to release: bars can be asked for again."""
