@@ -96,7 +96,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Edited: the last floor(n_chars / 3) code points replaced by as many first ones (or all) of the
     next document by descending doc_id, rows without doc_id last; after the last comes the first. A
     null text counts as empty. Rows of one doc_id with different texts follow each other by a hash of the text; equal
-    rows are one document there and give equal results. Empty table: empty result.
+    rows are one document there and give equal results. Texts are read whole, however long. Empty table: empty result.
+    Other columns are ignored, whatever their names.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     # Rows without doc_id have key 0 and another print, so that plain equality joins them.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tidemark.llm.common import narrow_batches
+from tidemark.llm.common import HOT_KEYS, cut, narrow_batches
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -228,10 +228,14 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
     At most twice as many of a language, and none after ``chars`` characters of it (fewer if there are many languages). Equal rows count once.
     """
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
     share = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("languages"))
+    limit = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+    # Rows of the languages with most rows, HOT_KEYS at most, are drawn where they are read.
+    hot, cold = F.broadcast(counts.where(F.col("n") > limit)), counts.where(F.col("n") <= limit)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = known.join(counts, "lang").where(draw < F.lit(float(rows)) / F.col("n")).select("lang", draw.alias("draw"), "text").distinct()
+    met = known.join(hot, "lang").unionByName(known.join(hot, "lang", "left_anti").join(cold, "lang"))
+    drawn = met.where(draw < F.lit(float(rows)) / F.col("n")).select("lang", draw.alias("draw"), "text").distinct()
     in_order = Window.partitionBy("lang").orderBy("draw", "text")
     placed = drawn.withColumns({"place": F.row_number().over(in_order), "before": F.coalesce(F.sum(F.length("text")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     most = F.least(F.lit(chars), F.lit(ALL_CHARS) / F.col("languages"))
@@ -279,7 +283,7 @@ def _predicted(shared):
 
 
 #: Columns that predictions add.
-PREDICTED = ("__lang_pred", "__score", "__rejected")
+PREDICTED = ("__tidemark_lang_pred", "__tidemark_score", "__tidemark_rejected")
 
 
 def with_language(docs: DataFrame, models: Models) -> DataFrame:

@@ -184,7 +184,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, width: int = 204
     empty, so it is end_id alone. Each id lies in exactly one piece. Columns: doc_id, start (ids of the
     document before the piece), length, ids_crc32 (of the little-endian 32-bit ids), doc_tokens,
     sequence_id, offset (in the sequence). A sequence below width is padded to width unless its
-    length is a power of two. Rows that repeat are packed each. path must exist on every executor.
+    length is a power of two. Texts are read whole, however long; rows that repeat are packed each. An empty
+    table gives an empty result. Other columns are ignored, whatever their names. path must exist on every executor.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -190,7 +190,8 @@ def shard(rows: DataFrame, shards: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shards 0 to shards - 1 of near-equal bytes; equal texts stay together.
 
-    Size: UTF-8 bytes of the text plus 1; a null text counts as empty, and so goes with empty ones.
+    Size: UTF-8 bytes of the text plus 1; a null text counts as empty, and so goes with empty ones. Texts count whole, however
+    long. Rows that repeat are rows of their own. An empty table gives an empty result. Other columns are ignored.
     Columns: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null: the law is not 'key').
     """
     text = text_or_empty()

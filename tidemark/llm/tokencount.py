@@ -109,8 +109,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD
     """n_bytes, n_tokens and over_limit (n_tokens > limit) for each row of docs(doc_id, text).
 
     As the sentencepiece model at path encodes the whole text, without begin or end marks. A null
-    text counts as empty and has no tokens. Rows that repeat are counted each. path must exist on
-    every executor.
+    text counts as empty and has no tokens. Texts are read whole, however long. Rows that repeat are counted each. An
+    empty table gives an empty result. Other columns are ignored, whatever their names. path must exist on every executor.
     """
     narrow_batches(docs)
     spark = docs.sparkSession
