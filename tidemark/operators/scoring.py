@@ -75,24 +75,28 @@ def rating(total: Column, profile: dict) -> Column:
     return F.when(total >= bounds["strong_min"], "STRONG").when(total >= bounds["moderate_min"], "MODERATE").otherwise("WEAK")
 
 
-def score(rows: DataFrame, profile: dict = DEFAULT) -> DataFrame:
-    """Adds the axes, total, baseline_total (under the default profile), rating, profile and fingerprint."""
+def _scored(profile: dict) -> dict[str, Column]:
+    """Columns that scoring adds under a profile."""
     found, base = axes(profile), axes(DEFAULT)
     weigh = lambda a, p: sum((a[k] * w for k, w in p["weights"].items()), F.lit(0.0))
     total = F.round(weigh(found, profile), 4)
-    return rows.withColumns(
-        {k: F.round(v, 4) for k, v in found.items()}
-        | {"total": total, "baseline_total": F.round(weigh(base, DEFAULT), 4), "rating": rating(total, profile), "profile": F.lit(profile["name"]), "fingerprint": F.lit(fingerprint(profile))}
-    )
+    return {k: F.round(v, 4) for k, v in found.items()} | {
+        "total": total, "baseline_total": F.round(weigh(base, DEFAULT), 4), "rating": rating(total, profile), "profile": F.lit(profile["name"]), "fingerprint": F.lit(fingerprint(profile))
+    }
+
+
+def score(rows: DataFrame, profile: dict = DEFAULT) -> DataFrame:
+    """Adds the axes, total, baseline_total (under the default profile), rating, profile and fingerprint."""
+    return rows.withColumns(_scored(profile))
 
 
 def score_by_symbol(rows: DataFrame, profiles: dict[str, dict], fallback: dict = DEFAULT) -> DataFrame:
-    """Each row under its symbol's profile. Profiles are few: one branch of a union each."""
-    parts = [score(rows.where(F.col("symbol") == s), p) for s, p in profiles.items()]
-    out = score(rows.where(~F.col("symbol").isin(list(profiles)) | F.col("symbol").isNull()), fallback)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """Each row under its symbol's profile, in one pass; profiles are few: one case each."""
+    out = _scored(fallback)
+    for symbol, profile in profiles.items():
+        own = _scored(profile)
+        out = {k: F.when(F.col("symbol") == symbol, own[k]).otherwise(v) for k, v in out.items()}
+    return rows.withColumns(out)
 
 
 def flags(known_symbols: list[str] | None = None, profile: dict = DEFAULT) -> Column:

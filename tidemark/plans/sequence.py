@@ -83,12 +83,17 @@ def nodes(spark, sf_dir):
     return rounded(S.group_stats(_with_outcome(spark, sf_dir)))
 
 
-@query("l17_graph_export", f"""WITH {OUTCOME} SELECT (SELECT count(DISTINCT g) FROM outcome) AS nodes, (SELECT count(DISTINCT transition_id) FROM outcome) AS edges""")
+@query("l17_graph_export", f"""WITH {OUTCOME}, e AS (SELECT transition_id, count(*) AS n FROM outcome WHERE transition_id IS NOT NULL GROUP BY transition_id), q AS (SELECT quantile_cont(n, 0.33) AS a, quantile_cont(n, 0.66) AS b FROM e),
+g AS (SELECT g AS id, count(*) AS n, avg(CAST(ret > 0 AS DOUBLE)) AS up_share FROM outcome GROUP BY g)
+SELECT 'node' AS kind, id, n, CASE WHEN up_share > 0.55 THEN 'long_skew' WHEN up_share < 0.45 THEN 'short_skew' ELSE 'neutral' END AS what, row_number() OVER (ORDER BY id) AS place FROM g
+UNION ALL SELECT 'edge', transition_id, n, CASE WHEN n <= a THEN 'rare' WHEN n <= b THEN 'uncommon' ELSE 'common' END, row_number() OVER (ORDER BY transition_id) FROM e, q""")
 def graph_export(spark, sf_dir):
-    """Sizes of the exported JSON documents, parsed back."""
+    """The exported JSON documents, parsed back: every node and edge with its place in its document."""
     states = _with_outcome(spark, sf_dir)
     doc = S.graph_json(S.group_stats(states), S.transition_stats(states))
-    return doc.select(F.json_array_length("nodes").cast("long").alias("nodes"), F.json_array_length("edges").cast("long").alias("edges"))
+    nodes_ = doc.select(F.posexplode(F.from_json("nodes", "array<struct<group_id:string,size:bigint,dominant_bias:string>>")).alias("i", "x")).select(F.lit("node").alias("kind"), F.col("x.group_id").alias("id"), F.col("x.size").alias("n"), F.col("x.dominant_bias").alias("what"), (F.col("i") + 1).alias("place"))
+    edges_ = doc.select(F.posexplode(F.from_json("edges", "array<struct<transition_id:string,n:bigint,rarity:string>>")).alias("i", "x")).select(F.lit("edge").alias("kind"), F.col("x.transition_id").alias("id"), F.col("x.n").alias("n"), F.col("x.rarity").alias("what"), (F.col("i") + 1).alias("place"))
+    return nodes_.unionByName(edges_)
 
 
 @query("d10_group_descriptions", """

@@ -6,7 +6,8 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +30,23 @@ class HeaderMismatch(ValueError):
 
 
 def read_klines(spark: SparkSession, path: str) -> DataFrame:
-    """Zip archives of kline CSV files, with or without a header line, as normalised rows (see ``normalise_klines``)."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+    """Zip archives of kline CSV files, with or without a header line, as normalised rows (see ``normalise_klines``); lines of another width go."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = {
+            "read_options": pacsv.ReadOptions(column_names=list(KLINE), block_size=4 << 20),
+            "parse_options": pacsv.ParseOptions(invalid_row_handler=lambda row: "skip"),
+            "convert_options": pacsv.ConvertOptions(column_types={c: pa.string() for c in KLINE}, strings_can_be_null=True, null_values=[""]),
+        }
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for name in z.namelist():
-                        lines = z.read(name).decode().splitlines()
-                        cells = [line.split(",") for line in lines if line]
-                        yield pd.DataFrame([c[: len(KLINE)] + [None] * (len(KLINE) - len(c)) for c in cells], columns=list(KLINE), dtype="object")
+                        # Parsed block by block from the compressed stream.
+                        with z.open(name) as f:
+                            yield from pacsv.open_csv(f, **options)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, ", ".join(f"{c} string" for c in KLINE))
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, ", ".join(f"{c} string" for c in KLINE))
     return normalise_klines(raw)
 
 
@@ -70,12 +76,15 @@ def read_ticks(spark: SparkSession, path: str, extras: int = 0) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Derivative metrics; a file with another header stops the read with HeaderMismatch."""
-    first = spark.read.text(path).where(F.col("value").startswith(METRICS[0]) | F.col("value").contains("create_time"))
-    wrong = first.where(F.trim("value") != ",".join(METRICS)).limit(1).collect()
-    files = spark.read.text(path).select(F.input_file_name().alias("f")).distinct().count()
-    if wrong or first.count() != files:
-        raise HeaderMismatch(f"{path}: expected {','.join(METRICS)}")
+    """Derivative metrics; a file with another header, or without one, stops the read with HeaderMismatch.
+
+    One pass over the lines checks all headers, counted file by file; one reads the rows.
+    """
+    header, line = ",".join(METRICS), F.trim("value")
+    like = line.startswith(METRICS[0])
+    lines = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.when(line == header, 1)).alias("good"), F.count(F.when(like, 1)).alias("headers"))
+    if lines.where("good <> 1 OR headers <> 1").limit(1).collect():
+        raise HeaderMismatch(f"{path}: expected {header}")
     schema = T.StructType([T.StructField(n, T.StringType() if n in METRICS[:2] else T.DoubleType()) for n in METRICS])
     rows = spark.read.csv(path, header=True, schema=schema)
     # Zeros stand for missing values.
