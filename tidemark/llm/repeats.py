@@ -32,7 +32,7 @@ from tidemark.llm.common import cut, doc_order, join_one, narrow_batches
 GROUP_ROWS = 20_000
 #: By how much the windows of one part become fewer when a prefix is lengthened.
 FEWER = 4
-#: Rows whose doc_ids (8 bytes each) are broadcast to pick their texts before these are shuffled.
+#: Rows of 8 bytes that are broadcast at most: doc_ids that pick texts before these are shuffled, and prefixes.
 BROADCAST_ROWS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -255,12 +255,15 @@ def grouped(kind: Kind, found: DataFrame, mark_first: bool, group_rows: int | No
         sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
         # As many rows as all segments through the limit, at most.
         large = cut(sizes.where(F.col("n") > limit).withColumn("in_group", F.col("n")))
-        total = rows.count()
-        if large.isEmpty():
+        number = large.count()
+        if not number:
             return [*out, (kind.window - span + 1, rows)], None, marks.select("row_id", "start", "windows")
-        met = join_one(rows, large, "gram", "n", total)
-        out.append((kind.window - span + 1, met.where("in_group IS NULL").drop("in_group")))
-        hot = met.where("in_group IS NOT NULL").drop("in_group")
+        if number <= BROADCAST_ROWS:
+            small, hot = (rows.join(F.broadcast(large.select("gram")), "gram", how).select(SEGMENT.names) for how in ("left_anti", "left_semi"))
+        else:
+            met = join_one(rows, large, "gram", "n", rows.count())
+            small, hot = met.where("in_group IS NULL").drop("in_group"), met.where("in_group IS NOT NULL").drop("in_group")
+        out.append((kind.window - span + 1, small))
         if span == 1:
             return out, hot, marks.select("row_id", "start", "windows")
         segments = cut(hot.mapInArrow(lengthened(kind, levels[level + 1], mark_first), SEGMENT_SQL))
@@ -283,8 +286,12 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
     first = rows.join(classes.select(F.col("first_row").alias("row_id")), "row_id", "left_semi")
     grams = first.select("row_id", "grams").mapInArrow(_unrolled, "row_id long, gram long")
     counts = cut(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.lit(True)))
-    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
-    hits = join_one(grams, counts, "gram", "n", total).where("often").groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
+    known = counts.agg(F.count("*").alias("grams"), F.sum("n").alias("rows")).first()
+    if known["grams"] <= BROADCAST_ROWS:
+        met = grams.join(F.broadcast(counts.select("gram")), "gram")
+    else:
+        met = join_one(grams, counts, "gram", "n", known["rows"]).where("often")
+    hits = met.groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
     named = hits.join(rows.select("row_id", F.col("doc_id").alias("d"), "key"), "row_id").withColumn("rank", F.coalesce(F.col("d").cast("long"), F.lit((1 << 63) - 1)))
 
     def own(batches):
