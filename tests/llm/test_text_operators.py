@@ -562,16 +562,18 @@ def tricky(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("group_rows", [None, 2])
-def test_substring_dedup(spark, real, group_rows):
+@pytest.mark.parametrize(("group_rows", "broadcast"), [(None, 1_000_000), (2, 1_000_000), (2, 0)])
+def test_substring_dedup(spark, real, monkeypatch, group_rows, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
     rows, df = tricky(spark)
     for data, given_rows in ((df, rows), (real, [(r.doc_id, r.text) for r in real.collect()])):
         want = plain_words(given_rows)
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(suffix_tree.substring_dedup(data, group_rows))} == want
 
 
-@pytest.mark.parametrize("group_rows", [None, 2])
-def test_byte_dedup(spark, real, group_rows):
+@pytest.mark.parametrize(("group_rows", "broadcast"), [(None, 1_000_000), (2, 1_000_000), (2, 0)])
+def test_byte_dedup(spark, real, monkeypatch, group_rows, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
     rows, df = tricky(spark)
     for data, given_rows in ((df, rows), (real, [(r.doc_id, r.text) for r in real.collect()])):
         want = plain_bytes(given_rows)
