@@ -120,6 +120,25 @@ def lift_by_atom(rows: DataFrame, atoms: str, metric: str, order: str, train: fl
     return met.select("atom", "n", "train_gap", "test_gap", F.coalesce(p, F.lit(1.0)).alias("p"), F.coalesce("usable", F.lit(0)).alias("usable"), F.coalesce(ratio.between(0.5, 2), F.lit(False)).alias("confirmed"))
 
 
+def thinned_z(rows: DataFrame, t: str, order: str, atoms: str, hit: str, horizon: int, phases: int = 24) -> DataFrame:
+    """z of each atom's share of hits against other rows', on windows that don't overlap: atom, z (median over phases), phases (usable ones).
+
+    Of each window of ``horizon`` the first row is taken; windows begin at the first row's time, moved by a phase. Rows are
+    picked by aggregation. A phase without rows on both sides is left out. hit: a boolean column.
+    """
+    origin = rows.agg(F.min(t).alias("_origin"))
+    spread = rows.crossJoin(F.broadcast(origin)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    window = F.floor((F.col(t) - F.col("_origin") + F.col("_p") * (horizon / phases)) / horizon)
+    picked = spread.groupBy("_p", window.alias("_w")).agg(F.min_by(F.struct(F.col(atoms).alias("atoms"), F.col(hit).cast("double").alias("hit")), F.struct(t, order)).alias("_r"))
+    each = picked.select("_p", "_r.*")
+    whole = each.groupBy("_p").agg(F.count("hit").alias("_n"), F.sum("hit").alias("_k"))
+    marked = each.select("_p", "hit", F.explode("atoms").alias("atom")).groupBy("_p", "atom").agg(F.count("hit").alias("n1"), F.sum("hit").alias("k1"))
+    both = marked.join(F.broadcast(whole), "_p").select("atom", "n1", "k1", (F.col("_n") - F.col("n1")).alias("n2"), (F.col("_k") - F.col("k1")).alias("k2")).where("n1 > 0 AND n2 > 0")
+    spread_of = F.expr("sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2))")
+    z = F.when(spread_of > 0, F.expr("k1 / n1 - k2 / n2") / spread_of).otherwise(0.0)
+    return both.select("atom", z.alias("z")).groupBy("atom").agg(F.percentile("z", F.lit(0.5)).alias("z"), F.count(F.lit(1)).alias("phases"))
+
+
 def partial_gains(df: DataFrame, y: str, base: str, extra: str, by: str) -> DataFrame:
     """r2 of y on the base column in each group, and the gain of the extra column, from correlations."""
     r = df.groupBy(by).agg(F.corr(y, base).alias("a"), F.corr(y, extra).alias("b"), F.corr(base, extra).alias("c"))

@@ -45,7 +45,8 @@ def states(spark, sf_dir):
 def _tagged(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     tags = F.array_compact(F.array(F.col("event_type"), F.when(F.col("user_id") % 3 == 0, F.lit("third")), F.when(F.hour("ts") < 8, F.lit("night"))))
-    return e.select("event_id", "value", tags.alias("atoms"))
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return e.select("event_id", "value", seconds.alias("t"), tags.alias("atoms"))
 
 
 #: Weight of block b in sample k, and blocks of 24 rows, as DuckDB says them.
@@ -73,6 +74,17 @@ def lift(spark, sf_dir):
     return rounded(M.lift_by_atom(_tagged(spark, sf_dir), "atoms", "value", "event_id", samples=200))
 
 
+@query("e30_thinned_z", """WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, value > 50 AS hit, [x FOR x IN [event_type, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN hour(ts) < 8 THEN 'night' END] IF x IS NOT NULL] AS atoms FROM events),
+p AS (SELECT p.range AS p, e.*, floor((t - (SELECT min(t) FROM e) + p.range * 900.0) / 21600.0) AS w FROM e, range(24) p), f AS (SELECT p, CAST(hit AS INT) AS hit, atoms FROM (SELECT *, row_number() OVER (PARTITION BY p, w ORDER BY t, event_id) AS place FROM p) WHERE place = 1),
+whole AS (SELECT p, count(hit) AS n, sum(hit) AS k FROM f GROUP BY p), m AS (SELECT p, atom, count(hit) AS n1, sum(hit) AS k1 FROM (SELECT p, hit, unnest(atoms) AS atom FROM f) GROUP BY p, atom),
+b AS (SELECT atom, n1, k1, n - n1 AS n2, k - k1 AS k2, k * 1.0 / n AS q FROM m JOIN whole USING (p) WHERE n1 > 0 AND n - n1 > 0),
+z AS (SELECT atom, CASE WHEN q * (1 - q) > 0 THEN (k1 * 1.0 / n1 - k2 * 1.0 / n2) / sqrt(q * (1 - q) * (1.0 / n1 + 1.0 / n2)) ELSE 0 END AS z FROM b)
+SELECT atom, round(quantile_cont(CAST(z AS DOUBLE), 0.5), 6) AS z, count(*) AS phases FROM z GROUP BY atom""")
+def thinned(spark, sf_dir):
+    """Median over 24 phases of each atom's z on rows six hours apart."""
+    return rounded(M.thinned_z(_tagged(spark, sf_dir).withColumn("hit", F.col("value") > 50), "t", "event_id", "atoms", "hit", 21_600))
+
+
 @query("m09_bootstrap_interval", f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place FROM events), b AS (SELECT event_type, place // 24 AS b, sum(value) AS s, count(value) AS c FROM r GROUP BY event_type, place // 24),
 d AS (SELECT event_type, k, sum(z * s) / nullif(sum(z * c), 0) AS m FROM (SELECT b.*, k.range AS k, {_weight_sql('0', 'event_type', 'b', 'k.range')} AS z FROM b, range(300) k) GROUP BY event_type, k),
 e AS (SELECT event_type, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM d GROUP BY event_type), a AS (SELECT event_type, sum(s) / sum(c) AS mean FROM b GROUP BY event_type)
