@@ -98,15 +98,15 @@ def row_key() -> Column:
 
 
 def repeated(df: DataFrame, n: str) -> DataFrame:
-    """Each row as often as its column n says, with its place among its copies, from 0, as __nth.
+    """Each row as often as its column n says, with its place among its copies, from 0, as __tidemark_nth.
 
     Rows with many copies are dealt out in parts first, so that no task makes all copies of one row.
     """
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / PART)))
-    many = df.where(F.col(n) > PART).withColumn("__part", part).hint("rebalance")
-    first = F.col("__part") * PART
-    many = many.withColumn("__nth", F.explode(F.sequence(first, F.least(first + PART, F.col(n).cast("long")) - 1))).drop("__part")
-    few = df.where((F.col(n) > 0) & (F.col(n) <= PART)).withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)))
+    many = df.where(F.col(n) > PART).withColumn("__tidemark_part", part).hint("rebalance")
+    first = F.col("__tidemark_part") * PART
+    many = many.withColumn("__tidemark_nth", F.explode(F.sequence(first, F.least(first + PART, F.col(n).cast("long")) - 1))).drop("__tidemark_part")
+    few = df.where((F.col(n) > 0) & (F.col(n) <= PART)).withColumn("__tidemark_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)))
     return few.unionByName(many)
 
 

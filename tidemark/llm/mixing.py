@@ -161,7 +161,7 @@ def units_of(docs: DataFrame) -> DataFrame:
     """
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     alike = docs.select("doc_id", "source", row_print().alias("print"), words.alias("size")).groupBy("doc_id", "source", "print").agg(F.max("size").alias("size"), F.count("*").alias("n"))
-    return cut(repeated(cut(alike), "n").withColumnRenamed("__nth", "nth").drop("n"))
+    return cut(repeated(cut(alike), "n").withColumnRenamed("__tidemark_nth", "nth").drop("n"))
 
 
 def mix_units(units: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, cell_rows: int = CELL_ROWS) -> DataFrame:
