@@ -32,7 +32,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows: about how many short rows there are at most; they are dealt into a few files for that many, as
     many tiny files would slow every later read. The folder is the one the cluster names in
     spark.checkpoint.dir. Only a local session without that setting gets a folder of its own. Like
-    checkpoints, the tables stay until the folder is cleaned, or ``drop_tables`` is called.
+    checkpoints, the tables stay until the folder is cleaned; ``drop_table`` takes one away before.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -46,6 +46,17 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Take away the files of a table that ``cut`` wrote, once another table holds all that is needed of it."""
+    context = df.sparkSession.sparkContext
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[1].startswith("table-"):
+            raise ValueError(f"{folder} is no table of cut()")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_one(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows left joined with side, which has one row for each key and, as column n, how many of the rows have it.
 
