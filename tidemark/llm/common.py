@@ -103,9 +103,9 @@ def row_print() -> Column:
     return F.xxhash64(F.col("text"), F.col("text").isNull(), F.col("doc_id").isNull())
 
 
-def row_key() -> Column:
+def row_key(name: str = "doc_id") -> Column:
     """The doc_id as a join key without nulls."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def repeated(df: DataFrame, n: str) -> DataFrame:

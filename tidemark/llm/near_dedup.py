@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, doc_order, join_one, narrow_batches, row_print
+from tidemark.llm.common import cut, doc_order, join_one, narrow_batches, row_key, row_print
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -53,7 +53,9 @@ BLOCK = 256
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
-_MULTIPLIERS = _rng.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Shingles that are multiplied at once: so many rows of products stay in a core's cache.
+_AT_ONCE = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,10 +83,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a set that isn't empty: its ROOTS tokens, DEEP tokens for each tree, and SKETCH bytes."""
-    least = np.full(SKETCH, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 1024):
-        np.minimum(least, (s[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=least)
-    mixed = _mixed(least)
+    # 32 bits of each hash: two shingles of a set that agree in them are one for the tokens, not for the sets.
+    short, least = (s >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 2**32 - 1, np.uint32)
+    for at in range(0, len(s), _AT_ONCE):
+        np.minimum(least, (short[at : at + _AT_ONCE, None] * _MULTIPLIERS).min(axis=0), out=least)
+    mixed = _mixed(least.astype(np.uint64) * _STEP)
     tokens = mixed >> np.uint64(32)
     return tokens[:ROOTS].astype(np.uint32), tokens[ROOTS : ROOTS + TREES * DEEP].astype(np.uint16), (mixed & np.uint64(255)).astype(np.uint8)
 
@@ -288,15 +291,10 @@ def _block_pairs(batches):
 
 
 def _sets(batches):
-    """Rows (text, cls, set_print) -> (cls, items); a row of another text of that doc_id is passed over."""
+    """Rows (text, cls) -> (cls, items)."""
     for batch in batches:
-        ids, sets = [], []
-        for text, cls, mark in zip(*(batch.column(c).to_pylist() for c in ("text", "cls", "set_print")), strict=True):
-            s = shingles(text)
-            if print_of(s) == mark:
-                ids.append(cls)
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "items"])
+        sets = [shingles(text).tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "items"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -319,10 +317,12 @@ def _confirmed(batches):
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     """Those of pairs(a, b) of classes whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
-    wanted = cut(ends.join(classes, "cls").select("cls", "first_id", "set_print"), total)
+    wanted = cut(ends.join(classes, "cls").select("cls", "first_key", "first_print"), total)
     few = wanted.count() <= BROADCAST_ROWS
     keys = F.broadcast(wanted) if few else wanted
-    texts = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "cls", "set_print")
+    # By doc_id and text: rows without doc_id, or of one, meet their own class only. Rows alike in both give one set.
+    keyed = docs.select("text", row_key().alias("row_key"), row_print().alias("print"))
+    texts = keyed.join(keys, (F.col("row_key") == F.col("first_key")) & (F.col("print") == F.col("first_print"))).select("text", "cls")
     sets = cut(texts.mapInArrow(_sets, "cls long, items binary").dropDuplicates(["cls"]))
     ready = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     return ready.mapInArrow(_confirmed, "a long, b long")
@@ -369,7 +369,7 @@ def _stars(shared: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
 
 
 def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(member, root): components of classes under the similarity join. classes(cls, first_id, set_print), tokens(cls, roots, deep, sketch)."""
+    """(member, root): components of classes under the similarity join. classes(cls, first_key, first_print), tokens(cls, roots, deep, sketch)."""
     total = classes.count()
     first = cut(tokens.select("cls", "roots").mapInArrow(_rooted, "node long, cls long, root int"))
     nodes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1").withColumn("size", F.col("n"))
@@ -412,8 +412,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", row_print().alias("print")).mapInArrow(_described, f"doc_id {kind}, {DESCRIBED}")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
     total = rows.count()
-    sets = rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id")).alias("first"), F.count("*").alias("rows"))
-    classes = cut(sets.select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"), "rows"), total)
+    sets = rows.where("n_shingles > 0").groupBy("set_print").agg(F.min(doc_order("row_id", "print")).alias("first"), F.count("*").alias("rows"))
+    classes = cut(sets.select("set_print", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("first_id"), row_key("first.doc_id").alias("first_key"), F.col("first.print").alias("first_print"), "rows"), total)
     tokens = cut(rows.join(classes.select(F.col("cls").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("cls"), "roots", "deep", "sketch"))
     roots = links_between_classes(classes, tokens, docs)
     grouped = classes.join(roots.withColumnRenamed("member", "cls"), "cls", "left").select("set_print", "cls", "first_id", "rows", F.coalesce("root", "cls").alias("root"))

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.common import cut, doc_order, join_one, narrow_batches
+from tidemark.llm.common import cut, doc_order, join_one, narrow_batches, row_key, row_print, shuffle_partitions
 
 #: Segments of one prefix that a kernel gets together; a prefix with more of them is lengthened.
 GROUP_ROWS = 20_000
@@ -115,8 +116,8 @@ def _described(kind: Kind):
                 sums.append(hashlib.sha256(whole).hexdigest())
                 grams.append(g.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sums, pa.string()), pa.array(grams, pa.binary())],
-                names=["doc_id", "size", "key", "whole_sha256", "grams"],
+                [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sums, pa.string()), pa.array(grams, pa.binary())],
+                names=["doc_id", "print", "size", "key", "whole_sha256", "grams"],
             )
 
     return describe
@@ -272,10 +273,10 @@ def grouped(kind: Kind, found: DataFrame, mark_first: bool, group_rows: int | No
 
 
 def describe(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """All rows with row_id, and classes of equal content with their first row; rank orders rows by doc_id, those without one last."""
+    """All rows with row_id, and classes of equal content with their first row by doc_id, those without one last."""
     narrow_batches(docs)
     key = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_described(kind), f"doc_id {key}, size long, key binary, whole_sha256 string, grams binary")
+    rows = docs.select("doc_id", row_print().alias("print"), "text").mapInArrow(_described(kind), f"doc_id {key}, print long, size long, key binary, whole_sha256 string, grams binary")
     rows = cut(rows.withColumn("row_id", F.monotonically_increasing_id()))
     classes = cut(rows.where(F.col("size") >= kind.window).groupBy("key").agg(F.min(doc_order("row_id")).alias("first"), F.count("*").alias("copies")).select("key", F.col("first.row_id").alias("first_row"), "copies"))
     return rows, classes
@@ -292,23 +293,24 @@ def suspects(docs: DataFrame, kind: Kind, rows: DataFrame, classes: DataFrame) -
     else:
         met = join_one(grams, counts, "gram", "n", known["rows"]).where("often")
     hits = met.groupBy("row_id").agg(F.collect_list("gram").alias("grams"))
-    named = hits.join(rows.select("row_id", F.col("doc_id").alias("d"), "key"), "row_id").withColumn("rank", F.coalesce(F.col("d").cast("long"), F.lit((1 << 63) - 1)))
-
-    def own(batches):
-        """A doc_id may have rows of several texts: keep the text that the key is of."""
-        for batch in batches:
-            good = [hashlib.blake2b(kind.whole((t or "").encode("utf-8", "surrogatepass")), digest_size=16).digest() == k for t, k in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)]
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("row_id", "rank", "text", "grams")], names=["row_id", "rank", "text", "grams"])
-
-    named = cut(named)
-    texts = docs.select("doc_id", "text")
+    named = cut(hits.join(rows.select("row_id", "doc_id", "print", row_key().alias("key")), "row_id"))
+    texts = docs.select(row_key().alias("key"), row_print().alias("print"), "text")
     if named.count() <= BROADCAST_ROWS:
         # Only texts that are wanted are shuffled. Beyond that many the join alone picks them.
-        wanted = named.select(F.col("d").alias("w")).distinct()
-        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    joined = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("row_id", "rank", "text", "key", "grams")
-    return cut(joined.mapInArrow(own, "row_id long, rank long, text string, grams array<long>"))
+        texts = texts.join(F.broadcast(named.select("key", "print")), ["key", "print"], "left_semi")
+    # A row is known by its doc_id and text together. Rows alike in both become one before they are shuffled.
+    once = texts.groupBy("key", "print").agg(F.first("text").alias("text"))
+    return cut(once.join(_ranked(named), ["key", "print"]).select("row_id", "rank", "text", "grams"))
+
+
+def _ranked(named: DataFrame) -> DataFrame:
+    """named(row_id, doc_id, ...) with rank, a number that orders rows by doc_id, those without one last."""
+    if isinstance(named.schema["doc_id"].dataType, IntegralType):
+        return named.withColumn("rank", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    # Ranges of the order, each in order: numbers that grow with the range and within it.
+    place = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id")]
+    ordered = named.select("row_id", "doc_id").repartitionByRange(shuffle_partitions(named), *place).sortWithinPartitions(*place)
+    return named.join(cut(ordered.select("row_id", F.monotonically_increasing_id().alias("rank"))), "row_id")
 
 
 def removed(kind: Kind, found: DataFrame, marks: DataFrame) -> DataFrame:
