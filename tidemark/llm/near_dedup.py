@@ -11,7 +11,8 @@ Two things keep dense groups from costing the square of their size. First every
 with two centers of each of its first nodes: the least class, and the one most like what the node's
 members have in common, which is the origin of a group of edited copies. The links are confirmed, and
 most groups are components before any pairs are formed. Then only nodes that hold several components
-are compared, and only pairs across components, each under the first tree that brings it together.
+are compared, and only pairs across components, each under the first tree that brings it together. The likeliest pair
+of two components is confirmed first; the others are only looked at if it doesn't join them.
 Nothing is capped. What stays quadratic is a node of the last level: rows that agree in LEVELS minwise tokens but
 lie in several components; its blocks are compared in as many tasks as there are pairs of blocks.
 
@@ -44,7 +45,7 @@ ROOTS, DEEP = TREES * BRANCH, 16
 LEAF, NODE = 48, 4096
 #: Bytes of the sketch, one of each of so many minwise hashes; and how many of them must agree before sets are
 #: fetched: fewer agree with a chance of 1e-5 at the threshold.
-SKETCH, LEAST_EQUAL = 512, 343
+SKETCH, LEAST_EQUAL = 640, 433
 #: Of the sketch's first bytes, looked at first: fewer than so many agree with a chance below 1e-6 at the threshold.
 HEAD, LEAST_HEAD = 64, 30
 #: Rows of a block of a large node.
@@ -53,7 +54,8 @@ BLOCK = 256
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
-_MULTIPLIERS = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ROOT_MULTIPLIERS = _rng.integers(1, 2**63, ROOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _rng.integers(0, 2**31, SKETCH - ROOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Shingles that are multiplied at once: so many rows of products stay in a core's cache.
 _AT_ONCE = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,11 +85,12 @@ def shingles(text: str | None) -> np.ndarray:
 
 def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a set that isn't empty: its ROOTS tokens, DEEP tokens for each tree, and SKETCH bytes."""
-    # 32 bits of each hash: two shingles of a set that agree in them are one for the tokens, not for the sets.
-    short, least = (s >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 2**32 - 1, np.uint32)
+    # Roots have all classes below them, so they take all 64 bits of each hash. For the others 32 are enough, and faster.
+    short, root, least = (s >> np.uint64(32)).astype(np.uint32), np.full(ROOTS, 2**64 - 1, np.uint64), np.full(SKETCH - ROOTS, 2**32 - 1, np.uint32)
     for at in range(0, len(s), _AT_ONCE):
+        np.minimum(root, (s[at : at + _AT_ONCE, None] * _ROOT_MULTIPLIERS).min(axis=0), out=root)
         np.minimum(least, (short[at : at + _AT_ONCE, None] * _MULTIPLIERS).min(axis=0), out=least)
-    mixed = _mixed(least.astype(np.uint64) * _STEP)
+    mixed = _mixed(np.concatenate([root, least.astype(np.uint64) * _STEP]))
     tokens = mixed >> np.uint64(32)
     return tokens[:ROOTS].astype(np.uint32), tokens[ROOTS : ROOTS + TREES * DEEP].astype(np.uint16), (mixed & np.uint64(255)).astype(np.uint8)
 
@@ -195,9 +198,13 @@ def _likened(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array(equal.astype(np.int64))], names=["node", "cls", "equal"])
 
 
-def _pairs_batch(a: list, b: list) -> pa.RecordBatch:
-    a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+#: Likely pairs of classes, and how many bytes of their sketches agree.
+PAIRS = "a long, b long, equal int"
+
+
+def _pairs_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, equal = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [], [])))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
 
 
 def _first_root(x: np.ndarray, y: np.ndarray, grown: np.ndarray) -> np.ndarray:
@@ -228,29 +235,28 @@ class _Rows:
 ITEM = ("cls", "comp", "root", "grown", "roots", "sketch")
 
 
-def _across(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first."""
+def _across(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first; and their agreeing bytes."""
     apart = x.comp[i] != y.comp[j]
     i, j = i[apart], j[apart]
     for size, least in ((HEAD, LEAST_HEAD), (SKETCH, LEAST_EQUAL)):
-        like = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1) >= least
-        i, j = i[like], j[like]
+        equal = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1)
+        like = equal >= least
+        i, j, equal = i[like], j[like], equal[like]
     root = x.root[i]
     due = (root < 0) | (_first_root(x.roots[i], y.roots[j], x.grown[i]) == root)
-    return x.cls[i[due]], y.cls[j[due]]
+    return x.cls[i[due]], y.cls[j[due]], equal[due]
 
 
 def _compared(table: pa.Table) -> pa.RecordBatch:
     nodes, rows = table.column("node").to_numpy(), _Rows.of(table)
     cuts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
-    a, b = [], []
+    found = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if hi - lo > 1:
             i, j = np.triu_indices(hi - lo, 1)
-            x, y = _across(rows, rows, lo + i, lo + j)
-            a.append(x)
-            b.append(y)
-    return _pairs_batch(a, b)
+            found.append(_across(rows, rows, lo + i, lo + j))
+    return _pairs_batch(found)
 
 
 def _leaf_pairs(batches):
@@ -272,7 +278,7 @@ def _leaf_pairs(batches):
 def _block_pairs(batches):
     """Rows of two blocks of a node: likely pairs across components; main: the component that ``some`` leaves out."""
     for batch in batches:
-        a, b = [], []
+        found = []
         for k in range(batch.num_rows):
             x, y = (_Rows.of(batch.column(c)[k].values) for c in ("some", "many"))
             main = batch.column("main")[k].as_py()
@@ -284,10 +290,8 @@ def _block_pairs(batches):
                 j = j[(y.comp[j] == main) | (y.cls[j] > x.cls[row])]
                 near.append(np.full(len(j), row))
                 far.append(j)
-            u, v = _across(x, y, np.concatenate(near), np.concatenate(far))
-            a.append(u)
-            b.append(v)
-        yield _pairs_batch(a, b)
+            found.append(_across(x, y, np.concatenate(near), np.concatenate(far)))
+        yield _pairs_batch(found)
 
 
 def _sets(batches):
@@ -354,7 +358,7 @@ def _in_blocks(rows: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     full = join_one(rows, most, "node", "size", total).join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
     many = full.groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("many"))
     some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("some"), F.first("main").alias("main"))
-    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, "a long, b long")
+    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, PAIRS)
 
 
 def _stars(shared: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
@@ -385,7 +389,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     for level in range(1, LEVELS + 1):
         rows = cut(_several(rows, ROOTS * total), total)
         leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
-        found = leaves.mapInArrow(_leaf_pairs, "a long, b long")
+        found = leaves.mapInArrow(_leaf_pairs, PAIRS)
         last = level == LEVELS
         found = found.unionByName(_in_blocks(rows.where(F.col("n") > LEAF) if last else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE)), tokens, ROOTS * total))
         pairs = found if pairs is None else pairs.unionByName(found)
@@ -393,8 +397,25 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
             break
         kids = rows.where(F.col("n") > NODE).join(tokens, "cls").select("node", "cls", "comp", "tree", "used", "deep").mapInArrow(_grown, GROWN)
         rows = kids.withColumns({"root": F.lit(-1), "grown": F.lit(0).cast("long")})
-    more = _confirm(cut(pairs.distinct(), total), classes, docs, total)
-    return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))), total)
+    # The likeliest pair of every two components first: those that it joins need no other pair.
+    found = cut(pairs.distinct(), total)
+    best = _apart(found, roots).groupBy("low", "high").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b")
+    roots = _joined(roots, _confirm(cut(best, total), classes, docs, total), total)
+    rest = _apart(found, roots).select("a", "b").join(best, ["a", "b"], "left_anti")
+    return _joined(roots, _confirm(cut(rest, total), classes, docs, total), total)
+
+
+def _joined(roots: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """Components of components(member, root) under more links."""
+    return components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))), total)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs(a, b, ...) that lie in two components, with these as low and high; a class without links is its own."""
+    of = lambda end: roots.select(F.col("member").alias(end), F.col("root").alias(f"of_{end}"))
+    ends = [F.coalesce(f"of_{end}", F.col(end)) for end in ("a", "b")]
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.select(*pairs.columns, F.least(*ends).alias("low"), F.greatest(*ends).alias("high")).where("low <> high")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
