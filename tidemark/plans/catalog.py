@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.plans import market, measures, relational, runs, sequence
+from tidemark.plans import market, measures, relational, runs, sequence, validation
 from tidemark.registry import Registry
 from tidemark.tables import table
 
 REGISTRY = Registry()
-for part in (market.REGISTRY, sequence.REGISTRY, relational.REGISTRY, measures.REGISTRY, runs.REGISTRY):
+for part in (market.REGISTRY, sequence.REGISTRY, relational.REGISTRY, measures.REGISTRY, validation.REGISTRY, runs.REGISTRY):
     REGISTRY.builders |= part.builders
     REGISTRY.oracles |= part.oracles
 

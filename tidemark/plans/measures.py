@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import statistics as M
 from tidemark.operators import vectors as V
 from tidemark.plans.shared import rounded
+from tidemark.plans.validation import tagged
 from tidemark.registry import Registry
 from tidemark.tables import table
 
@@ -42,38 +43,6 @@ def states(spark, sf_dir):
     return V.states_of(spark, flat, ["x0", "x1", "x2", "x3"], "vec_id").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("distance"))
 
 
-def _tagged(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    tags = F.array_compact(F.array(F.col("event_type"), F.when(F.col("user_id") % 3 == 0, F.lit("third")), F.when(F.hour("ts") < 8, F.lit("night"))))
-    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return e.select("event_id", "value", seconds.alias("t"), tags.alias("atoms"))
-
-
-#: Weight of block b in sample k, and blocks of 24 rows, as DuckDB says them.
-def _weight_sql(*names: str) -> str:
-    u = f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({n} AS VARCHAR)' for n in names)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in M.POISSON) + ")"
-
-
-_GAP = "{0}s / nullif({0}c, 0) - ({1}s - {0}s) / nullif({1}c - {0}c, 0)"
-
-
-@query("m04_m05_m06_lift", f"""WITH e AS (SELECT event_id, value, [x FOR x IN [event_type, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN hour(ts) < 8 THEN 'night' END] IF x IS NOT NULL] AS atoms FROM events),
-r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place, floor((SELECT count(*) FROM e) * 0.7) AS cut FROM e), p AS (SELECT CASE WHEN place < cut THEN place // 24 ELSE -1 END AS b, value AS x, atoms FROM r),
-w AS (SELECT b, sum(x) AS s, count(x) AS c FROM p GROUP BY b), m AS (SELECT atom, b, sum(x) AS s, count(x) AS c FROM (SELECT b, x, unnest(atoms) AS atom FROM p) GROUP BY atom, b),
-t AS (SELECT coalesce(sum(s) FILTER (WHERE b >= 0), 0) AS rs, coalesce(sum(c) FILTER (WHERE b >= 0), 0) AS rc, coalesce(sum(s) FILTER (WHERE b < 0), 0) AS hs, coalesce(sum(c) FILTER (WHERE b < 0), 0) AS hc FROM w),
-g AS (SELECT atom, coalesce(sum(s) FILTER (WHERE b >= 0), 0) AS ts, coalesce(sum(c) FILTER (WHERE b >= 0), 0) AS tc, coalesce(sum(s) FILTER (WHERE b < 0), 0) AS us, coalesce(sum(c) FILTER (WHERE b < 0), 0) AS uc FROM m GROUP BY atom),
-gaps AS (SELECT atom, CAST(tc + uc AS BIGINT) AS n, {_GAP.format('t', 'r')} AS train_gap, {_GAP.format('u', 'h')} AS test_gap FROM g, t),
-aw AS (SELECT k, sum(z * s) AS gs, sum(z * c) AS gc FROM (SELECT w.*, k.range AS k, {_weight_sql('0', 'b', 'k.range')} AS z FROM w, range(200) k WHERE b >= 0) GROUP BY k),
-mw AS (SELECT atom, k, sum(z * s) AS ds, sum(z * c) AS dc FROM (SELECT m.*, k.range AS k, {_weight_sql('0', 'b', 'k.range')} AS z FROM m, range(200) k WHERE b >= 0) GROUP BY atom, k),
-d AS (SELECT atom, {_GAP.format('d', 'g')} AS d FROM mw JOIN aw USING (k)), c AS (SELECT atom, count(d) AS usable, count(*) FILTER (WHERE d <= 0) AS low, count(*) FILTER (WHERE d >= 0) AS high FROM d GROUP BY atom)
-SELECT atom, n, round(train_gap, 6) AS train_gap, round(test_gap, 6) AS test_gap, round(coalesce(least(1, 2.0 * least(low, high) / usable + 1.0 / usable), 1), 6) AS p, coalesce(usable, 0) AS usable, coalesce(test_gap / nullif(train_gap, 0) BETWEEN 0.5 AND 2, false) AS confirmed
-FROM gaps LEFT JOIN c USING (atom)""")
-def lift(spark, sf_dir):
-    """Lift of each atom with bootstrap p and confirmation."""
-    return rounded(M.lift_by_atom(_tagged(spark, sf_dir), "atoms", "value", "event_id", samples=200))
-
-
 @query("e30_thinned_z", """WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, value > 50 AS hit, [x FOR x IN [event_type, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN hour(ts) < 8 THEN 'night' END] IF x IS NOT NULL] AS atoms FROM events),
 p AS (SELECT p.range AS p, e.*, floor((t - (SELECT min(t) FROM e) + p.range * 900.0) / 21600.0) AS w FROM e, range(24) p), f AS (SELECT p, CAST(hit AS INT) AS hit, atoms FROM (SELECT *, row_number() OVER (PARTITION BY p, w ORDER BY t, event_id) AS place FROM p) WHERE place = 1),
 whole AS (SELECT p, count(hit) AS n, sum(hit) AS k FROM f GROUP BY p), m AS (SELECT p, atom, count(hit) AS n1, sum(hit) AS k1 FROM (SELECT p, hit, unnest(atoms) AS atom FROM f) GROUP BY p, atom),
@@ -82,16 +51,7 @@ z AS (SELECT atom, CASE WHEN q * (1 - q) > 0 THEN (k1 * 1.0 / n1 - k2 * 1.0 / n2
 SELECT atom, round(quantile_cont(CAST(z AS DOUBLE), 0.5), 6) AS z, count(*) AS phases FROM z GROUP BY atom""")
 def thinned(spark, sf_dir):
     """Median over 24 phases of each atom's z on rows six hours apart."""
-    return rounded(M.thinned_z(_tagged(spark, sf_dir).withColumn("hit", F.col("value") > 50), "t", "event_id", "atoms", "hit", 21_600))
-
-
-@query("m09_bootstrap_interval", f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place FROM events), b AS (SELECT event_type, place // 24 AS b, sum(value) AS s, count(value) AS c FROM r GROUP BY event_type, place // 24),
-d AS (SELECT event_type, k, sum(z * s) / nullif(sum(z * c), 0) AS m FROM (SELECT b.*, k.range AS k, {_weight_sql('0', 'event_type', 'b', 'k.range')} AS z FROM b, range(300) k) GROUP BY event_type, k),
-e AS (SELECT event_type, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM d GROUP BY event_type), a AS (SELECT event_type, sum(s) / sum(c) AS mean FROM b GROUP BY event_type)
-SELECT event_type, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM a JOIN e USING (event_type)""")
-def interval(spark, sf_dir):
-    """Mean value of each event type and its block bootstrap interval."""
-    return rounded(M.block_intervals(table(spark, sf_dir, "events"), "event_type", "value", "event_id"))
+    return rounded(M.thinned_z(tagged(spark, sf_dir).withColumn("hit", F.col("value") > 50), "t", "event_id", "atoms", "hit", 21_600))
 
 
 @query("m12_classifier")
