@@ -92,32 +92,6 @@ def test_native_zones_match_the_kernel(spark):
         assert {k: out[k] for k in structure.FLAGS} == {k: row[k] for k in structure.FLAGS}
 
 
-def test_block_indices_cover_and_wrap():
-    i = M.block_indices(500, 20, np.random.default_rng(1))
-    assert len(i) == 500 and i.min() >= 0 and i.max() < 500
-    assert ((np.diff(i) % 500) == 1).mean() > 0.9
-
-
-def test_difference_is_found_and_noise_is_not():
-    rng = np.random.default_rng(5)
-    flag = rng.random(2000) < 0.3
-    assert M.difference_p(rng.normal(0, 1, 2000) + flag, flag, 10, 200)[0] < 0.05
-    noise = [M.difference_p(rng.normal(0, 1, 500), flag[:500], 10, 100)[0] for _ in range(20)]
-    assert np.mean([p < 0.05 for p in noise]) <= 0.2
-
-
-def test_two_proportions():
-    assert M.two_proportion_z(50, 100, 50, 100) == 0
-    assert M.two_sided_p(1.959964) == pytest.approx(0.05, abs=1e-5)
-
-
-def test_partial_gain_finds_what_is_missing():
-    rng = np.random.default_rng(2)
-    a, b = rng.normal(size=(2, 500))
-    r2, more = M.partial_gain(a + b, a[:, None], b)
-    assert r2 == pytest.approx(0.5, abs=0.1) and more == pytest.approx(0.5, abs=0.1)
-
-
 def test_quantile_heads_cover():
     rng = np.random.default_rng(4)
     x = rng.random((3000, 2))

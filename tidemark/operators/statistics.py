@@ -1,10 +1,7 @@
-"""Resampling measures: stationary block bootstrap, lift with hold-out confirmation, surrogates, partial gains, quantile fits."""
+"""Thinned z, partial gains, surrogate orders and quantile fits."""
 
 from __future__ import annotations
 
-import math
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,46 +9,6 @@ from pyspark.sql import functions as F
 
 
 
-def two_sided_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def two_proportion_z(k1: float, n1: float, k2: float, n2: float) -> float:
-    p = (k1 + k2) / (n1 + n2)
-    se = math.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
-    return (k1 / n1 - k2 / n2) / se if se > 0 else 0.0
-
-
-def seed_of(*parts: object) -> int:
-    """A seed that depends on names, so that no result depends on the order of the work."""
-    return zlib.crc32("|".join(map(str, parts)).encode())
-
-
-def block_indices(n: int, length: float, rng: np.random.Generator) -> np.ndarray:
-    """Rows of one stationary bootstrap sample: blocks of geometric length, wrapped around."""
-    fresh = rng.random(n) < 1 / max(1.0, length)
-    fresh[0] = True
-    at = np.flatnonzero(fresh)
-    starts = rng.integers(0, n, len(at))
-    run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    return (np.repeat(starts, np.diff(np.append(at, n))) + run) % n
-
-
-def difference_p(x: np.ndarray, flag: np.ndarray, length: float, samples: int = 500, seed: int = 0) -> tuple[float, int]:
-    """Two-sided bootstrap p of the difference of means of flagged and other rows, and the usable samples."""
-    rng = np.random.default_rng(seed)
-    drawn = []
-    for _ in range(samples):
-        i = block_indices(len(x), length, rng)
-        f = flag[i]
-        if f.any() and not f.all():
-            drawn.append(x[i][f].mean() - x[i][~f].mean())
-    if not drawn:
-        return 1.0, 0
-    d = np.array(drawn)
-    return float(min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean()) + 1 / len(d))), len(d)
-
-
 def thinned_z(rows: DataFrame, t: str, order: str, atoms: str, hit: str, horizon: int, phases: int = 24) -> DataFrame:
     """z of each atom's share of hits against other rows', on windows that don't overlap: atom, z (median over phases), phases (usable ones).
 
@@ -77,18 +34,6 @@ def partial_gains(df: DataFrame, y: str, base: str, extra: str, by: str) -> Data
     return r.select(by, F.expr("a * a").alias("r2"), F.expr("(a * a + b * b - 2 * a * b * c) / (1 - c * c) - a * a").alias("gain"))
 
 
-def partial_gain(y: np.ndarray, base: np.ndarray, extra: np.ndarray) -> tuple[float, float]:
-    """The same of arrays, with any number of base columns."""
-
-    def r2(x: np.ndarray) -> float:
-        q, _ = np.linalg.qr(np.column_stack([np.ones(len(y)), x]))
-        rest = y - q @ (q.T @ y)
-        return 1 - float(rest @ rest) / float(((y - y.mean()) ** 2).sum())
-
-    a = r2(base)
-    return a, r2(np.column_stack([base, extra])) - a
-
-
 def surrogate_order(rows: DataFrame, by: str, key: str, block: int, seed: int) -> DataFrame:
     """Adds surrogate: a permutation of keys within each block of times, the same for all its times."""
     group = F.floor(F.col(by) / block)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
 
+from tidemark.operators.stretches import over_stretches
+
 
 def ordered() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("t")
@@ -51,12 +53,13 @@ def skew(x: Column, n: int, least: int) -> Column:
     return F.when((k >= least) & (k > 2) & ~F.isnan(s), s * F.sqrt(k * (k - 1)) / F.nullif(k - 2, F.lit(0)))
 
 
-def rank_in_window(x: Column, n: int, least: int) -> Column:
-    """Share of the window's values up to this one, ties at their mean rank."""
-    values = F.collect_list(x).over(trailing(n))
-    below = F.size(F.filter(values, lambda v: v < x))
-    same = F.size(F.filter(values, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(values) >= least), (below + (same + 1) / 2) / F.size(values))
+def rank_in_window(df: DataFrame, x: str, n: int, least: int, name: str = "rank") -> DataFrame:
+    """Adds the share of the window's values up to this one, ties at their mean rank.
+
+    An order-statistic window (a skip list that rows enter and leave) over stretches of time with n - 1 rows before them.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return over_stretches(df, lambda pdf: pdf.assign(**{name: pdf[x].rolling(n, least).rank(pct=True)}), f"{schema}, {name} double", n - 1)
 
 
 def last_known(x: Column) -> Column:

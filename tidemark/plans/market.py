@@ -295,7 +295,7 @@ def zones(spark, sf_dir):
 @query("e07_rolling_rank", f"""WITH {bars_sql()} SELECT symbol, t, round(CASE WHEN count(close) OVER w >= 12 THEN (len(list_filter(list(close) OVER w, lambda v: v < close)) + (len(list_filter(list(close) OVER w, lambda v: v = close)) + 1) / 2.0) / count(close) OVER w END, 6) AS rank
 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""")
 def rolling_rank(spark, sf_dir):
-    return bars(spark, sf_dir).select("symbol", "t", F.round(W.rank_in_window(F.col("close"), 48, 12), 6).alias("rank"))
+    return rounded(W.rank_in_window(bars(spark, sf_dir).select("symbol", "t", "close"), "close", 48, 12).drop("close"))
 
 
 @query("e08_rolling_moments", f"""WITH {bars_sql()} SELECT symbol, t, round(avg(close) OVER w, 6) AS mean, round(stddev_samp(close) OVER w, 6) AS std, round(CASE WHEN count(*) OVER w >= 12 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END, 6) AS z,
