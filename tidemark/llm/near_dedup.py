@@ -8,11 +8,10 @@ larger one branches again. Independent trees are repeated: a pair at the thresho
 to the last level is missed by one tree with a chance of 0.16 and by all with 4e-7, by simulation.
 
 Two things keep dense groups from costing the square of their size. First every class is linked
-with two centers of each of its first nodes: the least class, and the one most like what the node's
+with a center of each of its first nodes: the least class, in larger nodes the one most like what the node's
 members have in common, which is the origin of a group of edited copies. The links are confirmed, and
 most groups are components before any pairs are formed. Then only nodes that hold several components
-are compared, and only pairs across components, each under the first tree that brings it together. The likeliest pair
-of two components is confirmed first; the others are only looked at if it doesn't join them.
+are compared, and only pairs across components, each under the first tree that brings it together.
 Nothing is capped. What stays quadratic is a node of the last level: rows that agree in LEVELS minwise tokens but
 lie in several components; its blocks are compared in as many tasks as there are pairs of blocks.
 
@@ -45,7 +44,7 @@ ROOTS, DEEP = TREES * BRANCH, 16
 LEAF, NODE = 48, 4096
 #: Bytes of the sketch, one of each of so many minwise hashes; and how many of them must agree before sets are
 #: fetched: fewer agree with a chance of 1e-5 at the threshold.
-SKETCH, LEAST_EQUAL = 640, 433
+SKETCH, LEAST_EQUAL = 512, 343
 #: Of the sketch's first bytes, looked at first: fewer than so many agree with a chance below 1e-6 at the threshold.
 HEAD, LEAST_HEAD = 64, 30
 #: Rows of a block of a large node.
@@ -198,13 +197,9 @@ def _likened(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array(equal.astype(np.int64))], names=["node", "cls", "equal"])
 
 
-#: Likely pairs of classes, and how many bytes of their sketches agree.
-PAIRS = "a long, b long, equal int"
-
-
-def _pairs_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, equal = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [], [])))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
+def _pairs_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [])))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _first_root(x: np.ndarray, y: np.ndarray, grown: np.ndarray) -> np.ndarray:
@@ -235,17 +230,16 @@ class _Rows:
 ITEM = ("cls", "comp", "root", "grown", "roots", "sketch")
 
 
-def _across(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first; and their agreeing bytes."""
+def _across(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of those pairs (row i of x, row j of y) that are likely, lie in two components and have this node as their first."""
     apart = x.comp[i] != y.comp[j]
     i, j = i[apart], j[apart]
     for size, least in ((HEAD, LEAST_HEAD), (SKETCH, LEAST_EQUAL)):
-        equal = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1)
-        like = equal >= least
-        i, j, equal = i[like], j[like], equal[like]
+        like = np.count_nonzero(x.sketch[i, :size] == y.sketch[j, :size], axis=1) >= least
+        i, j = i[like], j[like]
     root = x.root[i]
     due = (root < 0) | (_first_root(x.roots[i], y.roots[j], x.grown[i]) == root)
-    return x.cls[i[due]], y.cls[j[due]], equal[due]
+    return x.cls[i[due]], y.cls[j[due]]
 
 
 def _compared(table: pa.Table) -> pa.RecordBatch:
@@ -295,10 +289,11 @@ def _block_pairs(batches):
 
 
 def _sets(batches):
-    """Rows (text, cls) -> (cls, items)."""
+    """Rows (text, cls) -> (cls, high, low): the set in order, as the upper and lower 32 bits of its hashes."""
     for batch in batches:
-        sets = [shingles(text).tobytes() for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "items"])
+        sets = [shingles(text) for text in batch.column("text").to_pylist()]
+        halves = [pa.array([(s >> np.uint64(shift)).astype(np.uint32).tobytes() for s in sets], pa.binary()) for shift in (32, 0)]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), *halves], names=["cls", "high", "low"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -311,10 +306,27 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets of which only the upper halves are known may reach the threshold: values that the other has too are at least the common ones."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = min(int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) for a, b in ((x, y), (y, x)))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _near(batches):
+    """Rows (a, b, high_a, high_b) -> the pairs that may link."""
+    for batch in batches:
+        sides = [[np.frombuffer(s, np.uint32) for s in batch.column(c).to_pylist()] for c in ("high_a", "high_b")]
+        good = pa.array([_may_link(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+
 def _confirmed(batches):
     for batch in batches:
-        sets = [[np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("items_a", "items_b")]
-        good = pa.array([linked(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+        halves = {c: [np.frombuffer(s, np.uint32).astype(np.uint64) for s in batch.column(c).to_pylist()] for c in ("high_a", "low_a", "high_b", "low_b")}
+        sides = [[h << np.uint64(32) | l for h, l in zip(halves[f"high_{e}"], halves[f"low_{e}"], strict=True)] for e in "ab"]
+        good = pa.array([linked(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
@@ -327,9 +339,16 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, total: int)
     # By doc_id and text: rows without doc_id, or of one, meet their own class only. Rows alike in both give one set.
     keyed = docs.select("text", row_key().alias("row_key"), row_print().alias("print"))
     texts = keyed.join(keys, (F.col("row_key") == F.col("first_key")) & (F.col("print") == F.col("first_print"))).select("text", "cls")
-    sets = cut(texts.mapInArrow(_sets, "cls long, items binary").dropDuplicates(["cls"]))
-    ready = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
-    return ready.mapInArrow(_confirmed, "a long, b long")
+    sets = cut(texts.mapInArrow(_sets, "cls long, high binary, low binary").dropDuplicates(["cls"]))
+
+    def ends_of(pairs: DataFrame, *parts: str) -> DataFrame:
+        for e in "ab":
+            pairs = pairs.join(sets.select(F.col("cls").alias(e), *[F.col(p).alias(f"{p}_{e}") for p in parts]), e)
+        return pairs
+
+    # Half of each set decides nearly all pairs; whole ones are only moved for those that may link.
+    near = cut(ends_of(pairs, "high").mapInArrow(_near, "a long, b long"), total)
+    return ends_of(near, "high", "low").mapInArrow(_confirmed, "a long, b long")
 
 
 def _agreeing(batches):
@@ -358,12 +377,12 @@ def _in_blocks(rows: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     full = join_one(rows, most, "node", "size", total).join(tokens, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)))
     many = full.groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("many"))
     some = full.where("comp <> main").groupBy("node", "block").agg(F.collect_list(F.struct(*ITEM)).alias("some"), F.first("main").alias("main"))
-    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, PAIRS)
+    return some.drop("block").join(many.drop("block"), "node").select("some", "many", "main").mapInArrow(_block_pairs, "a long, b long")
 
 
 def _stars(shared: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
-    """Pairs of every class with the least class of its nodes and, in larger nodes, with the class most like the node's common sketch."""
-    least = shared.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
+    """Pairs of every class with the least class of its small nodes and, in larger nodes, with the class most like the node's common sketch."""
+    least = shared.where((F.col("cls") != F.col("center")) & (F.col("n") <= LEAF)).select(F.col("center").alias("a"), F.col("cls").alias("b"))
     large = shared.where(F.col("n") > LEAF).join(tokens.select("cls", "sketch"), "cls").select("node", "cls", "sketch")
     common = large.select("node", "sketch").mapInArrow(_votes, "node long, bytes binary, counts binary, rows long").groupBy("node").applyInPandas(_elected, "node long, common binary, size long")
     rated = join_one(large, common, "node", "size", total).mapInArrow(_likened, "node long, cls long, equal long")
@@ -389,7 +408,7 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
     for level in range(1, LEVELS + 1):
         rows = cut(_several(rows, ROOTS * total), total)
         leaves = rows.where(F.col("n") <= LEAF).join(tokens, "cls").repartition("node").sortWithinPartitions("node").select("node", *ITEM)
-        found = leaves.mapInArrow(_leaf_pairs, PAIRS)
+        found = leaves.mapInArrow(_leaf_pairs, "a long, b long")
         last = level == LEVELS
         found = found.unionByName(_in_blocks(rows.where(F.col("n") > LEAF) if last else rows.where((F.col("n") > LEAF) & (F.col("n") <= NODE)), tokens, ROOTS * total))
         pairs = found if pairs is None else pairs.unionByName(found)
@@ -397,25 +416,8 @@ def links_between_classes(classes: DataFrame, tokens: DataFrame, docs: DataFrame
             break
         kids = rows.where(F.col("n") > NODE).join(tokens, "cls").select("node", "cls", "comp", "tree", "used", "deep").mapInArrow(_grown, GROWN)
         rows = kids.withColumns({"root": F.lit(-1), "grown": F.lit(0).cast("long")})
-    # The likeliest pair of every two components first: those that it joins need no other pair.
-    found = cut(pairs.distinct(), total)
-    best = _apart(found, roots).groupBy("low", "high").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b")
-    roots = _joined(roots, _confirm(cut(best, total), classes, docs, total), total)
-    rest = _apart(found, roots).select("a", "b").join(best, ["a", "b"], "left_anti")
-    return _joined(roots, _confirm(cut(rest, total), classes, docs, total), total)
-
-
-def _joined(roots: DataFrame, links: DataFrame, total: int) -> DataFrame:
-    """Components of components(member, root) under more links."""
-    return components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))), total)
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of pairs(a, b, ...) that lie in two components, with these as low and high; a class without links is its own."""
-    of = lambda end: roots.select(F.col("member").alias(end), F.col("root").alias(f"of_{end}"))
-    ends = [F.coalesce(f"of_{end}", F.col(end)) for end in ("a", "b")]
-    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return met.select(*pairs.columns, F.least(*ends).alias("low"), F.greatest(*ends).alias("high")).where("low <> high")
+    more = _confirm(cut(pairs.distinct(), total), classes, docs, total)
+    return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("member").alias("b"))), total)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
