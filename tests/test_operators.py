@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 
 from tidemark.functions import profiles
 from tidemark.operators import recursive, structure
-from tidemark.operators import statistics as M
 from tidemark.operators import vectors as V
 
 
@@ -92,33 +91,6 @@ def test_native_zones_match_the_kernel(spark):
         assert {k: out[k] for k in structure.FLAGS} == {k: row[k] for k in structure.FLAGS}
 
 
-def test_quantile_heads_cover():
-    rng = np.random.default_rng(4)
-    x = rng.random((3000, 2))
-    y = x[:, 0] * 3 + rng.normal(size=3000)
-    for level in (0.25, 0.75):
-        m = M.boosted_quantile(x[:2000], y[:2000], level)
-        assert (y[2000:] <= M.predict_quantile(m, x[2000:])).mean() == pytest.approx(level, abs=0.06)
-    assert (np.diff(M.rearranged(np.array([[3.0, 1.0, 2.0]]))) >= 0).all()
-
-
-def test_quantile_histograms_hold_all_rows(spark):
-    """The histogram stands for every row; a fit on it is a fit on the rows within a step of the target."""
-    rng = np.random.default_rng(12)
-    x = rng.integers(0, 10, (6000, 2)).astype(float)
-    y = x[:, 0] * 3 + rng.normal(size=6000)
-    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
-    hx, hy, n, edges = M.quantile_histogram(df, ["a", "b"], "y")
-    assert n.sum() == 6000 and (hy * n).sum() == pytest.approx(y.sum())
-    for level in (0.25, 0.9):
-        want = M.predict_quantile(M.boosted_quantile(x, y, level, edges=edges), x)
-        got = M.predict_quantile(M.boosted_quantile(hx, hy, level, n=n, edges=edges), x)
-        assert np.abs(got - want).max() < 0.01 * np.ptp(y)
-    v = rng.normal(size=50)
-    n = rng.integers(1, 5, 50)
-    assert M.weighted_quantile(v, n, 0.3) == pytest.approx(np.quantile(np.repeat(v, n), 0.3))
-
-
 def test_quantile_heads_are_fitted_on_all_keys(spark, tmp_path):
     """Prices that drift with the key: heads of the lowest keys would cover almost none of the rest."""
     from tidemark.plans.catalog import REGISTRY

@@ -1,9 +1,7 @@
-"""Thinned z, partial gains, surrogate orders and quantile fits."""
+"""Thinned z, partial gains and surrogate orders."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,84 +42,3 @@ def _window(group, seed: int, key: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), group, key))
-
-
-def weighted_quantile(v: np.ndarray, n: np.ndarray, level: float) -> float:
-    """np.quantile of values that stand for n rows each."""
-    order = np.argsort(v)
-    rows = np.cumsum(n[order])
-    at = (rows[-1] - 1) * level
-    low, high = v[order][np.minimum(np.searchsorted(rows, [np.floor(at), np.ceil(at)], side="right"), len(v) - 1)]
-    return float(low + (high - low) * (at - np.floor(at)))
-
-
-def boosted_quantile(x: np.ndarray, y: np.ndarray, level: float, rounds: int = 60, rate: float = 0.1, bins: int = 16, n: np.ndarray | None = None, edges: list[np.ndarray] | None = None) -> list[tuple[int, float, float, float]]:
-    """Stumps that lower the pinball loss: (column, cut, left value, right value), the first a constant.
-
-    n: how many rows each row stands for; edges: the cuts of each column, else its quantiles.
-    """
-    n = np.ones(len(y)) if n is None else n
-    model = [(0, -np.inf, 0.0, weighted_quantile(y, n, level))]
-    f = np.full(len(y), model[0][3])
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])] if edges is None else edges
-    bin_of = [np.searchsorted(cuts, x[:, j]) for j, cuts in enumerate(edges)]
-    total = n.sum()
-    for _ in range(rounds):
-        slope = np.where(y > f, level, level - 1) * n
-        best = None
-        for j, cuts in enumerate(edges):
-            left = np.cumsum(np.bincount(bin_of[j], n, len(cuts) + 1))[:-1]
-            down = np.cumsum(np.bincount(bin_of[j], slope, len(cuts) + 1))[:-1]
-            fits = np.flatnonzero((left >= 20) & (total - left >= 20))
-            if len(fits):
-                gain = down[fits] ** 2 / left[fits] + (slope.sum() - down[fits]) ** 2 / (total - left[fits])
-                if best is None or gain.max() > best[0]:
-                    best = gain.max(), j, cuts[fits[gain.argmax()]]
-        if best is None:
-            break
-        _, j, c = best
-        left = x[:, j] <= c
-        a, b = (rate * weighted_quantile((y - f)[side], n[side], level) for side in (left, ~left))
-        model.append((j, float(c), a, b))
-        f = f + np.where(left, a, b)
-    return model
-
-
-#: Steps of the target that a histogram tells apart in each cell of the columns' bins.
-STEPS = 4096
-
-
-def quantile_histogram(rows: DataFrame, columns: list[str], target: str, bins: int = 16, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All rows as x, y, n and edges of ``boosted_quantile``: a row for each cell of bins and step of the target, at its mean.
-
-    At most bins ** columns * steps rows, whatever the table's size; cuts are quantiles within 1e-4 of the rows.
-    """
-    known = rows.dropna(subset=[*columns, target]).select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]])
-    cuts = known.approxQuantile([*columns], np.linspace(0, 1, bins + 1)[1:-1].tolist(), 1e-4)
-    grid = known.approxQuantile(target, np.linspace(0, 1, steps + 1)[1:-1].tolist(), 0.25 / steps)
-    if not grid:
-        raise ValueError("no rows to fit quantile heads on")
-    edges = [np.unique(c) for c in cuts]
-    sides = [*edges, np.unique(grid)]
-
-    def count(batches):
-        for pdf in batches:
-            at = {f"b{j}": np.searchsorted(e, pdf[c].to_numpy(float)) for j, (c, e) in enumerate(zip([*columns, target], sides, strict=True))}
-            y = pdf[target].to_numpy(float)
-            yield pd.DataFrame({**at, "n": 1, "y": y}).groupby(list(at), as_index=False).sum()
-
-    keys = [f"b{j}" for j in range(len(sides))]
-    out = known.mapInPandas(count, ", ".join(f"{k} long" for k in keys) + ", n long, y double").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy(*keys).toPandas()
-    # Any value of a bin compares like its upper cut.
-    x = np.stack([np.append(e, np.inf)[out[k]] for k, e in zip(keys[:-1], edges, strict=True)], axis=1)
-    n = out["n"].to_numpy(float)
-    return x, out["y"].to_numpy(float) / n, n, edges
-
-
-def predict_quantile(model: list[tuple[int, float, float, float]], x: np.ndarray) -> np.ndarray:
-    return sum((np.where(x[:, j] <= c, a, b) for j, c, a, b in model), np.zeros(len(x)))
-
-
-def rearranged(heads: np.ndarray) -> np.ndarray:
-    """Quantile heads in rising order, row by row."""
-    return np.maximum.accumulate(heads, axis=1)

@@ -15,17 +15,16 @@ def _rank(c: str, at: str) -> Column:
 
 
 def ranked_panel(values: DataFrame, at: str, key: str, signal: str, outcome: str, least: int, block: int) -> DataFrame:
-    """A row for each time that has at least ``least`` keys with both values: at, stretch, and for the keys in order their numbers, ranks x and y.
+    """A row for each time that has at least ``least`` keys with both values: at, stretch, and in the order of the keys these (as text), and ranks x and y.
 
     stretch: the number of the run of ``block`` times that the time lies in. A time holds one row of each key.
     """
     known = values.where(F.col(signal).isNotNull() & F.col(outcome).isNotNull() & ~F.isnan(signal) & ~F.isnan(outcome))
-    numbers = with_place(known.select(key).distinct(), key, [key]).withColumnRenamed("place", "_number")
-    numbered = known.select(at, key, F.col(signal).alias("_s"), F.col(outcome).alias("_o")).join(numbers, key)
-    ranks = numbered.select(at, "_number", _rank("_s", at).alias("x"), _rank("_o", at).alias("y"))
-    rows = ranks.groupBy(at).agg(F.sort_array(F.collect_list(F.struct("_number", "x", "y"))).alias("_r")).where(F.size("_r") >= least)
+    named = known.select(at, F.col(key).cast("string").alias("_key"), F.col(signal).alias("_s"), F.col(outcome).alias("_o"))
+    ranks = named.select(at, "_key", _rank("_s", at).alias("x"), _rank("_o", at).alias("y"))
+    rows = ranks.groupBy(at).agg(F.sort_array(F.collect_list(F.struct("_key", "x", "y"))).alias("_r")).where(F.size("_r") >= least)
     times = with_place(rows.select(at), at, [at]).select(at, F.floor(F.col("place") / block).alias("stretch"))
-    return rows.join(times, at).select(at, "stretch", F.col("_r._number").alias("numbers"), F.col("_r.x").alias("x"), F.col("_r.y").alias("y"))
+    return rows.join(times, at).select(at, "stretch", F.col("_r._key").alias("keys"), F.col("_r.x").alias("x"), F.col("_r.y").alias("y"))
 
 
 def _correlation(x: Column, y: Column) -> Column:
@@ -50,8 +49,8 @@ def surrogate_null(values: DataFrame, at: str, key: str, signal: str, outcome: s
     dealt, with their ties. p: the share of draws whose mean coefficient is at least as large in size, counting the series as one.
     """
     panel = ranked_panel(values, at, key, signal, outcome, least, block)
-    each = panel.select("stretch", "numbers", "x", "y", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("sample"))
-    lots = F.zip_with("numbers", "x", lambda k, v: F.struct(drawn(0, F.lit(seed), F.col("sample"), F.col("stretch"), k).alias("lot"), k.alias("k"), v.alias("v")))
+    each = panel.select("stretch", "keys", "x", "y", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("sample"))
+    lots = F.zip_with("keys", "x", lambda k, v: F.struct(drawn(0, F.lit(seed), F.col("sample"), F.col("stretch"), k).alias("lot"), k.alias("k"), v.alias("v")))
     dealt = F.when(F.col("sample") < 0, F.col("x")).otherwise(F.transform(F.array_sort(lots), lambda r: r["v"]))
     means = each.withColumn("_x", dealt).groupBy("sample").agg(F.avg(_correlation(F.col("_x"), F.col("y"))).alias("stat"), F.count(_correlation(F.col("_x"), F.col("y"))).alias("times"))
     null = means.where("sample >= 0").agg(F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"))

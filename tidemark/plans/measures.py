@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.operators import forecast as Q
 from tidemark.operators import statistics as M
 from tidemark.operators import vectors as V
 from tidemark.plans.shared import rounded
-from tidemark.plans.validation import tagged
+from tidemark.plans.validation import LINE, tagged
 from tidemark.registry import Registry
 from tidemark.tables import table
 
@@ -79,21 +78,41 @@ def gain(spark, sf_dir):
     return rounded(M.partial_gains(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", "l_tax", "l_returnflag"))
 
 
+#: Columns of the range forecasts' stand-in rows; the benchmark is the first of them.
+RANGE_COLUMNS = ["l_tax", "l_quantity", "l_discount"]
+
+
+def _ranges(spark, sf_dir):
+    """Lines in order of their keys, with the logarithm of the price as the target."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, "l_tax", "l_quantity", "l_discount")
+    return rows.withColumn("target", F.ln("l_extendedprice"))
+
+
 @query("m17_quantile_heads")
 def heads(spark, sf_dir):
-    """Boosted quantile heads fitted on a histogram of all training rows: coverage of each on all other rows, and that they rise."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_extendedprice")
-    x, y, n, edges = M.quantile_histogram(rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 0), ["l_quantity", "l_tax"], "l_extendedprice")
-    models = [M.boosted_quantile(x, y, q, n=n, edges=edges) for q in (0.25, 0.5, 0.75, 0.9)]
-
-    def apply(batches):
-        for pdf in batches:
-            x = pdf[["l_quantity", "l_tax"]].to_numpy(float)
-            h = M.rearranged(np.stack([M.predict_quantile(m, x) for m in models], axis=1))
-            yield pd.DataFrame({"y": pdf["l_extendedprice"], **{f"q{i}": h[:, i] for i in range(4)}})
-
-    scored = rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 1).mapInPandas(apply, "y double, q0 double, q1 double, q2 double, q3 double")
-    return scored.agg(*[F.round(F.avg((F.col("y") <= F.col(f"q{i}")).cast("double")), 3).alias(f"covered{i}") for i in range(4)], F.bool_and((F.col("q0") <= F.col("q1")) & (F.col("q2") <= F.col("q3"))).alias("rising"))
+    """Quantile heads and their benchmarks, grown on half of the orders: coverage on the others, that heads rise, and regimes of the range lift."""
+    rows = _ranges(spark, sf_dir)
+    forest = Q.fit(rows, RANGE_COLUMNS, "target", Q.heads_of(RANGE_COLUMNS, RANGE_COLUMNS[:1], F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 0), trees=12)
+    found = Q.predicted(rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 1), forest, logs=True)
+    names = [Q.named(q) for q in Q.QUANTILES]
+    covered = [F.round(F.avg((F.col("l_extendedprice") <= F.col(n)).cast("double")), 3).alias(f"covered{i}") for i, n in enumerate(names)]
+    rising = F.bool_and((F.col("p25") <= F.col("p50")) & (F.col("p50") <= F.col("p75")) & (F.col("p75") <= F.col("p90")))
+    return found.groupBy("range_regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("range_lift"), 3).alias("range_lift"), *covered, rising.alias("rising"))
+
+
+@query("m18_gate")
+def gated(spark, sf_dir):
+    """The gate's three conditions on the last three tenths of the lines, for heads that learned the first seven less a gap; the forest for use grows beside them."""
+    _, judged = Q.production(_ranges(spark, sf_dir), LINE, RANGE_COLUMNS, RANGE_COLUMNS[:1], "target", 96, 512, trees=8, samples=99)
+    return judged.select(*[F.round(c, 3).alias(c) for c in ("delta_r2", "p_delta", "rho", "rho_bench", "p_better", "coverage_error")], "n", "passed")
+
+
+@query("j03_fold_forecasts")
+def fold_forecasts(spark, sf_dir):
+    """Out-of-fold heads of three walk-forward folds that grow side by side: R2 of the median against the training mean, and coverage."""
+    found = Q.fold_forecasts(_ranges(spark, sf_dir), LINE, RANGE_COLUMNS, RANGE_COLUMNS[:1], "target", 3, 96, trees=8)
+    r2 = 1 - F.sum((F.col("target") - F.col("p50")) ** 2) / F.sum((F.col("target") - F.col("train_mean")) ** 2)
+    return found.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(r2, 3).alias("r2"), *[F.round(F.avg((F.col("target") <= F.col(Q.named(q))).cast("double")), 3).alias(f"covered_{Q.named(q)}") for q in Q.QUANTILES])
 
 
 @query("m22_surrogates", """WITH w AS (SELECT DISTINCT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, event_type FROM events), n AS (SELECT week, count(*) AS n FROM w GROUP BY week)

@@ -236,8 +236,8 @@ def gain_of_columns(spark, sf_dir):
 
 
 @query("m22_surrogate_null", f"""WITH v AS (SELECT CAST(floor(epoch(ts) / 43200) AS BIGINT) AS h, user_id % 25 AS s, avg(value) AS x, count(*) AS n FROM events GROUP BY ALL),
-p AS (SELECT h, s, x, lead(x) OVER (PARTITION BY s ORDER BY h) / x - 1 AS o FROM v), known AS (SELECT * FROM p WHERE o IS NOT NULL), numbers AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS number FROM (SELECT DISTINCT s FROM known)),
-r AS (SELECT h, number, (rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2.0)::DOUBLE AS x, (rank() OVER (PARTITION BY h ORDER BY o) + (count(*) OVER (PARTITION BY h, o) - 1) / 2.0)::DOUBLE AS y, count(*) OVER (PARTITION BY h) AS k FROM known JOIN numbers USING (s)),
+p AS (SELECT h, s, x, lead(x) OVER (PARTITION BY s ORDER BY h) / x - 1 AS o FROM v), known AS (SELECT * FROM p WHERE o IS NOT NULL),
+r AS (SELECT h, CAST(s AS VARCHAR) AS number, (rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2.0)::DOUBLE AS x, (rank() OVER (PARTITION BY h ORDER BY o) + (count(*) OVER (PARTITION BY h, o) - 1) / 2.0)::DOUBLE AS y, count(*) OVER (PARTITION BY h) AS k FROM known),
 t AS (SELECT h, (row_number() OVER (ORDER BY h) - 1) // 4 AS stretch FROM (SELECT DISTINCT h FROM r WHERE k >= 4)), e AS (SELECT r.h, stretch, number, x, y, d.range AS sample FROM r JOIN t USING (h), range(-1, 200) d WHERE k >= 4),
 a AS (SELECT *, row_number() OVER (PARTITION BY h, sample ORDER BY number) AS i, row_number() OVER (PARTITION BY h, sample ORDER BY CASE WHEN sample >= 0 THEN {_u(0, '3', 'sample', 'stretch', 'number')} END, number) AS j FROM e),
 c AS (SELECT a.h, a.sample, corr(b.x, a.y) AS ic FROM a JOIN a b ON a.h = b.h AND a.sample = b.sample AND a.i = b.j GROUP BY a.h, a.sample HAVING stddev_pop(b.x) > 0 AND stddev_pop(a.y) > 0),
