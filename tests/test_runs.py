@@ -167,3 +167,16 @@ def test_profiles_in_a_folder_are_read_again(tmp_path):
 
 def test_merge_ends_and_opens_paths():
     assert profiles.merge({"a": {"b": 1, "c": {"d": 2}}, "e": 3}, {"a": {"c": 5}, "e": {"f": 6}}) == {"a": {"b": 1, "c": 5}, "e": {"f": 6}}
+
+
+def test_an_empty_section_changes_nothing():
+    assert profiles.merge({"a": {"x": 1}, "n": {}}, {"a": {}, "b": {}, "n": {}}) == {"a": {"x": 1}, "b": {}, "n": {}}
+    assert profiles.merge({"a": 1}, {"a": {}}) == {"a": {}} and profiles.merge({"a": {"b": {"c": 1}}}, {"a": {"b": {}, "d": 2}}) == {"a": {"b": {"c": 1}, "d": 2}}
+
+
+def test_prices_too_large_for_the_order_are_an_error(spark):
+    from tidemark.operators.bars import tick_bars
+
+    row = [("a", 1, 9.5e9, 1.0, "buy", 1)]
+    with pytest.raises(Exception, match="9e9"):
+        tick_bars(spark.createDataFrame(row, "symbol string, us long, price double, volume double, side string, id long"), 900).collect()

@@ -32,14 +32,15 @@ def tick_bars(ticks: DataFrame, seconds: int) -> DataFrame:
     The close is the last tick in order of execution: by time, then along the book, which a buy climbs and a sale
     descends; ticks that still tie have one price. That order is one decimal, microseconds since the bucket's start before the
     signed price, so the close is a maximum in a hash aggregate with map-side combining, and ticks are never sorted.
-    Buckets of up to a day; prices under 1e10 in steps of 1e-16 or more.
+    Buckets of up to a day; a price of 9e9 or more, of either sign, is an error, and steps below 1e-16 are not told apart.
     """
     buy = F.lower("side") == "buy"
     good = ticks.where("price is not null and volume is not null")
     start = F.floor(F.col("us") / (seconds * 1_000_000)) * seconds
     signed = F.when(buy, F.col("price")).otherwise(-F.col("price"))
     # 11 digits of microseconds, 11 of the price's whole part, moved above zero, and 16 behind the point.
-    along = F.least(F.lit(9e9), F.greatest(F.lit(-9e9), signed)).cast("decimal(27,16)")
+    large = F.raise_error(F.lit("tick_bars: a price of 9e9 or more")).cast("double")
+    along = F.when(F.abs(F.col("price")) < 9e9, signed).otherwise(large).cast("decimal(27,16)")
     place = ((F.col("us") - start * 1_000_000).cast("decimal(11,0)") * F.lit(100_000_000_000).cast("decimal(12,0)")).cast("decimal(38,16)") + along
     return good.groupBy("symbol", start.alias("t")).agg(
         F.max("price").alias("high"),

@@ -19,6 +19,7 @@ from tidemark.operators import features as X
 from tidemark.operators import states as S
 from tidemark.operators.recursive import with_indicators
 from tidemark.operators.vectors import fit_states_of, nearest_centroid
+from tidemark.tables import written
 
 STORED = "symbol string, run_id long, version string, trained_to long, body string"
 
@@ -114,8 +115,8 @@ class Settings:
 
 def observed(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars with indicators, and their base features."""
-    shown = with_indicators(bars)
-    return shown, X.base_features(shown)
+    shown = written(with_indicators(bars), "shown")
+    return shown, written(X.base_features(shown), "features")
 
 
 def history(shown: DataFrame, features: DataFrame, model: StateModel, settings: Settings = Settings()) -> History:

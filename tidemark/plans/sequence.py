@@ -227,11 +227,43 @@ RECORDS = """records AS (
 
 
 def records(spark, sf_dir):
-    for name in ("orders", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    spark_text = RECORDS.replace("AS VARCHAR", "AS STRING")
-    out = spark.sql(f"WITH {spark_text} SELECT * FROM records")
-    return out.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in out.schema.fields])
+    """The same records by DataFrame functions."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    part = lambda n, of: (key % n) / F.lit(float(of))
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    one_of = lambda number, *names: F.element_at(F.array(*[F.lit(n) for n in names]), F.least(number.cast("int") + 1, F.lit(len(names))))
+    share = part(89, 88)
+    columns = {
+        "candidate_id": text("c", key),
+        "symbol": F.col("c_mktsegment"),
+        "candidate_family_key": F.when(key % 11 != 0, text("f", key % 200)),
+        "transition_id": text("t", customer % 40),
+        "research_side": F.when(key % 3 == 0, "short").otherwise("long"),
+        "valid_label_pct": part(97, 96),
+        "sample_size": (key % 1300).cast("long"),
+        "effective_sample_size": F.lit(None).cast("long"),
+        "monthly_concentration": part(41, 100),
+        "repeatability_months": (key % 19).cast("long"),
+        "repeatability_days": (key % 300).cast("long"),
+        "long_outcome_share": share,
+        "historical_outcome_skew": 2 * share - 1,
+        "long_favorable_adverse_ratio_p70_p80": part(53, 10),
+        "short_favorable_adverse_ratio_p70_p80": F.when(key % 4 != 0, part(47, 10)),
+        "p70_long_favorable_pct": part(29, 10),
+        "p80_long_adverse_pct": part(23, 10),
+        "context_status": F.when(F.col("o_orderstatus") == "F", "fresh").otherwise("stale"),
+        "age_bucket": one_of(key % 4, "age_lt_30", "age_30_60", "age_60_120", "age_gt_120"),
+        "trajectory_entropy": one_of(customer % 3, "low", "medium", "high"),
+        "transition_rarity": one_of(key % 5, "rare", "uncommon", "common"),
+        "event_rarity_bucket": one_of(key % 7, "rare", "uncommon", "common"),
+        "sample_scope": F.when(key % 6 == 0, "transition").when(key % 6 > 1, "transition+event_block"),
+        "research_score": part(101, 100),
+        "event_block_row_share": part(31, 100),
+        "event_intensity_bucket": one_of(key % 3, "sparse", "moderate", "dense"),
+        "historical_bias_context": one_of(key % 4, "long_skew", "short_skew", "neutral"),
+    }
+    met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), customer == F.col("c_custkey"))
+    return met.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def ladder_sql(x: str, spec: dict) -> str:

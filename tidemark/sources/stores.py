@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 
 class Store:
-    """A table in a folder. Each write makes a new version beside the old one; a pointer file names the current version.
+    """A table in a folder. Each write makes a new version beside the old one; the newest that is complete is the current one.
 
     One writer at a time. A reader keeps the version that it opened; ``prune`` removes old versions.
     """

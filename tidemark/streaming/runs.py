@@ -79,6 +79,9 @@ class LiveRun:
 
     @staticmethod
     def _write(store: Store, rows: DataFrame, key: list[str]) -> int:
+        """Upsert the rows; how many of them are new. Of what is stored only the keys are looked at for that."""
         old = store.read()
+        new = rows.select(*key).distinct()
+        added = (new if old is None else new.join(old.select(*key), key, "left_anti")).count()
         store.write(upserted(old, rows, key))
-        return store.read().count() - (0 if old is None else old.count())
+        return added
