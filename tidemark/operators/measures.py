@@ -71,12 +71,15 @@ def line_fit(train: DataFrame, test: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Rank correlation in each group, from mean ranks by ranges of values."""
-    ranked = df.select(by, x, y)
+    """Rank correlation in each group, from mean ranks by ranges of values. Ranks meet the counts of pairs of values, not the rows."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = known.groupBy(by, x, y).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     for c, name in ((x, "_x"), (y, "_y")):
-        spots = placed(df, c, [by]).select(by, c, mean_rank(F.col("before"), F.col("ties")).alias(name))
+        spots = placed(known, c, [by]).select(by, c, mean_rank(F.col("before"), F.col("ties")).alias(name))
         ranked = ranked.join(spots, [by, c])
-    return ranked.groupBy(by).agg(F.corr("_x", "_y").alias("rho"))
+    n, u, v = F.sum("_n"), F.col("_x"), F.col("_y")
+    sums = ranked.groupBy(by).agg(n.alias("n"), *[F.sum(F.col("_n") * e).alias(k) for k, e in {"sx": u, "sy": v, "sxx": u * u, "syy": v * v, "sxy": u * v}.items()])
+    return sums.select(by, F.expr("(sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))").alias("rho"))
 
 
 def constant_heads(train: DataFrame, test: DataFrame, y: str, shares: Sequence[float]) -> DataFrame:
