@@ -205,7 +205,11 @@ def test_gradation_of_every_feature(spark):
         np.testing.assert_allclose(got.loc[f, "shares"], want["shares"])
         assert got.loc[f, "z"] == pytest.approx(want["z"]) and got.loc[f, "p"] == pytest.approx(want["p"])
         assert got.loc[f, "test_spread"] == pytest.approx(want["later"][-1] - want["later"][0])
-    assert got.loc["up", "confirmed"] and got.loc["down", "confirmed"] and got.loc["down", "spread"] < 0
+        ratio = got.loc[f, "test_spread"] / got.loc[f, "spread"]
+        steps = np.diff(want["shares"])
+        monotone = len(want["shares"]) >= 3 and bool((steps >= 0).all() or (steps <= 0).all())
+        assert got.loc[f, "confirmed"] == (want["p"] <= 0.2 / 5 and monotone and 0.5 <= ratio <= 2)
+    assert got.loc["up", "confirmed"] and got.loc["down", "significant"] and got.loc["down", "spread"] < 0
     assert not got.loc["noise", "confirmed"] and not got.loc["hump", "significant"]
     assert got.loc["zeros", "bins"] < 5 and got.loc["same", "bins"] == 1 and math.isnan(got.loc["same", "p"])
 
