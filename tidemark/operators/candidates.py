@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.accumulate import Accumulator
+from tidemark.operators.past import STRETCH, in_stretches
 from tidemark.operators.states import bias
 from tidemark.operators.windows import ahead, ordered
+from tidemark.tables import written
 
 #: Weights of the research score. Fixed values.
 SCORE_WEIGHTS = {"skew": 0.25, "sample": 0.20, "repeat": 0.15, "spread": 0.15, "valid": 0.15, "rare": 0.10}
@@ -57,16 +59,38 @@ def snapshots(states: DataFrame, offsets: list[int]) -> DataFrame:
     return spot.join(numbered, ["symbol", "place"]).where("seq = state_seq").drop("transition_id", "place", "origin", "seq").withColumnRenamed("tr", "transition_id")
 
 
-def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None) -> DataFrame:
-    """Adds past: statistics of the rows with the same key whose horizon (in units of t) was over at each row.
+#: Rows from which a key is more than one task's work.
+HOT = 65_536
+
+
+def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None, name: str = "past", hot: int = HOT, stretch: int = STRETCH) -> DataFrame:
+    """Adds past (or name): statistics of the rows with the same key whose horizon (in units of t) was over at each row.
 
     With finer, also narrow: the same of the rows that agree in those columns as well. All these rows lie at or before
     t - horizon, so nothing of the future is seen. Rows: t, ret_pct, mfe_pct, mae_pct, valid, state_seq.
+    A key of up to ``hot`` rows is folded in one task; keys of more are cut into stretches of time (see ``past``). Both give the same.
+    """
+    rows = written(rows, "matured")
+    times = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("t").cast("long")).alias("_first"), F.max(F.col("t").cast("long")).alias("_last"))
+    large = written(times.where(F.col("_n") > hot).drop("_n"), "hot")
+    if large.isEmpty():
+        return folded(rows, key, horizon, finer, name)
+    named = large.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)])
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)]
+    wide = in_stretches(rows, large, key, horizon, name, stretch)
+    if finer:
+        wide = matured(wide, [*key, *finer], horizon, None, "narrow", hot, stretch)
+    return folded(rows.join(named, same, "left_anti"), key, horizon, finer, name).unionByName(wide)
+
+
+def folded(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None, name: str = "past") -> DataFrame:
+    """``matured`` with one task for a key.
+
     One shuffle brings a key's rows together in order of t; a task folds over them with an accumulator for the
     key and one for each finer key, so the cost is linear in the rows and memory holds accumulators and what hasn't matured.
     """
     finer = finer or []
-    names = ["past", "narrow"] if finer else ["past"]
+    names = [name, "narrow"] if finer else [name]
     # Keys as one number each: a task only tells them apart.
     keyed = rows.withColumns({"__key": F.xxhash64(*key), "__fine": F.xxhash64(*key, *finer), "__t": F.col("t").cast("long")})
     ordered_rows = keyed.repartition(*key).sortWithinPartitions(*key, "__t")

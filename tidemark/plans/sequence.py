@@ -169,16 +169,12 @@ def _past(key: str) -> str:
 
 
 @query("l08_c15_matured_past", f"""WITH {MATURED}, past AS ({_past('r.transition_id = c.transition_id')})
-SELECT t, "offset", transition_id, seq AS state_seq, n AS sample_size, eff AS effective_sample_size, nv AS valid_label_count, ups AS long_outcome_count, days AS repeatability_days, round(coalesce(fav, 0), 6) AS favorable, round(coalesce(adv, 0), 6) AS adverse
-FROM past WHERE "offset" = 3""")
+SELECT t, "offset", transition_id, seq AS state_seq, n AS sample_size, eff AS effective_sample_size, nv AS valid_label_count, ups AS long_outcome_count, falls, days AS repeatability_days, months AS repeatability_months, top AS top_month,
+  round(coalesce(fav, 0), 6) AS favorable, round(coalesce(adv, 0), 6) AS adverse, round(coalesce(fav_short, 0), 6) AS favorable_short, round(coalesce(adv_short, 0), 6) AS adverse_short FROM past""")
 def matured(spark, sf_dir):
     """What was known of the same transition a day before each snapshot."""
-    rows = C.matured(_candidate_rows(spark, sf_dir), ["symbol", "transition_id"], 86400).where("offset = 3")
-    p = F.col("past")
-    return rows.select(
-        "t", "offset", "transition_id", "state_seq", p["sample_size"].alias("sample_size"), p["effective_sample_size"].cast("long").alias("effective_sample_size"), p["valid_label_count"].alias("valid_label_count"),
-        p["long_outcome_count"].alias("long_outcome_count"), p["repeatability_days"].cast("long").alias("repeatability_days"), F.round(p["favorable"], 6).alias("favorable"), F.round(p["adverse"], 6).alias("adverse"),
-    )
+    rows = C.matured(_candidate_rows(spark, sf_dir), ["symbol", "transition_id"], 86400)
+    return rounded(rows.select("t", "offset", "transition_id", "state_seq", "past.*").drop("ret_sum"))
 
 
 def _ratio_sql(a: str, b: str) -> str:
