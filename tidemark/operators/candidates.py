@@ -72,7 +72,7 @@ def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | No
     """
     rows = written(rows, "matured")
     times = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("t").cast("long")).alias("_first"), F.max(F.col("t").cast("long")).alias("_last"))
-    large = written(times.where(F.col("_n") > hot).drop("_n"), "hot")
+    large = written(times.where(F.col("_n") > hot), "hot")
     if large.isEmpty():
         return folded(rows, key, horizon, finer, name)
     named = large.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)])

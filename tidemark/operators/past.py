@@ -32,6 +32,8 @@ from tidemark.tables import written
 
 #: Arrivals and questions of a stretch, about; steps of a key's time at which stretches may end; stretches that share a task's cell.
 STRETCH, STEPS, BLOCK = 16_384, 65_536, 64
+#: The most tasks of the last step.
+MOST_TASKS = 10_000
 #: Percentiles: of rises two, then of falls two, as in the accumulator.
 SHARES = (0.70, 0.80, 0.70, 0.80)
 
@@ -117,21 +119,22 @@ _TOTALS = ["rows", "valid", "ups", "falls", "ret_sum", "sequences", "days", "mon
 
 def _fold(batches: Iterator[pa.RecordBatch], out_type: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
     """Statistics at each question, from rows in order of (key, stretch, time, kind): what was before, arrivals, questions."""
-    current, held = None, ("__key", "stretch", "kind", "q", "skip", "held", "t", "ret", "mfe", "mae", "valid", "base")
+    current, read = None, ("__key", "stretch", "kind", "q", "skip", "t", "ret", "mfe", "mae", "valid")
     total, top, month, in_month, percentiles = {}, 0, None, 0, []
     for batch in batches:
-        out, asked = [], []
-        for i, (key, stretch, kind, q, skip, values, t, ret, mfe, mae, valid, base) in enumerate(zip(*(batch.column(c).to_pylist() for c in held), strict=True)):
+        out, asked, bases, values = [], [], batch.column("base"), batch.column("held")
+        for i, (key, stretch, kind, q, skip, t, ret, mfe, mae, valid) in enumerate(zip(*(batch.column(c).to_pylist() for c in read), strict=True)):
             if (key, stretch) != current:
                 current = (key, stretch)
                 total, top, month, in_month = dict.fromkeys(_TOTALS, 0), 0, None, 0
                 percentiles = [Percentile(p) for p in SHARES]
             if kind == 0:
+                base = bases[i].as_py()
                 total = {c: base[c] for c in _TOTALS}
                 top, month, in_month = base["top"], base["month"], base["in_month"]
                 percentiles = [Percentile(p, total["ups" if k < 2 else "falls"]) for k, p in enumerate(SHARES)]
             elif kind == 1:
-                percentiles[q].hold(skip, np.asarray(values))
+                percentiles[q].hold(skip, values[i].values.to_numpy(zero_copy_only=False))
             elif kind == 2:
                 total[_TOTALS[5 + q]] += 1
             elif kind == 3:
@@ -162,7 +165,7 @@ def _fold(batches: Iterator[pa.RecordBatch], out_type: pa.DataType, name: str) -
 
 
 def in_stretches(rows: DataFrame, keys: DataFrame, key: list[str], horizon: int, name: str = "past", stretch: int = STRETCH) -> DataFrame:
-    """rows of the given keys with their matured past, as ``candidates.matured`` says. keys: the key's columns, _first and _last time."""
+    """rows of the given keys with their matured past, as ``candidates.matured`` says. keys: the key's columns, _n rows, _first and _last time."""
     hashed = F.xxhash64(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
     known = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], hashed.alias("__key"), F.col("_first").alias("_low"), (F.col("_last") - F.col("_first") + horizon + 1).alias("_span"))
     on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
@@ -225,7 +228,9 @@ def in_stretches(rows: DataFrame, keys: DataFrame, key: list[str], horizon: int,
     types = {"cell": "long", "skip": "long", "held": "array<double>", "q": "int", "at": "long", "base": before.schema["base"].dataType, **{c: mine.schema[c].dataType for c in [*facts, "payload"]}}
     laid = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in lay])
     stream = laid(events).unionByName(laid(before.withColumn("kind", F.lit(0)))).unionByName(laid(pieces.withColumn("kind", F.lit(1))))
-    stream = stream.repartition("__key", "stretch").sortWithinPartitions("__key", "stretch", F.col("at").asc_nulls_first(), "kind", "q", "cell")
+    # A task for about eight stretches, whatever their bytes: the fold is bound by rows.
+    tasks = max(1, min(MOST_TASKS, keys.agg(F.sum("_n")).first()[0] // (4 * stretch)))
+    stream = stream.repartition(tasks, "__key", "stretch").sortWithinPartitions("__key", "stretch", F.col("at").asc_nulls_first(), "kind", "q", "cell")
     stats = T.StructType.fromDDL(Accumulator.SCHEMA)
     arrow = pa.struct([pa.field(f.name, pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in stats.fields])
     schema = T.StructType([T.StructField("payload", rows.schema), T.StructField(name, stats)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -83,6 +85,42 @@ def describe_groups(rows: DataFrame, group: str, features: list[str], top: int =
     return away.withColumn("place", place).where(F.col("place") <= top).select(group, "place", "feature", "deviation")
 
 
+def state_names(rows: DataFrame, axes: Mapping[str, Mapping[str, tuple[str, str]]], fallback: Column, salience: float = 0.5, most: int = 3, name: str = "name") -> DataFrame:
+    """Adds a name made of phrases: of each axis the strongest feature, of the axes the ``most`` strongest, in the axes' order.
+
+    axes: for each axis its features (columns of deviations) with the phrases of a positive and a negative one. A feature counts
+    from ``salience`` on, up or down; null and NaN don't. The first of equals wins, feature or axis. Without any phrase: fallback.
+    """
+
+    def best(order: int, vocabulary: Mapping[str, tuple[str, str]]) -> Column:
+        x = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+        choices = [F.when(F.abs(x(f)) >= salience, F.struct(F.abs(x(f)).alias("size"), F.lit(-i).alias("less"), F.when(x(f) > 0, up).otherwise(down).alias("phrase"))) for i, (f, (up, down)) in enumerate(vocabulary.items())]
+        found = F.array_max(F.array(*choices))
+        return F.when(found.isNotNull(), F.struct((-found["size"]).alias("weak"), F.lit(order).alias("axis"), found["phrase"].alias("phrase")))
+
+    strongest = F.slice(F.array_sort(F.array_compact(F.array(*[best(k, v) for k, v in enumerate(axes.values())]))), 1, most)
+    in_order = F.array_sort(F.transform(strongest, lambda s: F.struct(s["axis"].alias("axis"), s["phrase"].alias("phrase"))))
+    phrases = F.array_join(F.transform(in_order, lambda s: s["phrase"]), " · ")
+    return rows.withColumn(name, F.when(phrases != "", phrases).otherwise(fallback))
+
+
+def centroid_features(rows: DataFrame, group: str, features: list[str], top: int = 3) -> DataFrame:
+    """The features of each group's centroid that are largest, up or down: (group, place, feature, value); equals by the order of features.
+
+    rows hold scaled features, so that a centroid's value is a deviation from the whole. Means are taken before anything is ranked.
+    """
+    means = rows.groupBy(group).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])
+    each = [F.when(F.col(f).isNotNull(), F.struct((-F.abs(f)).alias("weak"), F.lit(i).alias("order"), F.lit(f).alias("feature"), F.col(f).alias("value"))) for i, f in enumerate(features)]
+    ranked = means.select(group, F.posexplode(F.slice(F.array_sort(F.array_compact(F.array(*each))), 1, top)).alias("place", "s"))
+    return ranked.select(group, (F.col("place") + 1).alias("place"), "s.feature", "s.value")
+
+
+def named_share(tops: DataFrame, group: str, named: list[str]) -> DataFrame:
+    """One row: groups, and the share of them that have one of the named features among their largest."""
+    hit = tops.groupBy(group).agg(F.max(F.col("feature").isin(named).cast("int")).alias("hit"))
+    return hit.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.avg("hit"), F.lit(0.0)).alias("share"))
+
+
 def context_lift(states: DataFrame, group: str, atoms: str) -> DataFrame:
     """How much likelier an atom is in a group than at all: (group, atom, n, lift)."""
     total = states.agg(F.count(F.lit(1)).alias("total"))

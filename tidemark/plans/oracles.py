@@ -449,9 +449,25 @@ def array_sets(d: DuckSql) -> str:
 
 @q("h_naming_phrases")
 def naming(d: DuckSql) -> str:
-    """The strongest axis of each vector, named when it is strong enough."""
-    phrases = " UNION ALL ".join(f"SELECT {i} AS axis, 'axis{i} ' || CASE WHEN x >= 0 THEN 'high' ELSE 'low' END AS phrase, vec_id, x FROM (SELECT vec_id, CAST({d.item('embedding', i)} AS DOUBLE) AS x FROM embeddings) AS e{i}" for i in range(1, 5))
-    return f"WITH p AS ({phrases}), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, axis) AS place FROM p WHERE abs(x) >= 0.05) SELECT vec_id, phrase FROM r WHERE place = 1"
+    return """WITH x AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) * 8 AS x FROM embeddings),
+    best AS (SELECT *, row_number() OVER (PARTITION BY vec_id, i // 4 ORDER BY abs(x) DESC, i) AS r FROM x WHERE abs(x) >= 1.5),
+    top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, i // 4) AS place FROM best WHERE r = 1),
+    names AS (SELECT vec_id, string_agg('x' || CAST(i AS VARCHAR) || CASE WHEN x > 0 THEN ' high' ELSE ' low' END, ' · ' ORDER BY i) AS name FROM top WHERE place <= 3 GROUP BY vec_id)
+    SELECT vec_id, coalesce(name, 'neutral') AS name FROM embeddings LEFT JOIN names USING (vec_id)"""
+
+
+TOPS = """x AS (SELECT label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) * 8 AS x FROM embeddings), means AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i),
+    tops AS (SELECT label, i, x, row_number() OVER (PARTITION BY label ORDER BY abs(x) DESC, i) AS place FROM means)"""
+
+
+@q("f10_centroid_features")
+def centroid_features(d: DuckSql) -> str:
+    return f"WITH {TOPS} SELECT label, CAST(place AS INT) AS place, 'x' || CAST(i AS VARCHAR) AS feature, round(x, 6) AS value FROM tops WHERE place <= 3"
+
+
+@q("f10_named_share")
+def named_share(d: DuckSql) -> str:
+    return f"WITH {TOPS}, hits AS (SELECT label, max(CASE WHEN i < 16 THEN 1 ELSE 0 END) AS hit FROM tops WHERE place <= 3 GROUP BY label) SELECT count(*) AS groups, round(avg(hit), 6) AS share FROM hits"
 
 
 @q("k09_derivative_quadrants")

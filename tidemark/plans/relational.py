@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from tidemark.operators import measures as M
 from tidemark.operators import records as R
+from tidemark.operators import states as S
 from tidemark.operators.ranking import exact_percentiles
 from tidemark.plans.oracles import ORACLES
 from tidemark.plans.shared import rounded
@@ -507,12 +508,30 @@ def array_sets(t):
     return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
 
+#: Sixteen axes of four coordinates each, for vectors of length one: an eighth is one deviation.
+AXES = {f"axis{a}": {f"x{i}": (f"x{i} high", f"x{i} low") for i in range(4 * a, 4 * a + 4)} for a in range(16)}
+
+
+def coordinates(t):
+    return t("embeddings").select("vec_id", "label", *[(F.element_at("embedding", i + 1).cast("double") * 8).alias(f"x{i}") for i in range(64)])
+
+
 @q("h_naming_phrases")
 def naming(t):
-    """The strongest axis of each vector, named when it is strong enough."""
-    axes = F.array(*[F.struct(F.abs(F.element_at("embedding", i).cast("double")).alias("size"), F.lit(-i).alias("less"), F.concat(F.lit(f"axis{i} "), F.when(F.element_at("embedding", i) >= 0, "high").otherwise("low")).alias("phrase")) for i in range(1, 5)])
-    best = t("embeddings").select("vec_id", F.array_max(axes).alias("best"))
-    return best.where("best.size >= 0.05").select("vec_id", "best.phrase")
+    """Names of vectors: the three most pronounced of sixteen axes."""
+    return S.state_names(coordinates(t), AXES, F.lit("neutral"), salience=1.5).select("vec_id", "name")
+
+
+@q("f10_centroid_features")
+def centroid_features(t):
+    """The three largest features of each label's centroid."""
+    return rounded(S.centroid_features(coordinates(t), "label", [f"x{i}" for i in range(64)]))
+
+
+@q("f10_named_share")
+def named_share(t):
+    """The share of labels whose largest features hold one of the first sixteen."""
+    return rounded(S.named_share(S.centroid_features(coordinates(t), "label", [f"x{i}" for i in range(64)]), "label", [f"x{i}" for i in range(16)]))
 
 
 @q("k09_derivative_quadrants")

@@ -30,6 +30,11 @@ KINDS = {
     "event_blocks": Kind(("symbol", "event_block_id"), {"symbol": "string", "event_block_id": "string", "total_rows": "bigint", "row_share": "double", "rarity": "string"}),
     "bar_states": Kind(("symbol", "t", "run_id"), {"symbol": "string", "t": "bigint", "run_id": "bigint", "group_id": "string", "state_seq": "bigint"}),
     "outcomes": Kind(("symbol", "t"), {"symbol": "string", "t": "bigint", "ret_pct": "double", "mfe_pct": "double", "mae_pct": "double", "valid": "boolean"}),
+    "groups": Kind(("run_id", "group_id"), {"run_id": "bigint", "group_id": "string", "size": "bigint", "share": "double", "dominant_bias": "string", "up_share": "double", "avg_ret": "double", "centroid": "array<double>", "top_features": "map<string,double>", "name": "string"}),
+    "transitions": Kind(("run_id", "transition_id"), {"run_id": "bigint", "transition_id": "string", "n": "bigint", "share": "double", "rarity": "string", "avg_ret": "double", "up_share": "double"}),
+    "state_models": Kind(("symbol", "run_id"), {"symbol": "string", "run_id": "bigint", "version": "string", "model": "string"}),
+    "range_models": Kind(("symbol", "run_id", "horizon"), {"symbol": "string", "run_id": "bigint", "horizon": "string", "accepted": "boolean", "model": "string"}),
+    "evaluations": Kind(("candidate_id", "profile"), {"candidate_id": "string", "profile": "string", "symbol": "string", "t": "bigint", "score": "double", "rating": "string", "embedding": "array<double>"}),
     "candidates": Kind(("candidate_id",), {"candidate_id": "string", "symbol": "string", "t": "bigint", "research_score": "double"}),
 }
 
