@@ -29,6 +29,13 @@ def rolling(aggregate, x: Column, n: int, least: int) -> Column:
     return F.when(F.count(x).over(w) >= least, aggregate(x).over(w))
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) of doubles as IEEE arithmetic has it: infinite where one side is 0, not a number where both are or the ratio is negative."""
+    infinite, unknown = F.lit(float("inf")), F.lit(float("nan"))
+    of_zero = F.when(b != 0, -infinite).otherwise(unknown)
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == 0, of_zero).when(b == 0, F.when(a > 0, infinite).otherwise(unknown)).when((a < 0) != (b < 0), unknown).otherwise(F.ln(F.try_divide(a, b)))
+
+
 def zscore(x: Column, n: int) -> Column:
     """Distance from the rolling mean in sample deviations; null on a flat window."""
     half = n // 2

@@ -332,12 +332,12 @@ SELECT symbol, t, {', '.join(f"round(CASE WHEN count(*) OVER w >= 12 AND avg({x}
 FROM e WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def range_estimators(spark, sf_dir):
     """Variance estimators from bar ranges; half the log of their mean over a day."""
-    b, ln = bars(spark, sf_dir), F.ln
-    hl, co = ln(F.col("high") / F.col("low")), ln(F.col("close") / F.col("open"))
+    b, ln = bars(spark, sf_dir), lambda a, b: W.log_ratio(F.col(a), F.col(b))
+    hl, co = ln("high", "low"), ln("close", "open")
     two = F.ln(F.lit(2.0))
     b = b.withColumns({
         "pk": hl * hl / (4 * two), "gk": 0.5 * hl * hl - (2 * two - 1) * co * co,
-        "rs": ln(F.col("high") / F.col("close")) * ln(F.col("high") / F.col("open")) + ln(F.col("low") / F.col("close")) * ln(F.col("low") / F.col("open")),
+        "rs": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open"),
     })
     w = W.trailing(24)
     log = lambda x: F.round(F.when((F.count(F.lit(1)).over(w) >= 12) & (F.avg(x).over(w) > 1e-12), 0.5 * F.ln(F.avg(x).over(w))), 6)
