@@ -105,7 +105,7 @@ def as_of_closed(base: DataFrame, coarse: DataFrame, seconds: int, columns: list
     return base.withColumn("bucket", F.floor(F.col("t") / seconds) * seconds).join(forced, ["symbol", "bucket"], "left").drop("bucket")
 
 
-def aggregate_levels(rows: DataFrame, seconds: int, levels: list[str], flows: list[str]) -> DataFrame:
-    """Fine rows to buckets: the last known level, the mean flow, and how many rows came in; all null stays null."""
-    last = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("t"))).alias(c) for c in levels}
+def aggregate_levels(rows: DataFrame, seconds: int, levels: list[str], flows: list[str], order: str = "t") -> DataFrame:
+    """Fine rows to buckets of t: the last known level in order, the mean flow, and how many rows came in; all null stays null."""
+    last = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in levels}
     return rows.groupBy("symbol", (F.floor(F.col("t") / seconds) * seconds).alias("t")).agg(*last.values(), *[F.avg(c).alias(c) for c in flows], F.count(F.lit(1)).alias("src_rows"))

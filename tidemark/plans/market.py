@@ -78,10 +78,9 @@ def metrics(spark, sf_dir):
     """Last known level and mean flow of each quarter hour; time and event in one key, so that ties have an order."""
     at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     fine = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"), (at * 100000 + F.col("event_id")).alias("t"), F.when(F.col("user_id") % 7 != 0, F.col("value")).alias("level"), (F.col("value") / 2).alias("flow")
+        F.col("event_type").alias("symbol"), at.alias("t"), (at * 100000 + F.col("event_id")).alias("seq"), F.when(F.col("user_id") % 7 != 0, F.col("value")).alias("level"), (F.col("value") / 2).alias("flow")
     )
-    out = B.aggregate_levels(fine, 900 * 100_000, ["level"], ["flow"])
-    return rounded(out.withColumn("t", (F.col("t") / 100_000).cast("long")))
+    return rounded(B.aggregate_levels(fine, 900, ["level"], ["flow"], "seq"))
 
 
 @query("c03_as_of_closed_bar", f"""WITH {bars_sql()}, {RESAMPLED},
