@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,21 +232,36 @@ def lagged_correlations(df: DataFrame, by: str, order: str, ties: str, value: st
 def rows_ahead(df: DataFrame, by: str, t: Column, width: int) -> DataFrame:
     """n for each row whose window fits: how many rows of its sequence have a time from its own up to ``width`` later, the end left out.
 
-    A row serves its own stretch of time and the one before; so a task holds two stretches of a sequence.
+    Times are counted once each. The rows up to a window's end less those before its start are running sums over stretches of ``width``
+    and the stretches' totals, so the work doesn't grow with the rows of a window.
     """
-    timed = df.select(by, t.alias("_t"))
-    last = timed.groupBy(by).agg(F.max("_t").alias("_last"))
-    spread = timed.select(by, "_t", F.explode(F.array(F.lit(0), F.lit(1))).alias("_o")).withColumn("_b", bucket(F.col("_t"), width) - F.col("_o"))
-    w = Window.partitionBy(by, "_b").orderBy("_t").rangeBetween(0, width - 1)
-    counted = spread.withColumn("n", F.count(F.lit(1)).over(w)).where("_o = 0")
-    return counted.join(F.broadcast(last), by).where(F.col("_t") + width - 1 <= F.col("_last")).select(by, "n")
+    timed = df.select(by, t.alias("_t")).where("_t IS NOT NULL").groupBy(by, "_t").agg(F.count(F.lit(1)).alias("_k"))
+    end = F.lit(width - 1)
+    marks = timed.select(by, "_t", "_k", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("_at", F.col("_t") + F.col("_end") * end).withColumn("_b", bucket(F.col("_at"), width))
+    own = F.when(F.col("_end") == 0, F.col("_k")).otherwise(0)
+    in_order = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marks.groupBy(by, "_b").agg(F.sum(own).alias("_rows")).withColumn("_start", F.coalesce(F.sum("_rows").over(in_order), F.lit(0))).select(F.col(by).alias("_by"), F.col("_b").alias("_stretch"), "_start")
+    running = F.sum(own).over(Window.partitionBy(by, "_b").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, 0))
+    met = marks.withColumn("_upto", running).join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_stretch")))
+    # Rows up to the end, less those before the start.
+    signed = F.when(F.col("_end") == 1, F.col("_start") + F.col("_upto")).otherwise(F.col("_k") - F.col("_start") - F.col("_upto"))
+    counted = met.groupBy(by, "_t").agg(F.sum(signed).alias("n"), F.max("_k").alias("_k"))
+    last = timed.groupBy(F.col(by).alias("_by")).agg(F.max("_t").alias("_last"))
+    fits = counted.join(F.broadcast(last), F.col(by).eqNullSafe(F.col("_by"))).where(F.col("_t") + end <= F.col("_last"))
+    return fits.select(by, F.explode(F.array_repeat("n", F.col("_k").cast("int"))).alias("n"))
 
 
 def thinned(df: DataFrame, t: Column, value: str, order: Sequence[str], width: int, phases: int) -> DataFrame:
-    """One value a window, the first, for each phase of windows that don't overlap: i, x."""
-    at = df.select(t.alias("_t"), value, *[c for c in order if c != value], F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("i"))
-    window = bucket(F.col("_t") - F.col("i") * (width // phases), width).alias("_w")
-    return at.groupBy("i", window).agg(F.min_by(value, F.struct(*order)).alias("x")).drop("_w")
+    """One value a window, the first, for each phase of windows that don't overlap: i, x.
+
+    Windows of all phases begin and end at multiples of one step, so the first row of each step is all they choose from.
+    """
+    moved = width // phases
+    step = gcd(width, moved)
+    firsts = df.groupBy((bucket(t, step) * step).alias("_t")).agg(F.min(F.struct(*order, F.col(value).alias("_x"))).alias("_r"))
+    at = firsts.select("_t", "_r", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("i"))
+    window = bucket(F.col("_t") - F.col("i") * moved, width).alias("_w")
+    return at.groupBy("i", window).agg(F.min("_r").alias("_r")).select("i", F.col("_r._x").alias("x"))
 
 
 # Frames
