@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 def thinned_z(rows: DataFrame, t: str, order: str, atoms: str, hit: str, horizon: int, phases: int = 24) -> DataFrame:
     """z of each atom's share of hits against other rows', on windows that don't overlap: atom, z (median over phases), phases (usable ones).
 
-    Of each window of ``horizon`` the first row is taken; windows begin at the first row's time, moved by a phase. Rows are
-    picked by aggregation. A phase without rows on both sides is left out. hit: a boolean column.
+    Of each window of ``horizon`` the first row is taken; windows begin at the first row's time, moved by a phase. Windows of all phases
+    begin and end at steps of horizon / phases, so they choose from the first row of each step. A phase without rows on both sides is left out. hit: a boolean column.
     """
     origin = rows.agg(F.min(t).alias("_origin"))
-    spread = rows.crossJoin(F.broadcast(origin)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
-    window = F.floor((F.col(t) - F.col("_origin") + F.col("_p") * (horizon / phases)) / horizon)
-    picked = spread.groupBy("_p", window.alias("_w")).agg(F.min_by(F.struct(F.col(atoms).alias("atoms"), F.col(hit).cast("double").alias("hit")), F.struct(t, order)).alias("_r"))
-    each = picked.select("_p", "_r.*")
+    step = F.floor((F.col(t) - F.col("_origin")) * phases / horizon).alias("_s")
+    first = F.min(F.struct(F.col(t).alias("_t"), F.col(order).alias("_o"), F.col(hit).cast("double").alias("hit"), F.col(atoms).alias("atoms"))).alias("_r")
+    firsts = rows.crossJoin(F.broadcast(origin)).groupBy(step).agg(first)
+    spread = firsts.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    picked = spread.groupBy("_p", F.floor((F.col("_s") + F.col("_p")) / phases).alias("_w")).agg(F.min("_r").alias("_r"))
+    each = picked.select("_p", "_r.hit", "_r.atoms")
     whole = each.groupBy("_p").agg(F.count("hit").alias("_n"), F.sum("hit").alias("_k"))
     marked = each.select("_p", "hit", F.explode("atoms").alias("atom")).groupBy("_p", "atom").agg(F.count("hit").alias("n1"), F.sum("hit").alias("k1"))
     both = marked.join(F.broadcast(whole), "_p").select("atom", "n1", "k1", (F.col("_n") - F.col("n1")).alias("n2"), (F.col("_k") - F.col("k1")).alias("k2")).where("n1 > 0 AND n2 > 0")
