@@ -8,35 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.tables import written
+
 #: Percentiles are first bracketed to this share of the rows, by sketches.
 ACCURACY = 10_000
-
-
-def _parts(df: DataFrame) -> int:
-    return max(16, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+#: Groups whose brackets go to every task, at most.
+FEW_GROUPS = 50_000
 
 
 def placed(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values of df (by groups): by, value, ties (rows with it), before (rows of the group with a smaller value).
 
-    Equal values are counted where they are read. The distinct ones are cut into ranges at approximate quantiles; a task
-    adds up one range of one group, and the ranges' totals (a few for each group) give where it starts. Nulls have no place.
+    Equal values are counted where they are read. The distinct ones are sorted by ranges, and written once with the number of their
+    range; a task adds up one range of one group, and the ranges' totals (a few for each group) give where it starts. Nulls have no place.
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    steps = _parts(df)
-    bounds = df.select(F.percentile_approx(F.col(value).cast("double"), [k / steps for k in range(1, steps)], ACCURACY)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # Halving: as many comparisons as the number of bounds has bits.
-    array, found = F.array(*[F.lit(b) for b in bounds]) if bounds else None, F.lit(0)
-    width = 1 << max(0, len(bounds).bit_length() - 1)
-    while bounds and width:
-        here = F.try_element_at(array, (found + width).cast("int")) < F.col(value).cast("double")
-        found = F.when(F.coalesce(here, F.lit(False)), found + width).otherwise(found)
-        width >>= 1
-        counts = counts.withColumn("_range", found)
-        found = F.col("_range")
-    counts = counts if bounds else counts.withColumn("_range", F.lit(0))
+    counts = written(counts.orderBy(*by, value).withColumn("_range", F.spark_partition_id()), "values")
     in_group = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.groupBy(*by, "_range").agg(F.sum("ties").alias("_rows")).withColumn("_start", F.coalesce(F.sum("_rows").over(in_group), F.lit(0))).drop("_rows")
     in_range = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,11 +34,20 @@ def placed(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def with_place(df: DataFrame, value: str, ties_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """df with place, from 0: the row's number in the order of value, then of ties_by (few rows may share a value)."""
-    spots = placed(df, value, by).drop("ties")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, value]]
-    within = F.row_number().over(Window.partitionBy(*[F.col(f"a.{c}") for c in [*by, value]]).orderBy(*[F.col(f"a.{c}") for c in ties_by]))
-    return df.alias("a").join(spots.alias("b"), on).select("a.*", (F.col("b.before") + within - 1).alias("place"))
+    """df with place, from 0: the row's number in the order of value, then of ties_by. Rows without a value are left out.
+
+    Rows are sorted by ranges and written once with their numbers in the range; what lies before a range is a sum over the ranges' counts.
+    """
+    by = list(by)
+    order = dict.fromkeys([*by, value, *ties_by])
+    rows = written(df.where(F.col(value).isNotNull()).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "places")
+    # The upper bits of such a number are the range's.
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    in_group = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")).withColumn("_start", F.coalesce(F.sum("_rows").over(in_group), F.lit(0)))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]]
+    place = (F.col("b._start") + F.col("a._at") - F.col("b._first")).alias("place")
+    return rows.alias("a").join(starts.alias("b") if by else F.broadcast(starts.alias("b")), on).select(*[F.col(f"a.{c}") for c in df.columns], place)
 
 
 def mean_rank(before: Column, ties: Column) -> Column:
@@ -61,34 +58,40 @@ def mean_rank(before: Column, ties: Column) -> Column:
 def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated percentiles of value (by groups): by, then p0, p1, ... as doubles; null without values.
 
-    Sketches bracket each percentile; rows below a bracket are counted, and only distinct values inside one, about a
-    five-thousandth of the rows, are sorted.
+    Sketches give marks close to each percentile on both sides, and wider ones around. Rows up to each mark are counted, so the two marks
+    a percentile lies between are certain however far off the sketches are; only distinct values between these, in general about a
+    two-thousandth of the rows, are sorted.
     """
-    by, few = list(by), not by
+    by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v"))
-    if few:
+    if not by:
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
-    low, high = ([min(1.0, max(0.0, p + s * 2 / ACCURACY)) for p in shares] for s in (-1, 1))
-    brackets = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", low, ACCURACY).alias("_low"), F.percentile_approx("_v", high, ACCURACY).alias("_high"))
+    marks = sorted({min(1.0, max(0.0, p + s / ACCURACY)) for p in shares for s in (-40, -2, 2, 40)})
+    sketched = written(rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")), "marks")
+    # Few groups go to every task: a shuffle would give all rows of one group to one.
+    few = (lambda t: F.broadcast(t)) if sketched.count() <= FEW_GROUPS else (lambda t: t)
+    known, v, j = rows.where("_v IS NOT NULL").alias("r"), F.col("_v"), range(len(marks))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]
-    met = rows.where("_v IS NOT NULL").alias("r").join((F.broadcast(brackets) if few else brackets).alias("k"), on).select(*[f"r.{c}" for c in by], "_v", "_n", "_low", "_high")
-    v, each = F.col("_v"), range(len(shares))
-    lo, hi = (lambda i: F.element_at("_low", i + 1)), (lambda i: F.element_at("_high", i + 1))
-    outside = met.groupBy(*by).agg(
-        F.first("_n").alias("_n"),
-        F.array(*[F.struct(F.lit(i).alias("i"), F.count(F.when(v < lo(i), 1)).alias("below"), F.max(F.when(v < lo(i), v)).alias("last"), F.min(F.when(v > hi(i), v)).alias("next")) for i in each]).alias("_o"),
-    )
-    outside = outside.select(*by, "_n", F.inline("_o"))
-    inside = met.select(*by, v, F.explode(F.filter(F.array(*[F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in each]), lambda i: i.isNotNull())).alias("i"))
-    inside = inside.groupBy(*by, "i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "i"]]
-    both = outside.alias("o").join(upto.alias("x"), same).select(*[f"o.{c}" for c in [*by, "i"]], "_n", "below", "last", "next", "_v", "_upto")
-    at = F.element_at(F.array(*[F.lit(float(p)) for p in shares]), F.col("i") + 1) * (F.col("_n") - 1)
-    keys = [*by, "i", "_n", "below", "last", "next"]
-    ends = both.groupBy(*keys).agg(*[F.min(F.when(F.col("below") + F.col("_upto") > r(at), v)).alias(name) for name, r in (("_a", F.floor), ("_b", F.ceil))])
-    pick = lambda name, r: F.when(r(at) < F.col("below"), F.col("last")).otherwise(F.coalesce(F.col(name), F.col("next")))
-    a, b = pick("_a", F.floor), pick("_b", F.ceil)
-    long = ends.select(*by, "i", (a + (b - a) * (at - F.floor(at))).alias("_p"))
-    wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(f"p{i}") for i in each])
-    return wide.drop("_all") if few else wide
+    own = [F.col(f"r.{c}") for c in by]
+    upto = known.join(few(sketched.alias("k")), on).groupBy(*own).agg(*[F.count(F.when(v <= F.element_at("_marks", i + 1), 1)).alias(f"_m{i}") for i in j])
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"u.{c}")) for c in by]
+    counted = sketched.alias("s").join(upto.alias("u"), same, "left").select(*[F.col(f"s.{c}").alias(c) for c in by], "_n", "_marks", F.coalesce(F.array(*[F.col(f"_m{i}") for i in j]), F.array()).alias("_upto"))
+    # Of each share: the last mark with too few rows up to it, and the first with enough.
+    each = counted.select(*by, "_n", "_marks", "_upto", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("i", "_p"))
+    at = F.col("_p") * (F.col("_n") - 1)
+    too_few = F.size(F.filter("_upto", lambda c: c <= F.floor(F.col("_at"))))
+    too_few_above = F.size(F.filter("_upto", lambda c: c <= F.ceil(F.col("_at"))))
+    between = each.withColumn("_at", at).withColumns({"_a": too_few, "_b": too_few_above}).select(
+        *by, "i", "_at", F.try_element_at("_marks", F.nullif("_a", F.lit(0))).alias("_low"), F.try_element_at("_marks", F.col("_b") + 1).alias("_high"), F.coalesce(F.try_element_at("_upto", F.nullif("_a", F.lit(0))), F.lit(0)).alias("_below")
+    )
+    brackets = written(between.groupBy(*by).agg(F.collect_list(F.struct("i", "_at", "_low", "_high", "_below")).alias("_k")), "brackets")
+    inside = known.join(few(brackets.alias("k")), on).select(*own, "_v", F.explode(F.filter("_k", lambda k: (k["_low"].isNull() | (v > k["_low"])) & (k["_high"].isNull() | (v <= k["_high"])))).alias("_b"))
+    inside = inside.select(*by, "_v", F.col("_b.i").alias("i"), F.col("_b._at").alias("_at"), F.col("_b._below").alias("_below"))
+    values = inside.groupBy(*by, "i", "_at", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = values.withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = running.groupBy(*by, "i", "_at").agg(*[F.min(F.when(F.col("_upto") > r("_at"), v)).alias(name) for name, r in (("_a", F.floor), ("_b", F.ceil))])
+    found = ends.select(*by, "i", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("_p"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(f"p{i}") for i in range(len(shares))])
+    # Groups without values have a row too.
+    out = sketched.select(*by).alias("s").join(wide.alias("u"), same, "left").select(*[F.col(f"s.{c}").alias(c) for c in by], *[f"p{i}" for i in range(len(shares))])
+    return out.drop("_all") if by == ["_all"] else out

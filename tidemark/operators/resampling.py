@@ -169,8 +169,9 @@ def intervals(rows: DataFrame, order: Sequence[str], value: Column, by: Sequence
 
 def ranked(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """rows with the mean rank of each column (in its group) in place of its values; ranked by ranges of values."""
+    original = rows
     for c in columns:
-        spots = placed(rows, c, by).select(*by, F.col(c).alias("_v"), mean_rank(F.col("before"), F.col("ties")).alias("_rank"))
+        spots = placed(original, c, by).select(*by, F.col(c).alias("_v"), mean_rank(F.col("before"), F.col("ties")).alias("_rank"))
         met = _matched(rows, spots, [*((b, b) for b in by), (c, "_v")])
         rows = met.withColumn(c, F.col("_rank")).drop("_rank")
     return rows
