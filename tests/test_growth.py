@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows
+from tests.test_resampling import plain_pairs, plain_rows
 from tidemark.operators import ranking
 from tidemark.operators import records as R
+from tidemark.operators import resampling as B
 from tidemark.plans.catalog import REGISTRY
 
 
@@ -62,3 +64,48 @@ def test_percentiles_where_the_sketch_is_far_off(spark, monkeypatch):
     x = np.random.default_rng(5).normal(100, 30, 2000)
     got = ranking.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": x})), "x", (0.1, 0.5, 0.9)).first()
     np.testing.assert_allclose([got[f"p{i}"] for i in range(3)], np.quantile(x, [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_ranks_read_the_rows_once_in_a_plan(spark):
+    """Plans that read the rows again for each rank, and again for each place, filled the driver: 27 readings for three ranks."""
+    df = spark.range(100).selectExpr("id % 3 AS g", "id % 7 AS a", "id % 11 AS b", "id AS c")
+    plan = B.ranked(df, ["a", "b", "c"], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1
+
+
+def plain_sums(frame: pd.DataFrame, unit: int, sample: int) -> list[float]:
+    a, b = plain_pairs(len(frame), 30, unit, sample)
+    x, y = frame["x"].to_numpy()[a], frame["y"].to_numpy()[b]
+    return [len(x), x.sum(), x @ x, y.sum(), y @ y, x @ y]
+
+
+@pytest.mark.parametrize("kind", ["few", "many"])
+def test_samples_over_many_tiles(spark, monkeypatch, kind):
+    """Series of many stretches and chunks, with predictors in several parts; a shorter last unit; predictors with few and many distinct values."""
+    for name, v in (("STRETCH", 8), ("TARGET_ROWS", 60), ("PREDICTOR_ROWS", 100), ("PREDICTORS", 1)):
+        monkeypatch.setattr(B, name, v)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, 701).astype(float) if kind == "few" else rng.normal(size=701)
+    frame = pd.DataFrame({"t": np.arange(701), "x": x, "y": rng.normal(size=701)})
+    got = B.apart(spark.createDataFrame(frame), ["t"], {"x": F.col("x"), "more": -F.col("x")}, {"y": F.col("y")}, 30, 3, unit=3).collect()
+    assert len(got) == 2 * 4
+    for r in got:
+        sign = 1 if r["feature"] == "x" else -1
+        np.testing.assert_allclose([r["n"], sign * r["sx"], r["sxx"], r["s_y"], r["ss_y"], sign * r["sx_y"]], plain_sums(frame, 3, r["sample"]), rtol=1e-9)
+
+
+def test_whole_rows_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(B, "STRETCH", 8)
+    monkeypatch.setattr(B, "CHUNK", 16)
+    v = np.random.default_rng(7).normal(size=500)
+    got = B.jointly(spark.createDataFrame(pd.DataFrame({"t": np.arange(500), "v": v})), ["t"], {"s": F.col("v"), "c": F.lit(1.0)}, 30, 3, unit=3).collect()
+    assert len(got) == 4
+    for r in got:
+        picked = v[plain_rows(500, 30, 3, r["sample"])]
+        np.testing.assert_allclose([r["s"], r["c"]], [picked.sum(), len(picked)], rtol=1e-9)
+
+
+def test_sources_of_a_sample_come_as_runs(spark):
+    """A row for each block, not for each unit of a sample."""
+    got = B.runs(spark.createDataFrame([(20_000,)], "units long"), [], 64, 1, 2, 0).where("sample >= 0")
+    assert got.agg(F.sum("n")).first()[0] == 40_000 and got.count() < 2000

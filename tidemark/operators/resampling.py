@@ -11,14 +11,20 @@ Two kinds of samples are made of the same draws:
 * ``apart``: the predictors are taken by blocks and laid beside targets that stay in place. It keeps what each series remembers of
   itself and breaks what holds between them: the null hypothesis of no link.
 
+Blocks are drawn as runs (place, source, units), one for a task's stretch and sample; no row for each unit of a sample is made. For ``jointly`` a
+task counts how often runs take each unit of one chunk. For ``apart`` a task has one chunk of targets and one of predictors and the runs that take
+the second to the first: series are sent once for each chunk of the other side, not once for each sample.
+
 Sample -1 is the series itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +35,10 @@ from tidemark.tables import written
 
 #: Units of a stretch; at its end a block ends too, so a sample's blocks are laid by many tasks.
 STRETCH = 4096
+#: Units of a chunk whose sums a task of ``jointly`` holds.
+CHUNK = 65_536
+#: Rows of a chunk of targets and of predictors in ``apart``, about, and predictors of a task.
+TARGET_ROWS, PREDICTOR_ROWS, PREDICTORS = 1 << 22, 1 << 25, 4
 
 
 def drawn(part: int, *names: Column) -> Column:
@@ -42,16 +52,44 @@ def unit_of(length: float, unit: int | None) -> int:
     return max(1, int(length) // 8) if unit is None else unit
 
 
+def runs(series: DataFrame, by: Sequence[str], length: float, unit: int, samples: int, seed: int, cut: int | None = None) -> DataFrame:
+    """series(by, units) -> (by, sample, place, source, n): the units source, source + 1, ... that each sample has at place, place + 1, ..., and the series itself as sample -1.
+
+    No run goes over the end of a stretch of places, of the series, or of a chunk of ``cut`` sources.
+    """
+    stretch, chance = STRETCH, min(1.0, unit / length)
+    each = series.select(*by, "units", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("units") - 1) / stretch))).alias("_s")).withColumn("sample", F.explode(F.sequence(F.lit(-1), F.lit(samples - 1))))
+    dealt = each.repartition(max(16, min(1000, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "_s", "sample")
+
+    def drawn_runs(batches):
+        for batch in batches:
+            for i, (units, s, sample) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("units", "_s", "sample")), strict=True)):
+                low, high = s * stretch, min(units, (s + 1) * stretch)
+                if sample < 0:
+                    at, source = np.array([low]), np.array([low])
+                else:
+                    named = f"{seed}|{sample}|".encode()
+                    u = np.frombuffer(b"".join([md5(named + b"%d" % p).digest() for p in range(low, high)]), ">u4").reshape(-1, 4)
+                    begins = np.flatnonzero((np.arange(low, high) == low) | (u[:, 0] / float(1 << 32) < chance))
+                    at, source = begins + low, np.floor(u[begins, 1] / float(1 << 32) * units).astype(np.int64)
+                n = np.diff(np.append(at, high))
+                while (n > (room := np.minimum(units, (source // cut + 1) * cut if cut else units) - source)).any():
+                    over = n > room
+                    at, source, n = np.concatenate([at, (at + room)[over]]), np.concatenate([source, (source + room)[over] % units]), np.concatenate([np.minimum(n, room), (n - room)[over]])
+                of_group = [batch.column(c).take(pa.array(np.full(len(at), i))) for c in by]
+                yield pa.RecordBatch.from_arrays([*of_group, pa.array(np.full(len(at), sample), pa.int32()), *(pa.array(v, pa.int64()) for v in (at, source, n))], names=[*by, "sample", "place", "source", "n"])
+
+    return dealt.mapInArrow(drawn_runs, f"{_keys(series, by)}sample int, place long, source long, n long")
+
+
+def _keys(df: DataFrame, by: Sequence[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+
 def laid(series: DataFrame, by: Sequence[str], length: float, unit: int, samples: int, seed: int) -> DataFrame:
     """series(by, units) -> (by, sample, place, source): which unit each sample has at each place, and the series itself as sample -1."""
-    places = series.select(*by, "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("place"))
-    each = places.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    draw = lambda part: drawn(part, F.lit(seed), F.col("sample"), F.col("place"))
-    begins = (F.col("place") % STRETCH == 0) | (draw(0) < min(1.0, unit / length))
-    w = Window.partitionBy(*by, "sample", F.floor(F.col("place") / STRETCH)).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    block = F.last(F.when(begins, F.struct(F.col("place").alias("at"), F.floor(draw(1) * F.col("units")).alias("first"))), ignorenulls=True).over(w)
-    moved = each.withColumn("_b", block).select(*by, "sample", "place", ((F.col("_b.first") + F.col("place") - F.col("_b.at")) % F.col("units")).alias("source"))
-    return moved.unionByName(places.select(*by, F.lit(-1).alias("sample"), "place", F.col("place").alias("source")))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i")
+    return runs(series, by, length, unit, samples, seed).select(*by, "sample", "place", "source", step).select(*by, "sample", (F.col("place") + F.col("_i")).alias("place"), (F.col("source") + F.col("_i")).alias("source"))
 
 
 def _numbered(rows: DataFrame, order: Sequence[str], by: Sequence[str], unit: int, columns: dict[str, Column]) -> DataFrame:
@@ -76,9 +114,47 @@ def jointly(rows: DataFrame, order: Sequence[str], moments: dict[str, Column], l
     sums = written(_numbered(rows, order, by, unit, moments).groupBy(*by, "unit").agg(*[F.sum(f"_{n}").alias(n) for n in moments]), "units")
     series = sums.groupBy(*by).agg((F.max("unit") + 1).alias("units"))
     # How often a sample has a unit is all that counts.
-    often = laid(series, by, length, unit, samples, seed).groupBy(*by, "sample", "source").agg(F.count(F.lit(1)).alias("_w"))
-    met = _matched(often, sums, [*((c, c) for c in by), ("source", "unit")])
-    return met.groupBy(*by, "sample").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in moments])
+    cut, names, keys = CHUNK, list(moments), [*by, "_chunk"]
+    asked = runs(series, by, length, unit, samples, seed, cut).select(*by, F.floor(F.col("source") / cut).alias("_chunk"), "sample", "source", "n")
+    chunks = sums.withColumn("_chunk", F.floor(F.col("unit") / cut))
+
+    def counted(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[-1]) * cut
+        values = np.zeros((cut, len(names)))
+        values[held["unit"].to_numpy() - first] = held[names].to_numpy(float)
+        out = []
+        for sample, r in asked.groupby("sample"):
+            at = r["source"].to_numpy() - first
+            often = np.cumsum(np.bincount(at, minlength=cut + 1) - np.bincount(at + r["n"].to_numpy(), minlength=cut + 1))[:cut]
+            out.append((*key[:-1], sample, *(often @ values)))
+        return pd.DataFrame(out, columns=[*by, "sample", *names])
+
+    met = asked.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(counted, f"{_keys(sums, by)}sample int, {', '.join(f'`{n}` double' for n in names)}")
+    return met.groupBy(*by, "sample").agg(*[F.sum(n).alias(n) for n in moments])
+
+
+def _packed(v: np.ndarray) -> tuple[bytes, bytes, int]:
+    """Numbers as codes of 1 or 2 bytes with their distinct values, or as they are (width 8)."""
+    values, codes = np.unique(v, return_inverse=True)
+    for width, kind in ((1, np.uint8), (2, np.uint16)):
+        if len(values) <= 1 << 8 * width:
+            return codes.astype(kind).tobytes(), values.tobytes(), width
+    return v.tobytes(), b"", 8
+
+
+def _unpacked(codes: bytes, values: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(codes, float) if width == 8 else np.frombuffer(values, float)[np.frombuffer(codes, np.uint8 if width == 1 else np.uint16)]
+
+
+class _Chunk:
+    """Consecutive units of one column, each of ``unit`` rows (the last one of a series may be shorter; it is filled up with zeros)."""
+
+    def __init__(self, held: pd.DataFrame, unit: int, stretch: int):
+        held = held.sort_values("__s")
+        v = np.concatenate([_unpacked(*r) for r in zip(held["__codes"], held["__values"], held["__width"], strict=True)])
+        self.first, self.rows = int(held["__s"].iloc[0]) * stretch, len(v)
+        self.units = np.append(v, np.zeros(-len(v) % unit)).reshape(-1, unit)
+        self.sums, self.squares = self.units.sum(axis=1), np.einsum("ij,ij->i", self.units, self.units)
 
 
 def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column], targets: dict[str, Column], length: float, samples: int, by: Sequence[str] = (), unit: int | None = None, seed: int = 0) -> DataFrame:
@@ -86,41 +162,74 @@ def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column],
 
     Rows where any column is null are no part of the series. Where a shorter last unit meets a full one, the rows they have in common count.
     """
-    unit = unit_of(length, unit)
-    numbered = _numbered(rows, order, by, unit, predictors | targets)
-    in_order = F.sort_array(F.collect_list(F.struct("place", *[F.col(f"_{n}") for n in predictors | targets])))
-    held = written(numbered.groupBy(*by, "unit").agg(in_order.alias("_r")).select(*by, "unit", *[F.col(f"_r._{n}").alias(n) for n in predictors | targets]), "units")
-    series = held.groupBy(*by).agg((F.max("unit") + 1).alias("units"))
-    asked = laid(series, by, length, unit, samples, seed)
-    moving = held.select(*by, "unit", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in predictors])).alias("_f")).select(*by, "unit", "_f.*")
-    with_targets = _matched(asked, held.select(*by, "unit", *targets), [*((c, c) for c in by), ("place", "unit")])
-    met = _matched(with_targets, moving, [*((c, c) for c in by), ("source", "unit")])
-    fits = F.least(F.size("x"), F.size(next(iter(targets))))
-    even = met.withColumns({n: F.when(F.size(n) > fits, F.slice(n, F.lit(1), fits)).otherwise(F.col(n)) for n in ("x", *targets)})
+    unit, stretch = unit_of(length, unit), STRETCH
+    numbered = _numbered(rows, order, by, unit, predictors | targets).withColumn("__s", F.floor(F.col("unit") / stretch))
+    moving, staying = list(predictors), list(targets)
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        return pd.DataFrame([(*key, side, c, *_packed(pdf[f"_{c}"].to_numpy(float)), len(pdf)) for side, names in (("x", moving), ("y", staying)) for c in names], columns=[*by, "__s", "__side", "__name", "__codes", "__values", "__width", "__rows"])
+
+    packed = numbered.groupBy(*by, "__s").applyInPandas(pack, f"{_keys(rows, by)}__s long, __side string, __name string, __codes binary, __values binary, __width int, __rows long")
+    held = written(packed, "units")
+    series = held.where((F.col("__side") == "y") & (F.col("__name") == staying[0])).groupBy(*by).agg(F.ceil(F.sum("__rows") / unit).alias("units"))
+    # Stretches of a chunk of targets and of predictors; a tile is one of each, with some predictors.
+    tall, wide = (max(1, n // (stretch * unit)) for n in (TARGET_ROWS, PREDICTOR_ROWS))
+    last = F.floor((F.col("units") - 1) / stretch)
+    part = F.element_at(F.create_map(*[x for i, c in enumerate(moving) for x in (F.lit(c), F.lit(i // PREDICTORS))]), F.col("__name"))
+    parts = F.sequence(F.lit(0), F.lit((len(moving) - 1) // PREDICTORS))
+    sized = _matched(held, series, [(c, c) for c in by]) if by else held.crossJoin(F.broadcast(series))
+    upto = lambda size: F.sequence(F.lit(0).cast("long"), F.floor(last / size))
+    kept = [*by, "units", "__s", "__side", "__name", "__codes", "__values", "__width"]
+    xs = sized.where("__side = 'x'").select(*kept, part.alias("__part"), F.floor(F.col("__s") / wide).alias("__x"), F.explode(upto(tall)).alias("__y"))
+    ys = sized.where("__side = 'y'").select(*kept, F.explode(parts).alias("__part"), F.floor(F.col("__s") / tall).alias("__y")).withColumn("__x", F.explode(upto(wide)))
+    asked = runs(series, by, length, unit, samples, seed, wide * stretch)
+    asked = asked.select(*by, "sample", "place", "source", "n", F.floor(F.col("place") / (tall * stretch)).alias("__y"), F.floor(F.col("source") / (wide * stretch)).alias("__x"), F.explode(parts).alias("__part"))
     names = ["n", "sx", "sxx", *[f"{s}_{y}" for y in targets for s in ("s", "ss", "sx")]]
-    keys = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in by)
-    each = even.select(*by, "feature", "sample", "x", *targets).mapInArrow(_sums_of_pairs(list(by), list(targets), names), f"{keys}{', ' if by else ''}feature string, sample int, {', '.join(f'{c} double' for c in names)}")
-    return each.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
 
+    def met(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        columns = [*by, "feature", "sample", *names]
+        if asked.empty:
+            return pd.DataFrame([], columns=columns)
+        ys = [_Chunk(held[(held["__side"] == "y") & (held["__name"] == c)], unit, stretch) for c in staying]
+        y = ys[0]
+        by_sample = [(sample, _one_by_one(r["place"].to_numpy() - y.first, r["n"].to_numpy()), _one_by_one(r["source"].to_numpy(), r["n"].to_numpy())) for sample, r in asked.sort_values(["sample", "place"]).groupby("sample")]
+        out = []
+        for c in moving:
+            mine = held[(held["__side"] == "x") & (held["__name"] == c)]
+            if mine.empty:
+                continue
+            x = _Chunk(mine, unit, stretch)
+            for sample, place, source in by_sample:
+                source = source - x.first
+                # Units that a shorter one meets are taken by themselves.
+                full = ((place + 1) * unit <= y.rows) & ((source + 1) * unit <= x.rows)
+                p, q = place[full], source[full]
+                side = x.units[q].ravel()
+                sums = [float(len(p) * unit), x.sums[q].sum(), x.squares[q].sum()]
+                whole = slice(p[0], p[-1] + 1) if len(p) and p[-1] + 1 - p[0] == len(p) else p
+                for t in ys:
+                    sums += [t.sums[p].sum(), t.squares[p].sum(), side @ t.units[whole].ravel()]
+                for p, q in zip(place[~full].tolist(), source[~full].tolist(), strict=True):
+                    k = min(unit, y.rows - p * unit, x.rows - q * unit)
+                    a = x.units[q, :k]
+                    some = [k, a.sum(), a @ a]
+                    for t in ys:
+                        b = t.units[p, :k]
+                        some += [b.sum(), b @ b, a @ b]
+                    sums = [u + v for u, v in zip(sums, some, strict=True)]
+                out.append((*key[: len(by)], c, sample, *sums))
+        return pd.DataFrame(out, columns=columns)
+
+    keys = [*by, "__part", "__y", "__x"]
+    each = asked.groupBy(*keys).cogroup(xs.unionByName(ys).groupBy(*keys)).applyInPandas(met, f"{_keys(rows, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}")
+    return each.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
 
-def _sums_of_pairs(by: list[str], targets: list[str], names: list[str]):
-    """Rows of arrays that match place by place -> their sums and sums of products."""
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts = batch.column("x").offsets.to_numpy()
-            sizes, starts = np.diff(starts), starts[:-1] - starts[0]
-            total = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
-            x = batch.column("x").flatten().to_numpy()
-            sums = [sizes.astype(float), total(x), total(x * x)]
-            for y in targets:
-                v = batch.column(y).flatten().to_numpy()
-                sums += [total(v), total(v * v), total(x * v)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "feature", "sample")), *map(pa.array, sums)], names=[*by, "feature", "sample", *names])
-
-    return run
+def _one_by_one(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of n numbers, for each run."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def correlation(n: Column, sx: Column, sxx: Column, sy: Column, syy: Column, sxy: Column) -> Column:
