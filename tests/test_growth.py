@@ -8,8 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_forecast import plain_trees, sample
 from tests.test_queries import rows
 from tests.test_resampling import plain_pairs, plain_rows
+from tidemark import tables
+from tidemark.operators import forecast as Q
 from tidemark.operators import ranking
 from tidemark.operators import records as R
 from tidemark.operators import resampling as B
@@ -109,3 +112,22 @@ def test_sources_of_a_sample_come_as_runs(spark):
     """A row for each block, not for each unit of a sample."""
     got = B.runs(spark.createDataFrame([(20_000,)], "units long"), [], 64, 1, 2, 0).where("sample >= 0")
     assert got.agg(F.sum("n")).first()[0] == 40_000 and got.count() < 2000
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_trees_by_cells_and_by_rows_are_alike(spark, monkeypatch, listed):
+    """With few columns passes count rows by cell and hold no model's values beside the rows; with more they do. Both grow plain trees."""
+    if not listed:
+        monkeypatch.setattr(Q, "CELLS", 0)
+    monkeypatch.setattr(Q, "KEEP", 2)
+    written = []
+    monkeypatch.setattr(Q, "written", lambda df, name: written.append(df.columns) or tables.written(df, name))
+    frame = sample(600)
+    df = spark.createDataFrame(frame).repartition(3)
+    forest = Q.fit(df, ["a", "b"], "y", [Q.Model(0.25, [0, 1], F.lit(True)), Q.Model(0.9, [1], F.col("t") < 400)], trees=5)
+    assert written == ([["y", "cell", "mask"]] if listed else [["y", "bins", "mask", "f"]] * 3)
+    spread = np.subtract(*df.agg(F.percentile_approx("y", [0.75, 0.25], 10_000)).first()[0])
+    x, y, got = frame[["a", "b"]].to_numpy(), frame["y"].to_numpy(), forest.values(frame)
+    for k, m in enumerate(forest.models):
+        mine = np.arange(600) < (600 if k == 0 else 400)
+        np.testing.assert_allclose(got[mine, k], plain_trees(x[mine], y[mine], forest.edges, m.columns, m.level, m.start, spread, 5, 2, 0.3), atol=1e-9)

@@ -3,8 +3,11 @@
 Every model is a sum of trees on binned columns. All models of a call grow together: the heads of each quantile, those on the benchmark's columns
 alone, those of each fold. A level of a tree is one pass: tasks sum (model, node, column, bin) histograms of the loss's slope over their
 rows, and only these sums meet, so the driver holds models x nodes x columns x bins numbers, whatever the rows. Leaves step along the
-slope, so they come to rest where the share of rows below equals the quantile. The models' values so far are kept beside the rows and
-written anew every KEEP trees.
+slope, so they come to rest where the share of rows below equals the quantile.
+
+A model's value depends on a row's bins alone. With few columns all cells of bins are listed: a row is its cell, its target and its mask, a
+pass looks values up by cell and counts rows above and below them by cell. With more columns the models' values so far are kept beside
+the rows and written anew every KEEP trees.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tidemark.tables import written
 QUANTILES = (0.25, 0.5, 0.75, 0.9)
 #: Bins of a column; trees after which values are written; rows that a leaf needs.
 BINS, KEEP, LEAF_ROWS = 32, 8, 20
+#: Cells of bins that are listed, at most: those of three columns. Rows that a task looks up at once.
+CELLS, ROWS = BINS**3, 1 << 18
 #: Conditions of the gate: gain of R2, its p and that of the ranks, largest error of coverage. Fixed values.
 LEAST_GAIN, MOST_P, MOST_COVERAGE_ERROR = 0.02, 0.05, 0.05
 #: Lift of compressed and expanded ranges. Fixed values.
@@ -59,7 +64,13 @@ class Forest:
         """A column for each model; rows with unknown columns give unknown values."""
         x = pdf[self.columns].to_numpy(float)
         bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(self.edges)], axis=1) if self.columns else np.empty((len(x), 0), int)
-        out = np.stack([m.start + sum((_leaf_values(t, bins) for t in m.trees), np.zeros(len(x))) for m in self.models], axis=1)
+        same = None
+        if self.columns and BINS ** len(self.columns) <= CELLS:  # each cell is looked up once
+            sizes = (BINS,) * len(self.columns)
+            cells, same = np.unique(np.ravel_multi_index(bins.T, sizes), return_inverse=True)
+            bins = np.stack(np.unravel_index(cells, sizes), axis=1)
+        out = np.stack([m.start + sum((_leaf_values(t, bins) for t in m.trees), np.zeros(len(bins))) for m in self.models], axis=1)
+        out = out if same is None else out[same]
         out[np.isnan(x).any(axis=1)] = np.nan
         return out
 
@@ -126,10 +137,68 @@ def _histograms(models: list[Model], growing: list[tuple[np.ndarray, ...]], sinc
                         found = np.stack([np.bincount(b, minlength=BINS), np.bincount(b, slope[here], BINS)])
                         key = (k, leaf, j)
                         sums[key] = sums[key] + found if key in sums else found
-        rows = [(*key, b, v[0, b], v[1, b]) for key, v in sums.items() for b in np.flatnonzero(v[0]).tolist()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int32()] * 4 + [pa.float64()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["model", "node", "col", "bin", "n", "g"])
+        yield _batch_of_sums([r for key, v in sums.items() for r in _rows_by_model(v, *key)])
+
+    return run
+
+
+def _rows_by_model(histograms: np.ndarray, k: int, node: int, j: int) -> list[tuple]:
+    return [(k, node, j, b, histograms[0, b], histograms[1, b]) for b in np.flatnonzero(histograms[0]).tolist()]
+
+
+def _batch_of_sums(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int32()] * 4 + [pa.float64()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["model", "node", "col", "bin", "n", "g"])
+
+
+def _cells(width: int) -> np.ndarray:
+    """Bins of every cell: the first column's bin counts most."""
+    return np.stack(np.unravel_index(np.arange(BINS**width), (BINS,) * width), axis=1) if width else np.zeros((1, 0), np.int64)
+
+
+def _histograms_of_cells(models: list[Model], growing: list[tuple[np.ndarray, ...]], width: int):
+    """As ``_histograms``, of rows given as cells."""
+
+    def run(batches):
+        bins = _cells(width)
+        values = [m.start + sum((_leaf_values(t, bins) for t in m.trees), np.zeros(len(bins))) for m in models]
+        count, above = np.zeros((len(models), len(bins)), np.int64), np.zeros((len(models), len(bins)), np.int64)
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(held)
+            y, cell, mask = (t.column(c).to_numpy() for c in ("y", "cell", "mask"))
+            everywhere = np.bitwise_and.reduce(mask)
+            of_mask: dict[bytes, tuple[np.ndarray, ...]] = {}
+            for k in range(len(models)):
+                one = everywhere >> k & 1
+                mine = None if one else (mask >> k & 1).astype(bool)
+                key = b"" if one else np.packbits(mine).tobytes()
+                if key not in of_mask:
+                    cells = cell if one else cell[mine]
+                    of_mask[key] = (cells, y if one else y[mine], np.bincount(cells, minlength=len(bins)))
+                cells, targets, rows = of_mask[key]
+                count[k] += rows
+                above[k] += np.bincount(cells[targets > values[k][cells]], minlength=len(bins))
+
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= ROWS:
+                add(held)
+                held, size = [], 0
+        if size:
+            add(held)
+        rows: list[tuple] = []
+        for k, m in enumerate(models):
+            slope = above[k] * m.level + (count[k] - above[k]) * (m.level - 1)
+            node = _leaves(growing[k], bins)
+            for leaf in np.unique(node[count[k] > 0]).tolist():
+                here = np.flatnonzero((node == leaf) & (count[k] > 0))
+                for j in m.columns:
+                    b = bins[here, j]
+                    rows += _rows_by_model(np.stack([np.bincount(b, count[k][here], BINS), np.bincount(b, slope[here], BINS)]), k, leaf, j)
+        yield _batch_of_sums(rows)
 
     return run
 
@@ -158,6 +227,7 @@ def fit(rows: DataFrame, columns: Sequence[str], target: str, models: list[Model
     fitted = [Model(m.level, list(m.columns), m.rows, float(head[f"q{k}"] if head[f"q{k}"] is not None else 0.0)) for k, m in enumerate(models)]
     spread = max((head["s"][1] - head["s"][0]) if head["s"] else 0.0, 1e-12)
     starts, width = np.array([m.start for m in fitted]), len(columns)
+    listed = BINS**width <= CELLS
 
     def binned(batches):
         for batch in batches:
@@ -166,16 +236,22 @@ def fit(rows: DataFrame, columns: Sequence[str], target: str, models: list[Model
             mask = np.zeros(n, np.int64)
             for k in range(len(starts)):
                 mask |= batch.column(f"_m{k}").fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64) << k
+            if listed:
+                cell = np.ravel_multi_index(x.T.astype(np.int64), (BINS,) * width) if width else np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(cell.astype(np.int32)), pa.array(mask)], names=["y", "cell", "mask"])
+                continue
             f = starts.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(mask), pa.array([f] * n, pa.binary())], names=["y", "bins", "mask", "f"])
 
-    state_sql = "y double, bins binary, mask long, f binary"
+    state_sql = "y double, cell int, mask long" if listed else "y double, bins binary, mask long, f binary"
     state, since = written(known.mapInArrow(binned, state_sql), "forest"), 0
     for grown in range(trees):
         growing = [_open_tree() for _ in fitted]
         ended: list[dict[int, float]] = [{} for _ in fitted]  # leaf -> its mean slope
         for _ in range(depth):
-            found = state.mapInArrow(_histograms([Model(m.level, m.columns, None, m.start, m.trees) for m in fitted], [_arrays(t) for t in growing], since, width), "model int, node int, col int, bin int, n double, g double")
+            plain, open_trees = [Model(m.level, m.columns, None, m.start, m.trees) for m in fitted], [_arrays(t) for t in growing]
+            kernel = _histograms_of_cells(plain, open_trees, width) if listed else _histograms(plain, open_trees, since, width)
+            found = state.mapInArrow(kernel, "model int, node int, col int, bin int, n double, g double")
             sums: dict[tuple[int, int], dict[int, np.ndarray]] = {}
             for r in found.groupBy("model", "node", "col", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect():  # models * nodes * columns * BINS rows at most
                 sums.setdefault((r["model"], r["node"]), {}).setdefault(r["col"], np.zeros((2, BINS)))[:, r["bin"]] = r["n"], r["g"]
@@ -195,7 +271,7 @@ def fit(rows: DataFrame, columns: Sequence[str], target: str, models: list[Model
             for node, s in slopes.items():
                 tree[4][node] = rate * spread * 2 * s
             m.trees.append(_arrays(tree))
-        if (grown + 1) % KEEP == 0 and grown + 1 < trees:
+        if not listed and (grown + 1) % KEEP == 0 and grown + 1 < trees:
             kept, at = [Model(m.level, m.columns, None, m.start, list(m.trees)) for m in fitted], since
 
             def moved(batches, kept=kept, at=at):
