@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.accumulate import Accumulator
+from tidemark.operators.growing import growing
 from tidemark.operators.past import STRETCH, in_stretches
 from tidemark.operators.states import bias
 from tidemark.operators.windows import ahead, ordered
@@ -49,18 +50,19 @@ def outcomes(bars: DataFrame, horizon: int, seconds: int) -> DataFrame:
 
 
 def snapshots(states: DataFrame, offsets: list[int]) -> DataFrame:
-    """Rows of the same state ``offset`` rows after each transition: one equi-join for all offsets.
+    """Rows of the same state ``offset`` rows after each transition: each row looks back, so states are made and read once.
 
     states: (symbol, t, state_seq, transition_id, prev_group_id, ...) in order; offsets in rows.
     """
-    numbered = states.withColumn("place", F.row_number().over(ordered()))
-    starts = numbered.where("transition_id is not null").select("symbol", F.col("state_seq").alias("seq"), F.col("place").alias("origin"), F.col("transition_id").alias("tr"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset"))
-    spot = starts.withColumn("place", F.col("origin") + F.col("offset"))
-    return spot.join(numbered, ["symbol", "place"]).where("seq = state_seq").drop("transition_id", "place", "origin", "seq").withColumnRenamed("tr", "transition_id")
+    back = lambda c, o: F.lag(c, o).over(ordered()) if o else F.col(c)
+    named = states.where("symbol is not null").withColumns({f"__{c}{i}": back(c, o) for i, o in enumerate(offsets) for c in ("transition_id", "state_seq")})
+    found = [F.when(F.col(f"__transition_id{i}").isNotNull() & (F.col(f"__state_seq{i}") == F.col("state_seq")), F.struct(F.col(f"__transition_id{i}").alias("transition_id"), F.lit(o).alias("offset"))) for i, o in enumerate(offsets)]
+    others = [c for c in states.columns if c not in ("symbol", "transition_id")]
+    return named.select("symbol", *others, F.explode(F.array_compact(F.array(*found))).alias("__s")).select("symbol", "__s.*", *others)
 
 
-#: Rows from which a key is more than one task's work.
-HOT = 65_536
+#: Rows from which a key is more than one task's work, and rows of whole keys that a task takes at once.
+HOT, AT_ONCE = 1_048_576, 65_536
 
 
 def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None, name: str = "past", hot: int = HOT, stretch: int = STRETCH) -> DataFrame:
@@ -68,7 +70,7 @@ def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | No
 
     With finer, also narrow: the same of the rows that agree in those columns as well. All these rows lie at or before
     t - horizon, so nothing of the future is seen. Rows: t, ret_pct, mfe_pct, mae_pct, valid, state_seq.
-    A key of up to ``hot`` rows is folded in one task; keys of more are cut into stretches of time (see ``past``). Both give the same.
+    A key of up to ``hot`` rows is one task's; keys of more are cut into stretches of time (see ``past``). Both give the same.
     """
     rows = written(rows, "matured")
     times = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("t").cast("long")).alias("_first"), F.max(F.col("t").cast("long")).alias("_last"))
@@ -86,44 +88,56 @@ def matured(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | No
 def folded(rows: DataFrame, key: list[str], horizon: int, finer: list[str] | None = None, name: str = "past") -> DataFrame:
     """``matured`` with one task for a key.
 
-    One shuffle brings a key's rows together in order of t; a task folds over them with an accumulator for the
-    key and one for each finer key, so the cost is linear in the rows and memory holds accumulators and what hasn't matured.
+    One shuffle brings a key's rows together in order of t; a task takes whole keys, as many as make ``AT_ONCE`` rows, and computes
+    the statistics of all their rows as arrays (see ``growing``), in time that grows with the rows and the logarithm of their number.
     """
-    finer = finer or []
     names = [name, "narrow"] if finer else [name]
-    # Keys as one number each: a task only tells them apart.
-    keyed = rows.withColumns({"__key": F.xxhash64(*key), "__fine": F.xxhash64(*key, *finer), "__t": F.col("t").cast("long")})
-    ordered_rows = keyed.repartition(*key).sortWithinPartitions(*key, "__t")
+    # Keys as one number each: a task only tells them apart. A hash skips nulls, so it is told where they are.
+    hashed = lambda columns: F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    keyed = rows.withColumns({"__key": hashed(key), "__fine": hashed([*key, *(finer or [])]), "__t": F.col("t").cast("long")})
+    ordered_rows = keyed.repartition(*key).sortWithinPartitions("__key", "__t")
     fields = [T.StructField(n, T.StructType.fromDDL(Accumulator.SCHEMA)) for n in names]
     schema = T.StructType([*keyed.schema.fields, *fields])
-    arrow = [pa.field(f.name, pa.struct([pa.field(x.name, pa.float64() if x.dataType == T.DoubleType() else pa.int64()) for x in f.dataType.fields])) for f in fields]
+    arrow = pa.struct([pa.field(x.name, pa.float64() if x.dataType == T.DoubleType() else pa.int64()) for x in fields[0].dataType.fields])
+
+    def together(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        key_of, fine, t = (whole.column(c).fill_null(0).to_numpy() for c in ("__key", "__fine", "__t"))
+        ret, mfe, mae = (whole.column(c).cast(pa.float64()).fill_null(0.0).to_numpy() for c in ("ret_pct", "mfe_pct", "mae_pct"))
+        sequence = whole.column("state_seq").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        facts = [t, whole.column("__t").is_valid().to_numpy(), ret, mfe, mae, whole.column("valid").fill_null(False).to_numpy(), sequence]
+        found = [growing(key_of, *facts, horizon)]
+        if finer:
+            by_fine = np.argsort(fine, kind="stable")
+            back = np.empty_like(by_fine)
+            back[by_fine] = np.arange(len(fine))
+            found.append([x[back] for x in growing(fine[by_fine], *[x[by_fine] for x in facts], horizon)])
+        structs = [pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], fields=list(arrow)) for columns in found]
+        done = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[s.slice(done, batch.num_rows) for s in structs]], names=[*batch.schema.names, *names])
+            done += batch.num_rows
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, wide, narrow, waiting = None, Accumulator(), {}, deque()
+        held, n, current = [], 0, None
         for batch in batches:
-            out: list[list[tuple]] = [[] for _ in names]
-            columns = (batch.column(c).to_pylist() for c in ("__key", "__fine", "__t", "ret_pct", "mfe_pct", "mae_pct", "valid", "state_seq"))
-            for k, fine, t, *outcome in zip(*columns, strict=True):
-                if k != current:
-                    current, wide, narrow, waiting = k, Accumulator(), {}, deque()
-                while waiting and waiting[0][1] <= t - horizon:
-                    f, at, values = waiting.popleft()
-                    wide.add(at, *values)
-                    if finer:
-                        narrow.setdefault(f, Accumulator()).add(at, *values)
-                waiting.append((fine, t, outcome))
-                out[0].append(wide.stats())
-                if finer:
-                    out[1].append(narrow[fine].stats() if fine in narrow else NOTHING)
-            structs = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*o, strict=True) if o else [[]] * len(a.type), a.type, strict=True)], fields=list(a.type)) for o, a in zip(out, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *structs], names=[*batch.schema.names, *names])
+            if not batch.num_rows:
+                continue
+            keys = batch.column("__key").to_numpy()
+            others = np.flatnonzero(keys != keys[-1])
+            cut = int(others[-1]) + 1 if len(others) else 0
+            # The last key of a batch may go on in the next one; what is before it is whole.
+            if n + cut >= AT_ONCE and (cut or current != keys[-1]):
+                yield from together([*held, batch.slice(0, cut)] if cut else held)
+                held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n, current = n + batch.num_rows, keys[-1]
+        if held:
+            yield from together(held)
 
     return ordered_rows.mapInArrow(fold, schema).drop("__key", "__fine", "__t")
 
 
-NOTHING = Accumulator().stats()
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 1e-9, a / F.when(b > 1e-9, b)).otherwise(a)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
@@ -97,9 +100,11 @@ def islands(df: DataFrame, label: str) -> DataFrame:
 def smooth_labels(df: DataFrame, label: str, least: int) -> DataFrame:
     """Adds smoothed: runs shorter than ``least`` take the label before them; the first run always counts."""
     runs = islands(df, label)
-    length = F.count(F.lit(1)).over(Window.partitionBy("symbol", "seq"))
-    kept = F.when((F.col("length") >= least) | (F.col("seq") == 0), F.col(label))
-    return runs.withColumn("length", length).withColumn("smoothed", last_known(kept)).drop("length", "changed", "seq", "pos")
+    # A row's run is long enough if the row lies in so many rows of one run: told by rows around it, without a sort by runs.
+    alike = lambda o: (F.lead("seq", o) if o > 0 else F.lag("seq", -o)).over(ordered()) == F.col("seq") if o else F.lit(True)
+    enough = reduce(or_, [F.coalesce(alike(-back) & alike(least - 1 - back), F.lit(False)) for back in range(least)], F.lit(least <= 1))
+    kept = F.when(F.col("enough") | (F.col("seq") == 0), F.col(label))
+    return runs.withColumn("enough", enough).withColumn("smoothed", last_known(kept)).drop("enough", "changed", "seq", "pos")
 
 
 def entropy_of_labels(label: str, n: int, kinds: Column) -> Column:

@@ -28,9 +28,11 @@ def indicator_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user in order: symbol (the user), t (place), label (event type), value and time."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("symbol"), F.row_number().over(w).cast("long").alias("t"), F.col("event_type").alias("label"), "value",
+    # Named before they are numbered: windows by symbol then need no other shuffle.
+    named = table(spark, sf_dir, "events").withColumnRenamed("user_id", "symbol")
+    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
+    return named.select(
+        "symbol", F.row_number().over(w).cast("long").alias("t"), F.col("event_type").alias("label"), "value",
         F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("sec"),
     )
 
