@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from hashlib import md5
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -97,6 +100,50 @@ def test_samples_over_many_tiles(spark, monkeypatch, kind):
         np.testing.assert_allclose([r["n"], sign * r["sx"], r["sxx"], r["s_y"], r["ss_y"], sign * r["sx_y"]], plain_sums(frame, 3, r["sample"]), rtol=1e-9)
 
 
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_samples_draw_their_runs_where_targets_are(spark, monkeypatch, held):
+    """Runs of all samples, sent and spread out to units, took gigabytes. Pieces that begin and end within units, tiles of both sides, groups with null and NaN, several targets."""
+
+    def sent(*_, **__):
+        raise AssertionError("runs are sent")
+
+    for name, v in (("STRETCH", 8), ("TARGET_ROWS", 100), ("PREDICTOR_ROWS", 70), ("PREDICTORS", 1), ("PIECE", 7), ("RUNS", held), ("PRODUCTS", 16), ("runs", sent)):
+        monkeypatch.setattr(B, name, v, raising=name not in ("PIECE", "RUNS", "PRODUCTS"))
+    rng = np.random.default_rng(8)
+    groups = {None: 311, float("nan"): 5, 1.5: 402}
+    frames = {g: pd.DataFrame({"t": np.arange(n), "x": rng.integers(0, 2, n).astype(float), "y": rng.normal(size=n)}) for g, n in groups.items()}
+    lines = [(g, int(t), x, y) for g, f in frames.items() for t, x, y in f.itertuples(index=False)]
+    df = spark.createDataFrame([*lines, (1.5, 3, None, 1.0), (1.5, 4, 1.0, float("nan"))], "g double, t long, x double, y double").repartition(3)
+    got = B.apart(df, ["t"], {"x": F.col("x"), "wide": F.col("x") * F.col("y")}, {"y": F.col("y"), "z": -F.col("y")}, 30, 3, ["g"], unit=3).collect()
+    assert len(got) == 3 * 2 * 4
+    for r in got:
+        f = next(f for g, f in frames.items() if g == r["g"] or str(g) == str(r["g"]))
+        f = f if r["feature"] == "x" else f.assign(x=f["x"] * f["y"])
+        want = plain_sums(f, 3, r["sample"])
+        np.testing.assert_allclose([r[c] for c in ("n", "sx", "sxx", "s_y", "ss_y", "sx_y")], want, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose([-r["s_z"], r["ss_z"], -r["sx_z"]], want[3:], rtol=1e-9, atol=1e-12)
+
+
+def test_a_task_of_samples_holds_few_runs():
+    """40 samples of 120,000 units: spread out to units, their places and sources alone take 77 MB."""
+    tile, x = B._Tile(1_440_000, 12, 4096, 0, 120_000, 0, 120_000, 1), (np.arange(1 << 16) % 7 < 2).astype(float)
+    tile.stays(0, 0, np.ones(1_440_000))
+    pieces = {(at, len(v)): [("x", *B._coded(v))] for at in range(0, 1_440_000, 1 << 16) for v in [x[: 1_440_000 - at]]}
+    tracemalloc.start()
+    sums = tile.sums(range(-1, 39), 0, 1 / 8, 4096, pieces)["x"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    np.testing.assert_allclose(sums[[0, 3, 4]], 1_440_000)
+    np.testing.assert_allclose(sums[1], sums[5])
+
+
+@pytest.mark.parametrize("prefix, low, high", [(b"0|17|", 0, 1200), (b"12|3|", 99_990, 100_020), (b"7|1|", 8190, 16_400), (b"-" * 53, 0, 120)])
+def test_hashes_taken_together_are_md5(prefix, low, high):
+    want = [md5(prefix + b"%d" % p).hexdigest() for p in range(low, high)]
+    assert B._hashed(prefix, low, high).tolist() == [[int(w[:8], 16), int(w[8:16], 16)] for w in want]
+
+
 def test_whole_rows_over_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(B, "STRETCH", 8)
     monkeypatch.setattr(B, "CHUNK", 16)

@@ -11,34 +11,46 @@ Two kinds of samples are made of the same draws:
 * ``apart``: the predictors are taken by blocks and laid beside targets that stay in place. It keeps what each series remembers of
   itself and breaks what holds between them: the null hypothesis of no link.
 
-Blocks are drawn as runs (place, source, units), one for a task's stretch and sample; no row for each unit of a sample is made. For ``jointly`` a
-task counts how often runs take each unit of one chunk. For ``apart`` a task has one chunk of targets and one of predictors and the runs that take
-the second to the first: series are sent once for each chunk of the other side, not once for each sample.
+Blocks are drawn as runs (place, source, units); no row for each unit of a sample is made. For ``jointly`` a task counts how often runs take each
+unit of one chunk. For ``apart`` a task has one chunk of targets and one of predictors, as codes, and draws the runs that take the second to the
+first by itself: series are sent once for each chunk of the other side, not once for each sample, and runs are not sent.
 
 Sample -1 is the series itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.operators.ranking import mean_rank, placed, with_place
-from tidemark.tables import written
+from tidemark.operators.ranking import FEW_GROUPS, mean_rank, placed, with_place
+from tidemark.tables import small_batches, unneeded, written
 
 #: Units of a stretch; at its end a block ends too, so a sample's blocks are laid by many tasks.
 STRETCH = 4096
 #: Units of a chunk whose sums a task of ``jointly`` holds.
 CHUNK = 65_536
-#: Rows of a chunk of targets and of predictors in ``apart``, about, and predictors of a task.
-TARGET_ROWS, PREDICTOR_ROWS, PREDICTORS = 1 << 22, 1 << 25, 4
+#: Rows of a piece of a packed column.
+PIECE = 1 << 16
+#: Rows of a chunk of targets in ``apart``, over all targets; bytes a row that the predictors of a task may have as codes, about, and rows of a chunk of so many bytes.
+TARGET_ROWS, PREDICTORS, PREDICTOR_ROWS = 1 << 23, 4, 1 << 24
+#: Chunks of targets of a series that are small enough; runs, and products of numbers, that a task of ``apart`` holds at a time.
+TILES, RUNS, PRODUCTS = 16, 1 << 21, 1 << 18
+#: Hashes taken at a time; the constants of MD5.
+HASHED = 8192
+_STATE = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 
 
 def drawn(part: int, *names: Column) -> Column:
@@ -52,6 +64,61 @@ def unit_of(length: float, unit: int | None) -> int:
     return max(1, int(length) // 8) if unit is None else unit
 
 
+def _hashed(prefix: bytes, low: int, high: int) -> np.ndarray:
+    """The first two words of md5(prefix + place), as hex digits read, of places low to high - 1: many at a time, in a block of 64 bytes."""
+    out = np.empty((high - low, 2), np.uint32)
+    at = low
+    while at < high:
+        width = len(str(at))
+        upto, length = min(high, 10**width, at + HASHED), len(prefix) + width
+        if length > 55:
+            out[at - low : upto - low] = np.frombuffer(b"".join([md5(prefix + b"%d" % p).digest()[:8] for p in range(at, upto)]), ">u4").reshape(-1, 2)
+            at = upto
+            continue
+        text, place = np.zeros((upto - at, 64), np.uint8), np.arange(at, upto)
+        text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+        for i in range(width):
+            text[:, length - 1 - i] = 48 + place // 10**i % 10
+        text[:, length] = 128
+        words = np.ascontiguousarray(text.view("<u4").T)
+        words[14] = 8 * length
+        same = [w[0] if i < len(prefix) // 4 or i > length // 4 else w for i, w in enumerate(words)]
+        a, b, c, d = (np.full(upto - at, v, np.uint32) for v in _STATE)
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f += a
+            f += same[g]
+            f += _SINES[i]
+            left = _TURNS[i // 16][i % 4]
+            a, d, c, b = d, c, b, b + ((f << np.uint32(left)) | (f >> np.uint32(32 - left)))
+        out[at - low : upto - low, 0], out[at - low : upto - low, 1] = (a + _STATE[0]).byteswap(), (b + _STATE[1]).byteswap()
+        at = upto
+    return out
+
+
+def _drawn(units: int, low: int, high: int, sample: int, seed: int, chance: float, stretch: int, cut: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """place, source, n of the runs that a sample has at places low (where a stretch begins) to high - 1. No run goes over the end of a stretch, of the series, or of a chunk of ``cut`` sources."""
+    if sample < 0:
+        at = np.arange(low, high, cut or high - low)
+        source = at.copy()
+    else:
+        u = _hashed(f"{seed}|{sample}|".encode(), low, high)
+        begins = np.flatnonzero((np.arange(low, high) % stretch == 0) | (u[:, 0] / float(1 << 32) < chance))
+        at, source = begins + low, np.floor(u[begins, 1] / float(1 << 32) * units).astype(np.int64)
+    n = np.diff(np.append(at, high))
+    while (n > (room := np.minimum(units, (source // cut + 1) * cut if cut else units) - source)).any():
+        over = n > room
+        at, source, n = np.concatenate([at, (at + room)[over]]), np.concatenate([source, (source + room)[over] % units]), np.concatenate([np.minimum(n, room), (n - room)[over]])
+    return at, source, n
+
+
 def runs(series: DataFrame, by: Sequence[str], length: float, unit: int, samples: int, seed: int, cut: int | None = None) -> DataFrame:
     """series(by, units) -> (by, sample, place, source, n): the units source, source + 1, ... that each sample has at place, place + 1, ..., and the series itself as sample -1.
 
@@ -64,18 +131,7 @@ def runs(series: DataFrame, by: Sequence[str], length: float, unit: int, samples
     def drawn_runs(batches):
         for batch in batches:
             for i, (units, s, sample) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("units", "_s", "sample")), strict=True)):
-                low, high = s * stretch, min(units, (s + 1) * stretch)
-                if sample < 0:
-                    at, source = np.array([low]), np.array([low])
-                else:
-                    named = f"{seed}|{sample}|".encode()
-                    u = np.frombuffer(b"".join([md5(named + b"%d" % p).digest() for p in range(low, high)]), ">u4").reshape(-1, 4)
-                    begins = np.flatnonzero((np.arange(low, high) == low) | (u[:, 0] / float(1 << 32) < chance))
-                    at, source = begins + low, np.floor(u[begins, 1] / float(1 << 32) * units).astype(np.int64)
-                n = np.diff(np.append(at, high))
-                while (n > (room := np.minimum(units, (source // cut + 1) * cut if cut else units) - source)).any():
-                    over = n > room
-                    at, source, n = np.concatenate([at, (at + room)[over]]), np.concatenate([source, (source + room)[over] % units]), np.concatenate([np.minimum(n, room), (n - room)[over]])
+                at, source, n = _drawn(units, s * stretch, min(units, (s + 1) * stretch), sample, seed, chance, stretch, cut)
                 of_group = [batch.column(c).take(pa.array(np.full(len(at), i))) for c in by]
                 yield pa.RecordBatch.from_arrays([*of_group, pa.array(np.full(len(at), sample), pa.int32()), *(pa.array(v, pa.int64()) for v in (at, source, n))], names=[*by, "sample", "place", "source", "n"])
 
@@ -133,28 +189,84 @@ def jointly(rows: DataFrame, order: Sequence[str], moments: dict[str, Column], l
     return met.groupBy(*by, "sample").agg(*[F.sum(n).alias(n) for n in moments])
 
 
-def _packed(v: np.ndarray) -> tuple[bytes, bytes, int]:
-    """Numbers as codes of 1 or 2 bytes with their distinct values, or as they are (width 8)."""
+def _coded(v: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+    """Numbers as codes of 1, 2, 4, 8 or 16 bits with their distinct values, or as they are (64 bits, no values): bits, codes, values."""
     values, codes = np.unique(v, return_inverse=True)
-    for width, kind in ((1, np.uint8), (2, np.uint16)):
-        if len(values) <= 1 << 8 * width:
-            return codes.astype(kind).tobytes(), values.tobytes(), width
-    return v.tobytes(), b"", 8
+    if len(values) > 256:
+        return (16, codes.astype(np.uint16).tobytes(), values) if 4 * len(values) <= 3 * len(v) and len(values) <= 1 << 16 else (64, v.tobytes(), values[:0])
+    bits = next(w for w in (1, 2, 4, 8) if len(values) <= 1 << w)
+    each = np.append(codes.astype(np.uint8), np.zeros(-len(codes) % (8 // bits), np.uint8)).reshape(-1, 8 // bits)
+    return bits, np.bitwise_or.reduce(each << np.arange(0, 8, bits, dtype=np.uint8), axis=1).tobytes(), values
+
+
+def _codes(bits: int, codes: bytes, n: int) -> np.ndarray:
+    if bits == 16:
+        return np.frombuffer(codes, np.uint16)
+    return ((np.frombuffer(codes, np.uint8)[:, None] >> np.arange(0, 8, bits, dtype=np.uint8)) & np.uint8((1 << bits) - 1)).ravel()[:n]
 
 
-def _unpacked(codes: bytes, values: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(codes, float) if width == 8 else np.frombuffer(values, float)[np.frombuffer(codes, np.uint8 if width == 1 else np.uint16)]
+def _decoded(bits: int, codes: bytes, values: np.ndarray, n: int) -> np.ndarray:
+    return np.frombuffer(codes, float) if bits == 64 else values[_codes(bits, codes, n)]
 
 
-class _Chunk:
-    """Consecutive units of one column, each of ``unit`` rows (the last one of a series may be shorter; it is filled up with zeros)."""
+#: Columns of a table of pieces, beside those of the group: a column's next n numbers, from the __at-th row that the group has in the range on.
+PIECES = "__range int, __at long, __n int, __name string, __bits int, __codes binary, __values array<double>"
 
-    def __init__(self, held: pd.DataFrame, unit: int, stretch: int):
-        held = held.sort_values("__s")
-        v = np.concatenate([_unpacked(*r) for r in zip(held["__codes"], held["__values"], held["__width"], strict=True)])
-        self.first, self.rows = int(held["__s"].iloc[0]) * stretch, len(v)
-        self.units = np.append(v, np.zeros(-len(v) % unit)).reshape(-1, unit)
-        self.sums, self.squares = self.units.sum(axis=1), np.einsum("ij,ij->i", self.units, self.units)
+
+def in_pieces(rows: DataFrame, order: Sequence[str], by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """Columns as doubles in pieces of up to PIECE rows in order: by and PIECES. Rows where a column is null or no number are left out.
+
+    Rows are sorted by ranges and packed where they are sorted; only the pieces are written.
+    """
+    numbers, names, size = [c.cast("double") for c in columns.values()], list(columns), PIECE
+    known = rows.where(F.col(order[0]).isNotNull())
+    for c in numbers:
+        known = known.where(c.isNotNull() & ~F.isnan(c))
+    ordered = known.orderBy(*dict.fromkeys([*by, *order])).select(*by, *[c.alias(f"__{i}") for i, c in enumerate(numbers)])
+
+    def packed(batches):
+        here, group, first, at, held, count = TaskContext.get().partitionId(), None, None, 0, [], 0
+
+        def flushed(n: int):
+            nonlocal held, at, count
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            coded = [_coded(c[:n]) for c in whole]
+            held, count = [[c[n:] for c in whole]], count - n
+            of_group = [pa.repeat(v, len(names)) for v in first]
+            rest = [pa.array([v] * len(names), kind) for v, kind in ((here, pa.int32()), (at, pa.int64()), (n, pa.int32()))]
+            at += n
+            told = [pa.array(names), pa.array([c[0] for c in coded], pa.int32()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays([*of_group, *rest, *told], names=[*by, "__range", "__at", "__n", "__name", "__bits", "__codes", "__values"])
+
+        for batch in batches:
+            changes = [np.flatnonzero(np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False))) + 1 for c in by]
+            ends = [*np.unique(np.concatenate(changes)).tolist(), batch.num_rows] if by else [batch.num_rows]
+            for low, high in zip([0, *ends], ends):
+                if low == high:
+                    continue
+                of_row = [batch.column(c)[low] for c in by]
+                key = tuple("nan" if v != v else v for v in (s.as_py() for s in of_row))
+                if key != group:
+                    if count:
+                        yield flushed(count)
+                    group, first, at, held, count = key, of_row, 0, [], 0
+                held.append([batch.column(f"__{i}")[low:high].to_numpy(zero_copy_only=False) for i in range(len(names))])
+                count += high - low
+                while count >= size:
+                    yield flushed(size)
+        if count:
+            yield flushed(count)
+
+    pieces = written(ordered.mapInArrow(packed, f"{_keys(rows, by)}{PIECES}"), "pieces")
+    unneeded(rows.sparkSession)
+    return pieces
+
+
+def starts_of(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, __range, __start: rows of the group before the range, and __rows: of the whole group. One name's pieces are asked for."""
+    counts = pieces.groupBy(*by, "__range").agg(F.sum("__n").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*by, "__range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__start"), F.sum("_n").over(Window.partitionBy(*by)).alias("__rows"))
 
 
 def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column], targets: dict[str, Column], length: float, samples: int, by: Sequence[str] = (), unit: int | None = None, seed: int = 0) -> DataFrame:
@@ -162,68 +274,156 @@ def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column],
 
     Rows where any column is null are no part of the series. Where a shorter last unit meets a full one, the rows they have in common count.
     """
-    unit, stretch = unit_of(length, unit), STRETCH
-    numbered = _numbered(rows, order, by, unit, predictors | targets).withColumn("__s", F.floor(F.col("unit") / stretch))
-    moving, staying = list(predictors), list(targets)
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        return pd.DataFrame([(*key, side, c, *_packed(pdf[f"_{c}"].to_numpy(float)), len(pdf)) for side, names in (("x", moving), ("y", staying)) for c in names], columns=[*by, "__s", "__side", "__name", "__codes", "__values", "__width", "__rows"])
-
-    packed = numbered.groupBy(*by, "__s").applyInPandas(pack, f"{_keys(rows, by)}__s long, __side string, __name string, __codes binary, __values binary, __width int, __rows long")
-    held = written(packed, "units")
-    series = held.where((F.col("__side") == "y") & (F.col("__name") == staying[0])).groupBy(*by).agg(F.ceil(F.sum("__rows") / unit).alias("units"))
-    # Stretches of a chunk of targets and of predictors; a tile is one of each, with some predictors.
-    tall, wide = (max(1, n // (stretch * unit)) for n in (TARGET_ROWS, PREDICTOR_ROWS))
-    last = F.floor((F.col("units") - 1) / stretch)
-    part = F.element_at(F.create_map(*[x for i, c in enumerate(moving) for x in (F.lit(c), F.lit(i // PREDICTORS))]), F.col("__name"))
-    parts = F.sequence(F.lit(0), F.lit((len(moving) - 1) // PREDICTORS))
-    sized = _matched(held, series, [(c, c) for c in by]) if by else held.crossJoin(F.broadcast(series))
-    upto = lambda size: F.sequence(F.lit(0).cast("long"), F.floor(last / size))
-    kept = [*by, "units", "__s", "__side", "__name", "__codes", "__values", "__width"]
-    xs = sized.where("__side = 'x'").select(*kept, part.alias("__part"), F.floor(F.col("__s") / wide).alias("__x"), F.explode(upto(tall)).alias("__y"))
-    ys = sized.where("__side = 'y'").select(*kept, F.explode(parts).alias("__part"), F.floor(F.col("__s") / tall).alias("__y")).withColumn("__x", F.explode(upto(wide)))
-    asked = runs(series, by, length, unit, samples, seed, wide * stretch)
-    asked = asked.select(*by, "sample", "place", "source", "n", F.floor(F.col("place") / (tall * stretch)).alias("__y"), F.floor(F.col("source") / (wide * stretch)).alias("__x"), F.explode(parts).alias("__part"))
-    names = ["n", "sx", "sxx", *[f"{s}_{y}" for y in targets for s in ("s", "ss", "sx")]]
-
-    def met(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        columns = [*by, "feature", "sample", *names]
-        if asked.empty:
-            return pd.DataFrame([], columns=columns)
-        ys = [_Chunk(held[(held["__side"] == "y") & (held["__name"] == c)], unit, stretch) for c in staying]
-        y = ys[0]
-        by_sample = [(sample, _one_by_one(r["place"].to_numpy() - y.first, r["n"].to_numpy()), _one_by_one(r["source"].to_numpy(), r["n"].to_numpy())) for sample, r in asked.sort_values(["sample", "place"]).groupby("sample")]
-        out = []
-        for c in moving:
-            mine = held[(held["__side"] == "x") & (held["__name"] == c)]
-            if mine.empty:
-                continue
-            x = _Chunk(mine, unit, stretch)
-            for sample, place, source in by_sample:
-                source = source - x.first
-                # Units that a shorter one meets are taken by themselves.
-                full = ((place + 1) * unit <= y.rows) & ((source + 1) * unit <= x.rows)
-                p, q = place[full], source[full]
-                side = x.units[q].ravel()
-                sums = [float(len(p) * unit), x.sums[q].sum(), x.squares[q].sum()]
-                whole = slice(p[0], p[-1] + 1) if len(p) and p[-1] + 1 - p[0] == len(p) else p
-                for t in ys:
-                    sums += [t.sums[p].sum(), t.squares[p].sum(), side @ t.units[whole].ravel()]
-                for p, q in zip(place[~full].tolist(), source[~full].tolist(), strict=True):
-                    k = min(unit, y.rows - p * unit, x.rows - q * unit)
-                    a = x.units[q, :k]
-                    some = [k, a.sum(), a @ a]
-                    for t in ys:
-                        b = t.units[p, :k]
-                        some += [b.sum(), b @ b, a @ b]
-                    sums = [u + v for u, v in zip(sums, some, strict=True)]
-                out.append((*key[: len(by)], c, sample, *sums))
-        return pd.DataFrame(out, columns=columns)
+    x, y = ({f"{side}{n}": c for n, c in columns.items()} for side, columns in (("x", predictors), ("y", targets)))
+    pieces = in_pieces(rows, order, by, x | y)
+    starts = starts_of(pieces.where(F.col("__name") == next(iter(y))), by)
+    on = [(c, c) for c in [*by, "__range"]]
+    placed = _matched(pieces, F.broadcast(starts) if starts.count() <= FEW_GROUPS else starts, on).withColumn("__first", F.col("__start") + F.col("__at"))
+    return moved(placed, by, list(predictors), list(targets), length, samples, unit, seed)
+
+
+def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targets: Sequence[str], length: float, samples: int, unit: int | None = None, seed: int = 0) -> DataFrame:
+    """The sums of ``apart`` from pieces: by, __first (place of the first row), __rows (of the series), __n, __name (x or y and the column's name), __bits, __codes, __values.
+
+    A tile is a chunk of targets and one of predictors; its task draws the runs that take the second to the first by itself, for some samples at a time, and goes
+    through the predictors piece by piece, so it holds targets as numbers, predictors as codes, and runs.
+    """
+    unit, stretch, most = unit_of(length, unit), STRETCH, RUNS
+    chance, block = min(1.0, unit / length), math.gcd(stretch, 1 << max(0, (PIECE // unit).bit_length() - 1))
+    # As many predictors go to a task, and so many rows of them, as their codes have room.
+    width = {r["__name"]: r["bits"] for r in placed.groupBy("__name").agg(F.max("__bits").alias("bits")).collect()}
+    upto = np.cumsum([0, *[width.get(f"x{c}", 1) for c in predictors]]).tolist()
+    part = {f"x{c}": at // (8 * PREDICTORS) for c, at in zip(predictors, upto, strict=False)}
+    bits = [sum(width.get(c, 1) for c in part if part[c] == p) for p in sorted(set(part.values()))]
+    part = {c: sorted(set(part.values())).index(p) for c, p in part.items()}
+    wide = [max(1, PREDICTOR_ROWS * PREDICTORS * 8 // b // (stretch * unit)) for b in bits]
+    stretches = F.ceil(F.col("__rows") / (stretch * unit))
+    tall = F.greatest(F.lit(1), F.least(F.lit(TARGET_ROWS // (stretch * unit * len(targets))), F.ceil(stretches / TILES))).cast("long")
+    last = lambda size: F.floor((stretches - 1) / size)
+    chunks = lambda size: F.sequence(F.floor(F.col("__first") / (size * stretch * unit)), F.floor((F.col("__first") + F.col("__n") - 1) / (size * stretch * unit)))
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long"))
+    wide_of = F.element_at(F.array(*[F.lit(w) for w in wide]), F.col("__part") + 1)
+    part_of = F.element_at(F.create_map(*[F.lit(v) for c in part.items() for v in c]), F.col("__name"))
+    kept = [*by, "__rows", "__tall", "__first", "__n", "__name", "__bits", "__codes", "__values", "__part"]
+    sized = placed.withColumn("__tall", tall)
+    xs = sized.where("__name LIKE 'x%'").withColumn("__part", part_of).select(*kept, F.explode(all_of(last(F.col("__tall")))).alias("__y"), wide_of.alias("__wide")).withColumn("__x", F.explode(chunks(F.col("__wide")))).drop("__wide")
+    ys = sized.where("__name LIKE 'y%'").withColumn("__part", F.explode(F.array(*[F.lit(p) for p in range(len(wide))]))).select(*kept, F.explode(chunks(F.col("__tall"))).alias("__y"), wide_of.alias("__wide"))
+    ys = ys.withColumn("__x", F.explode(all_of(last(F.col("__wide"))))).drop("__wide")
+    names = ["n", "sx", "sxx", *[f"{s}_{t}" for t in targets for s in ("s", "ss", "sx")]]
+    kinds, spots = [placed.schema[c].dataType for c in by], {f"y{c}": i for i, c in enumerate(targets)}
+
+    def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, (p, yi, xi) = key[: len(by)], (k.as_py() for k in key[len(by) :])
+        tile, pieces = None, {}
+        for batch in batches:
+            for total, tall, first, n, name, bits, codes, values in zip(*(batch.column(c) for c in kept[len(by) : -1]), strict=True):
+                total, tall, first, n, name, bits, values = (*(v.as_py() for v in (total, tall, first, n, name, bits)), values.values.to_numpy(zero_copy_only=False))
+                if tile is None:
+                    tile = _Tile(total, unit, stretch, yi * tall * stretch, tall * stretch, xi * wide[p] * stretch, wide[p] * stretch, len(targets))
+                if name in spots:
+                    tile.stays(spots[name], first, _decoded(bits, codes.as_buffer(), values, n))
+                else:
+                    pieces.setdefault((first, n), []).append((name[1:], bits, codes.as_py(), values.copy()))
+        for low in range(-1, samples, step := max(1, int(most / (tile.units * chance + tile.units / stretch + tile.units / block)))):
+            found = tile.sums(range(low, min(samples, low + step)), seed, chance, block, pieces)
+            for name, sums in found.items():
+                count = sums.shape[1]
+                of_group = [pa.array([v.as_py()] * count, to_arrow_type(kind)) for v, kind in zip(group, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*of_group, pa.array([name] * count), pa.array(np.arange(low, low + count), pa.int32()), *(pa.array(v, pa.float64()) for v in sums)], names=[*by, "feature", "sample", *names])
 
     keys = [*by, "__part", "__y", "__x"]
-    each = asked.groupBy(*keys).cogroup(xs.unionByName(ys).groupBy(*keys)).applyInPandas(met, f"{_keys(rows, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}")
-    return each.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
+    tiles = xs.unionByName(ys).repartition(max(64, min(1000, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
+    each = tiles.groupBy(*keys).applyInArrow(met, f"{_keys(placed, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}")
+    with small_batches(placed.sparkSession):
+        sums = written(each, "sums")
+    unneeded(placed.sparkSession)
+    return sums.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
+
+
+class _Tile:
+    """Sums of samples that take units of predictors from source on to units of targets from place on. Rows of a shorter last unit are filled up with zeros."""
+
+    def __init__(self, rows: int, unit: int, stretch: int, place: int, places: int, source: int, sources: int, targets: int):
+        self.all, self.unit, self.stretch, self.place, self.source = -(-rows // unit), unit, stretch, place, source
+        self.units, self.sources = min(places, self.all - place), min(sources, self.all - source)
+        #: Rows of the last unit, which are all that it has in common with others.
+        self.short = rows - (self.all - 1) * unit
+        self.targets = [np.zeros(self.units * unit) for _ in range(targets)]
+
+    def stays(self, target: int, first: int, v: np.ndarray) -> None:
+        _put(self.targets[target], first - self.place * self.unit, v)
+
+    def sums(self, samples: range, seed: int, chance: float, block: int, pieces: dict) -> dict[str, np.ndarray]:
+        """Of each predictor: n, sx, sxx, and s, ss, sx of each target, by sample."""
+        if not pieces:
+            return {}
+        unit, short, last = self.unit, self.short, self.all - 1
+        drawn = []
+        for i, sample in enumerate(samples):
+            at, source, n = _drawn(self.all, self.place, self.place + self.units, sample, seed, chance, self.stretch, block)
+            mine = (source >= self.source) & (source < self.source + self.sources)
+            drawn.append([v.astype(np.int32) for v in (at[mine] - self.place, source[mine] - self.source, n[mine], np.full(mine.sum(), i))])
+        at, source, n, of = (np.concatenate(v) for v in zip(*drawn, strict=True))
+        del drawn
+        blocks = source // block
+        order = np.argsort(blocks, kind="stable")
+        at, source, n, of = (v[order] for v in (at, source, n, of))
+        begins = np.searchsorted(blocks[order], np.arange(-(-self.sources // block) + 1))
+        del blocks, order
+        by_sample = lambda of, v: np.bincount(of, v, len(samples))
+        # Runs with the last unit as a source, or at its place, if that is shorter.
+        whole = short == unit
+        from_last = np.flatnonzero(source + n == last + 1 - self.source) if not whole else np.zeros(0, int)
+        to_last = at + n == last + 1 - self.place if not whole else np.zeros(len(at), bool)
+        # The place that the last unit is taken to, and the source that is taken to the last place.
+        taken_to = at[from_last] + n[from_last] - 1
+        both = to_last[from_last]
+        count = by_sample(of, n * float(unit)) - (unit - short) * (by_sample(of[from_last], (~both).astype(float)) + by_sample(of[to_last], np.ones(to_last.sum())))
+        staying = []
+        for y in self.targets:
+            y = y.reshape(-1, unit)
+            for v in (y, y * y):
+                units = v.sum(axis=1)
+                upto = np.append(0, np.cumsum(units))
+                staying.append(by_sample(of, upto[at + n] - upto[at]) - by_sample(of[from_last], v[taken_to, short:].sum(axis=1)))
+        out = {}
+        for (first, rows), columns in pieces.items():
+            first = first - self.source * unit
+            low, high = max(0, first // unit), min(self.sources, -(-(first + rows) // unit))
+            some = slice(begins[low // block], begins[(high - 1) // block + 1])
+            a, b = np.maximum(source[some], low), np.minimum(source[some] + n[some], high)
+            met = np.flatnonzero(b > a)
+            a, b, to, sample, ends = a[met], b[met], (at[some] + np.maximum(source[some], low) - source[some])[met], of[some][met], to_last[some][met]
+            # The source that a run takes to the last place is its last one.
+            ends &= b == (source[some] + n[some])[met]
+            moving = []
+            for name, *coded in columns:
+                v = np.zeros((high - low) * unit)
+                _put(v, first - low * unit, _decoded(*coded, rows))
+                v = v.reshape(-1, unit)
+                sums = out.setdefault(name, np.zeros((3 + 3 * len(self.targets), len(samples))))
+                for i, w in ((1, v), (2, v * v)):
+                    upto = np.append(0, np.cumsum(w.sum(axis=1)))
+                    sums[i] += by_sample(sample, upto[b - low] - upto[a - low]) - by_sample(sample[ends], w[b[ends] - 1 - low, short:].sum(axis=1))
+                moving.append((v, sums))
+            upto = np.cumsum(b - a)
+            for cut in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto // max(1, PRODUCTS // unit))) + 1):
+                q, p, s = _one_by_one(a[cut] - low, (b - a)[cut]), _one_by_one(to[cut], (b - a)[cut]), np.repeat(sample[cut], (b - a)[cut])
+                for t, y in enumerate(self.targets):
+                    beside = y.reshape(-1, unit)[p]
+                    for v, sums in moving:
+                        sums[5 + 3 * t] += by_sample(s, np.einsum("ij,ij->i", v[q], beside))
+        for sums in out.values():
+            sums[0] = count
+            for t in range(len(self.targets)):
+                sums[3 + 3 * t], sums[4 + 3 * t] = staying[2 * t], staying[2 * t + 1]
+        return out
+
+
+def _put(into: np.ndarray, at: int, v: np.ndarray) -> None:
+    """v from at on, as far as there is room."""
+    low, high = max(0, at), min(len(into), at + len(v))
+    into[low:high] = v[low - at : high - at]
 
 
 def _one_by_one(first: np.ndarray, n: np.ndarray) -> np.ndarray:
