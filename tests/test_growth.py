@@ -16,6 +16,7 @@ from tests.test_queries import rows
 from tests.test_resampling import plain_pairs, plain_rows
 from tidemark import tables
 from tidemark.operators import forecast as Q
+from tidemark.operators import gradation as G
 from tidemark.operators import ranking
 from tidemark.operators import records as R
 from tidemark.operators import resampling as B
@@ -144,6 +145,57 @@ def test_hashes_taken_together_are_md5(prefix, low, high):
     assert B._hashed(prefix, low, high).tolist() == [[int(w[:8], 16), int(w[8:16], 16)] for w in want]
 
 
+def graded(n: int) -> pd.DataFrame:
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"t": rng.permutation(n) // 2, "id": np.arange(n), "few": rng.integers(0, 50, n).astype(float), "many": rng.normal(size=n), "holes": rng.normal(size=n), "late": rng.normal(size=n)})
+    frame["y"] = frame["few"] / 50 + rng.normal(size=n)
+    frame.loc[::7, "holes"] = np.nan
+    frame.loc[frame["t"] < n // 8, "late"] = np.nan
+    return frame
+
+
+def test_gradation_writes_rows_once_as_codes(spark, monkeypatch, tmp_path):
+    """Rows with their places and their bins, of all features, were written as rows: 101 bytes a row here."""
+    monkeypatch.setattr(tables, "scratch", lambda spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    n = 40_000
+    df = spark.createDataFrame(graded(n)).select("t", "id", "few", F.floor("many").cast("double").alias("many"), (F.col("t") % 11).alias("eleven"), (F.col("t") % 7).alias("seven"), "y").repartition(3)
+    got = G.gradation(df, ["few", "many", "eleven", "seven"], "y", ["t", "id"], 512, samples=3)
+    assert got.count() == 4
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 20 * n
+
+
+def test_gradation_in_parts_rounds_and_tiles(spark, monkeypatch):
+    """Sorted in parts, tiles of one chunk of predictors at a time, pieces that begin within units: the same figures. Features with holes are series of their own."""
+    monkeypatch.setattr(B, "STRETCH", 8)
+    df = spark.createDataFrame(graded(800)).withColumn("y", F.when(F.col("id") % 50 != 3, F.when(F.col("id") % 50 == 4, float("nan")).otherwise(F.col("y")))).repartition(3)
+    names = ["few", "many", "holes", "late"]
+    columns = ["feature", "n", "bins", "shares", "spread", "inversions", "z", "p", "test_spread", "test_z"]
+
+    def found(at_once):
+        monkeypatch.setattr(G, "SORTED", at_once)
+        return G.gradation(df, {f: F.col(f) for f in names}, F.when(F.isnan("y"), 0.0).otherwise(F.col("y")), ["t", "id"], 20, samples=30).orderBy("feature").select(columns).toPandas()
+
+    want = found(1 << 25)
+    for name, v in (("PIECE", 50), ("TARGET_ROWS", 200), ("PREDICTOR_ROWS", 200), ("PREDICTORS", 1), ("RUNS", 100), ("PRODUCTS", 64)):
+        monkeypatch.setattr(B, name, v)
+    assert len(B._in_parts(df, "t", 250)) == 4
+    pd.testing.assert_frame_equal(found(250), want, rtol=1e-9)
+
+
+def test_rows_without_a_number_for_a_metric_keep_their_place(spark):
+    """The profile of a metric that is no number is none either; its test goes on with the rows that have one."""
+    df = spark.createDataFrame(graded(600)).withColumn("y", F.when(F.col("id") == 17, float("nan")).otherwise(F.col("y")))
+    got = G.gradation(df, ["few"], "y", ["t", "id"], 20, samples=9).first()
+    assert got["n"] == 420 and 0 < got["p"] < 1
+
+
+def test_percentiles_of_values_that_stand_for_rows(spark):
+    rng = np.random.default_rng(10)
+    x, often = np.round(rng.normal(size=500), 2), rng.integers(1, 40, 500)
+    got = ranking.exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": x, "k": often})), "x", (0, 0.2, 0.5, 0.99, 1), often="k").first()
+    np.testing.assert_allclose([got[f"p{i}"] for i in range(5)], np.quantile(np.repeat(x, often), [0, 0.2, 0.5, 0.99, 1]), rtol=1e-12)
+
+
 def test_whole_rows_over_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(B, "STRETCH", 8)
     monkeypatch.setattr(B, "CHUNK", 16)

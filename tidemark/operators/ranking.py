@@ -55,25 +55,25 @@ def mean_rank(before: Column, ties: Column) -> Column:
     return before + (ties + 1) / 2
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), often: str | None = None) -> DataFrame:
     """Linearly interpolated percentiles of value (by groups): by, then p0, p1, ... as doubles; null without values.
 
     Sketches give marks close to each percentile on both sides, and wider ones around. Rows up to each mark are counted, so the two marks
     a percentile lies between are certain however far off the sketches are; only distinct values between these, in general about a
-    two-thousandth of the rows, are sorted.
+    two-thousandth of the rows, are sorted. often: how many rows a row of df stands for, one if not given; sketches take it once all the same.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"), (F.col(often) if often else F.lit(1)).cast("long").alias("_often"))
     if not by:
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
     marks = sorted({min(1.0, max(0.0, p + s / ACCURACY)) for p in shares for s in (-40, -2, 2, 40)})
-    sketched = written(rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")), "marks")
+    sketched = written(rows.groupBy(*by).agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_often")).otherwise(0)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")), "marks")
     # Few groups go to every task: a shuffle would give all rows of one group to one.
     few = (lambda t: F.broadcast(t)) if sketched.count() <= FEW_GROUPS else (lambda t: t)
     known, v, j = rows.where("_v IS NOT NULL").alias("r"), F.col("_v"), range(len(marks))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]
     own = [F.col(f"r.{c}") for c in by]
-    upto = known.join(few(sketched.alias("k")), on).groupBy(*own).agg(*[F.count(F.when(v <= F.element_at("_marks", i + 1), 1)).alias(f"_m{i}") for i in j])
+    upto = known.join(few(sketched.alias("k")), on).groupBy(*own).agg(*[F.sum(F.when(v <= F.element_at("_marks", i + 1), F.col("_often")).otherwise(0)).alias(f"_m{i}") for i in j])
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"u.{c}")) for c in by]
     counted = sketched.alias("s").join(upto.alias("u"), same, "left").select(*[F.col(f"s.{c}").alias(c) for c in by], "_n", "_marks", F.coalesce(F.array(*[F.col(f"_m{i}") for i in j]), F.array()).alias("_upto"))
     # Of each share: the last mark with too few rows up to it, and the first with enough.
@@ -85,9 +85,9 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Se
         *by, "i", "_at", F.try_element_at("_marks", F.nullif("_a", F.lit(0))).alias("_low"), F.try_element_at("_marks", F.col("_b") + 1).alias("_high"), F.coalesce(F.try_element_at("_upto", F.nullif("_a", F.lit(0))), F.lit(0)).alias("_below")
     )
     brackets = written(between.groupBy(*by).agg(F.collect_list(F.struct("i", "_at", "_low", "_high", "_below")).alias("_k")), "brackets")
-    inside = known.join(few(brackets.alias("k")), on).select(*own, "_v", F.explode(F.filter("_k", lambda k: (k["_low"].isNull() | (v > k["_low"])) & (k["_high"].isNull() | (v <= k["_high"])))).alias("_b"))
-    inside = inside.select(*by, "_v", F.col("_b.i").alias("i"), F.col("_b._at").alias("_at"), F.col("_b._below").alias("_below"))
-    values = inside.groupBy(*by, "i", "_at", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = known.join(few(brackets.alias("k")), on).select(*own, "_v", "_often", F.explode(F.filter("_k", lambda k: (k["_low"].isNull() | (v > k["_low"])) & (k["_high"].isNull() | (v <= k["_high"])))).alias("_b"))
+    inside = inside.select(*by, "_v", "_often", F.col("_b.i").alias("i"), F.col("_b._at").alias("_at"), F.col("_b._below").alias("_below"))
+    values = inside.groupBy(*by, "i", "_at", "_below", "_v").agg(F.sum("_often").alias("_c"))
     running = values.withColumn("_upto", F.col("_below") + F.sum("_c").over(Window.partitionBy(*by, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     ends = running.groupBy(*by, "i", "_at").agg(*[F.min(F.when(F.col("_upto") > r("_at"), v)).alias(name) for name, r in (("_a", F.floor), ("_b", F.ceil))])
     found = ends.select(*by, "i", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("_p"))

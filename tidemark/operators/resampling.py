@@ -20,6 +20,7 @@ Sample -1 is the series itself.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 from hashlib import md5
@@ -31,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.operators.ranking import FEW_GROUPS, mean_rank, placed, with_place
@@ -43,9 +45,9 @@ CHUNK = 65_536
 #: Rows of a piece of a packed column.
 PIECE = 1 << 16
 #: Rows of a chunk of targets in ``apart``, over all targets; bytes a row that the predictors of a task may have as codes, about, and rows of a chunk of so many bytes.
-TARGET_ROWS, PREDICTORS, PREDICTOR_ROWS = 1 << 23, 4, 1 << 24
+TARGET_ROWS, PREDICTORS, PREDICTOR_ROWS = 1 << 22, 4, 1 << 24
 #: Chunks of targets of a series that are small enough; runs, and products of numbers, that a task of ``apart`` holds at a time.
-TILES, RUNS, PRODUCTS = 16, 1 << 21, 1 << 18
+TILES, RUNS, PRODUCTS = 16, 1 << 20, 1 << 18
 #: Hashes taken at a time; the constants of MD5.
 HASHED = 8192
 _STATE = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
@@ -192,13 +194,25 @@ def jointly(rows: DataFrame, order: Sequence[str], moments: dict[str, Column], l
 def _coded(v: np.ndarray) -> tuple[int, bytes, np.ndarray]:
     """Numbers as codes of 1, 2, 4, 8 or 16 bits with their distinct values, or as they are (64 bits, no values): bits, codes, values."""
     values, codes = np.unique(v, return_inverse=True)
-    if len(values) > 256:
-        return (16, codes.astype(np.uint16).tobytes(), values) if 4 * len(values) <= 3 * len(v) and len(values) <= 1 << 16 else (64, v.tobytes(), values[:0])
-    bits = next(w for w in (1, 2, 4, 8) if len(values) <= 1 << w)
+    if len(values) > 256 and (4 * len(values) > 3 * len(v) or len(values) > 1 << 16):
+        return 64, v.tobytes(), values[:0]
+    return packed_codes(codes, values)
+
+
+def packed_codes(codes: np.ndarray, values: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+    """Numbers that are values[codes], as ``_coded`` gives them."""
+    bits = bits_of(len(values))
+    if bits == 16:
+        return bits, codes.astype(np.uint16).tobytes(), values
     each = np.append(codes.astype(np.uint8), np.zeros(-len(codes) % (8 // bits), np.uint8)).reshape(-1, 8 // bits)
     return bits, np.bitwise_or.reduce(each << np.arange(0, 8, bits, dtype=np.uint8), axis=1).tobytes(), values
 
 
+def bits_of(values: int) -> int:
+    """Bits of a code of so many values."""
+    return next(w for w in (1, 2, 4, 8, 16) if values <= 1 << w)
+
+
 def _codes(bits: int, codes: bytes, n: int) -> np.ndarray:
     if bits == 16:
         return np.frombuffer(codes, np.uint16)
@@ -209,64 +223,96 @@ def _decoded(bits: int, codes: bytes, values: np.ndarray, n: int) -> np.ndarray:
     return np.frombuffer(codes, float) if bits == 64 else values[_codes(bits, codes, n)]
 
 
-#: Columns of a table of pieces, beside those of the group: a column's next n numbers, from the __at-th row that the group has in the range on.
-PIECES = "__range int, __at long, __n int, __name string, __bits int, __codes binary, __values array<double>"
+#: Columns of a table of pieces, beside those of the group: the next n rows, from the __at-th one that the group has in the range on.
+PIECES = "__range long, __at long, __n int, __columns array<struct<__name string, __bits int, __codes binary, __values array<double>>>"
 
 
-def in_pieces(rows: DataFrame, order: Sequence[str], by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """Columns as doubles in pieces of up to PIECE rows in order: by and PIECES. Rows where a column is null or no number are left out.
+def in_pieces(rows: DataFrame, order: Sequence[str], by: Sequence[str], columns: dict[str, Column], missing: bool = False, at_once: int | None = None) -> DataFrame:
+    """Columns as doubles in pieces of up to PIECE rows in order: by and PIECES. Rows where a column is null or no number are left out; if ``missing``, they stay, and null is no number.
 
-    Rows are sorted by ranges and packed where they are sorted; only the pieces are written.
+    Rows are sorted by ranges and packed where they are sorted; only the pieces are written. About at_once rows are sorted at a time, if it is given and the
+    first column of the order is a number or a time: rows are read again for each such part, and the shuffle files are those of one part.
     """
-    numbers, names, size = [c.cast("double") for c in columns.values()], list(columns), PIECE
-    known = rows.where(F.col(order[0]).isNotNull())
-    for c in numbers:
+    numbers, names, size = [c.cast("double") for c in columns.values()], list(columns), min(PIECE, max(1024, (1 << 23) // len(columns)))
+    head, spark = F.col(order[0]), rows.sparkSession
+    known = rows.where(head.isNotNull())
+    for c in [] if missing else numbers:
         known = known.where(c.isNotNull() & ~F.isnan(c))
-    ordered = known.orderBy(*dict.fromkeys([*by, *order])).select(*by, *[c.alias(f"__{i}") for i, c in enumerate(numbers)])
-
-    def packed(batches):
-        here, group, first, at, held, count = TaskContext.get().partitionId(), None, None, 0, [], 0
-
-        def flushed(n: int):
-            nonlocal held, at, count
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            coded = [_coded(c[:n]) for c in whole]
-            held, count = [[c[n:] for c in whole]], count - n
-            of_group = [pa.repeat(v, len(names)) for v in first]
-            rest = [pa.array([v] * len(names), kind) for v, kind in ((here, pa.int32()), (at, pa.int64()), (n, pa.int32()))]
-            at += n
-            told = [pa.array(names), pa.array([c[0] for c in coded], pa.int32()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.list_(pa.float64()))]
-            return pa.RecordBatch.from_arrays([*of_group, *rest, *told], names=[*by, "__range", "__at", "__n", "__name", "__bits", "__codes", "__values"])
-
-        for batch in batches:
-            changes = [np.flatnonzero(np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False))) + 1 for c in by]
-            ends = [*np.unique(np.concatenate(changes)).tolist(), batch.num_rows] if by else [batch.num_rows]
-            for low, high in zip([0, *ends], ends):
-                if low == high:
-                    continue
-                of_row = [batch.column(c)[low] for c in by]
-                key = tuple("nan" if v != v else v for v in (s.as_py() for s in of_row))
-                if key != group:
-                    if count:
-                        yield flushed(count)
-                    group, first, at, held, count = key, of_row, 0, [], 0
-                held.append([batch.column(f"__{i}")[low:high].to_numpy(zero_copy_only=False) for i in range(len(names))])
-                count += high - low
-                while count >= size:
-                    yield flushed(size)
-        if count:
-            yield flushed(count)
-
-    pieces = written(ordered.mapInArrow(packed, f"{_keys(rows, by)}{PIECES}"), "pieces")
-    unneeded(rows.sparkSession)
-    return pieces
-
-
-def starts_of(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, __range, __start: rows of the group before the range, and __rows: of the whole group. One name's pieces are asked for."""
+    shape = f"{_keys(rows, by)}{PIECES}"
+    schema = pa.schema([*((c, to_arrow_type(rows.schema[c].dataType)) for c in by), ("__range", pa.int64()), ("__at", pa.int64()), ("__n", pa.int32()), ("__columns", pa.list_(pa.struct([("__name", pa.string()), ("__bits", pa.int32()), ("__codes", pa.binary()), ("__values", pa.list_(pa.float64()))])))])
+
+    def packed(part: int):
+        def of_range(batches):
+            here, group, first, at, held, count = (part << 32) + TaskContext.get().partitionId(), None, None, 0, [], 0
+
+            def flushed(n: int):
+                nonlocal held, at, count
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                told = [dict(zip(("__name", "__bits", "__codes", "__values"), (name, *_coded(c[:n])), strict=True)) for name, c in zip(names, whole, strict=True)]
+                piece = pa.RecordBatch.from_arrays([*(pa.array([v.as_py()], schema.field(c).type) for c, v in zip(by, first, strict=True)), *(pa.array([v], schema.field(c).type) for c, v in (("__range", here), ("__at", at), ("__n", n), ("__columns", told)))], schema=schema)
+                held, count, at = [[c[n:] for c in whole]], count - n, at + n
+                return piece
+
+            for batch in batches:
+                changes = [np.flatnonzero(np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False))) + 1 for c in by]
+                ends = [*np.unique(np.concatenate(changes)).tolist(), batch.num_rows] if by else [batch.num_rows]
+                for low, high in zip([0, *ends], ends):
+                    if low == high:
+                        continue
+                    of_row = [batch.column(c)[low] for c in by]
+                    key = tuple("nan" if v != v else v for v in (s.as_py() for s in of_row))
+                    if key != group:
+                        if count:
+                            yield flushed(count)
+                        group, first, at, held, count = key, of_row, 0, [], 0
+                    held.append([batch.column(f"__{i}")[low:high].to_numpy(zero_copy_only=False) for i in range(len(names))])
+                    count += high - low
+                    while count >= size:
+                        yield flushed(size)
+            if count:
+                yield flushed(count)
+
+        return of_range
+
+    found = []
+    for part, some in enumerate(_in_parts(known, order[0], at_once)):
+        ordered = some.orderBy(*dict.fromkeys([*by, *order])).select(*by, *[c.alias(f"__{i}") for i, c in enumerate(numbers)])
+        found.append(written(ordered.mapInArrow(packed(part), shape), "pieces"))
+        unneeded(spark)
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _in_parts(rows: DataFrame, head: str, at_once: int | None) -> list[DataFrame]:
+    """rows in parts of about at_once rows, by ranges of head."""
+    kind = rows.schema[head].dataType
+    if at_once is None or not isinstance(kind, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        return [rows]
+    parts = -(-rows.count() // at_once)
+    if parts < 2:
+        return [rows]
+    # Wherever they lie, each row is in one part.
+    marks = rows.agg(F.percentile_approx(head, [k / parts for k in range(1, parts)], 1000)).first()[0]
+    marks = [F.lit(m).cast(kind) for m in dict.fromkeys(marks) if m == m]
+    after, upto = (lambda m: F.col(head) > m), (lambda m: F.col(head) <= m)
+    return [rows.where((after(low) if low is not None else F.lit(True)) & (upto(high) if high is not None else F.lit(True))) for low, high in zip([None, *marks], [*marks, None], strict=True)]
+
+
+def opened(batch: pa.RecordBatch) -> Iterator[list[tuple[str, int, pa.Buffer, np.ndarray]]]:
+    """Of each piece: name, bits, codes and values of its columns."""
+    column = batch.column("__columns")
+    ends, flat = column.offsets.to_pylist(), column.values
+    names, bits, codes, values = (flat.field(i) for i in range(4))
+    for low, high in zip(ends, ends[1:]):
+        yield [(names[k].as_py(), bits[k].as_py(), codes[k].as_buffer(), values[k].values.to_numpy(zero_copy_only=False)) for k in range(low, high)]
+
+
+def with_first(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pieces with __first, the place of their first row in the group, and __rows, those of the whole group."""
     counts = pieces.groupBy(*by, "__range").agg(F.sum("__n").alias("_n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*by, "__range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__start"), F.sum("_n").over(Window.partitionBy(*by)).alias("__rows"))
+    starts = counts.select(*by, "__range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__start"), F.sum("_n").over(Window.partitionBy(*by)).alias("__rows"))
+    met = _matched(pieces, F.broadcast(starts) if starts.count() <= FEW_GROUPS else starts, [(c, c) for c in [*by, "__range"]])
+    return met.withColumn("__first", F.col("__start") + F.col("__at")).drop("__start")
 
 
 def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column], targets: dict[str, Column], length: float, samples: int, by: Sequence[str] = (), unit: int | None = None, seed: int = 0) -> DataFrame:
@@ -275,23 +321,25 @@ def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column],
     Rows where any column is null are no part of the series. Where a shorter last unit meets a full one, the rows they have in common count.
     """
     x, y = ({f"{side}{n}": c for n, c in columns.items()} for side, columns in (("x", predictors), ("y", targets)))
-    pieces = in_pieces(rows, order, by, x | y)
-    starts = starts_of(pieces.where(F.col("__name") == next(iter(y))), by)
-    on = [(c, c) for c in [*by, "__range"]]
-    placed = _matched(pieces, F.broadcast(starts) if starts.count() <= FEW_GROUPS else starts, on).withColumn("__first", F.col("__start") + F.col("__at"))
-    return moved(placed, by, list(predictors), list(targets), length, samples, unit, seed)
+    placed = with_first(in_pieces(rows, order, by, x | y), by).select(*by, "__rows", "__first", "__n", F.inline("__columns"))
+    width = {r["__name"]: r["bits"] for r in placed.groupBy("__name").agg(F.max("__bits").alias("bits")).collect()}
+    return moved(placed, by, list(predictors), list(targets), length, samples, unit, seed, width)
 
 
-def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targets: Sequence[str], length: float, samples: int, unit: int | None = None, seed: int = 0) -> DataFrame:
-    """The sums of ``apart`` from pieces: by, __first (place of the first row), __rows (of the series), __n, __name (x or y and the column's name), __bits, __codes, __values.
+def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targets: Sequence[str], length: float, samples: int, unit: int | None, seed: int, width: dict[str, int]) -> DataFrame:
+    """The sums of ``apart`` from pieces: by, __first (place of the first row), __rows (of the series), __n, __name (x or y and the column's name), __bits, __codes, __values. width: the most bits of each name.
 
     A tile is a chunk of targets and one of predictors; its task draws the runs that take the second to the first by itself, for some samples at a time, and goes
-    through the predictors piece by piece, so it holds targets as numbers, predictors as codes, and runs.
+    through the predictors piece by piece, so it holds targets as numbers, predictors as codes, and runs. The tiles of one chunk of predictors are
+    sent at a time, so the shuffle files are those of one such chunk and all targets.
     """
+    names = ["n", "sx", "sxx", *[f"{s}_{t}" for t in targets for s in ("s", "ss", "sx")]]
+    shape = f"{_keys(placed, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}"
+    if not predictors:
+        return placed.sparkSession.createDataFrame([], shape)
     unit, stretch, most = unit_of(length, unit), STRETCH, RUNS
     chance, block = min(1.0, unit / length), math.gcd(stretch, 1 << max(0, (PIECE // unit).bit_length() - 1))
     # As many predictors go to a task, and so many rows of them, as their codes have room.
-    width = {r["__name"]: r["bits"] for r in placed.groupBy("__name").agg(F.max("__bits").alias("bits")).collect()}
     upto = np.cumsum([0, *[width.get(f"x{c}", 1) for c in predictors]]).tolist()
     part = {f"x{c}": at // (8 * PREDICTORS) for c, at in zip(predictors, upto, strict=False)}
     bits = [sum(width.get(c, 1) for c in part if part[c] == p) for p in sorted(set(part.values()))]
@@ -309,7 +357,6 @@ def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targe
     xs = sized.where("__name LIKE 'x%'").withColumn("__part", part_of).select(*kept, F.explode(all_of(last(F.col("__tall")))).alias("__y"), wide_of.alias("__wide")).withColumn("__x", F.explode(chunks(F.col("__wide")))).drop("__wide")
     ys = sized.where("__name LIKE 'y%'").withColumn("__part", F.explode(F.array(*[F.lit(p) for p in range(len(wide))]))).select(*kept, F.explode(chunks(F.col("__tall"))).alias("__y"), wide_of.alias("__wide"))
     ys = ys.withColumn("__x", F.explode(all_of(last(F.col("__wide"))))).drop("__wide")
-    names = ["n", "sx", "sxx", *[f"{s}_{t}" for t in targets for s in ("s", "ss", "sx")]]
     kinds, spots = [placed.schema[c].dataType for c in by], {f"y{c}": i for i, c in enumerate(targets)}
 
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +379,16 @@ def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targe
                 yield pa.RecordBatch.from_arrays([*of_group, pa.array([name] * count), pa.array(np.arange(low, low + count), pa.int32()), *(pa.array(v, pa.float64()) for v in sums)], names=[*by, "feature", "sample", *names])
 
     keys = [*by, "__part", "__y", "__x"]
-    tiles = xs.unionByName(ys).repartition(max(64, min(1000, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
-    each = tiles.groupBy(*keys).applyInArrow(met, f"{_keys(placed, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}")
-    with small_batches(placed.sparkSession):
-        sums = written(each, "sums")
-    unneeded(placed.sparkSession)
-    return sums.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
+    most_rows = placed.agg(F.max("__rows")).first()[0] or 0
+    rounds = max(1, -(-most_rows // (min(wide) * stretch * unit)))
+    tiles, found = xs.unionByName(ys), []
+    for i in range(rounds):
+        some = (tiles.where(F.col("__x") == i) if rounds > 1 else tiles).repartition(max(64, min(1000, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
+        each = some.groupBy(*keys).applyInArrow(met, shape)
+        with small_batches(placed.sparkSession):
+            found.append(written(each, "sums"))
+        unneeded(placed.sparkSession)
+    return functools.reduce(DataFrame.unionAll, found).groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
 
 
 class _Tile:

@@ -149,8 +149,9 @@ FROM turned JOIN tested USING (name) LEFT JOIN later USING (name) LEFT JOIN zs U
 @query("m08_gradation", gradation_sql())
 def gradation(spark, sf_dir):
     """Price over quantile bins of four features: profile, trend, its p, and whether later rows confirm it."""
-    rows = table(spark, sf_dir, "lineitem").withColumns({"lateness": ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 997).cast("double"), "price": F.col("l_extendedprice") / 1000})
-    found = G.gradation(rows, _GRADED, "price", LINE, LENGTH, samples=SAMPLES)
+    lateness = ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 997).cast("double")
+    features = {f: lateness if f == "lateness" else F.col(f) for f in _GRADED}
+    found = G.gradation(table(spark, sf_dir, "lineitem"), features, F.col("l_extendedprice") / 1000, LINE, LENGTH, samples=SAMPLES)
     return rounded(found).withColumn("shares", F.transform("shares", lambda s: F.round(s, 6)))
 
 

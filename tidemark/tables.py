@@ -57,9 +57,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def unneeded(spark: SparkSession) -> None:
-    """Lets executors delete the shuffle files of what is written already: they keep them until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets executors delete the shuffle files of what is written already: they keep them until the driver collects its garbage, of which plans are found only the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 @contextlib.contextmanager
