@@ -46,6 +46,8 @@ CHUNK = 65_536
 PIECE = 1 << 16
 #: Rows of a chunk of targets in ``apart``, over all targets; bytes a row that the predictors of a task may have as codes, about, and rows of a chunk of so many bytes.
 TARGET_ROWS, PREDICTORS, PREDICTOR_ROWS = 1 << 22, 4, 1 << 24
+#: Partitions of tiles, at most.
+MOST_TILES = 1000
 #: Chunks of targets of a series that are small enough; runs, and products of numbers, that a task of ``apart`` holds at a time.
 TILES, RUNS, PRODUCTS = 16, 1 << 20, 1 << 18
 #: Hashes taken at a time; the constants of MD5.
@@ -321,17 +323,19 @@ def apart(rows: DataFrame, order: Sequence[str], predictors: dict[str, Column],
     Rows where any column is null are no part of the series. Where a shorter last unit meets a full one, the rows they have in common count.
     """
     x, y = ({f"{side}{n}": c for n, c in columns.items()} for side, columns in (("x", predictors), ("y", targets)))
-    placed = with_first(in_pieces(rows, order, by, x | y), by).select(*by, "__rows", "__first", "__n", F.inline("__columns"))
+    pieces = in_pieces(rows, order, by, x | y)
+    sizes = pieces.groupBy(*by).agg(F.sum("__n").alias("__rows")).where("__rows > 0")
+    placed = with_first(pieces, by).select(*by, "__first", "__n", F.inline("__columns"))
     width = {r["__name"]: r["bits"] for r in placed.groupBy("__name").agg(F.max("__bits").alias("bits")).collect()}
-    return moved(placed, by, list(predictors), list(targets), length, samples, unit, seed, width)
+    return moved(placed, sizes, by, list(predictors), list(targets), length, samples, unit, seed, width)
 
 
-def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targets: Sequence[str], length: float, samples: int, unit: int | None, seed: int, width: dict[str, int]) -> DataFrame:
-    """The sums of ``apart`` from pieces: by, __first (place of the first row), __rows (of the series), __n, __name (x or y and the column's name), __bits, __codes, __values. width: the most bits of each name.
+def moved(placed: DataFrame, sizes: DataFrame, by: Sequence[str], predictors: Sequence[str], targets: Sequence[str], length: float, samples: int, unit: int | None, seed: int, width: dict[str, int]) -> DataFrame:
+    """The sums of ``apart`` from pieces: by, __first (place of the first row), __n, __name (x or y and the column's name), __bits, __codes, __values. sizes: by, __rows of each series. width: the most bits of each name.
 
     A tile is a chunk of targets and one of predictors; its task draws the runs that take the second to the first by itself, for some samples at a time, and goes
     through the predictors piece by piece, so it holds targets as numbers, predictors as codes, and runs. The tiles of one chunk of predictors are
-    sent at a time, so the shuffle files are those of one such chunk and all targets.
+    sent at a time, so the shuffle files are those of one such chunk and all targets. Each tile has a partition of its own, up to MOST_TILES; with more they are sorted.
     """
     names = ["n", "sx", "sxx", *[f"{s}_{t}" for t in targets for s in ("s", "ss", "sx")]]
     shape = f"{_keys(placed, by)}feature string, sample int, {', '.join(f'`{c}` double' for c in names)}"
@@ -352,43 +356,54 @@ def moved(placed: DataFrame, by: Sequence[str], predictors: Sequence[str], targe
     all_of = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long"))
     wide_of = F.element_at(F.array(*[F.lit(w) for w in wide]), F.col("__part") + 1)
     part_of = F.element_at(F.create_map(*[F.lit(v) for c in part.items() for v in c]), F.col("__name"))
-    kept = [*by, "__rows", "__tall", "__first", "__n", "__name", "__bits", "__codes", "__values", "__part"]
-    sized = placed.withColumn("__tall", tall)
+    tiles = F.ceil(stretches / tall) * len(wide)
+    before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) if by else Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written(sizes.withColumns({"__tall": tall, "__tile": F.coalesce(F.sum(tiles).over(before), F.lit(0))}), "sizes")
+    series, most_rows, count = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("__rows"), F.lit(0)), F.coalesce(F.sum(F.ceil(stretches / F.col("__tall"))), F.lit(0)) * len(wide)).first()
+    few = F.broadcast(sizes) if series <= FEW_GROUPS else sizes
+    sized = _matched(placed, few, [(c, c) for c in by]) if by else placed.crossJoin(few)
+    kept = [*by, "__rows", "__tall", "__first", "__n", "__name", "__bits", "__codes", "__values", "__tile", "__part"]
     xs = sized.where("__name LIKE 'x%'").withColumn("__part", part_of).select(*kept, F.explode(all_of(last(F.col("__tall")))).alias("__y"), wide_of.alias("__wide")).withColumn("__x", F.explode(chunks(F.col("__wide")))).drop("__wide")
     ys = sized.where("__name LIKE 'y%'").withColumn("__part", F.explode(F.array(*[F.lit(p) for p in range(len(wide))]))).select(*kept, F.explode(chunks(F.col("__tall"))).alias("__y"), wide_of.alias("__wide"))
     ys = ys.withColumn("__x", F.explode(all_of(last(F.col("__wide"))))).drop("__wide")
+    # Numbered without __x, of which there is one at a time.
+    all_tiles = xs.unionByName(ys).withColumn("__tile", F.col("__tile") + F.col("__part") * F.ceil(stretches / F.col("__tall")) + F.col("__y"))
     kinds, spots = [placed.schema[c].dataType for c in by], {f"y{c}": i for i, c in enumerate(targets)}
 
-    def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, (p, yi, xi) = key[: len(by)], (k.as_py() for k in key[len(by) :])
-        tile, pieces = None, {}
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = tile = group = pieces = None
+
+        def summed():
+            for low in range(-1, samples, step := max(1, int(most / (tile.units * chance + tile.units / stretch + tile.units / block)))):
+                for name, sums in tile.sums(range(low, min(samples, low + step)), seed, chance, block, pieces).items():
+                    count = sums.shape[1]
+                    of_group = [pa.array([v] * count, to_arrow_type(kind)) for v, kind in zip(group, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*of_group, pa.array([name] * count), pa.array(np.arange(low, low + count), pa.int32()), *(pa.array(v, pa.float64()) for v in sums)], names=[*by, "feature", "sample", *names])
+
         for batch in batches:
-            for total, tall, first, n, name, bits, codes, values in zip(*(batch.column(c) for c in kept[len(by) : -1]), strict=True):
-                total, tall, first, n, name, bits, values = (*(v.as_py() for v in (total, tall, first, n, name, bits)), values.values.to_numpy(zero_copy_only=False))
-                if tile is None:
+            numbers = batch.select(["__tile", "__rows", "__tall", "__first", "__n", "__name", "__bits", "__part", "__y", "__x"]).to_pydict()
+            for i, (here, total, tall, first, n, name, bits, p, yi, xi) in enumerate(zip(*numbers.values(), strict=True)):
+                if here != at:
+                    if tile is not None:
+                        yield from summed()
+                    at, pieces, group = here, {}, [batch.column(c)[i].as_py() for c in by]
                     tile = _Tile(total, unit, stretch, yi * tall * stretch, tall * stretch, xi * wide[p] * stretch, wide[p] * stretch, len(targets))
+                codes, values = batch.column("__codes")[i], batch.column("__values")[i].values.to_numpy(zero_copy_only=False)
                 if name in spots:
                     tile.stays(spots[name], first, _decoded(bits, codes.as_buffer(), values, n))
                 else:
                     pieces.setdefault((first, n), []).append((name[1:], bits, codes.as_py(), values.copy()))
-        for low in range(-1, samples, step := max(1, int(most / (tile.units * chance + tile.units / stretch + tile.units / block)))):
-            found = tile.sums(range(low, min(samples, low + step)), seed, chance, block, pieces)
-            for name, sums in found.items():
-                count = sums.shape[1]
-                of_group = [pa.array([v.as_py()] * count, to_arrow_type(kind)) for v, kind in zip(group, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*of_group, pa.array([name] * count), pa.array(np.arange(low, low + count), pa.int32()), *(pa.array(v, pa.float64()) for v in sums)], names=[*by, "feature", "sample", *names])
-
-    keys = [*by, "__part", "__y", "__x"]
-    most_rows = placed.agg(F.max("__rows")).first()[0] or 0
-    rounds = max(1, -(-most_rows // (min(wide) * stretch * unit)))
-    tiles, found = xs.unionByName(ys), []
+        if tile is not None:
+            yield from summed()
+
+    rounds, spread, found = -(-most_rows // (min(wide) * stretch * unit)), min(count, MOST_TILES), []
     for i in range(rounds):
-        some = (tiles.where(F.col("__x") == i) if rounds > 1 else tiles).repartition(max(64, min(1000, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
-        each = some.groupBy(*keys).applyInArrow(met, shape)
+        dealt = all_tiles.where(F.col("__x") == i).repartitionById(spread, (F.col("__tile") % spread).cast("int"))
         with small_batches(placed.sparkSession):
-            found.append(written(each, "sums"))
+            found.append(written((dealt if count <= spread else dealt.sortWithinPartitions("__tile")).mapInArrow(met, shape), "sums"))
         unneeded(placed.sparkSession)
-    return functools.reduce(DataFrame.unionAll, found).groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
+    sums = functools.reduce(DataFrame.unionAll, found) if found else placed.sparkSession.createDataFrame([], shape)
+    return sums.groupBy(*by, "feature", "sample").agg(*[F.sum(c).alias(c) for c in names])
 
 
 class _Tile:
